@@ -38,16 +38,22 @@ def chunk_sections(sections: DataFrame, options: ChunkOptions = ChunkOptions(),
     tokenizer); the default is the built-in regex tokenizer.
     """
     tok = tokenizer or tokenize
-    raw = py_strip(F.coalesce(F.col(text_col), F.lit("")))
     staged = (sections
-              .withColumn("_raw", raw)
-              .filter((F.col("_raw") != "") & (F.length("_raw") >= options.min_chars))
-              .withColumn("_pieces", window_pieces(tok(F.col("_raw")), options.window, options.step)))
+              .withColumn("_raw", py_strip(F.coalesce(F.col(text_col), F.lit(""))))
+              # tokens are a column of their own: referenced inside the window
+              # lambda, an inline expression would be re-evaluated per window
+              .withColumn("_toks", tok(F.col("_raw")))
+              .withColumn("_pieces", F.when(
+                  (F.col("_raw") != "") & (F.length("_raw") >= options.min_chars),
+                  window_pieces(F.col("_toks"), options.window, options.step))))
+    # The short-text test lives inside the generator input and the generator
+    # is an outer one: Catalyst then has no filter to push (or infer) below
+    # it, so cleaning and tokenizing run once per section, after any spread.
     exploded = staged.select(
         *keep,
         F.col(title_col).alias("section"),
         F.coalesce(F.col(url_col), F.lit("")).alias("url"),
-        F.inline("_pieces"))
+        F.inline_outer("_pieces"))
     pieces = exploded.filter(F.length("text") >= options.min_chars)
     return pieces.select(
         *keep,
@@ -63,8 +69,10 @@ def chunk_sections(sections: DataFrame, options: ChunkOptions = ChunkOptions(),
 def dropped_pieces(sections: DataFrame, options: ChunkOptions = ChunkOptions(), *,
                    text_col: str = "text") -> DataFrame:
     """Count of window pieces lost to the length floor (the tail-loss trap)."""
-    raw = py_strip(F.coalesce(F.col(text_col), F.lit("")))
-    staged = (sections.withColumn("_raw", raw)
-              .filter((F.col("_raw") != "") & (F.length("_raw") >= options.min_chars))
-              .select(F.inline(window_pieces(tokenize(F.col("_raw")), options.window, options.step))))
+    staged = (sections
+              .withColumn("_raw", py_strip(F.coalesce(F.col(text_col), F.lit(""))))
+              .withColumn("_toks", tokenize(F.col("_raw")))
+              .select(F.inline_outer(F.when(
+                  (F.col("_raw") != "") & (F.length("_raw") >= options.min_chars),
+                  window_pieces(F.col("_toks"), options.window, options.step)))))
     return staged.filter(F.length("text") < options.min_chars)

@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,24 +39,31 @@ def token_buckets(text, dim: int, max_len: int | None = None, tokenizer=None) ->
                          F.lit(dim)).cast("int"))
 
 
-def _bucket_counts(buckets: pd.Series, dim: int, normalize: bool) -> pd.Series:
+def _bucket_counts(buckets, dim: int, normalize: bool):
+    """``list<int>`` Arrow array -> ``list<float>`` Arrow array of (normalised)
+    bucket counts, computed for the whole batch with one ``bincount``."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     n = len(buckets)
-    lengths = np.fromiter((len(b) for b in buckets), dtype=np.int64, count=n)
-    flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets]) if lengths.sum() \
-        else np.zeros(0, dtype=np.int64)
+    lengths = pc.list_value_length(buckets).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
     rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
     counts = np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
     if normalize:
         counts /= (np.sqrt((counts * counts).sum(axis=1, keepdims=True)) + EPS)
-    vecs = counts.astype(np.float32)
-    return pd.Series(list(vecs))
+    values = pa.array(counts.astype(np.float32).ravel(), type=pa.float32())
+    return pa.FixedSizeListArray.from_arrays(values, dim).cast(pa.list_(pa.float32()))
 
 
 def hashed_vector(buckets, dim: int, normalize: bool = True) -> Column:
-    """``array<int>`` buckets -> dense ``array<float>`` of counts (normalised)."""
+    """``array<int>`` buckets -> dense ``array<float>`` of counts (normalised).
+
+    An Arrow UDF: the batch arrives as one Arrow list array and leaves as one,
+    with no per-row Python objects."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _vec(b: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def _vec(b: "pa.Array") -> "pa.Array":  # noqa: F821
         return _bucket_counts(b, dim, normalize)
 
     return _vec(F.col(buckets) if isinstance(buckets, str) else buckets)

@@ -135,22 +135,42 @@ def shape_results(hits: DataFrame, kind: str = config.SOURCE_KIND) -> DataFrame:
                  F.col("title").alias("title"), F.col("section").alias("section")).alias("source"))
 
 
+PAYLOAD = ("text", "tokens", "embedding_model", "url", "title", "section")
+
+
 def search(chunks: DataFrame, requests: DataFrame, *,
            embed_options: EmbedOptions = EmbedOptions(),
            options: SearchOptions = SearchOptions(), metric: str = "cosine",
-           model_filter: bool = False) -> DataFrame:
+           model_filter: bool = False, method: str = "auto") -> DataFrame:
     """Exact batch top-k.  Rejected requests are dropped here; use
-    ``validate_requests`` to see them."""
+    ``validate_requests`` to see them.
+
+    ``method``: ``"blocks"`` broadcasts the (size-checked) request side and
+    scores chunk partitions by matrix products (``operators.knn``);
+    ``"pairs"`` joins and scores pair rows in SQL; ``"auto"`` picks blocks
+    when the request side is within ``options.broadcast_max_rows`` and pairs
+    (salted shuffle join) above it.
+    """
     valid, _ = validate_requests(requests)
     prepared = embed_requests(default_query(valid), embed_options).select(
         "query_id", "topic", "k", "q_embedding")
-    needed = chunks.select("chunk_id", "topic", "text", "tokens", "embedding_model", "url",
-                           "title", "section", "embedding")
+    needed = chunks.select("chunk_id", "topic", "embedding", *PAYLOAD)
     if model_filter:
         needed = needed.filter(F.col("embedding_model") == embed_options.model_name)
+    rows = _request_rows(valid)
+    use_blocks = method == "blocks" or (method == "auto" and rows <= options.broadcast_max_rows)
+    if use_blocks:
+        from .knn import block_top_k
+        if rows > options.broadcast_max_rows:
+            raise ValueError(f"{rows} requests exceed broadcast_max_rows="
+                             f"{options.broadcast_max_rows}; use method='pairs'")
+        req_pdf = prepared.toPandas()
+        k_bound = int(req_pdf["k"].max()) if len(req_pdf) else 1
+        cands = block_top_k(needed, req_pdf, metric=metric, payload=PAYLOAD)
+        cands = cands.withColumn("score", F.round("score", options.score_decimals))
+        return shape_results(top_k(cands, k_bound))
     k_bound = _max_k(valid, options)
-    scored = score_pairs(needed, prepared, metric=metric, options=options,
-                         request_rows=_request_rows(valid))
+    scored = score_pairs(needed, prepared, metric=metric, options=options, request_rows=rows)
     return shape_results(top_k(scored, k_bound))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkOptions, EmbedOptions
 from ..operators.search import search
-from ..sources.tables import document_requests, document_sections, read_table
+from ..sources.tables import document_requests, document_sections, read_table, spread
 from .ingest import sections_to_chunks
 
 FLAGSHIP_CHUNKS = ChunkOptions(max_tokens=256, overlap=32)
@@ -21,7 +21,7 @@ def document_chunks(spark: SparkSession, base: str, chunk_options: ChunkOptions
                     embed_options: EmbedOptions = EmbedOptions()) -> DataFrame:
     """Store rows built from ``documents`` (ingest time fixed at 0 so results
     are repeatable)."""
-    docs = read_table(spark, base, "documents")
+    docs = spread(read_table(spark, base, "documents"), "doc_id")
     return sections_to_chunks(document_sections(docs), chunk_options, embed_options,
                               ingested_at=F.lit(0))
 
