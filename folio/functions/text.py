@@ -65,7 +65,7 @@ def preview(col, width: int, placeholder: str = "…") -> Column:
         raise ValueError("width must exceed the placeholder length")
     t = collapse_whitespace(F.regexp_replace(_c(col), F.lit("\n"), F.lit(" ")))
     keep = width - len(placeholder)
-    head = F.regexp_extract(t, F.lit(f"^(.{{0,{keep}}}) "), 1)
+    head = F.regexp_extract(t, f"^(.{{0,{keep}}}) ", 1)
     return F.when(F.length(t) <= width, t).otherwise(F.concat(head, F.lit(placeholder)))
 
 
@@ -156,5 +156,5 @@ def html_to_text(col) -> Column:
 
 def html_title(col) -> Column:
     """Text of the ``<title>`` element (entities decoded, whitespace collapsed)."""
-    raw = F.regexp_extract(_c(col), F.lit(r"(?is)<title[^>]*>(.*?)</title\s*>"), 1)
+    raw = F.regexp_extract(_c(col), r"(?is)<title[^>]*>(.*?)</title\s*>", 1)
     return collapse_whitespace(unescape_entities(strip_tags(raw)))

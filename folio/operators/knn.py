@@ -31,10 +31,10 @@ _TIE_SLACK = 2e-6
 _SUB_BLOCK = 2048
 
 
-def _request_blocks(pdf: pd.DataFrame, metric: str) -> dict:
-    """topic -> (query ids, k, matrix [q, d] float64, scaled for cosine)."""
+def _request_blocks(pdf: pd.DataFrame, metric: str, key: str = "topic") -> dict:
+    """key -> (query ids, k, matrix [q, d] float64, scaled for cosine)."""
     blocks = {}
-    for topic, grp in pdf.groupby("topic", sort=False):
+    for topic, grp in pdf.groupby(key, sort=False):
         mat = np.stack([np.asarray(v, dtype=np.float64) for v in grp["q_embedding"]])
         if metric == "cosine":
             norms = np.sqrt((mat * mat).sum(axis=1))
@@ -57,16 +57,17 @@ def _top_candidates(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def block_top_k(chunks: DataFrame, requests_pdf: pd.DataFrame, *, metric: str = "cosine",
-                payload: tuple = ()) -> DataFrame:
+                payload: tuple = (), key: str = "topic") -> DataFrame:
     """Candidates ``(query_id, k, chunk_id, score, *payload)`` holding at least
     the true top-k of every query (plus near-ties).
 
-    ``chunks`` needs ``chunk_id, topic, embedding`` and the payload columns.
-    ``requests_pdf`` (already size-checked) has ``query_id, topic, k,
-    q_embedding``.
+    ``chunks`` needs ``chunk_id, <key>, embedding`` and the payload columns.
+    ``requests_pdf`` (already size-checked) has ``query_id, <key>, k,
+    q_embedding``.  ``key`` is the topic, or a finer key (topic and cell,
+    topic and hash bucket) for the approximate searches.
     """
     spark = chunks.sparkSession
-    blocks = _request_blocks(requests_pdf, metric) if len(requests_pdf) else {}
+    blocks = _request_blocks(requests_pdf, metric, key) if len(requests_pdf) else {}
     k_max = int(requests_pdf["k"].max()) if len(requests_pdf) else 1
     bc = spark.sparkContext.broadcast(blocks)
     topics = list(blocks)
@@ -74,10 +75,10 @@ def block_top_k(chunks: DataFrame, requests_pdf: pd.DataFrame, *, metric: str =
     fields = {f.name: f for f in chunks.schema.fields}
     out_schema = T.StructType(
         [T.StructField("query_id", T.LongType()), T.StructField("k", T.IntegerType()),
-         T.StructField("chunk_id", T.StringType()), T.StructField("topic", T.StringType()),
+         T.StructField("chunk_id", T.StringType()), T.StructField(key, fields[key].dataType),
          T.StructField("score", T.DoubleType())]
-        + [T.StructField(c, fields[c].dataType) for c in payload if c not in ("chunk_id", "topic")])
-    extra = [c for c in payload if c not in ("chunk_id", "topic")]
+        + [T.StructField(c, fields[c].dataType) for c in payload if c not in ("chunk_id", key)])
+    extra = [c for c in payload if c not in ("chunk_id", key)]
     cosine = metric == "cosine"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,7 +87,7 @@ def block_top_k(chunks: DataFrame, requests_pdf: pd.DataFrame, *, metric: str =
             if pdf.empty:
                 continue
             out = []
-            for topic, idx in pdf.groupby("topic", sort=False).indices.items():
+            for topic, idx in pdf.groupby(key, sort=False).indices.items():
                 if topic not in req:
                     continue
                 qids, ks, qmat = req[topic]
@@ -128,7 +129,7 @@ def block_top_k(chunks: DataFrame, requests_pdf: pd.DataFrame, *, metric: str =
                     "query_id": qids[cols],
                     "k": ks[cols].astype(np.int32),
                     "chunk_id": part["chunk_id"].to_numpy()[rows],
-                    "topic": topic,
+                    key: topic,
                     "score": vals,
                 }
                 for c in extra:
@@ -137,6 +138,6 @@ def block_top_k(chunks: DataFrame, requests_pdf: pd.DataFrame, *, metric: str =
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    source = chunks.filter(F.col("topic").isin(topics)) if len(topics) <= 1000 else chunks
-    cols = list(dict.fromkeys(["chunk_id", "topic", "embedding"] + extra))
+    source = chunks.filter(F.col(key).isin(topics)) if len(topics) <= 1000 else chunks
+    cols = list(dict.fromkeys(["chunk_id", key, "embedding"] + extra))
     return source.select(*cols).mapInPandas(score, out_schema)

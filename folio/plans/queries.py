@@ -1,7 +1,9 @@
 """Registered queries: each takes (spark, base_dir) and returns a DataFrame.
 
 They read the given tables (or data Spark derives from them) whole.  Column
-names match the SQL in ``plans.oracle``.
+names match the SQL in ``plans.oracle``.  Where a table lacks the case an
+operator exists for (citation markers, nested headings, quiz text), the
+input is derived from every row by a fixed rule that the SQL repeats.
 """
 
 from __future__ import annotations
@@ -9,20 +11,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ChunkOptions, EmbedOptions
-from ..operators.search import search
+from .. import config
+from ..config import INGEST_CHUNKS, ChunkOptions, EmbedOptions
+from ..functions.text import preview
+from ..operators import checks, lessons, quiz, store
+from ..operators.chunk import chunk_sections
+from ..operators.clean import clean_sections
+from ..operators.search import embed_requests, search, validate_requests
+from ..operators.sections import prune_boilerplate
+from ..sources.pages import lookup_pages, page_sections, scan_pages
 from ..sources.tables import document_requests, document_sections, read_table, spread
 from .ingest import sections_to_chunks
 
 FLAGSHIP_CHUNKS = ChunkOptions(max_tokens=256, overlap=32)
+EMBED = EmbedOptions()
+
+
+def _docs(spark, base) -> DataFrame:
+    return spread(read_table(spark, base, "documents"), "doc_id")
 
 
 def document_chunks(spark: SparkSession, base: str, chunk_options: ChunkOptions = FLAGSHIP_CHUNKS,
-                    embed_options: EmbedOptions = EmbedOptions()) -> DataFrame:
+                    embed_options: EmbedOptions = EMBED) -> DataFrame:
     """Store rows built from ``documents`` (ingest time fixed at 0 so results
     are repeatable)."""
-    docs = spread(read_table(spark, base, "documents"), "doc_id")
-    return sections_to_chunks(document_sections(docs), chunk_options, embed_options,
+    return sections_to_chunks(document_sections(_docs(spark, base)), chunk_options, embed_options,
                               ingested_at=F.lit(0))
 
 
@@ -34,15 +47,439 @@ def flatten_source(results: DataFrame) -> DataFrame:
         F.col("source.section").alias("source_section"))
 
 
+def _requests(spark, base) -> DataFrame:
+    return document_requests(read_table(spark, base, "documents"), read_table(spark, base, "labels"))
+
+
+def _results(spark, base) -> DataFrame:
+    return search(document_chunks(spark, base), _requests(spark, base))
+
+
+# ---------------------------------------------------------------------------
+# Retrieval
+# ---------------------------------------------------------------------------
 def q_retrieve(spark: SparkSession, base: str) -> DataFrame:
     """Flagship: documents -> clean -> chunk 256/32 -> hash-embed 384 ->
     curated requests -> exact batch top-k -> cited results."""
-    chunks = document_chunks(spark, base)
-    requests = document_requests(read_table(spark, base, "documents"),
-                                 read_table(spark, base, "labels"))
-    return flatten_source(search(chunks, requests))
+    return flatten_source(_results(spark, base))
+
+
+def _vectors(spark, base):
+    emb = spread(read_table(spark, base, "embeddings"), "vec_id")
+    chunks = emb.select(F.col("vec_id").cast("string").alias("chunk_id"),
+                        F.col("label").cast("string").alias("topic"), "embedding",
+                        *[F.lit("").alias(c) for c in ("text", "embedding_model", "url", "title",
+                                                       "section")],
+                        F.lit(0).cast("long").alias("tokens"))
+    queries = emb.select(F.col("vec_id").alias("query_id"),
+                         F.col("label").cast("string").alias("topic"),
+                         F.lit(4).alias("k"), F.col("embedding").alias("q_embedding"))
+    return chunks, queries
+
+
+def _vector_top_k(spark, base, metric: str) -> DataFrame:
+    from ..operators.knn import block_top_k
+    from ..operators.search import top_k
+    chunks, queries = _vectors(spark, base)
+    qpdf = queries.toPandas()
+    cands = block_top_k(chunks, qpdf, metric=metric)
+    cands = cands.withColumn("score", F.round("score", 6))
+    return top_k(cands, 4).select("query_id", F.col("rank").cast("int").alias("rank"),
+                                  "topic", "chunk_id", "score")
+
+
+def q_topk_vectors(spark, base):
+    """Every stored vector asks for its 4 nearest (cosine) within its label."""
+    return _vector_top_k(spark, base, "cosine")
+
+
+def q_topk_vectors_ip(spark, base):
+    """The same with the inner product."""
+    return _vector_top_k(spark, base, "ip")
+
+
+def q_query_embed(spark, base):
+    """Request validation + default query + query embedding (per request:
+    non-zero buckets and a position-weighted checksum)."""
+    docs = read_table(spark, base, "documents")
+    req = docs.select(
+        F.col("doc_id").alias("query_id"),
+        F.when(F.pmod("doc_id", F.lit(10)) == 0, F.lit("  ")).otherwise(F.col("source")).alias("topic"),
+        F.when(F.pmod("doc_id", F.lit(4)) == 0, F.lit(None).cast("string"))
+         .when(F.pmod("doc_id", F.lit(4)) == 1, F.lit(" \n ")).otherwise(F.col("text")).alias("query"),
+        (F.pmod("doc_id", F.lit(7)) - 1).cast("int").alias("k"))
+    valid, rejected = validate_requests(req)
+    from ..operators.search import default_query
+    emb = embed_requests(default_query(valid), EMBED)
+    ok = emb.select("query_id", "topic", "k", F.lit(None).cast("string").alias("reason"),
+                    *_vec_summary("q_embedding"))
+    bad = rejected.select("query_id", "topic", "k", "reason",
+                          *[F.lit(None).cast(t).alias(n) for n, t in
+                            (("nnz", "int"), ("vsum", "double"), ("vpos", "double"))])
+    return ok.unionByName(bad)
+
+
+def _vec_summary(col):
+    nnz = F.size(F.filter(col, lambda x: x > 0)).alias("nnz")
+    vsum = F.round(F.aggregate(col, F.lit(0.0).cast("double"),
+                               lambda a, x: a + x.cast("double")), 5).alias("vsum")
+    vpos = F.round(F.aggregate(F.transform(col, lambda x, i: x.cast("double") * i),
+                               F.lit(0.0).cast("double"), lambda a, x: a + x), 3).alias("vpos")
+    return [nnz, vsum, vpos]
+
+
+# ---------------------------------------------------------------------------
+# Cleaning, chunking, embedding
+# ---------------------------------------------------------------------------
+def marked_documents(spark, base) -> DataFrame:
+    """Documents with citation markers, space/tab/no-break-space runs, a
+    newline run and outer whitespace injected from each row."""
+    docs = _docs(spark, base)
+    marker = F.concat(F.lit(".  ["), F.pmod("doc_id", F.lit(50)).cast("string"), F.lit("]  "))
+    text = F.concat(F.lit(" \t"), F.replace("text", F.lit(". "), marker),
+                    F.lit("\n\n\n\n[Citation needed]\t  end [7]. "))
+    return docs.withColumn("text", text)
+
+
+def q_clean_chunk(spark, base):
+    """Clean (markers injected) -> short-section filter -> 256/32 chunks."""
+    secs = clean_sections(document_sections(marked_documents(spark, base)))
+    ch = chunk_sections(secs, FLAGSHIP_CHUNKS, keep=("topic",))
+    return ch.select("chunk_id", "topic", "section", "url", "a", "b", "tokens", "text")
+
+
+def q_clean_text(spark, base):
+    """Cleaning alone: cleaned length and the cleaned text of every document
+    that survives the 80-character floor."""
+    secs = clean_sections(document_sections(marked_documents(spark, base)))
+    return secs.select(F.col("page_id").alias("doc_id"), F.length("text").alias("n_chars"), "text")
+
+
+def q_hash_embed(spark, base):
+    """Ingest-size chunks (800/100) with their embeddings summarised."""
+    ch = document_chunks(spark, base, INGEST_CHUNKS)
+    return ch.select("chunk_id", "topic", "tokens", *_vec_summary("embedding"))
+
+
+def q_preview(spark, base):
+    docs = read_table(spark, base, "documents")
+    return docs.select("doc_id", preview("text", 160).alias("preview160"),
+                       preview("text", 100).alias("preview100"))
+
+
+# ---------------------------------------------------------------------------
+# Pages and sections
+# ---------------------------------------------------------------------------
+def _pages(spark, base):
+    return spread(read_table(spark, base, "pages"), "page_id")
+
+
+def q_html_text(spark, base):
+    return scan_pages(_pages(spark, base))
+
+
+def q_page_sections(spark, base):
+    return page_sections(_pages(spark, base))
+
+
+def q_page_lookup(spark, base):
+    pages = scan_pages(read_table(spark, base, "pages")).select("page_id", "title")
+    m = F.pmod("page_id", F.lit(3))
+    topic = (F.when(m == 0, F.col("title"))
+              .when(m == 1, F.concat(F.lower(F.substring("title", 1, 1)),
+                                     F.substring("title", 2, 1 << 30)))
+              .otherwise(F.concat(F.lit("zz "), F.col("title"))))
+    req = pages.select(F.col("page_id").alias("request_id"), topic.alias("topic"))
+    out = lookup_pages(req, pages)
+    return out.select("request_id", "topic", "page_id", "title", "status")
+
+
+def document_outline(docs: DataFrame):
+    """Each document as a page whose lines are sections; levels and a few
+    boilerplate titles are assigned from (doc_id, line) by a fixed rule."""
+    names = list(config.BOILERPLATE_SECTIONS)
+
+    def sec(line, i):
+        n = F.col("doc_id") + i
+        boiler = F.element_at(F.array(*[F.lit(" " + t.title() + " ") for t in names]),
+                              (F.pmod(n, F.lit(len(names))) + 1).cast("int"))
+        title = F.when(F.pmod(F.col("doc_id") * 7 + i, F.lit(5)) == 0, boiler) \
+                 .otherwise(F.concat(F.lit("line "), i.cast("string")))
+        return F.struct(i.cast("int").alias("ord"),
+                        (F.pmod(n, F.lit(3)) + 1).cast("int").alias("level"),
+                        title.alias("title"), line.alias("text"))
+
+    return F.transform(F.split(F.col("text"), "\n"), sec)
+
+
+def q_section_prune(spark, base):
+    docs = _docs(spark, base)
+    kept = docs.select("doc_id", F.inline(prune_boilerplate(document_outline(docs))))
+    return kept.select("doc_id", "ord", "level", "title", F.length("text").alias("n_chars"))
+
+
+# ---------------------------------------------------------------------------
+# Store maintenance
+# ---------------------------------------------------------------------------
+def _store(spark, base):
+    return document_chunks(spark, base, INGEST_CHUNKS)
+
+
+def _store_cols(df):
+    return df.select("chunk_id", "topic", "embedding_model", "tokens", "url", "section")
+
+
+def q_store_merge(spark, base):
+    """Upsert: chunks of English documents re-ingested under a second model
+    name replace their old rows."""
+    existing = _store(spark, base)
+    en = document_sections(_docs(spark, base).filter(F.col("lang") == "en"))
+    new = sections_to_chunks(en, INGEST_CHUNKS, EmbedOptions(model_name="model-v2"),
+                             ingested_at=F.lit(1))
+    return _store_cols(store.merge(existing, new))
+
+
+def q_store_replace(spark, base):
+    """Replace: topics re-ingested from Spanish documents only (256/32)."""
+    existing = _store(spark, base)
+    es = document_sections(_docs(spark, base).filter(F.col("lang") == "es"))
+    new = sections_to_chunks(es, FLAGSHIP_CHUNKS, EMBED, ingested_at=F.lit(1))
+    return _store_cols(store.replace_topics(existing, new))
+
+
+def q_store_delete(spark, base):
+    """Delete by ids: every chunk cut from a document labelled toxic."""
+    existing = _store(spark, base)
+    toxic = read_table(spark, base, "labels").filter(F.col("toxic") == 1).select("doc_id")
+    docs = _docs(spark, base).join(toxic, "doc_id", "left_semi")
+    ids = sections_to_chunks(document_sections(docs), INGEST_CHUNKS, EMBED).select("chunk_id")
+    return _store_cols(store.delete_ids(existing, ids))
+
+
+def _toxic_topics(spark, base):
+    toxic = read_table(spark, base, "labels").filter(F.col("toxic") == 1).select("doc_id")
+    docs = read_table(spark, base, "documents").join(toxic, "doc_id", "left_semi")
+    return docs.select(F.col("source").alias("topic")).distinct()
+
+
+def q_store_purge(spark, base):
+    """Purge every topic holding a document labelled toxic."""
+    return _store_cols(store.purge_topics(_store(spark, base), _toxic_topics(spark, base)))
+
+
+def _wanted_topics(spark, base):
+    pages = scan_pages(read_table(spark, base, "pages")).select(F.col("title").alias("topic"))
+    docs = read_table(spark, base, "documents").select(F.col("source").alias("topic"))
+    return docs.unionByName(pages).distinct()
+
+
+def q_is_indexed(spark, base):
+    return store.is_indexed(_wanted_topics(spark, base), _store(spark, base))
+
+
+def q_missing_topics(spark, base):
+    return store.missing_topics(_wanted_topics(spark, base), _store(spark, base))
+
+
+def q_topic_counts(spark, base):
+    return store.topic_counts(_store(spark, base))
+
+
+def q_capacity_check(spark, base):
+    """Width/dimension violations of whole documents stored as one chunk
+    each (no token windows): long texts break the 65535-byte text column."""
+    docs = read_table(spark, base, "documents")
+    rows = docs.select(F.sha1(F.col("doc_id").cast("string")).alias("chunk_id"),
+                       F.col("source").alias("topic"), "text",
+                       F.lit(config.DEFAULT_MODEL).alias("embedding_model"),
+                       F.lit("").alias("url"), F.col("source").alias("title"),
+                       F.lit("").alias("section"),
+                       F.array_repeat(F.lit(0.0).cast("float"),
+                                      (F.lit(384) - F.pmod("doc_id", F.lit(2))).cast("int"))
+                       .alias("embedding"))
+    return store.capacity_violations(rows)
+
+
+def q_store_defaults(spark, base):
+    """Column defaults on raw rows with missing fields."""
+    docs = read_table(spark, base, "documents")
+    m = F.pmod("doc_id", F.lit(4))
+    rows = docs.select(
+        F.sha1(F.col("doc_id").cast("string")).alias("chunk_id"), F.col("source").alias("topic"),
+        F.when(m == 0, F.lit(None)).otherwise(F.col("n_chars")).alias("tokens"),
+        F.when(m == 1, F.lit(None).cast("string")).otherwise(F.lit("m")).alias("embedding_model"),
+        F.when(m == 2, F.lit(None).cast("string")).otherwise(F.col("lang")).alias("url"),
+        F.when(m == 3, F.lit(None).cast("string")).otherwise(F.col("source")).alias("title"),
+        F.when(m != 0, F.lit(None).cast("string")).otherwise(F.lit("s")).alias("section"),
+        F.when(m == 1, F.lit(None).cast("long")).otherwise(F.col("doc_id")).alias("ingested_at"))
+    return store.apply_defaults(rows, ingested_at=F.lit(-1))
+
+
+# ---------------------------------------------------------------------------
+# Ingest and checks
+# ---------------------------------------------------------------------------
+def q_ingest(spark, base):
+    """Pages -> sections -> clean -> chunk 800/100 -> embed -> store rows."""
+    secs = page_sections(_pages(spark, base))
+    rows = sections_to_chunks(secs, INGEST_CHUNKS, EMBED, ingested_at=F.lit(0))
+    return rows.select("chunk_id", "topic", "title", "section", "url", "tokens", "text",
+                       *_vec_summary("embedding"))
+
+
+def q_health_check(spark, base):
+    return checks.health_check(_requests(spark, base), _results(spark, base))
+
+
+def q_ingest_report(spark, base):
+    """Per wanted topic: action, stored chunks after ingest, and the top-3
+    preview (query = topic) with 160-character previews."""
+    existing = _store(spark, base)
+    wanted = _wanted_topics(spark, base)
+    flagged = _toxic_topics(spark, base).withColumn("force", F.lit(True))
+    req = wanted.join(flagged, "topic", "left").withColumn(
+        "force", F.coalesce(F.col("force"), F.lit(False)))
+    actions = checks.ingest_actions(req, store.is_indexed(wanted, existing))
+    counts = store.topic_counts(existing)
+    top = search(existing, wanted.select(
+        F.xxhash64("topic").alias("query_id"), "topic", F.col("topic").alias("query"),
+        F.lit(3).alias("k")))
+    previews = top.select("topic", "rank", "score", "tokens",
+                          F.col("source.url").alias("url"), preview("text", 160).alias("preview"))
+    return (actions.join(counts.select("topic", "n_chunks"), "topic", "left")
+                   .join(previews, "topic", "left")
+                   .select("topic", "force", "indexed", "action",
+                           F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
+                           "rank", "score", "tokens", "url", "preview"))
+
+
+# ---------------------------------------------------------------------------
+# Lessons and quizzes
+# ---------------------------------------------------------------------------
+def q_lesson_context(spark, base):
+    return lessons.assemble_context(_results(spark, base))
+
+
+def q_lesson_prompt(spark, base):
+    return lessons.lesson_prompts(lessons.assemble_context(_results(spark, base)))
+
+
+def _turn_pairs(spark, base):
+    conv = read_table(spark, base, "conversations")
+    users = conv.filter(F.col("role") == "user").select(
+        "conv_id", "turn", F.col("text").alias("prompt_text"))
+    answers = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response_text"))
+    return users, answers
+
+
+def q_exchange(spark, base):
+    """User turns as prompts, the following assistant turns as responses."""
+    users, answers = _turn_pairs(spark, base)
+    pid = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    prompts = users.select(pid.alias("prompt_id"), F.col("conv_id").cast("string").alias("topic"),
+                           F.lit("lesson").alias("kind"), F.col("prompt_text").alias("text"))
+    responses = answers.select(pid.alias("prompt_id"), F.col("response_text").alias("text"))
+    return lessons.exchange(prompts, responses).select(
+        "prompt_id", "topic", "kind", F.length("text").alias("prompt_chars"), "response")
+
+
+def q_quiz_prompt(spark, base):
+    """Quiz prompts from lessons (assistant answers)."""
+    _, answers = _turn_pairs(spark, base)
+    pid = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    les = answers.select(pid.alias("prompt_id"), F.col("conv_id").cast("string").alias("topic"),
+                         F.col("response_text").alias("lesson"))
+    return lessons.quiz_prompts(les)
+
+
+def quiz_text(docs: DataFrame):
+    """A generated-quiz text per document: every line becomes a question;
+    lines with at least four words get four options (answer: the second),
+    every fourth line is open-ended."""
+    def block(line, i):
+        words = F.split(py_space(line), " ")
+        w = [F.coalesce(F.try_element_at(words, F.lit(j)), F.lit("")) for j in (1, 2, 3, 4)]
+        mc = (F.pmod(i, F.lit(4)) != 3) & (F.size(words) >= 4)
+        opts = F.concat(F.lit("OPTIONS: A) "), w[0], F.lit(" B) "), w[1], F.lit(" C) "), w[2],
+                        F.lit(" D) "), w[3], F.lit("\n"))
+        return F.concat(F.lit("QUESTION: "), line, F.lit("?\n"),
+                        F.when(mc, opts).otherwise(F.lit("")),
+                        F.lit("ANSWER: "), F.when(mc, F.concat(F.lit("B) "), w[1]))
+                        .otherwise(F.element_at(words, -1)), F.lit(" |||"))
+    return F.array_join(F.transform(F.split(F.col("text"), "\n"), block), "\n")
+
+
+def py_space(col):
+    from ..functions.text import collapse_whitespace
+    return collapse_whitespace(col)
+
+
+def q_quiz_parse(spark, base):
+    docs = _docs(spark, base)
+    src = docs.select(F.col("doc_id"), quiz_text(docs).alias("text"))
+    qs = quiz.quiz_questions(src, key="doc_id")
+    opts = F.array_join(F.transform(F.map_entries("options"),
+                                    lambda e: F.concat(e["key"], F.lit(")"), e["value"])), "|")
+    return qs.select("doc_id", "pos", "type", "question", opts.alias("options"),
+                     F.size("options").alias("n_options"), "correct_answer")
+
+
+def q_quiz_collect(spark, base):
+    docs = _docs(spark, base)
+    src = docs.select("doc_id", "source", quiz.parse_quiz(quiz_text(docs)).alias("quiz"))
+    chk = quiz.quiz_check(F.col("quiz"))
+    return src.select("doc_id", "source", F.size("quiz").alias("n_questions"),
+                      chk["n_multiple_choice"].alias("n_multiple_choice"),
+                      chk["n_open_ended"].alias("n_open_ended"), chk["ok"].alias("ok"))
+
+
+def q_lessons(spark, base):
+    """Lesson rows from documents (lesson = text, quiz parsed from its quiz
+    text, created_at from the id), validated, previewed, numbered newest
+    first."""
+    docs = _docs(spark, base)
+    rows = docs.select(
+        "doc_id", F.when(F.pmod("doc_id", F.lit(9)) == 0, F.lit("")).otherwise(F.col("source"))
+        .alias("topic"), F.col("text").alias("lesson"),
+        F.struct(quiz.parse_quiz(quiz_text(docs)).alias("quiz")).alias("quiz"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60).alias("created_at"))
+    valid, _ = lessons.validate_lessons(rows)
+    listed = lessons.global_rank(valid, F.col("created_at").desc(), F.col("doc_id"), name="n")
+    return listed.select("n", "doc_id", "topic", "created_at",
+                         lessons.lesson_preview("lesson").alias("preview"),
+                         F.size("quiz.quiz").alias("n_questions"))
 
 
 QUERIES = {
     "retrieve": q_retrieve,
+    "topk_vectors": q_topk_vectors,
+    "topk_vectors_ip": q_topk_vectors_ip,
+    "query_embed": q_query_embed,
+    "clean_text": q_clean_text,
+    "clean_chunk": q_clean_chunk,
+    "hash_embed": q_hash_embed,
+    "preview": q_preview,
+    "html_text": q_html_text,
+    "page_sections": q_page_sections,
+    "page_lookup": q_page_lookup,
+    "section_prune": q_section_prune,
+    "store_merge": q_store_merge,
+    "store_replace": q_store_replace,
+    "store_delete": q_store_delete,
+    "store_purge": q_store_purge,
+    "is_indexed": q_is_indexed,
+    "missing_topics": q_missing_topics,
+    "topic_counts": q_topic_counts,
+    "capacity_check": q_capacity_check,
+    "store_defaults": q_store_defaults,
+    "ingest": q_ingest,
+    "health_check": q_health_check,
+    "ingest_report": q_ingest_report,
+    "lesson_context": q_lesson_context,
+    "lesson_prompt": q_lesson_prompt,
+    "exchange": q_exchange,
+    "quiz_prompt": q_quiz_prompt,
+    "quiz_parse": q_quiz_parse,
+    "quiz_collect": q_quiz_collect,
+    "lessons": q_lessons,
 }
