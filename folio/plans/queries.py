@@ -421,7 +421,8 @@ def q_quiz_parse(spark, base):
     opts = F.array_join(F.transform(F.map_entries("options"),
                                     lambda e: F.concat(e["key"], F.lit(")"), e["value"])), "|")
     return qs.select("doc_id", "pos", "type", "question", opts.alias("options"),
-                     F.size("options").alias("n_options"), "correct_answer")
+                     F.when(F.col("options").isNotNull(), F.size("options")).alias("n_options"),
+                     "correct_answer")
 
 
 def q_quiz_collect(spark, base):
@@ -445,7 +446,7 @@ def q_lessons(spark, base):
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60).alias("created_at"))
     valid, _ = lessons.validate_lessons(rows)
     listed = lessons.global_rank(valid, F.col("created_at").desc(), F.col("doc_id"), name="n")
-    return listed.select("n", "doc_id", "topic", "created_at",
+    return listed.select("n", "doc_id", "topic",
                          lessons.lesson_preview("lesson").alias("preview"),
                          F.size("quiz.quiz").alias("n_questions"))
 
