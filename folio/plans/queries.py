@@ -484,3 +484,60 @@ QUERIES = {
     "quiz_collect": q_quiz_collect,
     "lessons": q_lessons,
 }
+
+
+# ---------------------------------------------------------------------------
+# Approximate search (no SQL oracle: candidates come from a trained model or
+# random projections; quality is reported as recall against exact search)
+# ---------------------------------------------------------------------------
+def _exact_vectors(spark, base):
+    return q_topk_vectors(spark, base)
+
+
+def q_ann_ivf(spark, base):
+    """Inverted-file top-4 over the stored vectors (16 cells, 4 probed)."""
+    from ..operators.ann import ivf_top_k
+    chunks, queries = _vectors(spark, base)
+    return ivf_top_k(chunks.select("chunk_id", "topic", "embedding"), queries, nlist=16, nprobe=4)
+
+
+def q_ann_lsh(spark, base):
+    """Random-projection LSH top-4 over the stored vectors."""
+    from ..operators.ann import lsh_top_k
+    chunks, queries = _vectors(spark, base)
+    return lsh_top_k(chunks.select("chunk_id", "topic", "embedding"), queries)
+
+
+def q_ann_recall(spark, base):
+    """Mean recall@4 of both approximate searches against exact search."""
+    from ..operators.ann import recall_at_k
+    exact = _exact_vectors(spark, base)
+    rows = []
+    for name, fn in (("ivf", q_ann_ivf), ("lsh", q_ann_lsh)):
+        r = recall_at_k(fn(spark, base), exact)
+        rows.append(r.agg(F.avg("recall").alias("recall"), F.count(F.lit(1)).alias("queries"))
+                     .withColumn("method", F.lit(name)))
+    return rows[0].unionByName(rows[1]).select("method", "queries", "recall")
+
+
+QUERIES.update({
+    "ann_ivf": q_ann_ivf,
+    "ann_lsh": q_ann_lsh,
+    "ann_recall": q_ann_recall,
+})
+
+
+# ---------------------------------------------------------------------------
+# Streaming
+# ---------------------------------------------------------------------------
+def q_stream_ingest(spark, base):
+    """Documents ingested by the incremental stream (800/100), read back from
+    the stream's parquet sink; equal to the batch ``hash_embed`` rows."""
+    from ..streaming.ingest import run_ingest
+    pattern = f"{base.rstrip('/')}/documents*.parquet"
+    sink = run_ingest(spark, pattern)
+    ch = spark.read.parquet(sink)
+    return ch.select("chunk_id", "topic", "tokens", *_vec_summary("embedding"))
+
+
+QUERIES["stream_ingest"] = q_stream_ingest
