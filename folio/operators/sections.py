@@ -60,7 +60,9 @@ def prune_flat(sections: DataFrame, page_col: str = "page_id", max_level: int =
         last_boiler = F.max(F.when(F.col("_boiler") & (F.col("level") == lvl), F.col("ord"))).over(w)
         covered = covered | ((F.col("level") > lvl) & last_boiler.isNotNull()
                              & (last_boiler == last_any))
-    return staged.filter(~(F.col("_boiler") | covered)).drop("_boiler")
+    return (staged.withColumn("_covered", covered)
+                  .filter(~(F.col("_boiler") | F.col("_covered")))
+                  .drop("_boiler", "_covered"))
 
 
 def lead_first(lead: DataFrame, sections: DataFrame) -> DataFrame:
