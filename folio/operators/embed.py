@@ -45,6 +45,8 @@ def _bucket_counts(buckets, dim: int, normalize: bool):
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    if isinstance(buckets, pa.ChunkedArray):
+        buckets = buckets.combine_chunks()
     n = len(buckets)
     lengths = pc.list_value_length(buckets).fill_null(0).to_numpy(zero_copy_only=False)
     flat = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)

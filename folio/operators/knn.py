@@ -31,16 +31,22 @@ _TIE_SLACK = 2e-6
 _SUB_BLOCK = 2048
 
 
+def collect_bounded(df: DataFrame, max_rows: int) -> pd.DataFrame | None:
+    """The rows of a request-side frame when there are at most ``max_rows``
+    of them (one pass, at most ``max_rows + 1`` rows move), else ``None``."""
+    pdf = df.limit(max_rows + 1).toPandas()
+    return pdf if len(pdf) <= max_rows else None
+
+
 def _request_blocks(pdf: pd.DataFrame, metric: str, key: str = "topic") -> dict:
     """key -> (query ids, k, matrix [q, d] float64, scaled for cosine)."""
     blocks = {}
     for topic, grp in pdf.groupby(key, sort=False):
         mat = np.stack([np.asarray(v, dtype=np.float64) for v in grp["q_embedding"]])
-        if metric == "cosine":
-            norms = np.sqrt((mat * mat).sum(axis=1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                mat = mat / norms[:, None]
-        blocks[topic] = (grp["query_id"].to_numpy(np.int64), grp["k"].to_numpy(np.int64), mat)
+        # raw float32 values travel (half the bytes of float64); normalising
+        # happens in float64 inside each task, once per topic block
+        blocks[topic] = (grp["query_id"].to_numpy(np.int64), grp["k"].to_numpy(np.int64),
+                         mat.astype(np.float32))
     return blocks
 
 
@@ -56,6 +62,71 @@ def _top_candidates(scores: np.ndarray, k: int) -> np.ndarray:
     return filled >= (kth - _TIE_SLACK)[None, :]
 
 
+def _unit_rows(mat: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((mat * mat).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return mat / norms[:, None]
+
+
+def _best(emb: np.ndarray, qmat: np.ndarray, k_max: int):
+    """Scores of every chunk row against every query column, reduced to the
+    k best rows per query (plus near-ties), in sub-blocks of rows so memory
+    stays at ``_SUB_BLOCK x queries``.  Returns (rows, cols, scores)."""
+    best_rows, best_cols, best_scores = [], [], []
+    for start in range(0, len(emb), _SUB_BLOCK):
+        sub = emb[start:start + _SUB_BLOCK] @ qmat.T
+        r, c = np.nonzero(_top_candidates(sub, k_max))
+        best_rows.append(r + start)
+        best_cols.append(c)
+        best_scores.append(sub[r, c])
+    rows = np.concatenate(best_rows)
+    cols = np.concatenate(best_cols)
+    vals = np.concatenate(best_scores)
+    if len(emb) > _SUB_BLOCK and len(rows):
+        keep = np.zeros(len(rows), dtype=bool)
+        order = np.lexsort((-vals, cols))
+        cols_sorted, vals_sorted = cols[order], vals[order]
+        ids = np.arange(qmat.shape[0])
+        starts = np.searchsorted(cols_sorted, ids)
+        ends = np.searchsorted(cols_sorted, ids, side="right")
+        for j in ids:
+            s, e = starts[j], ends[j]
+            if e - s <= k_max:
+                keep[order[s:e]] = True
+                continue
+            kth = vals_sorted[s + k_max - 1]
+            keep[order[s:e][vals_sorted[s:e] >= kth - _TIE_SLACK]] = True
+        rows, cols, vals = rows[keep], cols[keep], vals[keep]
+    return rows, cols, vals
+
+
+def _score_frame(part: pd.DataFrame, topic, qids, ks, qmat, k_max: int, cosine: bool,
+                 key: str, extra) -> pd.DataFrame:
+    emb = np.stack([np.asarray(v, dtype=np.float64) for v in part["embedding"]])
+    if cosine:
+        emb = _unit_rows(emb)
+    q64 = qmat.astype(np.float64, copy=False)
+    if cosine:
+        q64 = _unit_rows(q64)
+    rows, cols, vals = _best(emb, q64, k_max)
+    frame = {
+        "query_id": qids[cols],
+        "k": ks[cols].astype(np.int32),
+        "chunk_id": part["chunk_id"].to_numpy()[rows],
+        key: topic,
+        "score": vals,
+    }
+    for c in extra:
+        frame[c] = part[c].to_numpy()[rows]
+    return pd.DataFrame(frame)
+
+
+def _empty_frame(schema: T.StructType) -> pd.DataFrame:
+    dtypes = {T.LongType: "int64", T.IntegerType: "int32", T.DoubleType: "float64"}
+    return pd.DataFrame({f.name: pd.Series([], dtype=dtypes.get(type(f.dataType), "object"))
+                         for f in schema.fields})
+
+
 def block_top_k(chunks: DataFrame, requests_pdf: pd.DataFrame, *, metric: str = "cosine",
                 payload: tuple = (), key: str = "topic") -> DataFrame:
     """Candidates ``(query_id, k, chunk_id, score, *payload)`` holding at least
@@ -92,52 +163,61 @@ def block_top_k(chunks: DataFrame, requests_pdf: pd.DataFrame, *, metric: str =
                     continue
                 qids, ks, qmat = req[topic]
                 part = pdf.iloc[idx]
-                emb = np.stack([np.asarray(v, dtype=np.float64) for v in part["embedding"]])
-                if cosine:
-                    norms = np.sqrt((emb * emb).sum(axis=1))
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        emb = emb / norms[:, None]
-                best_rows, best_cols, best_scores = [], [], []
-                for start in range(0, len(emb), _SUB_BLOCK):
-                    sub = emb[start:start + _SUB_BLOCK] @ qmat.T
-                    mask = _top_candidates(sub, k_max)
-                    r, c = np.nonzero(mask)
-                    best_rows.append(r + start)
-                    best_cols.append(c)
-                    best_scores.append(sub[r, c])
-                rows = np.concatenate(best_rows)
-                cols = np.concatenate(best_cols)
-                vals = np.concatenate(best_scores)
-                if len(emb) > _SUB_BLOCK:
-                    # merge sub-block candidates: keep the k best per query
-                    keep = np.zeros(len(rows), dtype=bool)
-                    order = np.lexsort((-vals, cols))
-                    cols_sorted = cols[order]
-                    vals_sorted = vals[order]
-                    starts = np.searchsorted(cols_sorted, np.arange(len(qids)))
-                    ends = np.searchsorted(cols_sorted, np.arange(len(qids)), side="right")
-                    for j in range(len(qids)):
-                        s, e = starts[j], ends[j]
-                        if e - s <= k_max:
-                            keep[order[s:e]] = True
-                            continue
-                        kth = vals_sorted[s + k_max - 1]
-                        sel = order[s:e][vals_sorted[s:e] >= kth - _TIE_SLACK]
-                        keep[sel] = True
-                    rows, cols, vals = rows[keep], cols[keep], vals[keep]
-                frame = {
-                    "query_id": qids[cols],
-                    "k": ks[cols].astype(np.int32),
-                    "chunk_id": part["chunk_id"].to_numpy()[rows],
-                    key: topic,
-                    "score": vals,
-                }
-                for c in extra:
-                    frame[c] = part[c].to_numpy()[rows]
-                out.append(pd.DataFrame(frame))
+                out.append(_score_frame(part, topic, qids, ks, qmat, k_max, cosine, key, extra))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
     source = chunks.filter(F.col(key).isin(topics)) if len(topics) <= 1000 else chunks
     cols = list(dict.fromkeys(["chunk_id", key, "embedding"] + extra))
     return source.select(*cols).mapInPandas(score, out_schema)
+
+
+def tiled_top_k(chunks: DataFrame, requests: DataFrame, *, metric: str = "cosine",
+                payload: tuple = (), key: str = "topic", tile_chunks: int = 20_000,
+                tile_queries: int = 2_000, k_bound: int = 16,
+                max_broadcast_topics: int = 1_000_000) -> DataFrame:
+    """Exact top-k candidates when the request side is too large to
+    broadcast: a block-partitioned product.
+
+    Per topic, chunks are cut into ``S = ceil(chunks / tile_chunks)`` tiles
+    and requests into ``R = ceil(requests / tile_queries)`` tiles by id hash;
+    every chunk tile meets every request tile of its topic in one
+    ``cogroup`` group, so each group holds at most about ``tile_chunks``
+    chunks and ``tile_queries`` requests however large the topic is.  The
+    copies made are chunks x R + requests x S.  Nothing passes through the
+    driver; the per-topic tile table is broadcast only under a checked size.
+    """
+    c_counts = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("_nc"))
+    q_counts = requests.groupBy(key).agg(F.count(F.lit(1)).alias("_nq"))
+    tiles = (c_counts.join(q_counts, key)
+             .select(key, F.ceil(F.col("_nc") / tile_chunks).cast("int").alias("_S"),
+                     F.ceil(F.col("_nq") / tile_queries).cast("int").alias("_R")))
+    if tiles.limit(max_broadcast_topics + 1).count() <= max_broadcast_topics:
+        tiles = F.broadcast(tiles)
+    extra = [c for c in payload if c not in ("chunk_id", key)]
+    c = (chunks.select("chunk_id", key, "embedding", *extra).join(tiles, key)
+               .withColumn("_ct", F.pmod(F.xxhash64("chunk_id"), F.col("_S")).cast("int"))
+               .withColumn("_qt", F.explode(F.sequence(F.lit(0), F.col("_R") - 1)))
+               .drop("_S", "_R"))
+    q = (requests.select("query_id", key, "k", "q_embedding").join(tiles, key)
+                 .withColumn("_qt", F.pmod(F.xxhash64("query_id"), F.col("_R")).cast("int"))
+                 .withColumn("_ct", F.explode(F.sequence(F.lit(0), F.col("_S") - 1)))
+                 .drop("_S", "_R"))
+    fields = {f.name: f for f in chunks.schema.fields}
+    out_schema = T.StructType(
+        [T.StructField("query_id", T.LongType()), T.StructField("k", T.IntegerType()),
+         T.StructField("chunk_id", T.StringType()), T.StructField(key, fields[key].dataType),
+         T.StructField("score", T.DoubleType())]
+        + [T.StructField(x, fields[x].dataType) for x in extra])
+    cosine = metric == "cosine"
+    k_max = int(k_bound)
+
+    def score(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
+        if cpdf.empty or qpdf.empty:
+            return _empty_frame(out_schema)
+        qmat = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf["q_embedding"]])
+        return _score_frame(cpdf, cpdf[key].iloc[0], qpdf["query_id"].to_numpy(np.int64),
+                            qpdf["k"].to_numpy(np.int64), qmat, k_max, cosine, key, extra)
+
+    groups = [key, "_qt", "_ct"]
+    return c.groupBy(*groups).cogroup(q.groupBy(*groups)).applyInPandas(score, out_schema)

@@ -147,9 +147,10 @@ def search(chunks: DataFrame, requests: DataFrame, *,
 
     ``method``: ``"blocks"`` broadcasts the (size-checked) request side and
     scores chunk partitions by matrix products (``operators.knn``);
-    ``"pairs"`` joins and scores pair rows in SQL; ``"auto"`` picks blocks
-    when the request side is within ``options.broadcast_max_rows`` and pairs
-    (salted shuffle join) above it.
+    ``"tiles"`` is the fully distributed block product for request sets of
+    any size; ``"pairs"`` joins and scores pair rows in SQL (reference
+    path); ``"auto"`` picks blocks when at most
+    ``options.broadcast_max_rows`` requests exist, tiles above.
     """
     valid, _ = validate_requests(requests)
     prepared = embed_requests(default_query(valid), embed_options).select(
@@ -157,21 +158,30 @@ def search(chunks: DataFrame, requests: DataFrame, *,
     needed = chunks.select("chunk_id", "topic", "embedding", *PAYLOAD)
     if model_filter:
         needed = needed.filter(F.col("embedding_model") == embed_options.model_name)
-    rows = _request_rows(valid)
-    use_blocks = method == "blocks" or (method == "auto" and rows <= options.broadcast_max_rows)
-    if use_blocks:
-        from .knn import block_top_k
-        if rows > options.broadcast_max_rows:
-            raise ValueError(f"{rows} requests exceed broadcast_max_rows="
-                             f"{options.broadcast_max_rows}; use method='pairs'")
-        req_pdf = prepared.toPandas()
+    if method == "pairs":
+        rows = _request_rows(valid)
+        k_bound = _max_k(valid, options)
+        scored = score_pairs(needed, prepared, metric=metric, options=options, request_rows=rows)
+        return shape_results(top_k(scored, k_bound))
+    from .knn import block_top_k, tiled_top_k
+    # one bounded pass: at most broadcast_max_rows + 1 request rows reach the
+    # driver; more than that switches to the tiled (fully distributed) path
+    req_pdf = None
+    if method in ("auto", "blocks"):
+        req_pdf = prepared.limit(options.broadcast_max_rows + 1).toPandas()
+        if len(req_pdf) > options.broadcast_max_rows:
+            if method == "blocks":
+                raise ValueError("request side exceeds broadcast_max_rows; use method='tiles'")
+            req_pdf = None
+    if req_pdf is not None:
         k_bound = int(req_pdf["k"].max()) if len(req_pdf) else 1
         cands = block_top_k(needed, req_pdf, metric=metric, payload=PAYLOAD)
-        cands = cands.withColumn("score", F.round("score", options.score_decimals))
-        return shape_results(top_k(cands, k_bound))
-    k_bound = _max_k(valid, options)
-    scored = score_pairs(needed, prepared, metric=metric, options=options, request_rows=rows)
-    return shape_results(top_k(scored, k_bound))
+    else:
+        k_bound = _max_k(valid, options)
+        cands = tiled_top_k(needed, prepared, metric=metric, payload=PAYLOAD, k_bound=k_bound,
+                            tile_chunks=options.tile_chunks, tile_queries=options.tile_queries)
+    cands = cands.withColumn("score", F.round("score", options.score_decimals))
+    return shape_results(top_k(cands, k_bound))
 
 
 def get_chunks(spark, chunks: DataFrame, topic: str, query: str | None = None, k: int = 6,

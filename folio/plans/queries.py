@@ -78,11 +78,15 @@ def _vectors(spark, base):
 
 
 def _vector_top_k(spark, base, metric: str) -> DataFrame:
-    from ..operators.knn import block_top_k
+    from ..config import SearchOptions
+    from ..operators.knn import block_top_k, collect_bounded, tiled_top_k
     from ..operators.search import top_k
     chunks, queries = _vectors(spark, base)
-    qpdf = queries.toPandas()
-    cands = block_top_k(chunks, qpdf, metric=metric)
+    qpdf = collect_bounded(queries, SearchOptions().broadcast_max_rows)
+    if qpdf is not None:
+        cands = block_top_k(chunks, qpdf, metric=metric)
+    else:
+        cands = tiled_top_k(chunks, queries, metric=metric, k_bound=4)
     cands = cands.withColumn("score", F.round("score", 6))
     return top_k(cands, 4).select("query_id", F.col("rank").cast("int").alias("rank"),
                                   "topic", "chunk_id", "score")

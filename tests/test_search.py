@@ -35,13 +35,17 @@ def _brute(chunks_pdf, q_vec, topic, k):
     return [c for _, c in out[:k]]
 
 
-@pytest.mark.parametrize("method", ["blocks", "pairs"])
+@pytest.mark.parametrize("method", ["blocks", "pairs", "tiles", "auto_small"])
 def test_exact_top_k_equals_brute_force(spark, method):
     chunks = _chunks(spark)
     req = spark.createDataFrame(
         [(1, "A", "alpha gamma", 3), (2, "A", "beta", 2), (3, "B", "mu", 5), (4, " B ", None, 1),
          (5, "C", "nothing here", 3)], REQUESTS)
-    res = search(chunks, req, embed_options=OPTS, method=method).collect()
+    # tiny tiles: topic A (6 chunks, 2 requests) becomes 3 x 2 groups
+    opts = SearchOptions(tile_chunks=2, tile_queries=1, broadcast_max_rows=2) \
+        if method in ("tiles", "auto_small") else SearchOptions()
+    m = "auto" if method == "auto_small" else method
+    res = search(chunks, req, embed_options=OPTS, method=m, options=opts).collect()
     cpdf = chunks.toPandas()
     qv = {r.query_id: r.q for r in default_query(validate_requests(req)[0])
           .select("query_id", hash_embed("query", OPTS).alias("q")).collect()}
