@@ -33,12 +33,9 @@ def split_blocks(text) -> Column:
     return F.filter(blocks, lambda b: b.startswith("QUESTION:"))
 
 
-def option_map(options) -> Column:
-    """``A) x B) y`` -> map letter -> text (stripped); a repeated letter keeps
-    its first position and its last text, like a dict update."""
-    o = _c(options)
-    letters = F.regexp_extract_all(o, F.lit(OPTION_RE), 1)
-    texts = F.regexp_extract_all(o, F.lit(OPTION_RE), 2)
+def _option_map(letters, texts) -> Column:
+    """Letters and texts (in match order) -> map; a repeated letter keeps its
+    first position and its last text, like a dict update."""
     pairs = F.arrays_zip(letters.alias("l"), texts.alias("t"))
     keys = F.array_distinct(letters)
     values = F.transform(keys, lambda k: py_strip(
@@ -46,30 +43,61 @@ def option_map(options) -> Column:
     return F.map_from_arrays(keys, values)
 
 
-def parse_block(block) -> Column:
-    """One block -> question struct, or null when the block is dropped."""
-    b = _c(block)
-    question = py_strip(F.regexp_extract(b, QUESTION_RE, 1))
-    options_text = py_strip(F.regexp_extract(b, OPTIONS_RE, 1))
-    answer = py_strip(F.regexp_extract(b, ANSWER_RE, 1))
-    has_answer = b.contains("ANSWER:")
-    is_mc = b.contains("OPTIONS:")
-    opts = option_map(options_text)
-    mc = F.struct(F.lit("multiple_choice").alias("type"), question.alias("question"),
-                  opts.alias("options"), answer.alias("correct_answer"))
-    oe = F.struct(F.lit("open_ended").alias("type"), question.alias("question"),
+def option_map(options) -> Column:
+    """``A) x B) y`` -> map letter -> text (stripped)."""
+    o = _c(options)
+    return _option_map(F.regexp_extract_all(o, F.lit(OPTION_RE), 1),
+                       F.regexp_extract_all(o, F.lit(OPTION_RE), 2))
+
+
+def _fields(b) -> Column:
+    return F.struct(
+        py_strip(F.regexp_extract(b, QUESTION_RE, 1)).alias("question"),
+        py_strip(F.regexp_extract(b, OPTIONS_RE, 1)).alias("opts"),
+        py_strip(F.regexp_extract(b, ANSWER_RE, 1)).alias("answer"),
+        b.contains("ANSWER:").alias("has_answer"),
+        b.contains("OPTIONS:").alias("is_mc"))
+
+
+def _typed(s) -> Column:
+    """Extracted fields -> question struct, or null when dropped."""
+    mc = F.struct(F.lit("multiple_choice").alias("type"), s["question"].alias("question"),
+                  s["options"].alias("options"), s["answer"].alias("correct_answer"))
+    oe = F.struct(F.lit("open_ended").alias("type"), s["question"].alias("question"),
                   F.lit(None).cast("map<string,string>").alias("options"),
-                  answer.alias("correct_answer"))
-    mc_ok = has_answer & (question != "") & (F.size(opts) > 0) & (answer != "")
-    return (F.when(is_mc & mc_ok, mc)
-             .when(~is_mc & has_answer, oe)
+                  s["answer"].alias("correct_answer"))
+    mc_ok = s["has_answer"] & (s["question"] != "") & (F.size(s["options"]) > 0) & (s["answer"] != "")
+    return (F.when(s["is_mc"] & mc_ok, mc)
+             .when(~s["is_mc"] & s["has_answer"], oe)
              .otherwise(F.lit(None).cast(QUESTION_TYPE)))
 
 
+def parse_block(block) -> Column:
+    """One block -> question struct, or null when the block is dropped."""
+    f = _fields(_c(block))
+    return _typed(F.struct(f["question"].alias("question"), option_map(f["opts"]).alias("options"),
+                           f["answer"].alias("answer"), f["has_answer"].alias("has_answer"),
+                           f["is_mc"].alias("is_mc")))
+
+
 def parse_quiz(text) -> Column:
-    """Quiz text -> ``array<question struct>`` in order (``{"quiz": [...]}``)."""
-    parsed = F.transform(split_blocks(text), parse_block)
-    return F.filter(parsed, lambda q: q.isNotNull())
+    """Quiz text -> ``array<question struct>`` in order (``{"quiz": [...]}``).
+
+    Staged ``transform``s: lambdas get no common-subexpression elimination,
+    so each stage stores its results in a struct field and later stages only
+    read fields; every regular expression runs once per block.
+    """
+    fields = F.transform(split_blocks(text), _fields)
+    matched = F.transform(fields, lambda s: F.struct(
+        s["question"].alias("question"), s["answer"].alias("answer"),
+        s["has_answer"].alias("has_answer"), s["is_mc"].alias("is_mc"),
+        F.regexp_extract_all(s["opts"], F.lit(OPTION_RE), 1).alias("letters"),
+        F.regexp_extract_all(s["opts"], F.lit(OPTION_RE), 2).alias("texts")))
+    mapped = F.transform(matched, lambda s: F.struct(
+        s["question"].alias("question"), s["answer"].alias("answer"),
+        s["has_answer"].alias("has_answer"), s["is_mc"].alias("is_mc"),
+        _option_map(s["letters"], s["texts"]).alias("options")))
+    return F.filter(F.transform(mapped, _typed), lambda q: q.isNotNull())
 
 
 def quiz_questions(responses: DataFrame, key: str = "prompt_id", text_col: str = "text") -> DataFrame:

@@ -37,6 +37,7 @@ def get_session(master: str | None = None, app_name: str = "folio",
                    .config("spark.driver.host", "127.0.0.1")
                    .config("spark.driver.bindAddress", "127.0.0.1")
                    .config("spark.ui.enabled", "false")
+                   .config("spark.ui.showConsoleProgress", "false")
                    .config("spark.driver.memory", "16g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
