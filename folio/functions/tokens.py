@@ -49,3 +49,24 @@ def window_pieces(tokens, size: int, step: int) -> Column:
         lambda s: F.struct(
             s["a"].alias("a"), s["b"].alias("b"),
             F.array_join(F.slice(toks, s["a"] + 1, s["b"] - s["a"]), " ").alias("text")))
+
+
+def arrow_tokenizer(fn, lower: bool = False):
+    """Wrap a user tokenizer ``str -> list[str]`` as a Column function for
+    ``chunk_sections(tokenizer=...)``: an Arrow UDF, called once per Arrow
+    batch; the model behind ``fn`` is loaded once per Python worker."""
+    import pyarrow as pa
+
+    from pyspark.sql import types as T
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def _tok(texts: "pa.Array") -> "pa.Array":  # noqa: F821
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        out = []
+        for t in texts.to_pylist():
+            toks = fn(t or "")
+            out.append([x.lower() for x in toks] if lower else list(toks))
+        return pa.array(out, type=pa.list_(pa.string()))
+
+    return lambda col: _tok(_c(col))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.text import py_strip
 
 DEFAULT_BUCKETS = 64
 BROADCAST_MAX_ROWS = 1_000_000
@@ -93,7 +94,7 @@ def delete_ids(existing: DataFrame, ids: DataFrame, *,
 
 def purge_topics(existing: DataFrame, topics: DataFrame) -> DataFrame:
     """Remove every row of the given topics (stripped)."""
-    t = topics.select(F.trim(F.col("topic")).alias("topic")).distinct()
+    t = topics.select(py_strip(F.col("topic")).alias("topic")).distinct()
     return existing.join(_maybe_broadcast(t), on="topic", how="left_anti")
 
 
@@ -115,7 +116,7 @@ def present_topics(chunks: DataFrame, topics: DataFrame) -> DataFrame:
 
 def is_indexed(topics: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(topic, indexed)`` for every requested topic."""
-    t = topics.select(F.trim(F.col("topic")).alias("topic")).distinct()
+    t = topics.select(py_strip(F.col("topic")).alias("topic")).distinct()
     present = present_topics(chunks, t).withColumn("_hit", F.lit(True))
     return (t.join(present, "topic", "left")
              .select("topic", F.coalesce(F.col("_hit"), F.lit(False)).alias("indexed")))
@@ -123,7 +124,7 @@ def is_indexed(topics: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def missing_topics(topics: DataFrame, chunks: DataFrame) -> DataFrame:
     """Requested topics with no stored row: the ones to ingest."""
-    t = topics.select(F.trim(F.col("topic")).alias("topic")).distinct()
+    t = topics.select(py_strip(F.col("topic")).alias("topic")).distinct()
     return t.join(present_topics(chunks, t), "topic", "left_anti")
 
 
@@ -194,17 +195,25 @@ class ChunkStore:
         return f"{self.root}/v={version}"
 
     # -- read / write --
+    def _scan(self, version: int) -> DataFrame:
+        """Explicit schema: a version may hold no rows (everything purged)."""
+        from pyspark.sql import types as T
+
+        from ..schemas import CHUNKS
+        schema = T.StructType(CHUNKS.fields + [T.StructField("topic_bucket", T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.path(version))
+
     def read(self, version: int | None = None) -> DataFrame:
         version = self.current_version() if version is None else version
         if version is None:
             from ..schemas import CHUNKS
             return self.spark.createDataFrame([], CHUNKS)
-        return self.spark.read.parquet(self.path(version)).drop("topic_bucket")
+        return self._scan(version).drop("topic_bucket")
 
     def read_topic(self, topic: str, version: int | None = None) -> DataFrame:
         """One topic: bucket pruning (constant-folded) + parquet pushdown."""
         version = self.current_version() if version is None else version
-        df = self.spark.read.parquet(self.path(version))
+        df = self._scan(version)
         return (df.filter((F.col("topic_bucket") == topic_bucket(F.lit(topic), self.buckets))
                           & (F.col("topic") == topic)).drop("topic_bucket"))
 

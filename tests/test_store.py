@@ -70,3 +70,31 @@ def test_chunk_store_versions_and_topic_read(spark, tmp_dir):
     assert "PartitionFilters" in plan or "topic_bucket" in plan
     v3 = cs.purge(spark.createDataFrame([("T1",)], "topic string"))
     assert v3 == 3 and _ids(cs.read()) == [("T2", "b", "m1")]
+
+
+def test_service_ensure_reingest_purge(spark, tmp_dir):
+    from folio.config import ChunkOptions
+    from folio.plans.service import Retrieval
+    body = " ".join(f"token{i}" for i in range(400))
+    html = ('<html lang="en"><head><title>Linear algebra</title></head><body><article>'
+            f"<h1>Linear algebra</h1><p>{body}</p><h2>Vector spaces</h2><p>{body} more</p>"
+            "<h2>See also</h2><p>" + body + "</p></article></body></html>")
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    cs = store.ChunkStore(spark, tmp_dir + "/svc", buckets=4)
+    svc = Retrieval(spark, cs, pages, chunk_options=ChunkOptions(max_tokens=128, overlap=16))
+    topics = spark.createDataFrame([("linear algebra",), ("Nope",)], "topic string")
+    rejects = {r.topic: r.reason for r in svc.ensure_indexed(topics).collect()}
+    assert rejects == {"Nope": "page not found"}
+    stored = cs.read().collect()
+    assert {r.topic for r in stored} == {"linear algebra"}
+    assert {r.title for r in stored} == {"Linear algebra"}
+    assert {r.section for r in stored} == {"", "Vector spaces"}
+    n = len(stored)
+    assert svc.ensure_indexed(topics).count() == 1 and cs.current_version() == 1
+    svc.reingest(topics.limit(1), mode="replace")
+    assert cs.read().count() == n
+    hits = svc.get_chunks_one("linear algebra", "token5 token6", k=3).collect()
+    assert [h.rank for h in hits] == [1, 2, 3]
+    assert hits[0].source.url.startswith("https://en.wikipedia.org/wiki/Linear_algebra")
+    svc.purge(topics)
+    assert cs.read().count() == 0
