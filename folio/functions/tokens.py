@@ -40,15 +40,26 @@ def spans(n, size: int, step: int) -> Column:
     return F.when(n > 0, windows).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
 
 
-def window_pieces(tokens, size: int, step: int) -> Column:
+def window_pieces(tokens, size: int, step: int, per_token=None) -> Column:
     """Windows with their text, built before any explode so that each output
-    row carries only its own slice, never the whole token array."""
+    row carries only its own slice, never the whole token array.
+
+    ``per_token``: optional function token -> value (for example its hash
+    bucket); each window then also carries ``aligned``, the values of its own
+    tokens.  (Computed per window on purpose: a precomputed per-section
+    array referenced once would be inlined by the optimizer into this lambda
+    and recomputed for every window.)"""
     toks = _c(tokens)
-    return F.transform(
-        spans(F.size(toks), size, step),
-        lambda s: F.struct(
-            s["a"].alias("a"), s["b"].alias("b"),
-            F.array_join(F.slice(toks, s["a"] + 1, s["b"] - s["a"]), " ").alias("text")))
+
+    def piece(s):
+        window = F.slice(toks, s["a"] + 1, s["b"] - s["a"])
+        fields = [s["a"].alias("a"), s["b"].alias("b"),
+                  F.array_join(window, " ").alias("text")]
+        if per_token is not None:
+            fields.append(F.transform(window, per_token).alias("aligned"))
+        return F.struct(*fields)
+
+    return F.transform(spans(F.size(toks), size, step), piece)
 
 
 def arrow_tokenizer(fn, lower: bool = False):

@@ -29,23 +29,30 @@ def chunk_id(url, section, a, b):
 
 def chunk_sections(sections: DataFrame, options: ChunkOptions = ChunkOptions(), *,
                    text_col: str = "text", title_col: str = "title", url_col: str = "url",
-                   keep: tuple = (), tokenizer=None) -> DataFrame:
+                   keep: tuple = (), tokenizer=None, bucket_dim: int | None = None) -> DataFrame:
     """Chunk sections.
 
     Output columns: ``keep`` columns, ``chunk_id, text, tokens, section, url,
     a, b`` (``a``/``b`` the token span).  ``tokenizer`` may be a Column
     function text -> array<string> (for example an Arrow UDF wrapping a user
     tokenizer); the default is the built-in regex tokenizer.
+
+    ``bucket_dim``: also emit ``buckets``, the hash bucket of every token of
+    the window, so the hashing encoder does not re-tokenize chunk text.  (A
+    window's text re-tokenizes to exactly its token slice, so the vectors are
+    the same.)
     """
+    from .embed import bucket_of
     tok = tokenizer or tokenize
     staged = (sections
               .withColumn("_raw", py_strip(F.coalesce(F.col(text_col), F.lit(""))))
               # tokens are a column of their own: referenced inside the window
               # lambda, an inline expression would be re-evaluated per window
-              .withColumn("_toks", tok(F.col("_raw")))
-              .withColumn("_pieces", F.when(
-                  (F.col("_raw") != "") & (F.length("_raw") >= options.min_chars),
-                  window_pieces(F.col("_toks"), options.window, options.step))))
+              .withColumn("_toks", tok(F.col("_raw"))))
+    per_token = (lambda w: bucket_of(w, bucket_dim)) if bucket_dim else None
+    staged = staged.withColumn("_pieces", F.when(
+        (F.col("_raw") != "") & (F.length("_raw") >= options.min_chars),
+        window_pieces(F.col("_toks"), options.window, options.step, per_token)))
     # The short-text test lives inside the generator input and the generator
     # is an outer one: Catalyst then has no filter to push (or infer) below
     # it, so cleaning and tokenizing run once per section, after any spread.
@@ -63,7 +70,8 @@ def chunk_sections(sections: DataFrame, options: ChunkOptions = ChunkOptions(),
         F.col("section"),
         F.col("url"),
         F.col("a"),
-        F.col("b"))
+        F.col("b"),
+        *([F.col("aligned").alias("buckets")] if bucket_dim else []))
 
 
 def dropped_pieces(sections: DataFrame, options: ChunkOptions = ChunkOptions(), *,

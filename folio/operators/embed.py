@@ -28,15 +28,26 @@ from ..functions.tokens import tokenize
 from ..functions.vectors import EPS, l2_norm, scale
 
 
+def bucket_of(token: Column, dim: int) -> Column:
+    """Token -> bucket: the first 8 hex digits of its sha1, modulo ``dim``."""
+    return F.pmod(F.conv(F.substring(F.sha1(token), 1, 8), 16, 10).cast("bigint"),
+                  F.lit(dim)).cast("int")
+
+
 def token_buckets(text, dim: int, max_len: int | None = None, tokenizer=None) -> Column:
     """Text -> ``array<int>`` of hash buckets, one per token."""
     toks = (tokenizer or tokenize)(F.col(text) if isinstance(text, str) else text)
     if max_len:
         toks = F.slice(toks, 1, max_len)
-    return F.transform(
-        toks,
-        lambda w: F.pmod(F.conv(F.substring(F.sha1(w), 1, 8), 16, 10).cast("bigint"),
-                         F.lit(dim)).cast("int"))
+    return F.transform(toks, lambda w: bucket_of(w, dim))
+
+
+def buckets_embed(buckets, options: EmbedOptions = EmbedOptions()) -> Column:
+    """Bucket ids (already cut per chunk) -> embedding column."""
+    b = F.col(buckets) if isinstance(buckets, str) else buckets
+    if options.max_seq_length:
+        b = F.slice(b, 1, options.max_seq_length)
+    return hashed_vector(b, options.dim, options.normalize)
 
 
 def _bucket_counts(buckets, dim: int, normalize: bool):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import INGEST_CHUNKS, ChunkOptions, EmbedOptions
 from ..operators.chunk import chunk_sections
 from ..operators.clean import clean_sections
-from ..operators.embed import hash_embed
+from ..operators.embed import buckets_embed, hash_embed
 
 STORE_COLUMNS = ("chunk_id", "topic", "text", "tokens", "embedding_model", "url", "title",
                  "section", "ingested_at", "embedding")
@@ -35,9 +35,16 @@ def add_provenance(chunks: DataFrame, embed_options: EmbedOptions, ingested_at=N
 
 def sections_to_chunks(sections: DataFrame, chunk_options: ChunkOptions = INGEST_CHUNKS,
                        embed_options: EmbedOptions = EmbedOptions(), *,
-                       ingested_at=None, clean: bool = True) -> DataFrame:
+                       ingested_at=None, clean: bool = True, tokenizer=None) -> DataFrame:
     """Sections (topic, page_title, title, text, url) -> store rows."""
     cleaned = clean_sections(sections) if clean else sections
-    chunks = chunk_sections(cleaned, chunk_options, keep=("topic", "page_title"))
-    embedded = chunks.withColumn("embedding", hash_embed(F.col("text"), embed_options))
+    if tokenizer is None:
+        # buckets come with the windows: one tokenize and one hash per token
+        chunks = chunk_sections(cleaned, chunk_options, keep=("topic", "page_title"),
+                                bucket_dim=embed_options.dim)
+        embedded = chunks.withColumn("embedding", buckets_embed("buckets", embed_options))
+    else:
+        chunks = chunk_sections(cleaned, chunk_options, keep=("topic", "page_title"),
+                                tokenizer=tokenizer)
+        embedded = chunks.withColumn("embedding", hash_embed(F.col("text"), embed_options))
     return add_provenance(embedded, embed_options, ingested_at)

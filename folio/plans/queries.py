@@ -48,7 +48,7 @@ def flatten_source(results: DataFrame) -> DataFrame:
 
 
 def _requests(spark, base) -> DataFrame:
-    return document_requests(read_table(spark, base, "documents"), read_table(spark, base, "labels"))
+    return document_requests(_docs(spark, base), read_table(spark, base, "labels"))
 
 
 def _results(spark, base) -> DataFrame:

@@ -20,8 +20,6 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # quiz option maps keep the last duplicate letter, like a dict update
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 
