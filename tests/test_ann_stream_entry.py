@@ -79,3 +79,16 @@ def test_entry_and_registry(spark):
     for name in qs:
         assert not name.startswith("op")
     assert os.path.isdir(SF_SMALL)
+
+
+def test_ann_tiled_path_equals_broadcast_path(spark):
+    chunks, queries = _vectors(spark)
+    key = lambda rows: sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in rows)
+    from folio.operators.ann import train_cells
+    model = train_cells(chunks, 4, seed=1)
+    small = ivf_top_k(chunks, queries, nprobe=2, model=model).collect()
+    tiled = ivf_top_k(chunks, queries, nprobe=2, model=model, max_query_rows=3).collect()
+    assert key(small) == key(tiled) and len(small) > 0
+    l1 = lsh_top_k(chunks, queries, bucket_length=2.0, num_tables=4).collect()
+    l2 = lsh_top_k(chunks, queries, bucket_length=2.0, num_tables=4, max_query_rows=3).collect()
+    assert key(l1) == key(l2)
