@@ -41,9 +41,20 @@ def _small(df: DataFrame, max_rows: int) -> bool:
 
 
 def _maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only after a bounded row count proves the side small."""
     return F.broadcast(df) if _small(df, max_rows) else df
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a batch once to the shared checkpoint folder and read it back:
+    the size check and the join then read the same rows (no recomputation of
+    the ingest pipeline), and lineage is cut, so a lost executor does not
+    replay it."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 # ---------------------------------------------------------------------------
 # Column defaults and provenance
 # ---------------------------------------------------------------------------
@@ -71,14 +82,17 @@ def dedup_new(new: DataFrame, key=("topic", "chunk_id"), order=("url", "section"
 # Maintenance
 # ---------------------------------------------------------------------------
 def merge(existing: DataFrame, new: DataFrame, key=("topic", "chunk_id"), *,
-          max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+          max_broadcast_rows: int = BROADCAST_MAX_ROWS, materialize_new: bool = True) -> DataFrame:
     """Upsert: rows of ``existing`` whose key appears in ``new`` are replaced.
 
     ``key=('chunk_id',)`` is the id-only mode, where one id replaces rows of
     any topic; ``('topic', 'chunk_id')`` keeps topics apart.  An empty
-    ``new`` leaves ``existing`` unchanged.
+    ``new`` leaves ``existing`` unchanged.  ``new`` is materialized once
+    (``materialize``) unless ``materialize_new=False``.
     """
     key = list(key)
+    if materialize_new:
+        new = materialize(new)
     keys = _maybe_broadcast(new.select(*key), max_broadcast_rows)
     kept = existing.join(keys, on=key, how="left_anti")
     return kept.unionByName(new.select(*existing.columns))
@@ -87,8 +101,9 @@ def merge(existing: DataFrame, new: DataFrame, key=("topic", "chunk_id"), *,
 def delete_ids(existing: DataFrame, ids: DataFrame, *,
                max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Remove rows whose ``chunk_id`` is in ``ids`` (one anti join; no
-    IN-lists, no batches)."""
-    return existing.join(_maybe_broadcast(ids.select("chunk_id"), max_broadcast_rows),
+    IN-lists, no batches).  The id list is materialized once."""
+    ids = materialize(ids.select("chunk_id"))
+    return existing.join(_maybe_broadcast(ids, max_broadcast_rows),
                          on="chunk_id", how="left_anti")
 
 
