@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: a token is a run of letters/digits or one other non-space
 # character, taken from the lower-cased text.
@@ -66,12 +68,9 @@ def arrow_tokenizer(fn, lower: bool = False):
     """Wrap a user tokenizer ``str -> list[str]`` as a Column function for
     ``chunk_sections(tokenizer=...)``: an Arrow UDF, called once per Arrow
     batch; the model behind ``fn`` is loaded once per Python worker."""
-    import pyarrow as pa
-
-    from pyspark.sql import types as T
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
-    def _tok(texts: "pa.Array") -> "pa.Array":  # noqa: F821
+    def _tok(texts: pa.Array) -> pa.Array:
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         out = []
