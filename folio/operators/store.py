@@ -232,6 +232,18 @@ class ChunkStore:
         return (df.filter((F.col("topic_bucket") == topic_bucket(F.lit(topic), self.buckets))
                           & (F.col("topic") == topic)).drop("topic_bucket"))
 
+    def read_topics(self, topics: list[str], version: int | None = None) -> DataFrame:
+        """A few topics: only their bucket directories are listed and read
+        (the bucket expressions fold to constants), topics pushed into the
+        parquet scan."""
+        version = self.current_version() if version is None else version
+        if version is None:
+            return self.read(version)
+        buckets = [topic_bucket(F.lit(t), self.buckets) for t in topics]
+        df = self._scan(version)
+        return (df.filter(F.col("topic_bucket").isin(*buckets) & F.col("topic").isin(*topics))
+                  .drop("topic_bucket"))
+
     def write(self, chunks: DataFrame) -> int:
         """Write ``chunks`` as the next version and return it.
 

@@ -97,9 +97,14 @@ class Retrieval:
         return self.store.purge(self._topics(topics))
 
     # -- retrieval ----------------------------------------------------------
-    def get_chunks(self, requests: DataFrame, **kw) -> DataFrame:
+    def get_chunks(self, requests: DataFrame, *, prune_topics: int = 1000, **kw) -> DataFrame:
+        """Ensure indexed, then search.  When the batch names at most
+        ``prune_topics`` topics, only their buckets are read."""
         self.ensure_indexed(requests.select("topic"))
-        return search(self.store.read(), requests, embed_options=self.embed_options,
+        names = self._topics(requests).limit(prune_topics + 1).collect()
+        chunks = (self.store.read_topics([r.topic for r in names])
+                  if len(names) <= prune_topics else self.store.read())
+        return search(chunks, requests, embed_options=self.embed_options,
                       options=self.search_options, **kw)
 
     def get_chunks_one(self, topic: str, query: str | None = None, k: int = 6) -> DataFrame:

@@ -68,6 +68,10 @@ def test_chunk_store_versions_and_topic_read(spark, tmp_dir):
     assert _ids(t) == [("T2", "b", "m1")]
     plan = t._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan or "topic_bucket" in plan
+    both = cs.read_topics(["T1", "T2", "nope"])
+    assert _ids(both) == [("T1", "a", "m2"), ("T2", "b", "m1")]
+    scan = both._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "topic_bucket" in scan.split("PartitionFilters: [")[1]
     v3 = cs.purge(spark.createDataFrame([("T1",)], "topic string"))
     assert v3 == 3 and _ids(cs.read()) == [("T2", "b", "m1")]
 
