@@ -92,3 +92,11 @@ def test_ann_tiled_path_equals_broadcast_path(spark):
     l1 = lsh_top_k(chunks, queries, bucket_length=2.0, num_tables=4).collect()
     l2 = lsh_top_k(chunks, queries, bucket_length=2.0, num_tables=4, max_query_rows=3).collect()
     assert key(l1) == key(l2)
+
+
+def test_stream_skips_already_stored_topics(spark):
+    from folio.streaming.ingest import run_ingest
+    stored = spark.createDataFrame([("src0",), ("src1",)], "topic string")
+    sink = run_ingest(spark, f"{SF_SMALL}/documents*.parquet", skip_topics=stored)
+    topics = {r.topic for r in spark.read.parquet(sink).select("topic").distinct().collect()}
+    assert topics and not topics & {"src0", "src1"}
