@@ -399,18 +399,22 @@ def q_quiz_prompt(spark, base):
 def quiz_text(docs: DataFrame):
     """A generated-quiz text per document: every line becomes a question;
     lines with at least four words get four options (answer: the second),
-    every fourth line is open-ended."""
-    def block(line, i):
-        words = F.split(py_space(line), " ")
+    every fourth line is open-ended.  (Two staged transforms: the words of a
+    line are split once, not once per use inside the lambda.)"""
+    lines = F.transform(F.split(F.col("text"), "\n"), lambda line, i: F.struct(
+        line.alias("line"), i.alias("i"), F.split(py_space(line), " ").alias("words")))
+
+    def block(s):
+        words = s["words"]
         w = [F.coalesce(F.try_element_at(words, F.lit(j)), F.lit("")) for j in (1, 2, 3, 4)]
-        mc = (F.pmod(i, F.lit(4)) != 3) & (F.size(words) >= 4)
+        mc = (F.pmod(s["i"], F.lit(4)) != 3) & (F.size(words) >= 4)
         opts = F.concat(F.lit("OPTIONS: A) "), w[0], F.lit(" B) "), w[1], F.lit(" C) "), w[2],
                         F.lit(" D) "), w[3], F.lit("\n"))
-        return F.concat(F.lit("QUESTION: "), line, F.lit("?\n"),
+        return F.concat(F.lit("QUESTION: "), s["line"], F.lit("?\n"),
                         F.when(mc, opts).otherwise(F.lit("")),
                         F.lit("ANSWER: "), F.when(mc, F.concat(F.lit("B) "), w[1]))
                         .otherwise(F.element_at(words, -1)), F.lit(" |||"))
-    return F.array_join(F.transform(F.split(F.col("text"), "\n"), block), "\n")
+    return F.array_join(F.transform(lines, block), "\n")
 
 
 def py_space(col):
