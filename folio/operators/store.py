@@ -171,7 +171,22 @@ def capacity_violations(chunks: DataFrame, dim: int = config.DEFAULT_DIM) -> Dat
 # Versioned table on the shared file system
 # ---------------------------------------------------------------------------
 class ChunkStore:
-    """Versioned, bucketed parquet chunk table under ``root``."""
+    """Bucketed parquet chunk table under ``root`` with per-bucket versions.
+
+    Layout::
+
+        <root>/topic_bucket=<b>/version=<n>/part-*.parquet
+        <root>/_commits/<n>/part-*.txt      buckets written by version n
+        <root>/_staging/<n>/                 a write in progress
+
+    A change rewrites only the buckets it touches: rows are written to
+    ``_staging/<n>`` (partitioned by bucket), each touched bucket directory
+    is renamed to ``topic_bucket=<b>/version=<n>``, and the commit record is
+    written last.  A reader's snapshot takes, per bucket, the highest
+    committed version, so a crashed write (no commit record) is invisible and
+    the next write simply replaces its directories.  Older versions stay
+    readable until ``vacuum``.  Single writer per root.
+    """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = DEFAULT_BUCKETS,
                  max_records_per_file: int = 500_000):
@@ -180,96 +195,172 @@ class ChunkStore:
         self.buckets = buckets
         self.max_records_per_file = max_records_per_file
 
-    # -- file system (Hadoop API: works for local, HDFS and object stores) --
+    # -- file system (Hadoop API: local, HDFS and object stores alike) ------
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
+    def _path(self, *parts: str):
+        _, jvm = self._fs()
+        return jvm.org.apache.hadoop.fs.Path("/".join((self.root,) + parts))
+
     def versions(self) -> list[int]:
+        """Committed versions (a commit record with its ``_SUCCESS``)."""
         fs, jvm = self._fs()
-        root = jvm.org.apache.hadoop.fs.Path(self.root)
-        if not fs.exists(root):
+        commits = self._path("_commits")
+        if not fs.exists(commits):
             return []
         out = []
-        for st in fs.listStatus(root):
+        for st in fs.listStatus(commits):
             name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(
-                    jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                try:
-                    out.append(int(name[2:]))
-                except ValueError:
-                    continue
+            if name.isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                out.append(int(name))
         return sorted(out)
 
     def current_version(self) -> int | None:
         v = self.versions()
         return v[-1] if v else None
 
-    def path(self, version: int) -> str:
-        return f"{self.root}/v={version}"
+    def snapshot(self, version: int | None = None) -> dict[int, int]:
+        """bucket -> the version holding its rows, as of ``version``."""
+        committed = [v for v in self.versions() if version is None or v <= version]
+        if not committed:
+            return {}
+        paths = [f"{self.root}/_commits/{v}" for v in committed]
+        rows = (self.spark.read.text(paths)
+                .select(F.col("value").cast("int").alias("b"),
+                        F.regexp_extract(F.input_file_name(), r"_commits/(\d+)/", 1)
+                        .cast("int").alias("v"))
+                .groupBy("b").agg(F.max("v").alias("v")).collect())
+        return {r["b"]: r["v"] for r in rows}
+
+    def bucket_of(self, topics: list[str]) -> list[int]:
+        if not topics:
+            return []
+        df = self.spark.createDataFrame([(t,) for t in topics], "t string")
+        return sorted({r[0] for r in df.select(topic_bucket("t", self.buckets)).collect()})
 
-    # -- read / write --
-    def _scan(self, version: int) -> DataFrame:
-        """Explicit schema: a version may hold no rows (everything purged)."""
+    # -- read ----------------------------------------------------------------
+    def _schema(self):
         from pyspark.sql import types as T
 
         from ..schemas import CHUNKS
-        schema = T.StructType(CHUNKS.fields + [T.StructField("topic_bucket", T.IntegerType())])
-        return self.spark.read.schema(schema).parquet(self.path(version))
+        return T.StructType(CHUNKS.fields + [T.StructField("topic_bucket", T.IntegerType()),
+                                             T.StructField("version", T.IntegerType())])
+
+    def _scan(self, snap: dict[int, int], buckets=None) -> DataFrame:
+        """Explicit schema (a bucket version may hold no rows); only the
+        snapshot's directories are listed."""
+        from ..schemas import CHUNKS
+        chosen = {b: v for b, v in snap.items() if buckets is None or b in buckets}
+        if not chosen:
+            return self.spark.createDataFrame([], CHUNKS).withColumn(
+                "topic_bucket", F.lit(None).cast("int"))
+        paths = [f"{self.root}/topic_bucket={b}/version={v}" for b, v in sorted(chosen.items())]
+        return (self.spark.read.schema(self._schema()).option("basePath", self.root)
+                .parquet(*paths).drop("version"))
 
     def read(self, version: int | None = None) -> DataFrame:
-        version = self.current_version() if version is None else version
-        if version is None:
-            from ..schemas import CHUNKS
-            return self.spark.createDataFrame([], CHUNKS)
-        return self._scan(version).drop("topic_bucket")
+        return self._scan(self.snapshot(version)).drop("topic_bucket")
 
-    def read_topic(self, topic: str, version: int | None = None) -> DataFrame:
-        """One topic: bucket pruning (constant-folded) + parquet pushdown."""
-        version = self.current_version() if version is None else version
-        df = self._scan(version)
-        return (df.filter((F.col("topic_bucket") == topic_bucket(F.lit(topic), self.buckets))
-                          & (F.col("topic") == topic)).drop("topic_bucket"))
+    def read_buckets(self, buckets, version: int | None = None) -> DataFrame:
+        return self._scan(self.snapshot(version), set(buckets)).drop("topic_bucket")
 
     def read_topics(self, topics: list[str], version: int | None = None) -> DataFrame:
-        """A few topics: only their bucket directories are listed and read
-        (the bucket expressions fold to constants), topics pushed into the
-        parquet scan."""
-        version = self.current_version() if version is None else version
-        if version is None:
-            return self.read(version)
-        buckets = [topic_bucket(F.lit(t), self.buckets) for t in topics]
-        df = self._scan(version)
-        return (df.filter(F.col("topic_bucket").isin(*buckets) & F.col("topic").isin(*topics))
-                  .drop("topic_bucket"))
+        """Only the topics' bucket directories are listed and read; topics
+        are pushed into the parquet scan."""
+        df = self._scan(self.snapshot(version), set(self.bucket_of(topics)))
+        return df.filter(F.col("topic").isin(*topics)).drop("topic_bucket")
 
-    def write(self, chunks: DataFrame) -> int:
-        """Write ``chunks`` as the next version and return it.
-
-        Rows are spread over tasks by (bucket, id hash), so a bucket holding a
-        hot topic is written by many tasks, never one; each task's rows are
-        sorted by topic so files keep tight topic ranges.
-        """
+    def read_topic(self, topic: str, version: int | None = None) -> DataFrame:
+        return self.read_topics([topic], version)
+
+    # -- write ---------------------------------------------------------------
+    def _commit(self, rows: DataFrame, buckets) -> int:
+        """Write ``rows`` as the new content of ``buckets`` (other buckets are
+        untouched).  Rows are spread over tasks by (bucket, id hash), so a
+        bucket holding a hot topic is written by many tasks; each task's rows
+        are sorted by topic so files keep tight topic ranges."""
+        fs, jvm = self._fs()
+        Path = jvm.org.apache.hadoop.fs.Path
         version = (self.current_version() or 0) + 1
+        staging = f"{self.root}/_staging/{version}"
+        if fs.exists(Path(staging)):
+            fs.delete(Path(staging), True)
         tasks = max(self.spark.sparkContext.defaultParallelism, 1)
-        staged = (chunks.withColumn("topic_bucket", topic_bucket("topic", self.buckets))
-                        .repartition(tasks, "topic_bucket",
-                                     F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
-                        .sortWithinPartitions("topic_bucket", "topic", "chunk_id"))
-        (staged.write.mode("errorifexists")
-               .option("maxRecordsPerFile", self.max_records_per_file)
-               .partitionBy("topic_bucket").parquet(self.path(version)))
+        staged = (rows.withColumn("topic_bucket", topic_bucket("topic", self.buckets))
+                      .repartition(tasks, "topic_bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+                      .sortWithinPartitions("topic_bucket", "topic", "chunk_id"))
+        (staged.write.mode("errorifexists").option("maxRecordsPerFile", self.max_records_per_file)
+               .partitionBy("topic_bucket").parquet(staging))
+        for b in sorted(set(buckets)):
+            src = Path(f"{staging}/topic_bucket={b}")
+            dst = Path(f"{self.root}/topic_bucket={b}/version={version}")
+            if fs.exists(dst):  # left by a crashed, uncommitted attempt
+                fs.delete(dst, True)
+            fs.mkdirs(dst.getParent())
+            if fs.exists(src):
+                fs.rename(src, dst)
+            else:
+                fs.mkdirs(dst)  # the bucket is now empty
+        record = self.spark.createDataFrame([(str(b),) for b in sorted(set(buckets))], "value string")
+        record.coalesce(1).write.mode("errorifexists").text(f"{self.root}/_commits/{version}")
+        fs.delete(Path(staging), True)
         return version
 
+    def write(self, chunks: DataFrame) -> int:
+        """Replace the whole table with ``chunks`` (every bucket)."""
+        return self._commit(chunks, range(self.buckets))
+
     def upsert(self, new: DataFrame, key=("topic", "chunk_id")) -> int:
-        return self.write(merge(self.read(), new, key))
+        """Merge ``new``; with a key that includes the topic, only the
+        buckets of ``new``'s topics are read and rewritten."""
+        new = materialize(new)
+        if "topic" in key:
+            touched = [r[0] for r in new.select(topic_bucket("topic", self.buckets))
+                       .distinct().collect()]
+        else:
+            touched = list(range(self.buckets))
+        merged = merge(self.read_buckets(touched), new, key, materialize_new=False)
+        return self._commit(merged, touched)
 
     def replace(self, new: DataFrame) -> int:
-        return self.write(replace_topics(self.read(), new))
+        new = materialize(new)
+        touched = [r[0] for r in new.select(topic_bucket("topic", self.buckets)).distinct().collect()]
+        return self._commit(replace_topics(self.read_buckets(touched), new), touched)
 
     def purge(self, topics: DataFrame) -> int:
-        return self.write(purge_topics(self.read(), topics))
+        t = topics.select(py_strip(F.col("topic")).alias("topic")).distinct()
+        touched = [r[0] for r in t.select(topic_bucket("topic", self.buckets)).distinct().collect()]
+        return self._commit(purge_topics(self.read_buckets(touched), t), touched)
 
     def delete(self, ids: DataFrame) -> int:
-        return self.write(delete_ids(self.read(), ids))
+        """Only buckets that hold one of the ids are rewritten (found with a
+        semi join over the id and bucket columns)."""
+        ids = materialize(ids.select("chunk_id"))
+        snap = self.snapshot()
+        hit = (self._scan(snap).select("chunk_id", "topic_bucket")
+               .join(_maybe_broadcast(ids), "chunk_id", "left_semi")
+               .select("topic_bucket").distinct().collect())
+        touched = [r[0] for r in hit]
+        if not touched:
+            return self.current_version() or 0
+        return self._commit(delete_ids(self.read_buckets(touched), ids), touched)
+
+    def vacuum(self) -> int:
+        """Delete bucket versions no snapshot at or after the current one
+        reads; returns how many directories were removed."""
+        fs, jvm = self._fs()
+        snap = self.snapshot()
+        removed = 0
+        for b, keep in snap.items():
+            bdir = self._path(f"topic_bucket={b}")
+            if not fs.exists(bdir):
+                continue
+            for st in fs.listStatus(bdir):
+                name = st.getPath().getName()
+                if name.startswith("version=") and int(name.split("=")[1]) < keep:
+                    fs.delete(st.getPath(), True)
+                    removed += 1
+        return removed
