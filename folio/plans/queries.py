@@ -549,3 +549,22 @@ def q_stream_ingest(spark, base):
 
 
 QUERIES["stream_ingest"] = q_stream_ingest
+
+
+def q_store_versioned(spark, base):
+    """The merge of ``store_merge`` through the on-disk store: write all
+    chunks as version 1 in a fresh store in the shared checkpoint folder,
+    upsert the re-ingested English chunks (only their buckets are rewritten),
+    read the current snapshot back."""
+    import uuid
+
+    from ..session import shared_path
+    cs = store.ChunkStore(spark, shared_path(spark, f"store-{uuid.uuid4().hex[:12]}"), buckets=8)
+    cs.write(_store(spark, base))
+    en = document_sections(_docs(spark, base).filter(F.col("lang") == "en"))
+    cs.upsert(sections_to_chunks(en, INGEST_CHUNKS, EmbedOptions(model_name="model-v2"),
+                                 ingested_at=F.lit(1)))
+    return _store_cols(cs.read())
+
+
+QUERIES["store_versioned"] = q_store_versioned
