@@ -167,7 +167,15 @@ def block_top_k(chunks: DataFrame, requests_pdf: pd.DataFrame, *, metric: str =
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    source = chunks.filter(F.col(key).isin(topics)) if len(topics) <= 1000 else chunks
+    # keep only chunks of requested topics, in the JVM, before any Arrow
+    # transfer: a literal IN list (pushed into the scan) for a few topics, a
+    # broadcast semi join against the (bounded) request topics otherwise
+    if len(topics) <= 1000:
+        source = chunks.filter(F.col(key).isin(topics))
+    else:
+        wanted = spark.createDataFrame([(t,) for t in topics], T.StructType(
+            [T.StructField(key, fields[key].dataType)]))
+        source = chunks.join(F.broadcast(wanted), key, "left_semi")
     cols = list(dict.fromkeys(["chunk_id", key, "embedding"] + extra))
     return source.select(*cols).mapInPandas(score, out_schema)
 

@@ -100,3 +100,14 @@ def test_stream_skips_already_stored_topics(spark):
     sink = run_ingest(spark, f"{SF_SMALL}/documents*.parquet", skip_topics=stored)
     topics = {r.topic for r in spark.read.parquet(sink).select("topic").distinct().collect()}
     assert topics and not topics & {"src0", "src1"}
+
+
+def test_block_scorer_many_topics_semi_join(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2400, 4)).astype(np.float32)
+    rows = [(str(i), f"t{i % 1200}", x[i].tolist()) for i in range(2400)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, topic string, embedding array<float>")
+    queries = spark.createDataFrame([(i, f"t{i}", 1, x[i].tolist()) for i in range(1100)],
+                                    "query_id long, topic string, k int, q_embedding array<float>")
+    got = {r.query_id: r.chunk_id for r in _exact(spark, chunks, queries).collect()}
+    assert len(got) == 1100 and all(got[i] == str(i) for i in range(1100))
