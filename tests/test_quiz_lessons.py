@@ -78,3 +78,20 @@ def test_lesson_validation_preview_and_rank(spark):
     many = spark.range(0, 57).withColumn("ts", (F.col("id") * 7) % 57)
     ranked = lessons.global_rank(many, F.col("ts").desc(), name="n").collect()
     assert sorted((r.n, r.ts) for r in ranked) == [(i + 1, 56 - i) for i in range(57)]
+
+
+def test_lessons_table_append_and_read(spark, tmp_dir):
+    rows = spark.createDataFrame([("T1", "lesson one"), ("", "no topic"), ("T2", "lesson two")],
+                                 "topic string, lesson string")
+    rows = rows.withColumn("quiz", F.struct(quiz.parse_quiz(F.lit(QUIZ)).alias("quiz")))
+    path = tmp_dir + "/lessons"
+    rejected = lessons.append_lessons(rows.filter(F.col("topic") != "T2"), path)
+    assert [r.lesson for r in rejected.collect()] == ["no topic"]
+    import time
+    time.sleep(1.1)
+    lessons.append_lessons(rows.filter(F.col("topic") == "T2"), path)
+    got = lessons.read_lessons(spark, path).collect()
+    assert [r.topic for r in got] == ["T2", "T1"]
+    assert len(got[0].quiz.quiz) == 5
+    listed = lessons.list_lessons(lessons.read_lessons(spark, path)).orderBy("n").collect()
+    assert [(r.n, r.topic) for r in listed] == [(1, "T2"), (2, "T1")]
