@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed value: a token is a run of letters/digits or one other non-space
-# character, taken from the lower-cased text.
-TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+# character, taken from the lower-cased text.  ``(?U)``: Unicode white space
+# (no-break, thin, ideographic spaces, ...) separates tokens, never becomes one.
+TOKEN_PATTERN = r"(?U)[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 
 def _c(col) -> Column:

@@ -27,8 +27,11 @@ FLAGSHIP_CHUNKS = ChunkOptions(max_tokens=256, overlap=32)
 EMBED = EmbedOptions()
 
 
+SPREAD_PER_SLOT = 1
+
+
 def _docs(spark, base) -> DataFrame:
-    return spread(read_table(spark, base, "documents"), "doc_id")
+    return spread(read_table(spark, base, "documents"), "doc_id", SPREAD_PER_SLOT)
 
 
 def document_chunks(spark: SparkSession, base: str, chunk_options: ChunkOptions = FLAGSHIP_CHUNKS,

@@ -21,13 +21,13 @@ def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None, per_slot: int = 1) -> DataFrame:
     """Hash-spread a scan over the cluster when it yields fewer partitions than
     there are task slots (small inputs stored as one row group).  On large
     inputs the scan already has more splits than slots and this is a no-op,
     so it never adds a shuffle at scale.  Hashing on a key keeps the placement
     deterministic when a lost task is recomputed."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
+    slots = df.sparkSession.sparkContext.defaultParallelism * per_slot
     try:
         parts = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view (e.g. remote sessions)

@@ -50,9 +50,10 @@ TOKEN_RE = re.compile(r"[^\W_]+|[^\w\s]|_", re.UNICODE)
 
 
 def test_tokenize_literals(spark):
-    df = spark.createDataFrame([("Hello, World! Ça va? 3.14 x_y",)], "t string")
+    df = spark.createDataFrame([("Hello, World! Ça va? 3.14 x_y\u3000end\u2009z\u00a0q",)], "t string")
     got = df.select(tokenize("t")).first()[0]
-    assert got == ["hello", ",", "world", "!", "ça", "va", "?", "3", ".", "14", "x", "_", "y"]
+    assert got == ["hello", ",", "world", "!", "ça", "va", "?", "3", ".", "14", "x", "_", "y",
+                   "end", "z", "q"]
 
 
 def test_chunk_ids_texts_and_tokens(spark):
