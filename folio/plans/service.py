@@ -27,7 +27,7 @@ from ..config import INGEST_CHUNKS, ChunkOptions, EmbedOptions, SearchOptions
 from ..functions.text import py_strip
 from ..operators import store as st
 from ..operators.search import RetrievalError, search, single_request
-from ..sources.pages import lookup_pages, page_sections, scan_pages
+from ..sources.pages import lookup_pages, page_sections, page_titles
 from .ingest import sections_to_chunks
 
 
@@ -36,10 +36,13 @@ class Retrieval:
                  chunk_options: ChunkOptions = INGEST_CHUNKS,
                  embed_options: EmbedOptions = EmbedOptions(),
                  search_options: SearchOptions = SearchOptions(),
-                 key: tuple = ("topic", "chunk_id")):
+                 key: tuple = ("topic", "chunk_id"), titles: DataFrame | None = None):
+        """``titles``: a stored ``page_titles(pages)`` table; without it the
+        titles are extracted from the markup on every lookup."""
         self.spark = spark
         self.store = chunk_store
         self.pages = pages
+        self.titles = titles
         self.chunk_options = chunk_options
         self.embed_options = embed_options
         self.search_options = search_options
@@ -52,8 +55,8 @@ class Retrieval:
 
     def resolve(self, topics: DataFrame) -> DataFrame:
         """``(topic, page_id, title, status)`` per requested topic."""
-        titles = scan_pages(self.pages).select("page_id", "title")
-        return lookup_pages(self._topics(topics), titles)
+        titles = self.titles if self.titles is not None else page_titles(self.pages)
+        return lookup_pages(self._topics(topics), titles.select("page_id", "title"))
 
     def build(self, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(store rows, rejects) for the given topics.  Rows are stored under

@@ -32,6 +32,14 @@ def scan_pages(pages: DataFrame) -> DataFrame:
         page_url(F.col("title"), F.col("lang")).alias("url"), "text")
 
 
+def page_titles(pages: DataFrame) -> DataFrame:
+    """``(page_id, title, lang)`` - the lookup table for topic resolution.
+    Build it once and store it: resolving topics then reads two short
+    columns instead of every page's markup."""
+    return pages.select("page_id", html_title(F.col("html")).alias("title"),
+                        page_lang().alias("lang"))
+
+
 def capitalize_first(col):
     """``t[:1].upper() + t[1:]`` (only the first character; not ``initcap``,
     which would also lower-case the rest)."""
