@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from folio.config import EmbedOptions, SearchOptions
 from folio.operators.embed import hash_embed
