@@ -313,15 +313,23 @@ class ChunkStore:
         """Replace the whole table with ``chunks`` (every bucket)."""
         return self._commit(chunks, range(self.buckets))
 
+    def _buckets_holding(self, ids: DataFrame) -> set[int]:
+        """Buckets that hold any of ``ids`` (a semi join over the id and
+        bucket columns only)."""
+        hit = (self._scan(self.snapshot()).select("chunk_id", "topic_bucket")
+               .join(_maybe_broadcast(ids.select("chunk_id")), "chunk_id", "left_semi")
+               .select("topic_bucket").distinct().collect())
+        return {r[0] for r in hit}
+
     def upsert(self, new: DataFrame, key=("topic", "chunk_id")) -> int:
-        """Merge ``new``; with a key that includes the topic, only the
-        buckets of ``new``'s topics are read and rewritten."""
+        """Merge ``new``; only the buckets of ``new``'s topics are rewritten,
+        plus, for an id-only key, the buckets already holding its ids."""
         new = materialize(new)
-        if "topic" in key:
-            touched = [r[0] for r in new.select(topic_bucket("topic", self.buckets))
-                       .distinct().collect()]
-        else:
-            touched = list(range(self.buckets))
+        touched = {r[0] for r in new.select(topic_bucket("topic", self.buckets))
+                   .distinct().collect()}
+        if "topic" not in key:
+            touched |= self._buckets_holding(new)
+        touched = sorted(touched)
         merged = merge(self.read_buckets(touched), new, key, materialize_new=False)
         return self._commit(merged, touched)
 
@@ -339,11 +347,7 @@ class ChunkStore:
         """Only buckets that hold one of the ids are rewritten (found with a
         semi join over the id and bucket columns)."""
         ids = materialize(ids.select("chunk_id"))
-        snap = self.snapshot()
-        hit = (self._scan(snap).select("chunk_id", "topic_bucket")
-               .join(_maybe_broadcast(ids), "chunk_id", "left_semi")
-               .select("topic_bucket").distinct().collect())
-        touched = [r[0] for r in hit]
+        touched = sorted(self._buckets_holding(ids))
         if not touched:
             return self.current_version() or 0
         return self._commit(delete_ids(self.read_buckets(touched), ids), touched)

@@ -84,6 +84,9 @@ def test_chunk_store_versions_and_topic_read(spark, tmp_dir):
     assert cs.upsert(_rows(spark, [("c", "T2")])) == 5
     assert _ids(cs.read()) == [("T2", "c", "m1")]
     assert cs.vacuum() >= 1 and _ids(cs.read()) == [("T2", "c", "m1")]
+    # id-only key: the id's old row in another topic's bucket is replaced too
+    cs.upsert(_rows(spark, [("c", "T1")], model="m3"), key=("chunk_id",))
+    assert _ids(cs.read()) == [("T1", "c", "m3")]
 
 
 def test_service_ensure_reingest_purge(spark, tmp_dir):
