@@ -185,7 +185,8 @@ class ChunkStore:
     written last.  A reader's snapshot takes, per bucket, the highest
     committed version, so a crashed write (no commit record) is invisible and
     the next write simply replaces its directories.  Older versions stay
-    readable until ``vacuum``.  Single writer per root.
+    readable until ``vacuum``.  Single writer per root, enforced by a lock
+    file.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = DEFAULT_BUCKETS,
@@ -277,7 +278,25 @@ class ChunkStore:
         return self.read_topics([topic], version)
 
     # -- write ---------------------------------------------------------------
+    def _lock(self):
+        """One writer per root: ``_lock`` is created atomically (create
+        without overwrite) and removed when the write ends."""
+        fs, _ = self._fs()
+        lock = self._path("_lock")
+        fs.mkdirs(lock.getParent())
+        if not fs.createNewFile(lock):
+            raise RuntimeError(f"store {self.root} is locked by another writer "
+                               f"(remove {self.root}/_lock if that writer is gone)")
+        return fs, lock
+
     def _commit(self, rows: DataFrame, buckets) -> int:
+        fs, lock = self._lock()
+        try:
+            return self._commit_locked(rows, buckets)
+        finally:
+            fs.delete(lock, False)
+
+    def _commit_locked(self, rows: DataFrame, buckets) -> int:
         """Write ``rows`` as the new content of ``buckets`` (other buckets are
         untouched).  Rows are spread over tasks by (bucket, id hash), so a
         bucket holding a hot topic is written by many tasks; each task's rows

@@ -101,3 +101,17 @@ def test_top_k_plan_limits_before_shuffle(spark):
     plan = search(chunks, req, embed_options=OPTS, method="pairs")._jdf.queryExecution() \
         .executedPlan().toString()
     assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
+
+
+def test_plan_chunks_never_shuffled_and_chunking_shuffle_free(spark):
+    from folio.operators.chunk import chunk_sections
+    chunks = _chunks(spark)
+    req = spark.createDataFrame([(1, "A", "alpha", 2), (2, "B", "mu", 2)], REQUESTS)
+    plan = search(chunks, req, embed_options=OPTS)._jdf.queryExecution().executedPlan().toString()
+    # the only exchange is the one moving per-partition candidates to their query
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("MapInPandas") > plan.index("Exchange hashpartitioning")
+    secs = spark.createDataFrame([("T", "S", "w " * 500, "u")],
+                                 "topic string, title string, text string, url string")
+    cplan = chunk_sections(secs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in cplan

@@ -78,6 +78,12 @@ def test_chunk_store_versions_and_topic_read(spark, tmp_dir):
     assert v3 == 3 and _ids(cs.read()) == [("T2", "b", "m1")]
     v4 = cs.delete(spark.createDataFrame([("b",), ("zz",)], "chunk_id string"))
     assert v4 == 4 and cs.read().count() == 0 and _ids(cs.read(3)) == [("T2", "b", "m1")]
+    # a second writer is refused while the lock is held
+    open(f"{root}/_lock", "w").close()
+    import pytest
+    with pytest.raises(Exception, match="locked"):
+        cs.upsert(_rows(spark, [("q", "T2")]))
+    os.remove(f"{root}/_lock")
     # a crashed write leaves no commit record and stays invisible
     os.makedirs(f"{root}/topic_bucket={b2}/version=5")
     assert cs.current_version() == 4 and cs.read().count() == 0
