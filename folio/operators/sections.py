@@ -77,3 +77,35 @@ def lead_first(lead: DataFrame, sections: DataFrame) -> DataFrame:
 
 def with_section_urls(sections: DataFrame, page_url_col: str = "page_url") -> DataFrame:
     return sections.withColumn("url", section_url(F.col(page_url_col), F.col("title")))
+
+
+def flatten_tree(sections: DataFrame, prune: bool = True) -> DataFrame:
+    """Parent-pointer sections -> pre-order.
+
+    Input: ``page_id, node, parent (null for top level), ord`` (sibling
+    order) and ``title`` plus any payload.  Output adds ``level`` (1 for top
+    level) and ``pre`` (0-based pre-order position in the page); with
+    ``prune`` a boilerplate section and its whole subtree are dropped.
+
+    A recursive CTE walks down from the roots, one equi join per tree level
+    (heading trees are a handful of levels deep), carrying the path of
+    sibling positions; pre-order is the order of those paths.  The numbering
+    window is partitioned by page, i.e. bounded by one page's sections.
+    """
+    staged = sections.withColumn("_boiler", is_boilerplate("title"))
+    walked = sections.sparkSession.sql(
+        """
+        WITH RECURSIVE walk(page_id, node, path, level, pruned) AS (
+          SELECT page_id, node, array(ord), 1, _boiler FROM {secs} WHERE parent IS NULL
+          UNION ALL
+          SELECT s.page_id, s.node, concat(w.path, array(s.ord)), w.level + 1,
+                 w.pruned OR s._boiler
+          FROM {secs} s JOIN walk w ON s.page_id = w.page_id AND s.parent = w.node
+        )
+        SELECT page_id, node, path AS _path, level, pruned AS _pruned FROM walk
+        """, secs=staged.select("page_id", "node", "parent", "ord", "_boiler"))
+    out = sections.join(walked, ["page_id", "node"])
+    if prune:
+        out = out.filter(~F.col("_pruned"))
+    w = Window.partitionBy("page_id").orderBy("_path")
+    return out.withColumn("pre", (F.row_number().over(w) - 1).cast("int")).drop("_path", "_pruned")

@@ -571,3 +571,29 @@ def q_store_versioned(spark, base):
 
 
 QUERIES["store_versioned"] = q_store_versioned
+
+
+def q_section_tree(spark, base):
+    """Each document as a page whose lines form a tree by parent pointers
+    (line i hangs under line (i-1)/2), boilerplate titles assigned as in
+    ``section_prune``; flattened to pre-order with boilerplate subtrees
+    dropped."""
+    from ..operators.sections import flatten_tree
+    docs = _docs(spark, base)
+    names = list(config.BOILERPLATE_SECTIONS)
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    n = F.col("doc_id") + F.col("i")
+    boiler = F.element_at(F.array(*[F.lit(" " + t.title() + " ") for t in names]),
+                          (F.pmod(n, F.lit(len(names))) + 1).cast("int"))
+    secs = lines.select(
+        F.col("doc_id").alias("page_id"), F.col("i").cast("int").alias("node"),
+        F.when(F.col("i") > 0, F.floor((F.col("i") - 1) / 2)).cast("int").alias("parent"),
+        F.col("i").cast("int").alias("ord"),
+        F.when(F.pmod(F.col("doc_id") * 7 + F.col("i"), F.lit(5)) == 0, boiler)
+         .otherwise(F.concat(F.lit("line "), F.col("i").cast("string"))).alias("title"),
+        F.length("line").alias("n_chars"))
+    flat = flatten_tree(secs)
+    return flat.select(F.col("page_id").alias("doc_id"), "node", "level", "pre", "title", "n_chars")
+
+
+QUERIES["section_tree"] = q_section_tree

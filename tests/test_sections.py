@@ -76,3 +76,20 @@ def test_page_sections_headings(spark):
         (0, None, "Lead text."), (1, "History", "Old"), (1, "Use", "kept")]
     assert rows[1].url == "https://en.wikipedia.org/wiki/Page#History"
     assert rows[0].url == "https://en.wikipedia.org/wiki/Page"
+
+
+def test_flatten_tree_parent_pointers_equals_tree_walk(spark):
+    from folio.operators.sections import flatten_tree
+    # parent pointers from the outline's levels: nearest earlier section one level up
+    parents, stack = [], []
+    for o, lv, t in OUTLINE:
+        while stack and stack[-1][1] >= lv:
+            stack.pop()
+        parents.append(stack[-1][0] if stack else None)
+        stack.append((o, lv))
+    # shuffle the input rows: order must come from ord, not row order
+    rows = [(7, o, p, o, t) for (o, lv, t), p in zip(OUTLINE, parents)][::-1]
+    df = spark.createDataFrame(rows, "page_id long, node int, parent int, ord int, title string")
+    flat = flatten_tree(df).orderBy("pre").collect()
+    assert [r.node for r in flat] == _tree_walk(OUTLINE)
+    assert [r.level for r in flat] == [1, 2, 1, 2, 1]
