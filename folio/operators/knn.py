@@ -29,6 +29,9 @@ from pyspark.sql import types as T
 # rounding to 6 places and the id tie-break are decided in the final ranking
 _TIE_SLACK = 2e-6
 _SUB_BLOCK = 2048
+# score tiles hold at most this many doubles (128 MB): with many queries on
+# one topic the tile gets fewer chunk rows
+_TILE_CELLS = 16_000_000
 
 
 def collect_bounded(df: DataFrame, max_rows: int) -> pd.DataFrame | None:
@@ -70,11 +73,13 @@ def _unit_rows(mat: np.ndarray) -> np.ndarray:
 
 def _best(emb: np.ndarray, qmat: np.ndarray, k_max: int):
     """Scores of every chunk row against every query column, reduced to the
-    k best rows per query (plus near-ties), in sub-blocks of rows so memory
-    stays at ``_SUB_BLOCK x queries``.  Returns (rows, cols, scores)."""
+    k best rows per query (plus near-ties), in sub-blocks of rows so a score
+    tile never exceeds ``_TILE_CELLS`` values.  Returns (rows, cols,
+    scores)."""
     best_rows, best_cols, best_scores = [], [], []
-    for start in range(0, len(emb), _SUB_BLOCK):
-        sub = emb[start:start + _SUB_BLOCK] @ qmat.T
+    step = max(16, min(_SUB_BLOCK, _TILE_CELLS // max(qmat.shape[0], 1)))
+    for start in range(0, len(emb), step):
+        sub = emb[start:start + step] @ qmat.T
         r, c = np.nonzero(_top_candidates(sub, k_max))
         best_rows.append(r + start)
         best_cols.append(c)
@@ -82,7 +87,7 @@ def _best(emb: np.ndarray, qmat: np.ndarray, k_max: int):
     rows = np.concatenate(best_rows)
     cols = np.concatenate(best_cols)
     vals = np.concatenate(best_scores)
-    if len(emb) > _SUB_BLOCK and len(rows):
+    if len(emb) > step and len(rows):
         keep = np.zeros(len(rows), dtype=bool)
         order = np.lexsort((-vals, cols))
         cols_sorted, vals_sorted = cols[order], vals[order]

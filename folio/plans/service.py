@@ -36,13 +36,15 @@ class Retrieval:
                  chunk_options: ChunkOptions = INGEST_CHUNKS,
                  embed_options: EmbedOptions = EmbedOptions(),
                  search_options: SearchOptions = SearchOptions(),
-                 key: tuple = ("topic", "chunk_id"), titles: DataFrame | None = None):
+                 key: tuple = ("topic", "chunk_id"), titles: DataFrame | None = None,
+                 lang: str | None = None):
         """``titles``: a stored ``page_titles(pages)`` table; without it the
         titles are extracted from the markup on every lookup."""
         self.spark = spark
         self.store = chunk_store
         self.pages = pages
         self.titles = titles
+        self.lang = lang
         self.chunk_options = chunk_options
         self.embed_options = embed_options
         self.search_options = search_options
@@ -56,7 +58,8 @@ class Retrieval:
     def resolve(self, topics: DataFrame) -> DataFrame:
         """``(topic, page_id, title, status)`` per requested topic."""
         titles = self.titles if self.titles is not None else page_titles(self.pages)
-        return lookup_pages(self._topics(topics), titles.select("page_id", "title"))
+        cols = ["page_id", "title"] + (["lang"] if self.lang is not None else [])
+        return lookup_pages(self._topics(topics), titles.select(*cols), lang=self.lang)
 
     def build(self, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(store rows, rejects) for the given topics.  Rows are stored under

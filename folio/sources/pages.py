@@ -47,15 +47,18 @@ def capitalize_first(col):
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
 
 
-def lookup_pages(requests: DataFrame, pages: DataFrame, topic_col: str = "topic") -> DataFrame:
+def lookup_pages(requests: DataFrame, pages: DataFrame, topic_col: str = "topic",
+                 lang: str | None = None) -> DataFrame:
     """Resolve request topics to pages: exact title, else the title with its
     first character upper-cased, else not found.
 
-    ``pages`` needs ``page_id, title``; duplicate titles resolve to the lowest
-    page id.  Output: request columns + ``page_id, title, status``.  Both
+    ``pages`` needs ``page_id, title`` (and ``lang`` when ``lang`` is given);
+    duplicate titles resolve to the lowest page id.  Output: request columns + ``page_id, title, status``.  Both
     lookups are equi joins; the page side is aggregated to one row per title
     first, so the joins never multiply rows.
     """
+    if lang is not None:  # the language variant: only that language's pages
+        pages = pages.filter(F.col("lang") == lang)
     titles = pages.groupBy("title").agg(F.min("page_id").alias("page_id"))
     req = requests.withColumn("_t", py_strip(F.coalesce(F.col(topic_col), F.lit(""))))
     req = req.withColumn("_alt", capitalize_first("_t"))

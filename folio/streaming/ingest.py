@@ -25,8 +25,10 @@ from ..session import shared_path
 from ..sources.tables import document_sections
 
 
-def document_stream(spark: SparkSession, pattern: str, schema, max_files: int = 1) -> DataFrame:
-    """File-source stream of document rows (``pattern`` may be a glob)."""
+def document_stream(spark: SparkSession, pattern: str, schema, max_files: int = 1000) -> DataFrame:
+    """File-source stream of document rows (``pattern`` may be a glob); each
+    micro-batch takes at most ``max_files`` new files, so a large backlog is
+    processed (and checkpointed) in bounded steps."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
                  .parquet(pattern))
 

@@ -115,3 +115,17 @@ def test_plan_chunks_never_shuffled_and_chunking_shuffle_free(spark):
                                  "topic string, title string, text string, url string")
     cplan = chunk_sections(secs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in cplan
+
+
+def test_score_tiles_exact_with_tiny_tiles(monkeypatch):
+    from folio.operators import knn
+    rng = np.random.default_rng(11)
+    emb = rng.normal(size=(500, 8))
+    q = rng.normal(size=(40, 8))
+    monkeypatch.setattr(knn, "_TILE_CELLS", 40 * 20)  # 20 chunk rows per tile
+    rows, cols, vals = knn._best(emb, q, 3)
+    scores = emb @ q.T
+    for j in range(40):
+        want = set(np.argsort(-scores[:, j])[:3])
+        got = set(rows[cols == j])
+        assert want <= got and len(got) <= 4

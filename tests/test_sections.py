@@ -61,6 +61,11 @@ def test_page_lookup_exact_then_first_letter(spark):
     got = {r.rid: (r.page_id, r.status) for r in lookup_pages(req, pages).collect()}
     assert got == {1: (1, "capitalized"), 2: (3, "exact"), 3: (None, "not found"),
                    4: (2, "exact"), 5: (None, "empty topic")}
+    langs = spark.createDataFrame([(1, "Topic", "en"), (2, "Topic", "fr")],
+                                  "page_id long, title string, lang string")
+    req1 = spark.createDataFrame([(1, "topic")], "rid long, topic string")
+    assert lookup_pages(req1, langs, lang="fr").first().page_id == 2
+    assert lookup_pages(req1, langs).first().page_id == 1
     one = spark.createDataFrame([("éclair au chocolat",)], "t string")
     assert one.select(capitalize_first("t")).first()[0] == "Éclair au chocolat"
 
