@@ -53,14 +53,19 @@ def apply_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local tests) a scratch folder is created
-    and registered; on a cluster the configured shared folder is always used.
+    Only when nothing is configured and the master is local (tests) a
+    scratch folder is created and registered; on a cluster an unset folder is
+    an error, never a machine-local fallback.
     """
     conf_dir = spark.sparkContext.getCheckpointDir()
     if conf_dir:
         return conf_dir
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder is not visible to other executors
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS or an "
+                               "object store) for checkpoints, streams and store batches")
         conf_dir = tempfile.mkdtemp(prefix="folio-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(conf_dir)
     return spark.sparkContext.getCheckpointDir() or conf_dir
