@@ -597,3 +597,26 @@ def q_section_tree(spark, base):
 
 
 QUERIES["section_tree"] = q_section_tree
+
+
+def q_service_get_chunks(spark, base):
+    """The on-demand flow end to end: every distinct page title is requested
+    (query = the title, k = 4); the service resolves titles to pages,
+    ingests the missing topics into a fresh versioned store in the shared
+    checkpoint folder, and answers from the stored chunks."""
+    import uuid
+
+    from ..session import shared_path
+    from ..sources.pages import page_titles
+    from .service import Retrieval
+    pages = _pages(spark, base)
+    cs = store.ChunkStore(spark, shared_path(spark, f"svc-{uuid.uuid4().hex[:12]}"), buckets=8)
+    titles = page_titles(read_table(spark, base, "pages"))
+    svc = Retrieval(spark, cs, pages, titles=titles)
+    req = titles.select("title").distinct().select(
+        F.xxhash64("title").alias("query_id"), F.col("title").alias("topic"),
+        F.col("title").alias("query"), F.lit(4).alias("k"))
+    return flatten_source(svc.get_chunks(req)).drop("query_id")
+
+
+QUERIES["service_get_chunks"] = q_service_get_chunks
