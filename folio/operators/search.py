@@ -141,7 +141,8 @@ PAYLOAD = ("text", "tokens", "embedding_model", "url", "title", "section")
 def search(chunks: DataFrame, requests: DataFrame, *,
            embed_options: EmbedOptions = EmbedOptions(),
            options: SearchOptions = SearchOptions(), metric: str = "cosine",
-           model_filter: bool = False, method: str = "auto") -> DataFrame:
+           model_filter: bool = False, method: str = "auto",
+           late_payload: bool = False) -> DataFrame:
     """Exact batch top-k.  Rejected requests are dropped here; use
     ``validate_requests`` to see them.
 
@@ -173,15 +174,24 @@ def search(chunks: DataFrame, requests: DataFrame, *,
             if method == "blocks":
                 raise ValueError("request side exceeds broadcast_max_rows; use method='tiles'")
             req_pdf = None
+    scored_cols = needed.select("chunk_id", "topic", "embedding") if late_payload else needed
+    payload = () if late_payload else PAYLOAD
     if req_pdf is not None:
         k_bound = int(req_pdf["k"].max()) if len(req_pdf) else 1
-        cands = block_top_k(needed, req_pdf, metric=metric, payload=PAYLOAD)
+        cands = block_top_k(scored_cols, req_pdf, metric=metric, payload=payload)
     else:
         k_bound = _max_k(valid, options)
-        cands = tiled_top_k(needed, prepared, metric=metric, payload=PAYLOAD, k_bound=k_bound,
+        cands = tiled_top_k(scored_cols, prepared, metric=metric, payload=payload, k_bound=k_bound,
                             tile_chunks=options.tile_chunks, tile_queries=options.tile_queries)
     cands = cands.withColumn("score", F.round("score", options.score_decimals))
-    return shape_results(top_k(cands, k_bound))
+    hits = top_k(cands, k_bound)
+    if late_payload:
+        hits = hits.select("query_id", "k", "chunk_id", "topic", "score", "rank")
+        if req_pdf is not None:  # hits <= requests x k_bound rows: proven small
+            hits = F.broadcast(hits)
+        rows = needed.select("chunk_id", "topic", *PAYLOAD)
+        hits = rows.join(hits, ["chunk_id", "topic"])
+    return shape_results(hits)
 
 
 def get_chunks(spark, chunks: DataFrame, topic: str, query: str | None = None, k: int = 6,

@@ -110,6 +110,7 @@ class Retrieval:
         names = self._topics(requests).limit(prune_topics + 1).collect()
         chunks = (self.store.read_topics([r.topic for r in names])
                   if len(names) <= prune_topics else self.store.read())
+        kw.setdefault("late_payload", True)  # chunks come from the store
         return search(chunks, requests, embed_options=self.embed_options,
                       options=self.search_options, **kw)
 

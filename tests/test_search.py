@@ -34,7 +34,7 @@ def _brute(chunks_pdf, q_vec, topic, k):
     return [c for _, c in out[:k]]
 
 
-@pytest.mark.parametrize("method", ["blocks", "pairs", "tiles", "auto_small"])
+@pytest.mark.parametrize("method", ["blocks", "pairs", "tiles", "auto_small", "late"])
 def test_exact_top_k_equals_brute_force(spark, method):
     chunks = _chunks(spark)
     req = spark.createDataFrame(
@@ -43,8 +43,9 @@ def test_exact_top_k_equals_brute_force(spark, method):
     # tiny tiles: topic A (6 chunks, 2 requests) becomes 3 x 2 groups
     opts = SearchOptions(tile_chunks=2, tile_queries=1, broadcast_max_rows=2) \
         if method in ("tiles", "auto_small") else SearchOptions()
-    m = "auto" if method == "auto_small" else method
-    res = search(chunks, req, embed_options=OPTS, method=m, options=opts).collect()
+    m = {"auto_small": "auto", "late": "blocks"}.get(method, method)
+    res = search(chunks, req, embed_options=OPTS, method=m, options=opts,
+                 late_payload=method == "late").collect()
     cpdf = chunks.toPandas()
     qv = {r.query_id: r.q for r in default_query(validate_requests(req)[0])
           .select("query_id", hash_embed("query", OPTS).alias("q")).collect()}
