@@ -10,12 +10,12 @@ from folio.functions import text as T
 
 STRINGS = [
     "  plain  ",
-    " \t lead and trail  \n",
+    "\u00a0\t lead and trail  \n",
     "\x1c\x1dsep\x1e\x1f",
     "",
     "Nothing to strip",
     "\n\n\nlines\n\n\n",
-    "　ideographic　",
+    "\u3000ideographic\u3000",
 ]
 
 
