@@ -130,3 +130,16 @@ def test_score_tiles_exact_with_tiny_tiles(monkeypatch):
         want = set(np.argsort(-scores[:, j])[:3])
         got = set(rows[cols == j])
         assert want <= got and len(got) <= 4
+
+
+def test_tiled_equals_blocks_on_flagship_data(spark):
+    from conftest import SF_SMALL
+    from folio.plans.queries import _requests, document_chunks
+    chunks = document_chunks(spark, SF_SMALL).cache()
+    req = _requests(spark, SF_SMALL)
+    key = lambda rows: sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in rows)
+    blocks = search(chunks, req, method="blocks").collect()
+    tiles = search(chunks, req, method="tiles",
+                   options=SearchOptions(tile_chunks=7, tile_queries=2)).collect()
+    assert key(blocks) == key(tiles) and len(blocks) > 100
+    chunks.unpersist()
