@@ -88,19 +88,17 @@ def _best(emb: np.ndarray, qmat: np.ndarray, k_max: int):
     cols = np.concatenate(best_cols)
     vals = np.concatenate(best_scores)
     if len(emb) > step and len(rows):
-        keep = np.zeros(len(rows), dtype=bool)
+        # merge the tiles' candidates: per query keep its k best (plus
+        # near-ties), vectorised over all queries at once
         order = np.lexsort((-vals, cols))
         cols_sorted, vals_sorted = cols[order], vals[order]
-        ids = np.arange(qmat.shape[0])
-        starts = np.searchsorted(cols_sorted, ids)
-        ends = np.searchsorted(cols_sorted, ids, side="right")
-        for j in ids:
-            s, e = starts[j], ends[j]
-            if e - s <= k_max:
-                keep[order[s:e]] = True
-                continue
-            kth = vals_sorted[s + k_max - 1]
-            keep[order[s:e][vals_sorted[s:e] >= kth - _TIE_SLACK]] = True
+        starts = np.searchsorted(cols_sorted, np.arange(qmat.shape[0]))
+        counts = np.bincount(cols_sorted, minlength=qmat.shape[0])
+        rank = np.arange(len(order)) - starts[cols_sorted]
+        kth_pos = starts + np.minimum(counts, k_max) - 1
+        kth = np.where(counts > 0, vals_sorted[np.clip(kth_pos, 0, len(order) - 1)], np.inf)
+        keep_sorted = (rank < k_max) | (vals_sorted >= kth[cols_sorted] - _TIE_SLACK)
+        keep = order[keep_sorted]
         rows, cols, vals = rows[keep], cols[keep], vals[keep]
     return rows, cols, vals
 
