@@ -45,3 +45,30 @@ def test_get_chunks_single_call(spark):
         "url string, title string, section string").withColumn("embedding", hash_embed("text", opts))
     hits = get_chunks(spark, chunks, " T ", "eigen values", k=2, embed_options=opts).collect()
     assert [h.rank for h in hits] == [1, 2] and hits[0].chunk_id == "c0"
+
+
+def test_health_codes_and_precedence(spark):
+    from folio.operators.checks import health_check
+    req = spark.createDataFrame([(1, "T", 2), (2, "T", 2), (3, "T", 1), (4, "T", 1), (5, "T", 3)],
+                                "query_id long, topic string, k int")
+    src = "struct<kind:string,url:string,title:string,section:string>"
+    hits = spark.createDataFrame(
+        [(1, "T", "c1", "text", 0.9, 3, "m", ("w", "u", "t", "")),
+         (1, "T", "c2", "text", 0.8, 3, "m", ("w", "u", "t", "")),
+         (2, "T", "c1", "text", 0.9, 3, "m", ("w", "u", "t", "")),       # fewer than k
+         (3, "T", "c1", "text", 0.9, 3, None, ("w", "u", "t", "")),      # missing field
+         (4, "T", "c1", "text", 0.9, 3, "m", ("w", "", "t", "")),        # empty url
+         (5, "T", "c1", "", 0.9, 3, None, ("w", "u", "t", ""))],         # short wins
+        f"query_id long, topic string, chunk_id string, text string, score double, "
+        f"tokens long, embedding_model string, source {src}")
+    codes = {r.query_id: r.code for r in health_check(req, hits).collect()}
+    assert codes == {1: 0, 2: 2, 3: 3, 4: 4, 5: 2}
+
+
+def test_ingest_actions(spark):
+    from folio.operators.checks import ingest_actions
+    req = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", False)],
+                                "topic string, force boolean")
+    idx = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "topic string, indexed boolean")
+    got = {r.topic: r.action for r in ingest_actions(req, idx).collect()}
+    assert got == {"a": "re-ingest", "b": "ingest", "c": "skip", "d": "ingest"}
