@@ -145,13 +145,22 @@ def strip_tags(col) -> Column:
     return F.regexp_replace(_c(col), F.lit(r"<[^>]*>"), F.lit(" "))
 
 
-def html_to_text(col) -> Column:
+def html_to_text(col, collapse: bool = True) -> Column:
     """Visible text of a page: text nodes, each stripped, joined by one space.
 
-    Script and style contents, comments and the doctype are not text.
+    Script and style contents, comments and the doctype are not text.  With
+    ``collapse`` (default) every whitespace run becomes one space; without
+    it whitespace inside a text node is kept as it is, exactly one node per
+    piece: tags become a separator, each piece is decoded and stripped, empty
+    pieces are dropped.
     """
-    t = strip_tags(drop_non_text_blocks(col))
-    return collapse_whitespace(unescape_entities(t))
+    if collapse:
+        t = strip_tags(drop_non_text_blocks(col))
+        return collapse_whitespace(unescape_entities(t))
+    # NUL (never valid in HTML text) marks the node boundaries
+    marked = F.regexp_replace(drop_non_text_blocks(col), F.lit(r"<[^>]*>"), F.lit("\u0000"))
+    nodes = F.transform(F.split(marked, "\u0000"), lambda n: py_strip(unescape_entities(n)))
+    return F.array_join(F.filter(nodes, lambda n: n != ""), " ")
 
 
 def html_title(col) -> Column:

@@ -123,3 +123,18 @@ def test_html_title_and_entities(spark):
     assert html.unescape("&amp;quot;") == "&quot;"
     once = _col(spark, ["&amp;quot;"]).select(T.unescape_entities("t")).first()[0]
     assert once == "&quot;"
+
+
+class _Nodes(_Text):
+    def handle_data(self, data):
+        if not self.skip and data.strip():
+            self.parts.append(data.strip())
+
+
+def test_html_text_nodes_keep_inner_whitespace(spark):
+    page = PAGE.replace("<p>Second\n  para</p>", "<p>Second\n  para &amp;  more</p>")
+    got = _col(spark, [page], "html").select(T.html_to_text("html", collapse=False)).first()[0]
+    p = _Nodes()
+    p.feed(page)
+    assert got == " ".join(p.parts)
+    assert "Second\n  para &  more" in got
