@@ -80,14 +80,20 @@ def parse_block(block) -> Column:
                            f["is_mc"].alias("is_mc")))
 
 
-def parse_quiz(text) -> Column:
+def parse_quiz(text, strip_delimiter: bool = False) -> Column:
     """Quiz text -> ``array<question struct>`` in order (``{"quiz": [...]}``).
 
+    Answers keep the ``|||`` end marker the prompt asks for, as generated;
+    ``strip_delimiter`` removes a trailing one.
+
     Staged ``transform``s: lambdas get no common-subexpression elimination,
     so each stage stores its results in a struct field and later stages only
     read fields; every regular expression runs once per block.
     """
     fields = F.transform(split_blocks(text), _fields)
+    if strip_delimiter:
+        fields = F.transform(fields, lambda s: s.withField(
+            "answer", F.regexp_replace(s["answer"], r"\s*\|\|\|\s*\z", "")))
     matched = F.transform(fields, lambda s: F.struct(
         s["question"].alias("question"), s["answer"].alias("answer"),
         s["has_answer"].alias("has_answer"), s["is_mc"].alias("is_mc"),
@@ -100,10 +106,12 @@ def parse_quiz(text) -> Column:
     return F.filter(F.transform(mapped, _typed), lambda q: q.isNotNull())
 
 
-def quiz_questions(responses: DataFrame, key: str = "prompt_id", text_col: str = "text") -> DataFrame:
+def quiz_questions(responses: DataFrame, key: str = "prompt_id", text_col: str = "text",
+                   strip_delimiter: bool = False) -> DataFrame:
     """One row per kept question: ``key, pos, type, question, options,
     correct_answer``."""
-    return (responses.select(key, F.posexplode(parse_quiz(F.col(text_col))).alias("pos", "q"))
+    parsed = parse_quiz(F.col(text_col), strip_delimiter)
+    return (responses.select(key, F.posexplode(parsed).alias("pos", "q"))
                      .select(key, F.col("pos").cast("int").alias("pos"), "q.*"))
 
 

@@ -95,3 +95,9 @@ def test_lessons_table_append_and_read(spark, tmp_dir):
     assert len(got[0].quiz.quiz) == 5
     listed = lessons.list_lessons(lessons.read_lessons(spark, path)).orderBy("n").collect()
     assert [(r.n, r.topic) for r in listed] == [(1, "T2"), (2, "T1")]
+
+
+def test_strip_delimiter_option(spark):
+    df = spark.createDataFrame([("p1", QUIZ)], "prompt_id string, text string")
+    rows = quiz.quiz_questions(df, strip_delimiter=True).orderBy("pos").collect()
+    assert [r.correct_answer for r in rows] == ["A) A set", "C", "They scale eigenvectors.", "", "B"]
