@@ -17,9 +17,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def tokenize(col) -> Column:
-    """Text -> ``array<string>`` of lower-cased tokens (no special tokens)."""
-    return F.regexp_extract_all(F.lower(_c(col)), F.lit(TOKEN_PATTERN), 0)
+def tokenize(col, lower: bool = True) -> Column:
+    """Text -> ``array<string>`` of tokens (no special tokens), lower-cased
+    unless ``lower=False``."""
+    t = F.lower(_c(col)) if lower else _c(col)
+    return F.regexp_extract_all(t, F.lit(TOKEN_PATTERN), 0)
 
 
 def detokenize(tokens) -> Column:

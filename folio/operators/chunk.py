@@ -29,7 +29,8 @@ def chunk_id(url, section, a, b):
 
 def chunk_sections(sections: DataFrame, options: ChunkOptions = ChunkOptions(), *,
                    text_col: str = "text", title_col: str = "title", url_col: str = "url",
-                   keep: tuple = (), tokenizer=None, bucket_dim: int | None = None) -> DataFrame:
+                   keep: tuple = (), tokenizer=None, bucket_dim: int | None = None,
+                   keep_case: bool = False) -> DataFrame:
     """Chunk sections.
 
     Output columns: ``keep`` columns, ``chunk_id, text, tokens, section, url,
@@ -37,19 +38,26 @@ def chunk_sections(sections: DataFrame, options: ChunkOptions = ChunkOptions(),
     function text -> array<string> (for example an Arrow UDF wrapping a user
     tokenizer); the default is the built-in regex tokenizer.
 
+    ``keep_case``: chunk text keeps the original case (tokens are only
+    lower-cased for hashing); by default the text is the lower-cased tokens.
+
     ``bucket_dim``: also emit ``buckets``, the hash bucket of every token of
     the window, so the hashing encoder does not re-tokenize chunk text.  (A
     window's text re-tokenizes to exactly its token slice, so the vectors are
     the same.)
     """
     from .embed import bucket_of
-    tok = tokenizer or tokenize
+    tok = tokenizer or (lambda c: tokenize(c, lower=not keep_case))
     staged = (sections
               .withColumn("_raw", py_strip(F.coalesce(F.col(text_col), F.lit(""))))
               # tokens are a column of their own: referenced inside the window
               # lambda, an inline expression would be re-evaluated per window
               .withColumn("_toks", tok(F.col("_raw"))))
-    per_token = (lambda w: bucket_of(w, bucket_dim)) if bucket_dim else None
+    if bucket_dim:
+        per_token = (lambda w: bucket_of(F.lower(w), bucket_dim)) if keep_case else \
+            (lambda w: bucket_of(w, bucket_dim))
+    else:
+        per_token = None
     staged = staged.withColumn("_pieces", F.when(
         (F.col("_raw") != "") & (F.length("_raw") >= options.min_chars),
         window_pieces(F.col("_toks"), options.window, options.step, per_token)))

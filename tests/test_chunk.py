@@ -98,3 +98,15 @@ def test_chunk_plan_has_no_filter_below_generate(spark):
     plan = chunk_sections(df, keep=("topic",))._jdf.queryExecution().optimizedPlan().toString()
     # tokenising happens once: no size(...) > 0 filter re-evaluating the windows
     assert "size(transform" not in plan
+
+
+def test_keep_case_text_and_same_buckets(spark):
+    text = " ".join(f"Word{i} Ça" for i in range(120))
+    df = spark.createDataFrame([("T", "S", text, "u")], "topic string, title string, text string, url string")
+    opts = ChunkOptions(max_tokens=64, overlap=8)
+    lower = {r.chunk_id: r for r in chunk_sections(df, opts, bucket_dim=16).collect()}
+    cased = {r.chunk_id: r for r in chunk_sections(df, opts, bucket_dim=16, keep_case=True).collect()}
+    assert lower.keys() == cased.keys()
+    for cid, r in cased.items():
+        assert r.text.lower() == lower[cid].text and r.text != lower[cid].text
+        assert r.buckets == lower[cid].buckets
