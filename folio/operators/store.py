@@ -340,10 +340,13 @@ class ChunkStore:
                .select("topic_bucket").distinct().collect())
         return {r[0] for r in hit}
 
-    def upsert(self, new: DataFrame, key=("topic", "chunk_id")) -> int:
+    def upsert(self, new: DataFrame, key=("topic", "chunk_id"), *,
+               materialized: bool = False) -> int:
         """Merge ``new``; only the buckets of ``new``'s topics are rewritten,
-        plus, for an id-only key, the buckets already holding its ids."""
-        new = materialize(new)
+        plus, for an id-only key, the buckets already holding its ids.
+        ``materialized``: ``new`` was already written once by ``materialize``."""
+        if not materialized:
+            new = materialize(new)
         touched = {r[0] for r in new.select(topic_bucket("topic", self.buckets))
                    .distinct().collect()}
         if "topic" not in key:

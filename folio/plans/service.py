@@ -85,8 +85,9 @@ class Retrieval:
         if missing.limit(1).count() == 0:
             return self.spark.createDataFrame([], "topic string, reason string")
         rows, rejects = self.build(missing)
+        rows = st.materialize(rows)  # the ingest pipeline runs once
         if rows.limit(1).count() > 0:  # nothing resolvable: no new version
-            self.store.upsert(rows, self.key)
+            self.store.upsert(rows, self.key, materialized=True)
         return rejects
 
     def reingest(self, topics: DataFrame, mode: str = "merge") -> DataFrame:
