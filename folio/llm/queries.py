@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._util import read_table
+from .jaccard import jaccard_groups
 from .substring import substring_dedup
 
 
@@ -16,7 +17,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_jaccard_join": op10_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
