@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Words, gram_hash, long_array, range_hash, stage_table, text_slices
+from ._util import (Words, drop_table, gram_hash, long_array, range_hash, stage_table,
+                    text_slices)
 
 WINDOW = 13
-SEED = 3
+SEED = 4
 
 
 class Anchors:
@@ -218,10 +219,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED,
     least = windows.groupBy("seed", "win").agg(F.min("doc_id").alias("first"))
     single = (windows.join(least, ["seed", "win"]).where("doc_id > first")
               .select("doc_id", "win"))
-    marks = (whole.select("doc_id", "reach", F.lit(None).cast("long").alias("win"))
+    marks = stage_table(whole.select("doc_id", "reach", F.lit(None).cast("long").alias("win"))
              .unionByName(single.select("doc_id", F.lit(None).cast("long").alias("reach"), "win"))
              .groupBy("doc_id").agg(F.collect_set("reach").alias("whole"),
-                                    F.collect_set("win").alias("single")))
+                                    F.collect_set("win").alias("single")), "marks")
+    for done in (found, first, windows):
+        drop_table(done)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return docs.join(marks, "doc_id", "left").mapInArrow(
         _cover(window, seed, with_text), out + (", kept_text string" if with_text else ""))
