@@ -10,7 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._util import read_table
 from .jaccard import jaccard_groups
+from .packing import pack_documents
 from .substring import substring_dedup
+from .tokens import token_counts
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +33,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_token_counts": op7_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
