@@ -7,12 +7,24 @@ of its contract.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._util import read_table
 from .jaccard import jaccard_groups
+from .lines import line_dedup
 from .packing import pack_documents
 from .substring import substring_dedup
 from .tokens import token_counts
+from .warc import page_archive
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_archive(read_table(spark, sf_dir, "pages"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,12 +45,39 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_warc": op3_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_counts": op7_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": """
+with w as (select doc_id, source, string_split(text, chr(10)) as lines from documents),
+l as (select doc_id, source, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as place
+      from w),
+k as (select doc_id, source, place, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as bare
+      from l),
+spread as (select bare, min(doc_id) as first from k where bare <> ''
+           group by bare having count(distinct source) >= 10),
+gone as (select doc_id, list(place) as gone from k join spread using (bare)
+         where doc_id > first group by doc_id)
+select doc_id, coalesce(len(lines), 0)::bigint as n_lines,
+    coalesce(len(gone), 0)::bigint as n_removed,
+    sha256(array_to_string([lines[i] for i in range(1, len(lines) + 1)
+                            if gone is null or not list_contains(gone, i)], chr(10))) as kept_sha256
+from w left join gone using (doc_id)
+""",
+    "op3_warc": """
+with p as (select page_id, sha256(coalesce(html, '')) as d, octet_length(encode(coalesce(html, ''))) as n
+           from pages),
+h as (select d, min(page_id) as head from p where n >= 100 group by d)
+select page_id, n::bigint as payload_bytes, d as payload_digest,
+    case when page_id <> head then 'revisit' else 'response' end as record_type,
+    case when page_id <> head then head end as refers_to
+from p left join h using (d)
+""",
     "op8_substring_dedup": """
 with w as (
     select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as words
