@@ -129,6 +129,12 @@ def text_slices(batch: pa.RecordBatch, column: str = "text",
         at = to
 
 
+def with_end(batches: Iterator) -> Iterator:
+    """The batches, then None."""
+    yield from batches
+    yield None
+
+
 def long_array(values: np.ndarray) -> pa.Array:
     """Unsigned hashes as Spark longs."""
     return pa.array(np.ascontiguousarray(values).view(np.int64), pa.int64())

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import (Words, connected_components, mix, range_hash, stage_table, text_slices)
+from ._util import (Words, connected_components, mix, range_hash, stage_table, text_slices,
+                    with_end)
 
 SHINGLE = 3
 PERCENT = 90
@@ -227,7 +228,7 @@ def _search_tiles(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        for batch in (*batches, None):
+        for batch in with_end(batches):
             if batch is not None:
                 table = pa.Table.from_batches([batch])
                 rest = table if rest is None else pa.concat_tables([rest, table])

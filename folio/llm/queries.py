@@ -15,9 +15,14 @@ from .lines import line_dedup
 from .packing import pack_documents
 from .substring import substring_dedup
 from .tokens import token_counts
+from .vectors import near_vectors
 from .warc import page_archive
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -44,15 +49,32 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op10_jaccard_join": op10_jaccard_join,
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_counts": op7_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL = {
+    "op1_embedding_dedup": """
+with recursive v as (
+    select vec_id, label, embedding::double[] as e,
+        sqrt(list_dot_product(embedding::double[], embedding::double[])) as norm
+    from embeddings where label is not null and embedding is not null),
+pairs as (
+    select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id < b.vec_id
+    where a.norm > 0 and b.norm > 0 and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+links as (select a, b from pairs union all select b, a from pairs),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+n as (select a, count(*) as n from links group by a),
+c as (select a, min(b) as low from reach group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(low, vec_id)) as component_id,
+    vec_id = least(vec_id, coalesce(low, vec_id)) as kept
+from embeddings left join n on n.a = vec_id left join c on c.a = vec_id
+""",
     "op2_line_dedup": """
 with w as (select doc_id, source, string_split(text, chr(10)) as lines from documents),
 l as (select doc_id, source, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as place
