@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from ._util import read_table
 from .jaccard import jaccard_groups
 from .lines import line_dedup
+from .lm import lm_scores
 from .packing import pack_documents
 from .substring import substring_dedup
 from .tokens import token_counts
+from .toxicity import fold, score_toxicity, train_toxicity
 from .vectors import near_vectors
 from .warc import page_archive
 
@@ -32,6 +34,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_archive(read_table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    field = train_toxicity(docs, read_table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, field).select(
+        "doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +54,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"))
 
@@ -52,9 +66,11 @@ QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
+    "op4_toxicity": op4_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_counts": op7_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
