@@ -10,14 +10,14 @@ Count vectors of unrelated texts of one length lie close together, so a tree
 over the points alone cannot spread the work over a cluster.  Its top levels
 are therefore exact sub-points: hash space is cut into more blocks than two
 linked sets can differ in, so linked sets agree entirely in one block.  Each
-block's content is a leaf key; under it the bound and, in large leaves, an
-R-tree of the points decide.
-
-Equal sets are one class from the start.  Each leaf first links its members to
-its smallest class; members already connected are not compared again, so a group
-of near copies costs one comparison a member, not all pairs.  Only leaves that
-still hold several components are searched with the tree, in tiles of bounded
-size.  The result is exact at any size.
+block's content is a leaf key, and sets that share leaves form a cluster; inside
+it the points are indexed by R-trees, the bound and the shingles decide.
+
+Equal sets are one class from the start.  Each leaf first compares its members
+with its smallest class; members that this connects are not compared again, so a
+group of near copies costs about one comparison a member, not all pairs.  Only
+clusters that still hold several components are searched with the trees, in
+tiles of bounded size.  The result is exact at any size.
 """
 
 from __future__ import annotations
@@ -200,31 +200,49 @@ class CountTree:
 
 
 def _search_tiles(percent: int):
-    """Pairs of differing components in each (leaf, i, j) run that pass the bound."""
-    names = ["leaf", "i", "j"]
+    """Links that join components, found in each (cluster, left, right) run of two tiles.
 
-    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    The points of the right tile are indexed, those of the left tile searched.
+    Pairs already connected are not compared, so a run returns fewer links than
+    it has rows.
+    """
+    names = ["cluster", "left", "right"]
+
+    def links(rows: pa.Table) -> tuple[list, list]:
         cls = rows["cls"].to_numpy()
-        comp = rows["component"].to_numpy()
         tile = rows["tile"].to_numpy()
         sizes = rows["n"].to_numpy()
         counts = np.stack(rows["counts"].to_numpy()).astype(np.int64)
-        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        sets = rows["shingles"].combine_chunks()
+        _, up = np.unique(rows["component"].to_numpy(), return_inverse=True)
+        up = up.tolist()  # union-find over the components
+        comp = list(up)
+        up = list(range(max(up) + 1))
+
+        def root(i):
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        i, j = rows["left"][0].as_py(), rows["right"][0].as_py()
         right = np.flatnonzero(tile == j)
-        left = np.flatnonzero(tile == i)
-        if not len(left) or not len(right):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         tree = CountTree(counts[right], sizes[right])
         a, b = [], []
-        for x in left:
-            found = right[tree.search(counts[x], int(sizes[x]), percent)]
-            found = found[comp[found] != comp[x]]
-            if i == j:
-                found = found[cls[found] > cls[x]]
-            a.append(np.full(len(found), cls[x]))
-            b.append(cls[found])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return np.minimum(a, b), np.maximum(a, b)
+        for x in np.flatnonzero(tile == i).tolist():
+            own = None
+            for y in right[tree.search(counts[x], int(sizes[x]), percent)].tolist():
+                rx, ry = root(comp[x]), root(comp[y])
+                if rx == ry:
+                    continue
+                if own is None:
+                    own = sets[x].values.to_numpy()
+                both = len(np.intersect1d(own, sets[y].values.to_numpy(), True))
+                if 100 * both >= percent * (len(own) + int(sizes[y]) - both):
+                    up[max(rx, ry)] = min(rx, ry)
+                    a.append(cls[x])
+                    b.append(cls[y])
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -238,14 +256,40 @@ def _search_tiles(percent: int):
             cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
             ends = cut if batch is None else cut[:-1]  # the last run may go on
             for lo, hi in zip(ends[:-1], ends[1:]):
-                a, b = pairs(rest.slice(lo, hi - lo))
-                if len(a):
+                a, b = links(rest.slice(lo, hi - lo))
+                if a:
                     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
                                           ["a", "b"])
             rest = rest.slice(ends[-1])
     return run
 
 
+def _tiles(open_rows: DataFrame, tile: int) -> DataFrame:
+    """(cluster, left, right, tile, cls, component): the tile pairs that need a search.
+
+    A component larger than a tile has tiles of its own, the others share tiles.
+    Two tiles of one component need no search, so a large group that is already
+    connected is compared with what is left of its cluster only.
+    """
+    large = (open_rows.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+             .where(F.col("size") > tile).select("cluster", "component", F.lit(True).alias("large")))
+    rows = (open_rows.join(large, ["cluster", "component"], "left")
+            .withColumn("pure", F.when(F.col("large"), F.col("component"))).drop("large"))
+    pools = (rows.groupBy("cluster", "pure")
+             .agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")))
+    rows = (rows.join(pools.withColumnRenamed("cluster", "c2").withColumnRenamed("pure", "p2"),
+                      (F.col("cluster") == F.col("c2")) & F.col("pure").eqNullSafe(F.col("p2")))
+            .withColumn("tile", F.xxhash64("pure", F.pmod(F.xxhash64("cls"), F.col("parts"))))
+            .select("cluster", "pure", "tile", "cls", "component"))
+    tiles = rows.select("cluster", "pure", "tile").distinct()
+    other = tiles.select("cluster", F.col("pure").alias("pure2"), F.col("tile").alias("tile2"))
+    pairs = (tiles.join(other, "cluster")
+             .where("tile <= tile2 and not (pure is not null and pure <=> pure2)")
+             .select("cluster", F.col("tile").alias("left"), F.col("tile2").alias("right")))
+    sides = pairs.select("*", F.explode(F.array_distinct(F.array("left", "right"))).alias("tile"))
+    return rows.drop("pure").join(sides, ["cluster", "tile"])
+
+
 def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: bound first, then the shingles."""
     def side(name, *cols):
@@ -302,27 +346,20 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
             .distinct())
     links = stage_table(_verified(star, points, percent), "star")
 
-    # leaves whose members other than the head are still in several components
-    part = connected_components(links, "part")
-    rest = (members.where("cls <> head")
-            .join(part.withColumnRenamed("node", "cls"), "cls", "left")
-            .withColumn("component", F.coalesce("component", "cls")))
-    spread = (rest.groupBy("leaf")
-              .agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                   F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum"))
-              .where("lo < hi")
-              .groupBy("lo", "hi", "size", "sum").agg(F.min("leaf").alias("leaf"))  # one leaf a group
-              .select("leaf", F.ceil(F.col("size") / tile).cast("int").alias("tiles")))
-    tiles = (rest.join(spread, "leaf")
-             .withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .select("leaf", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
-                     "tile", "cls", "component")
-             .join(points.select("cls", "n", "counts"), "cls"))
-    pairs = (tiles.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")
-             .select("leaf", "i", "j", "tile", "cls", "component", "n", "counts")
-             .mapInArrow(_search_tiles(percent), "a long, b long").distinct())
-    more = _verified(stage_table(pairs, "pairs"), points, percent)
+    # classes that share leaves form a cluster; those in several components are searched
+    part = connected_components(links, "part").withColumnRenamed("node", "cls")
+    cluster = connected_components(star, "clusters").select(
+        F.col("node").alias("cls"), F.col("component").alias("cluster"))
+    rows = (cluster.join(part, "cls", "left")
+            .select("cluster", "cls", F.coalesce("component", "cls").alias("component")))
+    spread = (rows.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                          F.count("*").alias("size"))
+              .where("lo < hi and size > 2").select("cluster"))  # a pair has been compared
+    keys = ["cluster", "left", "right"]
+    tiles = (_tiles(rows.join(spread, "cluster"), tile).join(points, "cls")
+             .select(*keys, "tile", "cls", "component", "n", "counts", "shingles"))
+    more = stage_table(tiles.repartition(*keys).sortWithinPartitions(*keys)
+                       .mapInArrow(_search_tiles(percent), "a long, b long"), "more")
 
     found = connected_components(links.unionByName(more), "linked")
     least = (found.join(classes.withColumnRenamed("cls", "node"), "node")
