@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +107,11 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(len(texts)), self.count)
-        self.hash = range_hash(_VALUES[lower][self.data], self.start, self.end)
+        self.lower = lower
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return range_hash(_VALUES[self.lower][self.data], self.start, self.end)
 
     def row_end(self) -> np.ndarray:
         """For each word, the number of words up to the end of its row."""

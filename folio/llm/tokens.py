@@ -17,19 +17,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import text_slices
+from ._util import Words, range_hash, text_slices
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
-BATCH_BYTES = 1 << 20
-KEPT_PIECES = 500_000  # in each of two generations
+BATCH_BYTES = 2 << 20
+KEPT_PIECES = 1_000_000
 
 # White space of the token pattern that is not ASCII, or that libraries class differently.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
-_PIECES = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+\Z")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+# Bytes that begin such characters in UTF-8.
+_ODD_LEAD = np.zeros(256, bool)
+_ODD_LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+LONG_PIECE = 128  # bytes; longer pieces are not kept
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -37,17 +42,36 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def safe_pieces(text: str) -> list[str]:
-    """Pieces of ``text`` whose tokens do not depend on their neighbours.
+def safe_pieces(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, start, end, row) of pieces whose tokens do not depend on their neighbours.
 
-    A piece is a run of white space and the visible run after it.  No token of
-    the byte-level pattern holds white space after a visible character, and
-    nothing before a piece is looked at when it is split, so the tokens of the
-    text are those of its pieces.  Texts with other white space stay whole.
+    A piece is a run of white space and the visible run after it; white space
+    that ends a text is one too.  No token of the byte-level pattern holds white
+    space after a visible character, and nothing before a piece is looked at when
+    it is split, so the tokens of a text are those of its pieces.  Texts with
+    other white space are one piece.
     """
-    if _ODD_SPACE.search(text):
-        return [text]
-    return _PIECES.findall(text)
+    words = Words(texts)
+    rows = np.arange(len(texts))
+    lead = _ODD_LEAD[words.data]
+    total = np.concatenate([[0], np.cumsum(lead)])
+    odd = total[words.offsets[1:]] > total[words.offsets[:-1]]
+    for i in np.flatnonzero(odd):
+        odd[i] = _ODD_SPACE.search(texts[int(i)].as_py() or "") is not None
+    end = np.concatenate([words.end, words.offsets[1:]])  # each row's last piece ends it
+    row = np.concatenate([words.row, rows])
+    order = np.argsort(row, kind="stable")
+    end, row = end[order], row[order]
+    start = np.concatenate([[0], end[:-1]])
+    new = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+    start[new] = words.offsets[:-1]
+    keep = (end > start) & ~odd[row]
+    whole = np.flatnonzero(odd)
+    start = np.concatenate([start[keep], words.offsets[whole]])
+    end = np.concatenate([end[keep], words.offsets[whole + 1]])
+    row = np.concatenate([row[keep], whole])
+    order = np.argsort(row, kind="stable")
+    return words, start[order], end[order], row[order]
 
 
 def byte_batches(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
@@ -69,8 +93,11 @@ class Encoder:
     def __init__(self, path: str, kept: int = KEPT_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         self.kept = kept
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.turn = 0
+        # known pieces by sorted hash: place and number of their ids, and when last used
+        self.key = np.zeros(0, np.uint64)
+        self.place = self.size = self.used = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
         if path.endswith(".model"):
             import sentencepiece
             model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -83,7 +110,8 @@ class Encoder:
             # only the plain byte-level pattern, without normaliser or options, allows cuts
             self.split = (model.normalizer is None and isinstance(model.pre_tokenizer, ByteLevel)
                           and not model.pre_tokenizer.add_prefix_space
-                          and not any(" " in t.content or t.lstrip or t.rstrip or t.single_word
+                          and not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip
+                                      or t.single_word
                                       for t in model.get_added_tokens_decoder().values()))
             model.no_padding()
             model.no_truncation()
@@ -94,49 +122,89 @@ class Encoder:
                 for token, i in model.get_vocab(with_added_tokens=True).items():
                     self.width[i] = len(token)
 
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for batch in byte_batches(texts):
-            out += [np.asarray(ids, "<u4").tobytes() for ids in self._encode(batch)]
-        return out
-
-    def _packed_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of single pieces; most are encoded many at a time and cut apart by bytes."""
-        alone = [p for p in pieces if not p[0].isspace() or p[-1].isspace()]
-        yield from zip(alone, self._packed(alone))
-        joined = [p for p in pieces if p[0].isspace() and not p[-1].isspace()]
-        for batch in byte_batches(joined, 1 << 16):
-            ids = np.asarray(self._encode(["".join(batch)])[0], "<u4")
-            sizes = np.fromiter((len(p.encode()) for p in batch), np.int64, len(batch))
-            cut = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes)) + 1
-            packed = ids.tobytes()
-            at = 0
-            for p, to in zip(batch, (4 * cut).tolist()):
-                yield p, packed[at:to]
-                at = to
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each), every text by itself."""
+        ids = [np.asarray(i, np.uint32) for batch in byte_batches(texts) for i in self._encode(batch)]
+        return (np.concatenate([np.zeros(0, np.uint32), *ids]),
+                np.array([len(i) for i in ids], np.int64))
+
+    def _new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_whole``; pieces between blank and visible are encoded many at a time."""
+        alone = np.array([p[:1].strip() != b"" or p[-1:].strip() == b"" or len(p) > LONG_PIECE
+                          for p in pieces], bool)
+        size = np.zeros(len(pieces), np.int64)
+        parts, owner = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        at = np.flatnonzero(alone)
+        if len(at):
+            ids, n = self._whole([pieces[i].decode() for i in at])
+            size[at] = n
+            parts.append(ids)
+            owner.append(np.repeat(at, n))
+        joined = np.flatnonzero(~alone)
+        for lo in range(0, len(joined), 4096):
+            some = joined[lo:lo + 4096]
+            batch = [pieces[i] for i in some]
+            ids = np.asarray(self._encode([b"".join(batch).decode()])[0], np.uint32)
+            ends = np.cumsum([len(p) for p in batch])
+            cut = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+            n = np.diff(np.concatenate([[0], cut]))
+            size[some] = n
+            parts.append(ids)
+            owner.append(np.repeat(some, n))
+        order = np.argsort(np.concatenate(owner), kind="stable")
+        return np.concatenate(parts)[order], size
+
+    def _learn(self, key: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Keep the ids of new pieces (keys sorted); forget those not used lately."""
+        if len(self.key) + len(key) > self.kept and len(self.key):
+            stay = (self.used > np.median(self.used)) | (self.used == self.turn)
+            n = self.size[stay]
+            place = np.cumsum(n) - n
+            self.ids = self.ids[np.repeat(self.place[stay] - place, n) + np.arange(n.sum())]
+            self.key, self.place, self.size, self.used = self.key[stay], place, n, self.used[stay]
+        at = np.searchsorted(self.key, key)
+        place = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, ids])
+        self.key = np.insert(self.key, at, key)
+        self.place = np.insert(self.place, at, place)
+        self.size = np.insert(self.size, at, size)
+        self.used = np.insert(self.used, at, self.turn)
+
+    def _find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(known piece of each piece, row of each piece), after learning new ones."""
+        words, start, end, row = safe_pieces(texts)
+        h = range_hash(_VALUE[words.data], start, end)
+        key, first, which = np.unique(h, return_index=True, return_inverse=True)
+        self.turn += 1
+        at = np.searchsorted(self.key, key)
+        hit = at < len(self.key)
+        hit[hit] = self.key[at[hit]] == key[hit]
+        if not hit.all():
+            self.used[at[hit]] = self.turn  # keeps them while others are forgotten
+            text = words.data.tobytes()
+            new = first[~hit]
+            pieces = [text[s:e] for s, e in zip(start[new].tolist(), end[new].tolist())]
+            self._learn(key[~hit], *self._new(pieces))
+            at = np.searchsorted(self.key, key)
+        self.used[at] = self.turn
+        return at[which], row
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """The number of tokens of each text."""
         if not self.split:
-            yield from self._packed(texts)
-            return
-        pieces = [safe_pieces(t) for t in texts]
-        wanted = set().union(*pieces)
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > self.kept:  # keep what was used lately
-            self.older, self.known = self.known, {}
-            new = wanted
-        kept = new.intersection(self.older)
-        self.known.update((p, self.older[p]) for p in kept)
-        self.known.update(self._packed_pieces(list(new - kept)))
-        find = self.known.__getitem__
-        for p in pieces:
-            yield b"".join(map(find, p))
-
-    def lengths(self, texts: list[str]) -> Iterator[int]:
-        """Token counts only."""
-        for ids in self.encode(texts):
-            yield len(ids) >> 2
+            return self._whole(texts.to_pylist())[1]
+        piece, row = self._find(texts)
+        return np.bincount(row, self.size[piece], len(texts)).astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        if not self.split:
+            return self._whole(texts.to_pylist())
+        piece, row = self._find(texts)
+        n = self.size[piece]
+        place = self.place[piece] - (np.cumsum(n) - n)
+        ids = self.ids[np.repeat(place, n) + np.arange(n.sum())]
+        return ids, np.bincount(row, n, len(texts)).astype(np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -149,20 +217,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _strings(part: pa.RecordBatch) -> list[str]:
-    return [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-
-
 def _counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
             for part in text_slices(batch, limit=BATCH_BYTES):
-                texts = _strings(part)
+                texts = part.column(part.schema.get_field_index("text"))
                 yield pa.record_batch(
                     [part.column(part.schema.get_field_index("doc_id")),
-                     pa.array([len(t.encode()) for t in texts], pa.int64()),
-                     pa.array(list(enc.lengths(texts)), pa.int64())],
+                     pc.cast(pc.binary_length(texts), pa.int64()),
+                     pa.array(enc.lengths(texts), pa.int64())],
                     ["doc_id", "n_bytes", "n_tokens"])
     return run
 
@@ -180,7 +244,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     """
     path = path or vocabulary_path()
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                        F.col("text").cast("string").alias("text"))
+                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
             .mapInArrow(_counts(path), "doc_id long, n_bytes long, n_tokens long")
             .withColumn("over_limit", F.col("n_tokens") > limit))
 
@@ -191,11 +255,14 @@ def _pieces(path: str, capacity: int, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in text_slices(batch, limit=BATCH_BYTES):
-                ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
-                rows = []
-                for doc_id, tokens in zip(ids, enc.encode(_strings(part))):
-                    tokens += end
-                    total = len(tokens) >> 2
+                doc_ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
+                ids, sizes = enc.encode(part.column(part.schema.get_field_index("text")))
+                packed = ids.astype("<u4").tobytes()
+                rows, done = [], 0
+                for doc_id, n in zip(doc_ids, sizes.tolist()):
+                    tokens = packed[4 * done: 4 * (done + n)] + end
+                    done += n
+                    total = n + 1
                     at = 0
                     # only the first piece may be shorter than the rest
                     size = total % capacity or capacity
@@ -215,6 +282,6 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = LIMIT
     """Each text's tokens and one end token, cut into pieces of ``capacity`` if longer."""
     path = path or vocabulary_path()
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                        F.col("text").cast("string").alias("text"))
+                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
             .mapInArrow(_pieces(path, capacity, end_id),
                         "doc_id long, piece long, start long, length long, ids_crc32 long"))
