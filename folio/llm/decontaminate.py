@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ class Bag:
     """Words of a few texts without case and outer punctuation: identity and bucket."""
 
     def __init__(self, texts: pa.Array):
-        words = Words(texts, lower=True)
+        words = Words(pc.utf8_lower(texts), lower=True)
         start, end, data = words.start.copy(), words.end.copy(), words.data
         for edge, step in ((end, -1), (start, 1)):
             at = np.arange(len(edge))
@@ -280,8 +281,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sh
     """Benchmark items found in documents, one row for each document and item.
 
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` has ``item_id`` and
-    ``text``; other columns are ignored.  Words are compared without case (A-Z)
-    and outer punctuation.  An item is found where at least ``share`` of its
+    ``text``; other columns are ignored.  Words are compared without case and
+    outer punctuation.  An item is found where at least ``share`` of its
     words, and ``answer_share`` of its last words, are a common subsequence with
     the text.  Null, empty and blank texts and items are never found; rows with a
     null id are left out.  Repeated documents are found each by its row, repeated
