@@ -136,7 +136,6 @@ def _cover(window: int, seed: int, with_text: bool):
         for batch in batches:
             for part in text_slices(batch):
                 words = Words(part.column(part.schema.get_field_index("text")))
-                ids = _ids(part)
                 a = Anchors(words, window, seed)
                 edges = np.searchsorted(a.row, np.arange(part.num_rows + 1))
                 wedges = np.searchsorted(words.row[a.windows], np.arange(part.num_rows + 1)) \
@@ -170,7 +169,7 @@ def _cover(window: int, seed: int, with_text: bool):
                     digest.append(hashlib.sha256(kept).hexdigest())
                     if with_text:
                         kept_text.append(kept.decode("utf-8", "replace"))
-                cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()),
+                cols = [part.column(part.schema.get_field_index("doc_id")), pa.array(n, pa.int64()),
                         pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
                 if with_text:
