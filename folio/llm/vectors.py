@@ -27,8 +27,8 @@ from ._util import connected_components, stage_table, with_end
 
 COSINE = 0.98
 BLOCK = 8  # coordinates of a block
-GRID = 3  # of them, those that the grid divides
-CELL = 4.0  # width of a cell in units of the block's radius
+GRIDS = (2, 6)  # least and most of them that the grid divides
+CELL = 2.0  # width of a cell in units of the block's radius
 TILE = 256
 # Distances are computed in double precision; this keeps pairs at the limit as candidates.
 SLACK = 1e-9
@@ -48,7 +48,8 @@ def blocks_of(dim: int, block: int = BLOCK) -> list[np.ndarray]:
 class Subspaces:
     """Rotation, blocks and grid of one dimension."""
 
-    def __init__(self, dim: int, cosine: float):
+    def __init__(self, dim: int, cosine: float, grid: int):
+        self.grid = grid
         self.rotation = rotation(dim)
         self.blocks = blocks_of(dim)
         # proportional to the coordinates in the block
@@ -59,7 +60,7 @@ class Subspaces:
 
     def spans(self, rotated: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(home cell, least and largest reachable cell) in the grid of block ``k``."""
-        coords = rotated[:, self.blocks[k][:GRID]]
+        coords = rotated[:, self.blocks[k][:self.grid]]
         radius = np.sqrt(self.share[k]) * (1 + 1e-6)
         width = CELL * radius
         return (np.floor(coords / width).astype(np.int64),
@@ -70,10 +71,10 @@ class Subspaces:
 _spaces: dict[tuple, Subspaces] = {}
 
 
-def subspaces(dim: int, cosine: float) -> Subspaces:
-    if (dim, cosine) not in _spaces:
-        _spaces[dim, cosine] = Subspaces(dim, cosine)
-    return _spaces[dim, cosine]
+def subspaces(dim: int, cosine: float, grid: int = GRIDS[0]) -> Subspaces:
+    if (dim, cosine, grid) not in _spaces:
+        _spaces[dim, cosine, grid] = Subspaces(dim, cosine, grid)
+    return _spaces[dim, cosine, grid]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -86,7 +87,7 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _cells(cosine: float, payload: tuple):
+def _cells(cosine: float, grid: int, payload: tuple):
     """A row for each block and reachable cell of a point; home says which is its own.
 
     A pair that meets across a cell border meets in both cells; it is taken in
@@ -97,7 +98,7 @@ def _cells(cosine: float, payload: tuple):
             dims = batch.column(batch.schema.get_field_index("dim")).to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                space = subspaces(int(dim), cosine)
+                space = subspaces(int(dim), cosine, grid)
                 rotated = space.rotate(unit_rows(_matrix(
                     part.column(part.schema.get_field_index("embedding")))))
                 for k in range(len(space.blocks)):
@@ -248,14 +249,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE) -
     points = (good.groupBy("label", "embedding")
               .agg(F.min("vec_id").alias("point"), F.count("*").alias("size")))
     points = stage_table(points.withColumn("dim", F.size("embedding")), "points")
+    # more points, more coordinates: about three cells of weight for each
+    most = points.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    grid = int(np.clip(np.log(most / (tile / 2)) / np.log(3), *GRIDS))
     at = ["label", "dim", "block", "cell"]
     plain = points.select("label", "dim", "embedding").mapInArrow(
-        _cells(cosine, ()), "label long, dim int, block int, cell binary, home boolean")
+        _cells(cosine, grid, ()), "label long, dim int, block int, cell binary, home boolean")
     dealt = (plain.groupBy(*at).agg(F.count("*").alias("points"), F.max("home").alias("used"))
              .where("points > 1 and used")
              .select(*at, F.ceil(F.col("points") / tile).cast("int").alias("tiles")))
     cells = points.mapInArrow(
-        _cells(cosine, ("point", "size", "embedding")),
+        _cells(cosine, grid, ("point", "size", "embedding")),
         f"label long, dim int, point long, size long, embedding array<{kind}>, block int, "
         "cell binary, home boolean")
     tiled = (cells.join(dealt, at)
