@@ -6,6 +6,9 @@ push filters around it and whole-stage codegen keeps it in the scan stage.
 
 from __future__ import annotations
 
+import html
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,15 +60,21 @@ def collapse_whitespace(col) -> Column:
     return py_strip(F.regexp_replace(_c(col), F.lit(f"(?U){_PY_SPACE}+"), F.lit(" ")))
 
 
+# Where a word may be broken: after a hyphen between letters, around a long dash.
+_BREAK = (r"(?:(?<=[^\d\W]{2}-)|(?<=[^\d\W]-[^\d\W]-))(?=[^\d\W]-?[^\d\W])"
+          r"""|(?<=[\w!"'&.,?])(?=-{2,}\w)|(?<=[\w!"'&.,?]-{2,9})(?=\w)""")
+
+
 def preview(col, width: int, placeholder: str = "…") -> Column:
     """One-line preview: newlines to spaces, whitespace collapsed, and when the
-    text is longer than ``width`` it is cut at a word boundary so that the
-    result including the placeholder fits in ``width`` characters."""
+    text is longer than ``width`` it is cut at the last break that lets the
+    result including the placeholder fit in ``width`` characters.  Breaks are
+    spaces, hyphens inside words, and both sides of a dash of two or more."""
     if width <= len(placeholder):
         raise ValueError("width must exceed the placeholder length")
     t = collapse_whitespace(F.regexp_replace(_c(col), F.lit("\n"), F.lit(" ")))
     keep = width - len(placeholder)
-    head = F.regexp_extract(t, f"^(.{{0,{keep}}}) ", 1)
+    head = F.regexp_extract(t, f"(?U)^(.{{0,{keep}}})(?: |{_BREAK})", 1)
     return F.when(F.length(t) <= width, t).otherwise(F.concat(head, F.lit(placeholder)))
 
 
@@ -107,31 +116,63 @@ def section_url(page_url_col, section_title) -> Column:
 # ---------------------------------------------------------------------------
 # Markup
 # ---------------------------------------------------------------------------
-# Named and numeric entities decoded after tags are removed.
-# ``&amp;`` comes last so that ``&amp;quot;`` decodes once, to ``&quot;``.
-HTML_ENTITIES = (
-    ("&quot;", '"'),
-    ("&#34;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&hellip;", "…"),
-    ("&amp;", "&"),
-)
+# A tag: quoted attribute values may hold ``>``; ``<`` before anything but a
+# letter, ``/``, ``!`` or ``?`` is text.  The second form takes tags with a
+# stray quote.
+_TAG = r"""</?[A-Za-z!?](?:"[^"]*"|'[^']*'|[^>"'])*+>|</?[A-Za-z!?][^<>]*>"""
+_REFERENCE = r"^&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
+
+
+def _pairs(table: dict) -> Column:
+    """A constant map, as one folded literal."""
+    text = "\u0001".join(f"{k}\u0002{v}" for k, v in sorted(table.items()))
+    return F.str_to_map(F.lit(text), F.lit("\u0001"), F.lit("\u0002"))
+
+
+def _named() -> dict:
+    """Entity names of the HTML standard, as Python's library lists them: all
+    with a semicolon, a few old ones without."""
+    return dict(html.entities.html5)
+
+
+def _numbered() -> dict:
+    """Numbers that do not stand for their own character (controls, the old
+    Windows range), as Python's library reads them."""
+    return {i: html.unescape(f"&#{i};") for i in (*range(1, 32), *range(127, 160), 0)
+            if html.unescape(f"&#{i};") not in (chr(i), "")}
 
 
 def unescape_entities(col) -> Column:
+    """Character references decoded, named and numeric, each once.
+
+    The text is cut before every ``&``; a piece starts with at most one
+    reference.  Unknown names stay as they are.
+    """
+    def piece(p):
+        name = F.regexp_extract(p, _REFERENCE, 1)
+        whole = F.regexp_extract(p, _REFERENCE, 0)
+        rest = F.substring(p, F.length(whole) + 1, F.length(p))
+        digits = F.regexp_extract(name, "^#[xX]?0*([0-9a-fA-F]*)$", 1)
+        base = F.when(F.lower(F.substring(name, 2, 1)) == "x", 16).otherwise(10)
+        code = F.when(F.length(digits) > 9, F.lit(1 << 40)).otherwise(_number(digits, base))
+        usable = (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        number = F.coalesce(
+            F.try_element_at(_pairs(_numbered()), code.cast("string")),
+            F.when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+            .otherwise(F.lit("\ufffd")))
+        word = F.try_element_at(_pairs(_named()), F.substring(whole, 2, F.length(whole)))
+        return (F.when(name == "", p)
+                 .when(name.startswith("#"), F.concat(number, rest))
+                 .otherwise(F.coalesce(F.concat(word, rest), p)))
+
     t = _c(col)
-    for ent, ch in HTML_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
+    return F.when(~F.contains(t, F.lit("&")), t) \
+            .otherwise(F.array_join(F.transform(F.split(t, "(?=&)"), piece), ""))
+
+
+def _number(digits: Column, base: Column) -> Column:
+    value = F.when(base == 16, F.conv(digits, 16, 10)).otherwise(digits)
+    return F.coalesce(F.when(value != "", value).cast("long"), F.lit(0).cast("long"))
 
 
 def drop_non_text_blocks(col) -> Column:
@@ -142,7 +183,7 @@ def drop_non_text_blocks(col) -> Column:
 
 
 def strip_tags(col) -> Column:
-    return F.regexp_replace(_c(col), F.lit(r"<[^>]*>"), F.lit(" "))
+    return F.regexp_replace(_c(col), F.lit(_TAG), F.lit(" "))
 
 
 def html_to_text(col, collapse: bool = True) -> Column:
@@ -158,7 +199,7 @@ def html_to_text(col, collapse: bool = True) -> Column:
         t = strip_tags(drop_non_text_blocks(col))
         return collapse_whitespace(unescape_entities(t))
     # NUL (never valid in HTML text) marks the node boundaries
-    marked = F.regexp_replace(drop_non_text_blocks(col), F.lit(r"<[^>]*>"), F.lit("\u0000"))
+    marked = F.regexp_replace(drop_non_text_blocks(col), F.lit(_TAG), F.lit("\u0000"))
     nodes = F.transform(F.split(marked, "\u0000"), lambda n: py_strip(unescape_entities(n)))
     return F.array_join(F.filter(nodes, lambda n: n != ""), " ")
 

@@ -25,9 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# candidate scores within this distance of the k-th best are kept, so that
-# rounding to 6 places and the id tie-break are decided in the final ranking
-_TIE_SLACK = 2e-6
+# scores are rounded like this before ties go to the lower chunk id
+_DECIMALS = 6
 _SUB_BLOCK = 2048
 # score tiles hold at most this many doubles (128 MB): with many queries on
 # one topic the tile gets fewer chunk rows
@@ -41,28 +40,32 @@ def collect_bounded(df: DataFrame, max_rows: int) -> pd.DataFrame | None:
     return pdf if len(pdf) <= max_rows else None
 
 
-def _request_blocks(pdf: pd.DataFrame, metric: str, key: str = "topic") -> dict:
-    """key -> (query ids, k, matrix [q, d] float64, scaled for cosine)."""
+def _request_blocks(pdf: pd.DataFrame, key: str = "topic") -> dict:
+    """key -> (query ids, k, matrix [q, d] float32)."""
     blocks = {}
     for topic, grp in pdf.groupby(key, sort=False):
         mat = np.stack([np.asarray(v, dtype=np.float64) for v in grp["q_embedding"]])
-        # raw float32 values travel (half the bytes of float64); normalising
-        # happens in float64 inside each task, once per topic block
+        # raw float32 values travel (half the bytes of float64); tasks scale
+        # them in float64, once for each topic they meet
         blocks[topic] = (grp["query_id"].to_numpy(np.int64), grp["k"].to_numpy(np.int64),
                          mat.astype(np.float32))
     return blocks
 
 
-def _top_candidates(scores: np.ndarray, k: int) -> np.ndarray:
-    """Row indices (per column) of the k best scores plus near-ties.
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """Half away from zero, like SQL ``round``; null scores become -inf."""
+    scale = 10.0 ** _DECIMALS
+    out = np.sign(scores) * np.floor(np.abs(scores) * scale + 0.5) / scale
+    return np.where(np.isfinite(out), out, -np.inf)
 
-    ``scores`` is [n, q]; returns a boolean mask [n, q]."""
-    n = scores.shape[0]
-    if n <= k:
-        return np.isfinite(scores)
-    filled = np.where(np.isfinite(scores), scores, -np.inf)
-    kth = np.partition(filled, n - k, axis=0)[n - k]
-    return filled >= (kth - _TIE_SLACK)[None, :]
+
+def _cut(cols: np.ndarray, vals: np.ndarray, ids: np.ndarray, ks: np.ndarray) -> np.ndarray:
+    """Positions of the best ``ks[col]`` values of every column, the final order
+    decided here: higher score, then lower id."""
+    order = np.lexsort((ids, -vals, cols))
+    sorted_cols = cols[order]
+    first = np.searchsorted(sorted_cols, sorted_cols)
+    return order[np.arange(len(order)) - first < ks[sorted_cols]]
 
 
 def _unit_rows(mat: np.ndarray) -> np.ndarray:
@@ -71,59 +74,68 @@ def _unit_rows(mat: np.ndarray) -> np.ndarray:
         return mat / norms[:, None]
 
 
-def _best(emb: np.ndarray, qmat: np.ndarray, k_max: int):
-    """Scores of every chunk row against every query column, reduced to the
-    k best rows per query (plus near-ties), in sub-blocks of rows so a score
-    tile never exceeds ``_TILE_CELLS`` values.  Returns (rows, cols,
-    scores)."""
-    best_rows, best_cols, best_scores = [], [], []
+def _best(emb: np.ndarray, qmat: np.ndarray, ks: np.ndarray, ids: np.ndarray):
+    """(rows, cols, scores) of the best ``ks`` chunk rows of every query column,
+    in sub-blocks of rows so that a score tile never exceeds ``_TILE_CELLS``
+    values and at most ``sum(ks)`` rows are left, ties included."""
+    rows = cols = np.zeros(0, np.int64)
+    vals = np.zeros(0)
+    k_max = int(ks.max())
     step = max(16, min(_SUB_BLOCK, _TILE_CELLS // max(qmat.shape[0], 1)))
     for start in range(0, len(emb), step):
-        sub = emb[start:start + step] @ qmat.T
-        r, c = np.nonzero(_top_candidates(sub, k_max))
-        best_rows.append(r + start)
-        best_cols.append(c)
-        best_scores.append(sub[r, c])
-    rows = np.concatenate(best_rows)
-    cols = np.concatenate(best_cols)
-    vals = np.concatenate(best_scores)
-    if len(emb) > step and len(rows):
-        # merge the tiles' candidates: per query keep its k best (plus
-        # near-ties), vectorised over all queries at once
-        order = np.lexsort((-vals, cols))
-        cols_sorted, vals_sorted = cols[order], vals[order]
-        starts = np.searchsorted(cols_sorted, np.arange(qmat.shape[0]))
-        counts = np.bincount(cols_sorted, minlength=qmat.shape[0])
-        rank = np.arange(len(order)) - starts[cols_sorted]
-        kth_pos = starts + np.minimum(counts, k_max) - 1
-        kth = np.where(counts > 0, vals_sorted[np.clip(kth_pos, 0, len(order) - 1)], np.inf)
-        keep_sorted = (rank < k_max) | (vals_sorted >= kth[cols_sorted] - _TIE_SLACK)
-        keep = order[keep_sorted]
+        sub = _rounded(emb[start:start + step] @ qmat.T)
+        if len(sub) > k_max:
+            kth = np.partition(sub, len(sub) - k_max, axis=0)[len(sub) - k_max]
+            r, c = np.nonzero(sub >= kth[None, :])
+        else:
+            r, c = (x.ravel() for x in np.indices(sub.shape))
+        rows = np.concatenate([rows, r + start])
+        cols = np.concatenate([cols, c])
+        vals = np.concatenate([vals, sub[r, c]])
+        keep = _cut(cols, vals, ids[rows], ks)
         rows, cols, vals = rows[keep], cols[keep], vals[keep]
     return rows, cols, vals
 
 
-def _score_frame(part: pd.DataFrame, topic, qids, ks, qmat, k_max: int, cosine: bool,
-                 key: str, extra) -> pd.DataFrame:
-    emb = np.stack([np.asarray(v, dtype=np.float64) for v in part["embedding"]])
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    """Rows of equal length as one float64 matrix (one copy of the flat values)."""
+    return np.concatenate(vectors.to_numpy()).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _score_frame(part: pd.DataFrame, topic, qids, ks, q64, cosine: bool, key: str,
+                 extra) -> pd.DataFrame:
+    emb = _matrix(part["embedding"])
     if cosine:
         emb = _unit_rows(emb)
-    q64 = qmat.astype(np.float64, copy=False)
-    if cosine:
-        q64 = _unit_rows(q64)
-    rows, cols, vals = _best(emb, q64, k_max)
+    chunk_ids = part["chunk_id"].to_numpy()
+    place = np.empty(len(part), np.int64)
+    place[np.argsort(chunk_ids, kind="stable")] = np.arange(len(part))
+    rows, cols, vals = _best(emb, q64, ks, place)
     frame = {
         "query_id": qids[cols],
         "k": ks[cols].astype(np.int32),
-        "chunk_id": part["chunk_id"].to_numpy()[rows],
+        "chunk_id": chunk_ids[rows],
         key: topic,
-        "score": vals,
+        "score": np.where(np.isfinite(vals), vals, np.nan),
     }
     for c in extra:
         frame[c] = part[c].to_numpy()[rows]
     return pd.DataFrame(frame)
 
 
+def _merge(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    """The best k of every query over several frames."""
+    both = pd.concat(frames, ignore_index=True)
+    queries, cols = np.unique(both["query_id"].to_numpy(np.int64), return_inverse=True)
+    ks = np.zeros(len(queries), np.int64)
+    ks[cols] = both["k"].to_numpy()
+    ids = both["chunk_id"].to_numpy()
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    vals = both["score"].fillna(-np.inf).to_numpy()
+    return both.iloc[_cut(cols, vals, place, ks)]
+
+
 def _empty_frame(schema: T.StructType) -> pd.DataFrame:
     dtypes = {T.LongType: "int64", T.IntegerType: "int32", T.DoubleType: "float64"}
     return pd.DataFrame({f.name: pd.Series([], dtype=dtypes.get(type(f.dataType), "object"))
@@ -132,8 +144,10 @@ def _empty_frame(schema: T.StructType) -> pd.DataFrame:
 
 def block_top_k(chunks: DataFrame, requests_pdf: pd.DataFrame, *, metric: str = "cosine",
                 payload: tuple = (), key: str = "topic") -> DataFrame:
-    """Candidates ``(query_id, k, chunk_id, score, *payload)`` holding at least
-    the true top-k of every query (plus near-ties).
+    """Candidates ``(query_id, k, chunk_id, score, *payload)``: from each task the
+    best k rows of every query, k being the query's own and ties decided, so at
+    most the sum of all k leave a task.  Scores are rounded to 6 places; those
+    of zero vectors are null and come last.
 
     ``chunks`` needs ``chunk_id, <key>, embedding`` and the payload columns.
     ``requests_pdf`` (already size-checked) has ``query_id, <key>, k,
@@ -141,8 +155,7 @@ def block_top_k(chunks: DataFrame, requests_pdf: pd.DataFrame, *, metric: str =
     topic and hash bucket) for the approximate searches.
     """
     spark = chunks.sparkSession
-    blocks = _request_blocks(requests_pdf, metric, key) if len(requests_pdf) else {}
-    k_max = int(requests_pdf["k"].max()) if len(requests_pdf) else 1
+    blocks = _request_blocks(requests_pdf, key) if len(requests_pdf) else {}
     bc = spark.sparkContext.broadcast(blocks)
     topics = list(blocks)
 
@@ -157,18 +170,19 @@ def block_top_k(chunks: DataFrame, requests_pdf: pd.DataFrame, *, metric: str =
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         req = bc.value
+        scaled: dict = {}
+        best: dict = {}  # one running top-k for each topic of the task
         for pdf in batches:
-            if pdf.empty:
-                continue
-            out = []
             for topic, idx in pdf.groupby(key, sort=False).indices.items():
                 if topic not in req:
                     continue
                 qids, ks, qmat = req[topic]
-                part = pdf.iloc[idx]
-                out.append(_score_frame(part, topic, qids, ks, qmat, k_max, cosine, key, extra))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                if topic not in scaled:
+                    q64 = qmat.astype(np.float64)
+                    scaled[topic] = _unit_rows(q64) if cosine else q64
+                frame = _score_frame(pdf.iloc[idx], topic, qids, ks, scaled[topic], cosine, key, extra)
+                best[topic] = _merge([best[topic], frame]) if topic in best else frame
+        yield from best.values()
 
     # keep only chunks of requested topics, in the JVM, before any Arrow
     # transfer: a literal IN list (pushed into the scan) for a few topics, a
@@ -185,8 +199,7 @@ def block_top_k(chunks: DataFrame, requests_pdf: pd.DataFrame, *, metric: str =
 
 def tiled_top_k(chunks: DataFrame, requests: DataFrame, *, metric: str = "cosine",
                 payload: tuple = (), key: str = "topic", tile_chunks: int = 20_000,
-                tile_queries: int = 2_000, k_bound: int = 16,
-                max_broadcast_topics: int = 1_000_000) -> DataFrame:
+                tile_queries: int = 2_000, max_broadcast_topics: int = 1_000_000) -> DataFrame:
     """Exact top-k candidates when the request side is too large to
     broadcast: a block-partitioned product.
 
@@ -221,14 +234,14 @@ def tiled_top_k(chunks: DataFrame, requests: DataFrame, *, metric: str = "cosine
          T.StructField("score", T.DoubleType())]
         + [T.StructField(x, fields[x].dataType) for x in extra])
     cosine = metric == "cosine"
-    k_max = int(k_bound)
 
     def score(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         if cpdf.empty or qpdf.empty:
             return _empty_frame(out_schema)
-        qmat = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf["q_embedding"]])
+        q64 = _matrix(qpdf["q_embedding"])
         return _score_frame(cpdf, cpdf[key].iloc[0], qpdf["query_id"].to_numpy(np.int64),
-                            qpdf["k"].to_numpy(np.int64), qmat, k_max, cosine, key, extra)
+                            qpdf["k"].to_numpy(np.int64), _unit_rows(q64) if cosine else q64,
+                            cosine, key, extra)
 
     groups = [key, "_qt", "_ct"]
     return c.groupBy(*groups).cogroup(q.groupBy(*groups)).applyInPandas(score, out_schema)

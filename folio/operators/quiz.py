@@ -2,8 +2,8 @@
 
 Each quiz is one response row, so parsing is row-local: split at every
 ``QUESTION:`` (kept), then extract fields with regular expressions.  Java
-regexes get ``(?d)`` so that ``.``, ``$`` and line ends follow Python's
-``\\n``-only rules.
+regexes get ``(?dU)`` so that ``.``, ``$`` and line ends follow Python's
+``\\n``-only rules and ``\\s`` covers Unicode.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from .. import config
 from ..functions.text import py_strip
 
 # Field patterns.
-QUESTION_RE = r"(?sd)QUESTION:\s*(.*?)(?=OPTIONS:|ANSWER:|$)"
-OPTIONS_RE = r"(?sd)OPTIONS:\s*(.*?)(?=ANSWER:|$)"
-ANSWER_RE = r"(?sd)ANSWER:\s*(.*?)$"
-OPTION_RE = r"(?d)([A-D])\)\s*(.*?)(?=\s+[A-D]\)|$)"
+QUESTION_RE = r"(?sdU)QUESTION:\s*(.*?)(?=OPTIONS:|ANSWER:|$)"
+OPTIONS_RE = r"(?sdU)OPTIONS:\s*(.*?)(?=ANSWER:|$)"
+ANSWER_RE = r"(?sdU)ANSWER:\s*(.*?)$"
+OPTION_RE = r"(?dU)([A-D])\)\s*(.*?)(?=\s+[A-D]\)|$)"
 
 QUESTION_TYPE = "struct<type:string,question:string,options:map<string,string>,correct_answer:string>"
 

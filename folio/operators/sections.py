@@ -8,6 +8,9 @@ window functions partitioned by page.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,22 +28,23 @@ def prune_boilerplate(sections: Column) -> Column:
     """Drop boilerplate sections *and their descendants* from a pre-order
     ``array<struct<ord, level, title, text>>``.
 
-    Fold state: the level of the pruned subtree being skipped (null when not
-    skipping) and the kept sections.  A section deeper than the cut level is
-    skipped; any other section ends the skip.
+    The fold carries the level of the subtree being skipped (null when not
+    skipping) and one flag a section; the sections themselves are copied once,
+    by the final filter.  A section deeper than the cut level is skipped; any
+    other section ends the skip.
     """
-    elem_type = "array<struct<ord:int,level:int,title:string,text:string>>"
-    init = F.struct(F.lit(None).cast("int").alias("cut"), F.array().cast(elem_type).alias("out"))
+    init = F.struct(F.lit(None).cast("int").alias("cut"), F.lit("").alias("keep"))
 
     def step(acc, s):
         inside = acc["cut"].isNotNull() & (s["level"] > acc["cut"])
-        return (F.when(inside, acc)
-                 .when(is_boilerplate(s["title"]),
-                       F.struct(s["level"].alias("cut"), acc["out"].alias("out")))
-                 .otherwise(F.struct(F.lit(None).cast("int").alias("cut"),
-                                     F.concat(acc["out"], F.array(s)).alias("out"))))
+        boiler = is_boilerplate(s["title"])
+        cut = F.when(inside, acc["cut"]).when(boiler, s["level"])
+        return F.struct(cut.alias("cut"), F.concat(
+            acc["keep"], F.when(inside | boiler, F.lit("0")).otherwise(F.lit("1"))).alias("keep"))
 
-    return F.aggregate(sections, init, step, lambda acc: acc["out"])
+    flags = F.aggregate(sections, init, step, lambda acc: F.split(acc["keep"], ""))
+    kept = F.filter(F.arrays_zip(sections.alias("s"), flags.alias("f")), lambda x: x["f"] == "1")
+    return F.transform(kept, lambda x: x["s"])
 
 
 def prune_flat(sections: DataFrame, page_col: str = "page_id", max_level: int = 6) -> DataFrame:
@@ -87,25 +91,51 @@ def flatten_tree(sections: DataFrame, prune: bool = True) -> DataFrame:
     level) and ``pre`` (0-based pre-order position in the page); with
     ``prune`` a boilerplate section and its whole subtree are dropped.
 
-    A recursive CTE walks down from the roots, one equi join per tree level
-    (heading trees are a handful of levels deep), carrying the path of
-    sibling positions; pre-order is the order of those paths.  The numbering
-    window is partitioned by page, i.e. bounded by one page's sections.
+    A page's nodes are gathered as one narrow array (bounded by the page) and
+    walked with an explicit stack in an Arrow step, so neither the number of
+    sections nor the depth of a tree is limited.  Siblings follow ``ord``, then
+    ``node``; a node that no root reaches is dropped, and so are all copies of a
+    node after its first visit.
     """
-    staged = sections.withColumn("_boiler", is_boilerplate("title"))
-    walked = sections.sparkSession.sql(
-        """
-        WITH RECURSIVE walk(page_id, node, path, level, pruned) AS (
-          SELECT page_id, node, array(ord), 1, _boiler FROM {secs} WHERE parent IS NULL
-          UNION ALL
-          SELECT s.page_id, s.node, concat(w.path, array(s.ord)), w.level + 1,
-                 w.pruned OR s._boiler
-          FROM {secs} s JOIN walk w ON s.page_id = w.page_id AND s.parent = w.node
-        )
-        SELECT page_id, node, path AS _path, level, pruned AS _pruned FROM walk
-        """, secs=staged.select("page_id", "node", "parent", "ord", "_boiler"))
-    out = sections.join(walked, ["page_id", "node"])
-    if prune:
-        out = out.filter(~F.col("_pruned"))
-    w = Window.partitionBy("page_id").orderBy("_path")
-    return out.withColumn("pre", (F.row_number().over(w) - 1).cast("int")).drop("_path", "_pruned")
+    node_type = sections.schema["node"].dataType.simpleString()
+    page_type = sections.schema["page_id"].dataType.simpleString()
+    nodes = (sections.select("page_id", "node", "parent", "ord", is_boilerplate("title").alias("boiler"))
+             .groupBy("page_id")
+             .agg(F.sort_array(F.collect_list(F.struct(
+                 F.col("ord").alias("ord"), F.col("node").alias("node"),
+                 F.col("parent").alias("parent"), F.col("boiler").alias("boiler")))).alias("nodes")))
+    walked = nodes.mapInArrow(_walk_trees(prune),
+                              f"page_id {page_type}, node {node_type}, level int, pre int")
+    return sections.join(walked, ["page_id", "node"])
+
+
+def _walk_trees(prune: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            page_type = batch.schema.field("page_id").type
+            node_type = batch.schema.field("nodes").type.value_type.field("node").type
+            page, node, level, pre = [], [], [], []
+            for page_id, nodes in zip(batch.column(names.index("page_id")).to_pylist(),
+                                      batch.column(names.index("nodes")).to_pylist()):
+                below: dict = {}
+                for n in nodes:
+                    below.setdefault(n["parent"], []).append((n["node"], n["boiler"]))
+                stack = [(n, b, 1) for n, b in reversed(below.get(None, ()))]
+                seen, at = set(), 0
+                while stack:
+                    n, boiler, depth = stack.pop()
+                    if n in seen or (prune and boiler):
+                        continue
+                    seen.add(n)
+                    page.append(page_id)
+                    node.append(n)
+                    level.append(depth)
+                    pre.append(at)
+                    at += 1
+                    if n is not None:
+                        stack += [(c, b, depth + 1) for c, b in reversed(below.get(n, ()))]
+            yield pa.record_batch([pa.array(page, page_type), pa.array(node, node_type),
+                                   pa.array(level, pa.int32()), pa.array(pre, pa.int32())],
+                                  ["page_id", "node", "level", "pre"])
+    return run

@@ -178,6 +178,7 @@ class ChunkStore:
         <root>/topic_bucket=<b>/version=<n>/part-*.parquet
         <root>/_commits/<n>/part-*.txt      buckets written by version n
         <root>/_staging/<n>/                 a write in progress
+        <root>/meta.txt                      the number of buckets
 
     A change rewrites only the buckets it touches: rows are written to
     ``_staging/<n>`` (partitioned by bucket), each touched bucket directory
@@ -189,13 +190,34 @@ class ChunkStore:
     file.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = DEFAULT_BUCKETS,
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None,
                  max_records_per_file: int = 500_000):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.buckets = buckets
+        self.buckets = self._stored_buckets(buckets)
         self.max_records_per_file = max_records_per_file
 
+    def _stored_buckets(self, asked: int | None) -> int:
+        """The bucket count that the store was written with.  A new store takes
+        the count asked for (and stores it with its first commit); a count that
+        differs from the stored one is refused."""
+        fs, jvm = self._fs()
+        meta = self._path("meta.txt")
+        if not fs.exists(meta):
+            return DEFAULT_BUCKETS if asked is None else asked
+        stored = int(self.spark.read.text(str(meta)).first()["value"])
+        if asked is not None and asked != stored:
+            raise ValueError(f"store {self.root} has {stored} buckets, not {asked}")
+        return stored
+
+    def _store_meta(self) -> None:
+        fs, _ = self._fs()
+        meta = self._path("meta.txt")
+        if not fs.exists(meta):
+            out = fs.create(meta, False)
+            out.write(bytearray(str(self.buckets).encode()))
+            out.close()
+
     # -- file system (Hadoop API: local, HDFS and object stores alike) ------
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -292,6 +314,7 @@ class ChunkStore:
     def _commit(self, rows: DataFrame, buckets) -> int:
         fs, lock = self._lock()
         try:
+            self._store_meta()
             return self._commit_locked(rows, buckets)
         finally:
             fs.delete(lock, False)

@@ -51,7 +51,7 @@ def flatten_source(results: DataFrame) -> DataFrame:
 
 
 def _requests(spark, base) -> DataFrame:
-    return document_requests(_docs(spark, base), read_table(spark, base, "labels"))
+    return document_requests(_docs(spark, base))
 
 
 def _results(spark, base) -> DataFrame:
@@ -89,7 +89,7 @@ def _vector_top_k(spark, base, metric: str) -> DataFrame:
     if qpdf is not None:
         cands = block_top_k(chunks, qpdf, metric=metric)
     else:
-        cands = tiled_top_k(chunks, queries, metric=metric, k_bound=4)
+        cands = tiled_top_k(chunks, queries, metric=metric)
     cands = cands.withColumn("score", F.round("score", 6))
     return top_k(cands, 4).select("query_id", F.col("rank").cast("int").alias("rank"),
                                   "topic", "chunk_id", "score")
@@ -616,7 +616,102 @@ def q_service_get_chunks(spark, base):
     req = titles.select("title").distinct().select(
         F.xxhash64("title").alias("query_id"), F.col("title").alias("topic"),
         F.col("title").alias("query"), F.lit(4).alias("k"))
-    return flatten_source(svc.get_chunks(req)).drop("query_id")
+    return flatten_source(svc.get_chunks(req)[0]).drop("query_id")
 
 
 QUERIES["service_get_chunks"] = q_service_get_chunks
+
+
+def q_lookup_lang(spark, base):
+    """Every page title, asked for among the pages in one language only."""
+    from ..sources.pages import page_titles
+    titles = page_titles(read_table(spark, base, "pages"))
+    req = titles.select(F.col("page_id").alias("request_id"), F.col("title").alias("topic"))
+    out = lookup_pages(req, titles, lang="fr")
+    return out.select("request_id", "topic", "page_id", "title", "status")
+
+
+def q_embed_truncated(spark, base):
+    """Ingest-size chunks embedded from their first 64 tokens only."""
+    ch = document_chunks(spark, base, INGEST_CHUNKS, EmbedOptions(max_seq_length=64))
+    return ch.select("chunk_id", "topic", "tokens", *_vec_summary("embedding"))
+
+
+def _service(spark, base, name: str, titles, pages=None):
+    import uuid
+
+    from ..session import shared_path
+    from .service import Retrieval
+    cs = store.ChunkStore(spark, shared_path(spark, f"{name}-{uuid.uuid4().hex[:12]}"), buckets=8)
+    return Retrieval(spark, cs, pages if pages is not None else _pages(spark, base), titles=titles)
+
+
+def _title_requests(titles):
+    return titles.select("title").distinct().select(
+        F.xxhash64("title").alias("query_id"), F.col("title").alias("topic"),
+        F.col("title").alias("query"), F.lit(4).alias("k"))
+
+
+def q_service_rejects(spark, base):
+    """What the service could not answer: for every page title a request with a
+    blank topic, one with k = 0, one for a title that does not exist, and one for
+    the page without its content or with too little of it."""
+    from ..sources.pages import page_titles
+    pages = read_table(spark, base, "pages")
+    body = F.when(F.pmod("page_id", F.lit(2)) == 0, F.lit("<body></body>")) \
+        .otherwise(F.lit("<body><h2>a</h2>short</body>"))
+    bare = pages.select("page_id", "url", F.concat(
+        F.lit("<html><head><title>bare "), F.col("page_id").cast("string"),
+        F.lit("</title></head>"), body, F.lit("</html>")).alias("html"))
+    titles = page_titles(bare)
+    kind = F.explode(F.array(*[F.lit(i) for i in range(4)]))
+    req = titles.select("page_id", "title", kind.alias("kind")).select(
+        (F.col("page_id") * 4 + F.col("kind")).alias("query_id"),
+        F.when(F.col("kind") == 0, F.lit(" \t")).when(F.col("kind") == 2, F.concat(F.lit("zz "), "title"))
+        .otherwise(F.col("title")).alias("topic"),
+        F.lit(None).cast("string").alias("query"),
+        F.when(F.col("kind") == 1, F.lit(0)).otherwise(F.lit(3)).alias("k"))
+    hits, rejects = _service(spark, base, "rejects", titles, bare).get_chunks(req)
+    return rejects.select("query_id", "topic", "reason")
+
+
+def _reingested(spark, base, mode: str):
+    """All topics stored with 800/100 windows, then ingested anew with 256/32."""
+    import dataclasses
+
+    from ..sources.pages import page_titles
+    titles = page_titles(read_table(spark, base, "pages"))
+    svc = _service(spark, base, f"reingest-{mode}", titles)
+    topics = _title_requests(titles).select("topic")
+    svc.ensure_indexed(topics)
+    svc.chunk_options = dataclasses.replace(INGEST_CHUNKS, max_tokens=256, overlap=32)
+    svc.reingest(topics, mode)
+    return svc.store.read().select("topic", "chunk_id", "tokens", F.md5("text").alias("text_md5"))
+
+
+def q_reingest_merge(spark, base):
+    return _reingested(spark, base, "merge")
+
+
+def q_reingest_replace(spark, base):
+    return _reingested(spark, base, "replace")
+
+
+def q_single_request(spark, base):
+    """One call over the chunks of all documents: the topic with the most
+    documents, asked for by its own name."""
+    docs = read_table(spark, base, "documents")
+    topic = (docs.groupBy("source").count().orderBy(F.col("count").desc(), "source").first()["source"])
+    from ..operators.search import get_chunks
+    return flatten_source(get_chunks(spark, document_chunks(spark, base), f" {topic} ", None, 6,
+                                     embed_options=EMBED))
+
+
+QUERIES.update({
+    "lookup_lang": q_lookup_lang,
+    "embed_truncated": q_embed_truncated,
+    "service_rejects": q_service_rejects,
+    "reingest_merge": q_reingest_merge,
+    "reingest_replace": q_reingest_replace,
+    "single_request": q_single_request,
+})

@@ -11,7 +11,7 @@ pages table:
   swaps each topic's chunks wholesale;
 * ``purge(topics)``;
 * ``get_chunks(requests)`` - ensure indexed, then exact (or approximate)
-  top-k with citations.
+  top-k with citations, and the requests that got none with the reason.
 
 Unresolvable topics and topics that produce no sections or no chunks come
 back as rejects with a reason instead of failing the batch; a single call
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..config import INGEST_CHUNKS, ChunkOptions, EmbedOptions, SearchOptions
 from ..functions.text import py_strip
 from ..operators import store as st
-from ..operators.search import RetrievalError, search, single_request
+from ..operators.search import RetrievalError, search, single_request, validate_requests
 from ..sources.pages import lookup_pages, page_sections, page_titles
 from .ingest import sections_to_chunks
 
@@ -71,11 +71,12 @@ class Retrieval:
         secs = secs.drop("topic").join(found.select("page_id", "topic"), "page_id")
         rows = sections_to_chunks(secs, self.chunk_options, self.embed_options)
         made = rows.select("topic").distinct().withColumn("_made", F.lit(True))
-        rejects = (resolved.join(made, "topic", "left")
-                   .filter(F.col("_made").isNull())
-                   .select("topic", F.when(F.col("status") == "not found",
-                                           F.lit("page not found"))
-                           .otherwise(F.lit("no chunks produced")).alias("reason")))
+        cut = secs.select("topic").distinct().withColumn("_cut", F.lit(True))
+        reason = (F.when(F.col("status") == "not found", F.lit("page not found"))
+                   .when(F.col("_cut").isNull(), F.lit("no sections"))
+                   .otherwise(F.lit("no chunks produced")))
+        rejects = (resolved.join(made, "topic", "left").join(cut, "topic", "left")
+                   .filter(F.col("_made").isNull()).select("topic", reason.alias("reason")))
         return st.dedup_new(rows, self.key), rejects
 
     # -- maintenance --------------------------------------------------------
@@ -104,21 +105,31 @@ class Retrieval:
         return self.store.purge(self._topics(topics))
 
     # -- retrieval ----------------------------------------------------------
-    def get_chunks(self, requests: DataFrame, *, prune_topics: int = 1000, **kw) -> DataFrame:
-        """Ensure indexed, then search.  When the batch names at most
-        ``prune_topics`` topics, only their buckets are read."""
-        self.ensure_indexed(requests.select("topic"))
-        names = self._topics(requests).limit(prune_topics + 1).collect()
+    def get_chunks(self, requests: DataFrame, *, prune_topics: int = 1000,
+                   **kw) -> tuple[DataFrame, DataFrame]:
+        """Ensure indexed, then search: (hits, rejects).
+
+        Every request is answered in one of the two: rejects carry the request
+        and its reason (bad argument, page not found, no sections, no chunks).
+        When the batch names at most ``prune_topics`` topics, only their buckets
+        are read."""
+        requests = st.materialize(requests)  # read several times below
+        valid, bad = validate_requests(requests)
+        failed = self.ensure_indexed(valid.select("topic"))
+        rejects = (bad.select("query_id", "topic", "reason")
+                   .unionByName(valid.join(failed, "topic").select("query_id", "topic", "reason")))
+        names = self._topics(valid).limit(prune_topics + 1).collect()
         chunks = (self.store.read_topics([r.topic for r in names])
                   if len(names) <= prune_topics else self.store.read())
         kw.setdefault("late_payload", True)  # chunks come from the store
-        return search(chunks, requests, embed_options=self.embed_options,
+        hits = search(chunks, valid, embed_options=self.embed_options,
                       options=self.search_options, **kw)
+        return hits, rejects
 
     def get_chunks_one(self, topic: str, query: str | None = None, k: int = 6) -> DataFrame:
         req = single_request(self.spark, topic, query, k)
-        rejects = self.ensure_indexed(req.select("topic"))
+        hits, rejects = self.get_chunks(req)
         first = rejects.first()
         if first is not None:
             raise RetrievalError(f"get_chunks failed: {first['reason']}")
-        return self.get_chunks(req).orderBy("rank")
+        return hits.orderBy("rank")

@@ -16,7 +16,7 @@ from ..functions.text import (collapse_whitespace, html_title, html_to_text, pag
 
 def page_lang(html_col="html", default: str = "en"):
     """``<html lang="..">`` (primary subtag), or the default."""
-    lang = F.lower(F.regexp_extract(F.col(html_col), r'(?is)<html[^>]*\blang="([A-Za-z]+)', 1))
+    lang = F.lower(F.regexp_extract(F.col(html_col), r"""(?is)<html[^>]*\blang\s*=\s*["']?\s*([A-Za-z]+)""", 1))
     return F.when(lang != "", lang).otherwise(F.lit(default))
 
 
@@ -80,7 +80,9 @@ def lookup_pages(requests: DataFrame, pages: DataFrame, topic_col: str = "topic"
 # Sections from markup
 # ---------------------------------------------------------------------------
 _ARTICLE = r"(?is)<article[^>]*>(.*)</article\s*>"
-_BODY = r"(?is)<body[^>]*>(.*)</body\s*>"
+# both end tags may be left out: then the text runs to the end
+_BODY = r"(?is)<body[^>]*>(.*?)(?:</body\s*>(?!.*</body)|\z)"
+_HEAD = r"(?is)<head\b.*?</head\s*>"
 _HEADING_SPLIT = r"(?i)(?=<h[2-6][\s>])"
 _HEADING = r"(?is)^<h([2-6])[^>]*>(.*?)</h[2-6]\s*>"
 
@@ -88,14 +90,16 @@ _HEADING = r"(?is)^<h([2-6])[^>]*>(.*?)</h[2-6]\s*>"
 def markup_sections(html_col: str = "html"):
     """Page markup -> ``array<struct<ord, level, title, text>>`` per page.
 
-    The article (else the body) without its ``<h1>`` is cut before every
+    The article (else the body, else all but the head) without its ``<h1>`` is
+    cut before every
     ``<h2>``..``<h6>``; the piece before the first heading is the lead
     (level 0, no title).  Document order is pre-order, so the flat array is
     already the parent-then-children walk.
     """
     art = F.regexp_extract(F.col(html_col), _ARTICLE, 1)
     body = F.regexp_extract(F.col(html_col), _BODY, 1)
-    main = F.when(art != "", art).otherwise(body)
+    whole = F.regexp_replace(F.col(html_col), F.lit(_HEAD), F.lit(" "))
+    main = F.when(art != "", art).when(body != "", body).otherwise(whole)
     main = F.regexp_replace(main, F.lit(r"(?is)<h1[^>]*>.*?</h1\s*>"), F.lit(" "))
     parts = F.split(main, _HEADING_SPLIT)
 

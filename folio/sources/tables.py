@@ -54,12 +54,10 @@ def document_sections(documents: DataFrame) -> DataFrame:
         section_url(purl, title).alias("url"))
 
 
-def document_requests(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Curated requests: every labelled good, non-toxic document asks for the
-    passages closest to its whole text within its topic; k is 4, 5 or 6."""
-    good = labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
-    docs = documents.join(good, "doc_id", "left_semi")
-    return docs.select(
+def document_requests(documents: DataFrame) -> DataFrame:
+    """Every document asks for the passages closest to its whole text within
+    its topic; k is 4, 5 or 6."""
+    return documents.select(
         F.col("doc_id").alias("query_id"),
         F.col("source").alias("topic"),
         F.col("text").alias("query"),

@@ -47,9 +47,9 @@ def run_ingest(spark: SparkSession, pattern: str, *, sink: str | None = None,
                checkpoint: str | None = None, schema=None,
                chunk_options: ChunkOptions = INGEST_CHUNKS,
                embed_options: EmbedOptions = EmbedOptions(),
-               skip_topics: DataFrame | None = None, timeout_s: int = 1800) -> str:
-    """Run the stream until all present files are processed; return the sink
-    path.  Sink and checkpoint default to fresh folders in the shared
+               skip_topics: DataFrame | None = None, timeout_s: int | None = None) -> str:
+    """Run the stream until all present files are processed (however long that
+    takes, unless ``timeout_s`` is given); return the sink path.  Sink and checkpoint default to fresh folders in the shared
     checkpoint folder."""
     run = uuid.uuid4().hex[:12]
     sink = sink or shared_path(spark, f"stream-{run}/chunks")
@@ -61,7 +61,9 @@ def run_ingest(spark: SparkSession, pattern: str, *, sink: str | None = None,
     query = (chunks.writeStream.format("parquet").outputMode("append")
                    .option("checkpointLocation", checkpoint)
                    .trigger(availableNow=True).start(sink))
-    if not query.awaitTermination(timeout_s):
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError("streaming ingest did not finish")
     if query.exception() is not None:

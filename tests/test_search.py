@@ -99,9 +99,14 @@ def test_hash_embedding_unit_norm_and_buckets(spark):
 def test_top_k_plan_limits_before_shuffle(spark):
     chunks = _chunks(spark)
     req = spark.createDataFrame([(1, "A", "alpha", 2)], REQUESTS)
-    plan = search(chunks, req, embed_options=OPTS, method="pairs")._jdf.queryExecution() \
-        .executedPlan().toString()
-    assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = search(chunks, req, embed_options=OPTS, method="pairs")._jdf.queryExecution() \
+            .executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # the limit stands on both sides of the exchange
+    assert plan.count("WindowGroupLimit") == 2
 
 
 def test_plan_chunks_never_shuffled_and_chunking_shuffle_free(spark):
@@ -124,12 +129,10 @@ def test_score_tiles_exact_with_tiny_tiles(monkeypatch):
     emb = rng.normal(size=(500, 8))
     q = rng.normal(size=(40, 8))
     monkeypatch.setattr(knn, "_TILE_CELLS", 40 * 20)  # 20 chunk rows per tile
-    rows, cols, vals = knn._best(emb, q, 3)
-    scores = emb @ q.T
+    rows, cols, vals = knn._best(emb, q, np.full(40, 3), np.arange(500))
+    scores = np.round(emb @ q.T, 6)
     for j in range(40):
-        want = set(np.argsort(-scores[:, j])[:3])
-        got = set(rows[cols == j])
-        assert want <= got and len(got) <= 4
+        assert set(rows[cols == j]) == set(np.argsort(-scores[:, j], kind="stable")[:3])
 
 
 def test_tiled_equals_blocks_on_flagship_data(spark):
