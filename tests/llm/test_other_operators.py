@@ -63,7 +63,7 @@ def test_vectors(spark, dim):
     df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows],
                                "vec_id long, label int, embedding array<double>, point string, size int, "
                                "block int").repartition(3)
-    for tile in (256, 3):
+    for tile in (256, 20):
         got = sorted(map(tuple, near_vectors(df, tile=tile).collect()), key=str)
         assert got == vector_truth(rows)
     assert near_vectors(df.where("false")).count() == 0
