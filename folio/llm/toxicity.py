@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._util import _VALUES, Words, mix, range_hash, text_slices
 
 SAMPLE = 1000  # toxic texts, and as many others for the chains
-CLEAN_SAMPLE = 5000  # other texts for the token labels
+CLEAN_SAMPLE = 4000  # other texts for the token labels
 SAMPLE_BYTES = 64 << 10
 BITS = 18
 PREFIXES = (4, 5, 6)  # bytes of a word's beginning that are features, beside the whole word
@@ -62,7 +62,7 @@ class Tokens:
             cut = np.minimum(start + k, end)
             # a word no longer than the prefix has no beginning apart from itself
             columns.append(range_hash(values, start, cut) + np.uint64(k))
-        self.features = np.stack([(c & mask).astype(np.int64) for c in columns], 1)
+        self.features = np.stack([(c & mask).astype(np.int32) for c in columns], 1)
         breaks = np.flatnonzero(words.data == 0x0A)
         line = np.searchsorted(breaks, words.start)
         new = np.ones(len(words.start), bool)
@@ -154,10 +154,11 @@ def _places_with(tokens: Tokens, pick: np.ndarray) -> tuple[np.ndarray, int]:
     h = tokens.words.hash
     left, right = np.concatenate([h[:1], h[:-1]]), np.concatenate([h[1:], h[-1:]])
     place = mix(left + mix(h + mix(right)))[pick[tokens.words.row]] << np.uint64(BITS)
-    features = tokens.features[pick[tokens.words.row]].astype(np.uint64)
-    pairs = np.unique(place[:, None] | features)
-    return (np.bincount((pairs & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
-            .astype(float), max(len(np.unique(place)), 1))
+    total = np.zeros(1 << BITS)
+    for column in tokens.features.T:  # one at a time: less memory
+        pairs = np.unique(place | column[pick[tokens.words.row]].astype(np.uint64))
+        total += np.bincount((pairs & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
+    return total, max(len(np.unique(place)), 1)
 
 
 def toxic_features(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
@@ -186,6 +187,7 @@ def fit_field(texts: pa.Array, toxic: np.ndarray, steps: int = STEPS,
     if rate in (0.0, 1.0) or not len(tokens.start):
         return Field(document=(0.0, 0.0, 0.0, prior))
     marks = toxic_features(tokens, toxic)
+    del tokens
     use = (toxic == 1) | (np.cumsum(toxic == 0) <= sample)
     texts, toxic = texts.filter(pa.array(use)), toxic[use]
     tokens = Tokens(texts)
