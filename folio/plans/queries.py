@@ -715,3 +715,32 @@ QUERIES.update({
     "reingest_replace": q_reingest_replace,
     "single_request": q_single_request,
 })
+
+
+def q_content_flow(spark, base):
+    """Every document's hits become a lesson with a quiz, saved and read back.
+    The responses are derived from the documents: the lesson is the text, the
+    quiz its generated quiz text; every ninth document got no lesson."""
+    import uuid
+
+    from ..session import shared_path
+    from .content import generate_content
+    docs = _docs(spark, base)
+    path = shared_path(spark, f"lessons-{uuid.uuid4().hex[:12]}")
+    given = docs.filter(F.pmod("doc_id", F.lit(9)) != 0).select(
+        F.concat(F.lit("lesson-"), F.col("doc_id").cast("string")).alias("prompt_id"),
+        F.concat(F.lit(" \n"), F.col("text"), F.lit("\t ")).alias("text"))
+    quizzes = docs.select(
+        F.concat(F.lit("quiz-lesson-"), F.col("doc_id").cast("string")).alias("prompt_id"),
+        quiz_text(docs).alias("text"))
+    responses = given.unionByName(quizzes)
+    generate_content(_results(spark, base),
+                     lambda prompts: responses.join(prompts.select("prompt_id"), "prompt_id", "left_semi"),
+                     path)
+    return lessons.read_lessons(spark, path).select(
+        "topic", F.md5("lesson").alias("lesson_md5"), F.size("quiz.quiz").alias("n_questions"),
+        F.size("retrieved_chunks").alias("n_chunks"),
+        F.array_join(F.col("retrieved_chunks.chunk_id"), ",").alias("chunk_ids"))
+
+
+QUERIES["content_flow"] = q_content_flow
