@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from functools import cached_property
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from ..session import apply_defaults, shared_path
 
 # Bytes of text hashed at once: bounds the memory of one step inside a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+# Arrow batches between Spark and Python: small ones bound the memory of both sides.
+BATCH_BYTES = 8 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -145,8 +148,17 @@ def long_array(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64), pa.int64())
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def settle(spark: SparkSession) -> None:
+    """Session defaults; Arrow batches are made smaller, never larger."""
     apply_defaults(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -186,6 +198,8 @@ def drop_table(df: DataFrame) -> None:
 def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(node, component) of every node of ``edges`` (columns a, b; both longs).
 
+    The result is a staged table, for ``drop_table`` when it is not needed.
+
     The component is the smallest node that links reach.  Alternates the large
     and small star steps until only stars are left; each step is a
     grouped minimum (combined before the shuffle) and a join, so a node with
@@ -217,5 +231,7 @@ def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
             break
     pairs = e.select("u", F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node")).distinct()
-    return (pairs.select(F.col("u").alias("node"), "component")
-            .union(roots.select("node", F.col("node").alias("component"))))
+    out = (pairs.select(F.col("u").alias("node"), "component")
+           .union(roots.select("node", F.col("node").alias("component"))))
+    out._staged_path = e._staged_path
+    return out

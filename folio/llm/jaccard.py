@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import (Words, connected_components, mix, range_hash, stage_table, text_slices,
+from ._util import (Words, connected_components, drop_table, mix, range_hash, stage_table, text_slices,
                     with_end)
 
 SHINGLE = 3
@@ -347,9 +347,10 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     links = stage_table(_verified(star, points, percent), "star")
 
     # classes that share leaves form a cluster; those in several components are searched
-    part = connected_components(links, "part").withColumnRenamed("node", "cls")
-    cluster = connected_components(star, "clusters").select(
-        F.col("node").alias("cls"), F.col("component").alias("cluster"))
+    parts = connected_components(links, "part")
+    clusters = connected_components(star, "clusters")
+    part = parts.withColumnRenamed("node", "cls")
+    cluster = clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
     rows = (cluster.join(part, "cls", "left")
             .select("cluster", "cls", F.coalesce("component", "cls").alias("component")))
     spread = (rows.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
@@ -362,6 +363,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
                        .mapInArrow(_search_tiles(percent), "a long, b long"), "more")
 
     found = connected_components(links.unionByName(more), "linked")
+    for done in (members, points, links, parts, clusters, more):
+        drop_table(done)
     least = (found.join(classes.withColumnRenamed("cls", "node"), "node")
              .groupBy("component").agg(F.min("doc_id").alias("component_id")))
     labels = (classes.join(found.withColumnRenamed("node", "cls"), "cls", "left")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import stage_table
+from ._util import drop_table, stage_table
 
 MIN_SITES = 10
 MARGIN = 0.25  # of the threshold; the sketch's standard error is about 1.6 %
@@ -38,7 +38,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, min_sites: int, margin: float = MARGIN) -> DataFrame:
-    """(key, first) of the lines on at least ``min_sites`` sites."""
+    """(key, first) of the lines on at least ``min_sites`` sites, staged."""
     spread = (lines.groupBy("key")
               .agg(F.hll_sketch_agg("site", LOG_SIZE).alias("sketch"),
                    F.min("doc_id").alias("first"))
@@ -51,8 +51,12 @@ def boilerplate(lines: DataFrame, min_sites: int, margin: float = MARGIN) -> Dat
     exact = (lines.join(near, "key", "left_semi").select("key", "site").distinct()
              .groupBy("key").agg(F.count("site").alias("exact"))
              .where(F.col("exact") >= min_sites).select("key"))
-    return (spread.where(sure).select("key", "first")
-            .union(spread.where(~sure).join(exact, "key", "left_semi").select("key", "first")))
+    out = stage_table(
+        spread.where(sure).select("key", "first")
+        .union(spread.where(~sure).join(exact, "key", "left_semi").select("key", "first")),
+        "boilerplate")
+    drop_table(spread)
+    return out
 
 
 def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
@@ -75,9 +79,12 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
                        F.col(site).cast("string").alias("_site"),
                        F.col("text").cast("string").alias("text"))
     lines = stage_table(lines_of(docs), "lines")  # hashes only, read several times
-    marks = (lines.select("doc_id", "body", "place", "key")
-             .join(boilerplate(lines, min_sites, margin), "key").where("doc_id > first")
-             .groupBy("doc_id", "body").agg(F.collect_set("place").alias("_gone")))
+    spread = boilerplate(lines, min_sites, margin)
+    marks = stage_table(lines.select("doc_id", "body", "place", "key")
+                        .join(spread, "key").where("doc_id > first")
+                        .groupBy("doc_id", "body").agg(F.collect_set("place").alias("_gone")), "marks")
+    drop_table(lines)
+    drop_table(spread)
     split = F.split("text", "\n")
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return (docs.withColumn("_body", F.xxhash64("text"))

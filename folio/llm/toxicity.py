@@ -70,6 +70,25 @@ class Tokens:
             new[1:] = (line[1:] != line[:-1]) | (words.row[1:] != words.row[:-1])
         self.first = np.flatnonzero(new)
         self.length = np.diff(np.concatenate([self.first, [len(new)]]))
+        self.row, self.hash, self.text_first = words.row, words.hash, words.first
+
+
+class Sample:
+    """``Tokens`` of many texts, made a slice at a time; keeps what the fit needs."""
+
+    def __init__(self, texts: pa.Array):
+        parts, rows, words = [], 0, 0
+        for part in text_slices(pa.record_batch([texts], ["text"])):
+            t = Tokens(part.column(0))
+            parts.append((t.features, t.first + words, t.length, t.row + rows, t.hash,
+                          t.text_first[1:] + words))
+            rows += part.num_rows
+            words += len(t.hash)
+        empty = (np.zeros((0, 1 + len(PREFIXES)), np.int32), *[np.zeros(0, np.int64)] * 3,
+                 np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.features, self.first, self.length, self.row, self.hash, ends = (
+            np.concatenate(c) for c in zip(empty, *parts))
+        self.text_first = np.concatenate([[0], ends])
 
 
 def chain_messages(emission: np.ndarray, first: np.ndarray, length: np.ndarray,
@@ -146,22 +165,22 @@ class Field:
         return _sigmoid(self.summary(odds, first) @ self.document[:3] + self.document[3])
 
 
-def _places_with(tokens: Tokens, pick: np.ndarray) -> tuple[np.ndarray, int]:
+def _places_with(tokens: Sample, pick: np.ndarray) -> tuple[np.ndarray, int]:
     """(number of places of each feature, number of places) in the picked texts.
 
     A place is a pair of neighbouring words, so copies of a text count once.
     """
-    h = tokens.words.hash
+    h = tokens.hash
     left, right = np.concatenate([h[:1], h[:-1]]), np.concatenate([h[1:], h[-1:]])
-    place = mix(left + mix(h + mix(right)))[pick[tokens.words.row]] << np.uint64(BITS)
+    place = mix(left + mix(h + mix(right)))[pick[tokens.row]] << np.uint64(BITS)
     total = np.zeros(1 << BITS)
     for column in tokens.features.T:  # one at a time: less memory
-        pairs = np.unique(place | column[pick[tokens.words.row]].astype(np.uint64))
+        pairs = np.unique(place | column[pick[tokens.row]].astype(np.uint64))
         total += np.bincount((pairs & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
     return total, max(len(np.unique(place)), 1)
 
 
-def toxic_features(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
+def toxic_features(tokens: Sample, toxic: np.ndarray) -> np.ndarray:
     """Features that occur far more often in toxic texts than chance allows."""
     (k1, n1), (k0, n0) = (_places_with(tokens, toxic == c) for c in (1, 0))
 
@@ -183,15 +202,15 @@ def fit_field(texts: pa.Array, toxic: np.ndarray, steps: int = STEPS,
     """
     rate = float((toxic == 1).mean()) if len(toxic) else 0.0
     prior = float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
-    tokens = Tokens(texts)
-    if rate in (0.0, 1.0) or not len(tokens.start):
+    tokens = Sample(texts)
+    if rate in (0.0, 1.0) or not len(tokens.hash):
         return Field(document=(0.0, 0.0, 0.0, prior))
     marks = toxic_features(tokens, toxic)
     del tokens
     use = (toxic == 1) | (np.cumsum(toxic == 0) <= sample)
     texts, toxic = texts.filter(pa.array(use)), toxic[use]
-    tokens = Tokens(texts)
-    y = ((toxic[tokens.words.row] == 1) & marks[tokens.features].any(1)).astype(float)
+    tokens = Sample(texts)
+    y = ((toxic[tokens.row] == 1) & marks[tokens.features].any(1)).astype(float)
     field = Field(start=np.log((y.sum() + 0.5) / (len(y) + 1)))
     features = tokens.features
     flat, width = features.ravel(), features.shape[1]
@@ -230,7 +249,7 @@ def fit_field(texts: pa.Array, toxic: np.ndarray, steps: int = STEPS,
         field.start = float(ascend("b", np.array([field.start]), np.array([miss.sum()]), 0.1, step)[0])
     field.weights = w.astype(np.float32)
     field.transitions = t
-    x = np.c_[Field.summary(field.odds(tokens), tokens.words.first), np.ones(len(toxic))]
+    x = np.c_[Field.summary(field.odds(tokens), tokens.text_first), np.ones(len(toxic))]
     d, ridge = np.array([0.1, 0.1, 0.1, prior]), np.diag([1e-2, 1e-2, 1e-2, 1e-4])
     for _ in range(30):  # Newton steps of the logistic fit
         p = _sigmoid(x @ d)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import connected_components, stage_table, with_end
+from ._util import connected_components, drop_table, stage_table, with_end
 
 COSINE = 0.98
 BLOCK = 8  # coordinates of a block
@@ -271,9 +271,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE) -
         tiled.repartition(*keys).sortWithinPartitions(*keys)
         .select(*keys, "tile", "home", "point", "size", "embedding")
         .mapInArrow(_links(cosine), "point long, other long, n long"), "found")
-    counts = found.where("n is not null").groupBy("point").agg(F.sum("n").alias("n"))
+    counts = stage_table(found.where("n is not null").groupBy("point").agg(F.sum("n").alias("n")),
+                         "counts")
     groups = connected_components(found.where("other is not null")
                                   .select(F.col("point").alias("a"), F.col("other").alias("b")))
+    drop_table(found)
     labels = (points.select("label", "embedding", "point", "size")
               .join(counts, "point", "left")
               .join(groups.withColumnRenamed("node", "point"), "point", "left")
