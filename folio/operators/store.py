@@ -46,13 +46,11 @@ def _maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataF
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a batch once to the shared checkpoint folder and read it back:
-    the size check and the join then read the same rows (no recomputation of
-    the ingest pipeline), and lineage is cut, so a lost executor does not
-    replay it."""
-    from ..session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a batch once to the shared folder and read it back: the size check,
+    the key join (two columns) and the rewrite read the same rows, and the
+    ingest pipeline is not computed again."""
+    from ..session import write_shared
+    return write_shared(df, "batch")
 
 
 # ---------------------------------------------------------------------------
@@ -78,6 +76,12 @@ def dedup_new(new: DataFrame, key=("topic", "chunk_id"), order=("url", "section"
     return new.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def dropped_rows(new: DataFrame, key=("topic", "chunk_id")) -> DataFrame:
+    """``(topic, dropped)``: how many rows of each topic ``dedup_new`` drops."""
+    per_key = new.groupBy(*dict.fromkeys(("topic", *key))).agg((F.count(F.lit(1)) - 1).alias("extra"))
+    return per_key.groupBy("topic").agg(F.sum("extra").alias("dropped"))
+
+
 # ---------------------------------------------------------------------------
 # Maintenance
 # ---------------------------------------------------------------------------

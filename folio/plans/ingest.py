@@ -13,12 +13,14 @@ from ..config import INGEST_CHUNKS, ChunkOptions, EmbedOptions
 from ..operators.chunk import chunk_sections
 from ..operators.clean import clean_sections
 from ..operators.embed import buckets_embed, hash_embed
+from ..operators.store import dedup_new
 
 STORE_COLUMNS = ("chunk_id", "topic", "text", "tokens", "embedding_model", "url", "title",
                  "section", "ingested_at", "embedding")
 
 
-def add_provenance(chunks: DataFrame, embed_options: EmbedOptions, ingested_at=None) -> DataFrame:
+def add_provenance(chunks: DataFrame, embed_options: EmbedOptions, ingested_at=None,
+                   extra: tuple = ()) -> DataFrame:
     """Topic, page title, model name and ingest time on every chunk, with the
     store's column defaults (null section and missing strings -> '')."""
     ts = ingested_at if ingested_at is not None else F.unix_timestamp()
@@ -30,21 +32,34 @@ def add_provenance(chunks: DataFrame, embed_options: EmbedOptions, ingested_at=N
         F.coalesce(F.col("page_title"), F.lit("")).alias("title"),
         F.coalesce(F.col("section"), F.lit("")).alias("section"),
         F.coalesce(ts.cast("long"), F.unix_timestamp()).alias("ingested_at"),
-        "embedding")
+        "embedding", *extra)
 
 
 def sections_to_chunks(sections: DataFrame, chunk_options: ChunkOptions = INGEST_CHUNKS,
                        embed_options: EmbedOptions = EmbedOptions(), *,
-                       ingested_at=None, clean: bool = True, tokenizer=None) -> DataFrame:
-    """Sections (topic, page_title, title, text, url) -> store rows."""
+                       ingested_at=None, clean: bool = True, tokenizer=None,
+                       extra: tuple = ()) -> DataFrame:
+    """Sections (topic, page_title, title, text, url) -> store rows.
+
+    ``extra`` columns of the sections come along, for example ``page_id`` and
+    ``ord``, by which ``first_sections`` settles rows with the same key."""
     cleaned = clean_sections(sections) if clean else sections
     if tokenizer is None:
         # buckets come with the windows: one tokenize and one hash per token
-        chunks = chunk_sections(cleaned, chunk_options, keep=("topic", "page_title"),
+        chunks = chunk_sections(cleaned, chunk_options, keep=("topic", "page_title", *extra),
                                 bucket_dim=embed_options.dim)
         embedded = chunks.withColumn("embedding", buckets_embed("buckets", embed_options))
     else:
-        chunks = chunk_sections(cleaned, chunk_options, keep=("topic", "page_title"),
+        chunks = chunk_sections(cleaned, chunk_options, keep=("topic", "page_title", *extra),
                                 tokenizer=tokenizer)
         embedded = chunks.withColumn("embedding", hash_embed(F.col("text"), embed_options))
-    return add_provenance(embedded, embed_options, ingested_at)
+    return add_provenance(embedded, embed_options, ingested_at, extra)
+
+
+PLACE = ("page_id", "ord")
+
+
+def first_sections(rows: DataFrame, key: tuple = ("topic", "chunk_id")) -> DataFrame:
+    """Of the rows of one batch with the same key (same-named sections of a page)
+    the one of the first section stays; ``store.dropped_rows`` counts the others."""
+    return dedup_new(rows, key, PLACE).drop(*PLACE)

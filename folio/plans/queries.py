@@ -22,7 +22,7 @@ from ..operators.search import embed_requests, search, validate_requests
 from ..operators.sections import prune_boilerplate
 from ..sources.pages import lookup_pages, page_sections, scan_pages
 from ..sources.tables import document_requests, document_sections, read_table, spread
-from .ingest import sections_to_chunks
+from .ingest import PLACE, first_sections, sections_to_chunks
 
 NPROBE = 13  # of 16 cells: near neighbours of unrelated vectors are spread
 FLAGSHIP_CHUNKS = ChunkOptions(max_tokens=256, overlap=32)
@@ -768,3 +768,25 @@ def q_content_flow(spark, base):
 
 
 QUERIES["content_flow"] = q_content_flow
+
+
+def _colliding(spark, base) -> DataFrame:
+    """Page chunks as if all sections of a page had the same name."""
+    secs = page_sections(_pages(spark, base)).withColumn("title", F.lit("Same")) \
+        .withColumn("url", F.concat(F.col("topic"), F.lit("#Same")))
+    return sections_to_chunks(secs, ChunkOptions(max_tokens=34, overlap=8), EMBED,
+                              ingested_at=F.lit(0), extra=PLACE)
+
+
+def q_ingest_first(spark, base):
+    """Rows with one key: the first section of the lowest page wins."""
+    return first_sections(_colliding(spark, base)).select(
+        "topic", "chunk_id", "tokens", F.md5("text").alias("text_md5"))
+
+
+def q_ingest_dropped(spark, base):
+    """How many rows of each topic lose to an earlier one with the same key."""
+    return store.dropped_rows(_colliding(spark, base))
+
+
+QUERIES.update({"ingest_first": q_ingest_first, "ingest_dropped": q_ingest_dropped})

@@ -28,7 +28,7 @@ from ..functions.text import py_strip
 from ..operators import store as st
 from ..operators.search import RetrievalError, search, single_request, validate_requests
 from ..sources.pages import lookup_pages, page_sections, page_titles
-from .ingest import sections_to_chunks
+from .ingest import PLACE, first_sections, sections_to_chunks
 
 
 class Retrieval:
@@ -69,7 +69,7 @@ class Retrieval:
         secs = page_sections(self.pages.join(found.select("page_id").distinct(), "page_id",
                                              "left_semi"))
         secs = secs.drop("topic").join(found.select("page_id", "topic"), "page_id")
-        rows = sections_to_chunks(secs, self.chunk_options, self.embed_options)
+        rows = sections_to_chunks(secs, self.chunk_options, self.embed_options, extra=PLACE)
         made = rows.select("topic").distinct().withColumn("_made", F.lit(True))
         cut = secs.select("topic").distinct().withColumn("_cut", F.lit(True))
         reason = (F.when(F.col("status") == "not found", F.lit("page not found"))
@@ -77,7 +77,7 @@ class Retrieval:
                    .otherwise(F.lit("no chunks produced")))
         rejects = (resolved.join(made, "topic", "left").join(cut, "topic", "left")
                    .filter(F.col("_made").isNull()).select("topic", reason.alias("reason")))
-        return st.dedup_new(rows, self.key), rejects
+        return first_sections(rows, self.key), rejects
 
     # -- maintenance --------------------------------------------------------
     def ensure_indexed(self, topics: DataFrame) -> DataFrame:

@@ -75,3 +75,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path for a materialised intermediate table inside the shared folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def write_shared(df, name: str):
+    """Write ``df`` once as parquet in the shared folder and read it back: later
+    reads see the same rows, read only the columns they need, and a lost
+    executor replays nothing of the plan above."""
+    import uuid
+    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
