@@ -790,3 +790,19 @@ def q_ingest_dropped(spark, base):
 
 
 QUERIES.update({"ingest_first": q_ingest_first, "ingest_dropped": q_ingest_dropped})
+
+
+def q_stream_store(spark, base):
+    """The stream into a chunk store, run twice over the same files: the second
+    run changes nothing."""
+    import uuid
+
+    from ..session import shared_path
+    from ..streaming.ingest import run_ingest
+    cs = store.ChunkStore(spark, shared_path(spark, f"stream-store-{uuid.uuid4().hex[:12]}"), buckets=8)
+    for _ in range(2):
+        run_ingest(spark, f"{base.rstrip('/')}/documents*.parquet", store=cs)
+    return cs.read().select("chunk_id", "topic", "tokens", F.md5("text").alias("text_md5"))
+
+
+QUERIES["stream_store"] = q_stream_store

@@ -1,7 +1,8 @@
 """Incremental ingest as a Structured Streaming job.
 
 New document files arriving in a folder are cleaned, chunked and embedded in
-micro-batches and appended to a parquet chunk table.  Every stage is
+micro-batches and appended to a parquet chunk table, or upserted into a
+chunk store.  Every stage is
 row-local, so the stream keeps no state; the file sink's commit log plus the
 query checkpoint give exactly-once output across restarts and lost
 executors.  Topics that are already stored can be skipped with a
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import INGEST_CHUNKS, ChunkOptions, EmbedOptions
+from ..operators.store import ChunkStore, dedup_new, materialize
 from ..plans.ingest import sections_to_chunks
 from ..session import shared_path
 from ..sources.tables import document_sections
@@ -43,11 +45,18 @@ def stream_chunks(docs: DataFrame, chunk_options: ChunkOptions = INGEST_CHUNKS,
     return sections_to_chunks(secs, chunk_options, embed_options, ingested_at=F.lit(0))
 
 
+def _upsert(store: ChunkStore, rows: DataFrame) -> None:
+    rows = materialize(dedup_new(rows))
+    if not rows.isEmpty():
+        store.upsert(rows, materialized=True)
+
+
 def run_ingest(spark: SparkSession, pattern: str, *, sink: str | None = None,
                checkpoint: str | None = None, schema=None,
                chunk_options: ChunkOptions = INGEST_CHUNKS,
                embed_options: EmbedOptions = EmbedOptions(),
-               skip_topics: DataFrame | None = None, timeout_s: int | None = None) -> str:
+               skip_topics: DataFrame | None = None, store: ChunkStore | None = None,
+               timeout_s: int | None = None) -> str:
     """Run the stream until all present files are processed (however long that
     takes, unless ``timeout_s`` is given); return the sink path.  Sink and checkpoint default to fresh folders in the shared
     checkpoint folder."""
@@ -58,9 +67,13 @@ def run_ingest(spark: SparkSession, pattern: str, *, sink: str | None = None,
         schema = spark.read.parquet(pattern).schema
     chunks = stream_chunks(document_stream(spark, pattern, schema), chunk_options,
                            embed_options, skip_topics)
-    query = (chunks.writeStream.format("parquet").outputMode("append")
-                   .option("checkpointLocation", checkpoint)
-                   .trigger(availableNow=True).start(sink))
+    stream = (chunks.writeStream.option("checkpointLocation", checkpoint)
+              .trigger(availableNow=True))
+    if store is not None:
+        sink = store.root
+        query = stream.foreachBatch(lambda rows, batch: _upsert(store, rows)).start()
+    else:
+        query = stream.format("parquet").outputMode("append").start(sink)
     if timeout_s is None:
         query.awaitTermination()
     elif not query.awaitTermination(timeout_s):
