@@ -55,14 +55,15 @@ class Anchors:
             self.window_anchor = np.zeros(0, np.int64)
             return
         grams = gram_hash(words.hash, seed)
-        best = grams[starts]
-        place = np.zeros(len(starts), np.int64)
+        m = n - window + 1
+        best = grams[:m].copy()
+        place = np.zeros(m, np.int64)
         for j in range(1, span):
-            other = grams[starts + j]
+            other = grams[j:j + m]
             less = other < best
-            best = np.where(less, other, best)
+            np.copyto(best, other, where=less)
             place[less] = j
-        at = starts + place
+        at = starts + place[starts]
         row = words.row[starts]
         # windows of one anchor follow each other
         new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])]))
@@ -132,50 +133,55 @@ def _open_windows(window: int, seed: int):
 
 def _cover(window: int, seed: int, with_text: bool):
     """Remove the words of repeated windows from each text."""
+    def plain(part: pa.RecordBatch) -> list[tuple]:
+        """Texts that lose nothing."""
+        out = []
+        for text in part.column(part.schema.get_field_index("text")).cast(pa.binary()).to_pylist():
+            words = (text or b"").split()  # the same white space as for words
+            out.append((len(words), 0, b" ".join(words)))
+        return out
+
+    def marked(part: pa.RecordBatch) -> list[tuple]:
+        """Texts with repeated windows."""
+        words = Words(part.column(part.schema.get_field_index("text")))
+        a = Anchors(words, window, seed)
+        edges = np.searchsorted(a.row, np.arange(part.num_rows + 1))
+        wedges = np.searchsorted(words.row[a.windows], np.arange(part.num_rows + 1)) \
+            if len(a.windows) else np.zeros(part.num_rows + 1, np.int64)
+        step = np.zeros(len(words.hash) + 1, np.int64)
+        for i in range(part.num_rows):
+            whole, single = _list_of(part, "whole", i), _list_of(part, "single", i)
+            if len(whole):
+                hit = edges[i] + np.flatnonzero(np.isin(a.reach[edges[i]:edges[i + 1]], whole))
+                np.add.at(step, a.lo[hit], 1)
+                np.add.at(step, a.hi[hit] + window, -1)
+            if len(single):
+                own = a.windows[wedges[i]:wedges[i + 1]]
+                own = own[np.isin(a.window_hash(own), single)]
+                np.add.at(step, own, 1)
+                np.add.at(step, own + window, -1)
+        gone = np.cumsum(step[:-1]) > 0
+        data, out = words.data.tobytes(), []
+        for i in range(part.num_rows):
+            lo, hi = words.first[i], words.first[i + 1]
+            left = np.flatnonzero(~gone[lo:hi]) + lo
+            kept = [data[s:e] for s, e in zip(words.start[left].tolist(), words.end[left].tolist())]
+            out.append((int(hi - lo), int(hi - lo) - len(kept), b" ".join(kept)))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
         for batch in batches:
-            for part in text_slices(batch):
-                words = Words(part.column(part.schema.get_field_index("text")))
-                a = Anchors(words, window, seed)
-                edges = np.searchsorted(a.row, np.arange(part.num_rows + 1))
-                wedges = np.searchsorted(words.row[a.windows], np.arange(part.num_rows + 1)) \
-                    if len(a.windows) else np.zeros(part.num_rows + 1, np.int64)
-                step = np.zeros(len(words.hash) + 1, np.int64)
-                for i in range(part.num_rows):
-                    whole, single = _list_of(part, "whole", i), _list_of(part, "single", i)
-                    if len(whole):
-                        hit = edges[i] + np.flatnonzero(np.isin(a.reach[edges[i]:edges[i + 1]], whole))
-                        np.add.at(step, a.lo[hit], 1)
-                        np.add.at(step, a.hi[hit] + window, -1)
-                    if len(single):
-                        own = a.windows[wedges[i]:wedges[i + 1]]
-                        own = own[np.isin(a.window_hash(own), single)]
-                        np.add.at(step, own, 1)
-                        np.add.at(step, own + window, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                n, removed, digest, kept_text = [], [], [], []
-                data = words.data
-                for i in range(part.num_rows):
-                    lo, hi = words.first[i], words.first[i + 1]
-                    cut = gone[lo:hi]
-                    if cut.any():
-                        left = np.flatnonzero(~cut) + lo
-                        kept = b" ".join([data[s:e].tobytes() for s, e in
-                                          zip(words.start[left], words.end[left])])
-                    else:
-                        kept = b" ".join(data[words.offsets[i]:words.offsets[i + 1]].tobytes().split())
-                    n.append(int(hi - lo))
-                    removed.append(int(cut.sum()))
-                    digest.append(hashlib.sha256(kept).hexdigest())
+            has = pa.compute.is_valid(batch.column(batch.schema.get_field_index("whole")))
+            for texts, rule in ((batch.filter(has), marked), (batch.filter(pa.compute.invert(has)), plain)):
+                for part in text_slices(texts):
+                    n, removed, kept = zip(*rule(part))
+                    cols = [part.column(part.schema.get_field_index("doc_id")), pa.array(n, pa.int64()),
+                            pa.array(removed, pa.int64()),
+                            pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
                     if with_text:
-                        kept_text.append(kept.decode("utf-8", "replace"))
-                cols = [part.column(part.schema.get_field_index("doc_id")), pa.array(n, pa.int64()),
-                        pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-                if with_text:
-                    cols.append(pa.array(kept_text, pa.string()))
-                    names.append("kept_text")
-                yield pa.record_batch(cols, names)
+                        cols.append(pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()))
+                    yield pa.record_batch(cols, names)
     return run
 
 
