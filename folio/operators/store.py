@@ -175,23 +175,20 @@ def capacity_violations(chunks: DataFrame, dim: int = config.DEFAULT_DIM) -> Dat
 # Versioned table on the shared file system
 # ---------------------------------------------------------------------------
 class ChunkStore:
-    """Bucketed parquet chunk table under ``root`` with per-bucket versions.
+    """A chunk table with cheap changes and readable old versions.
 
     Layout::
 
-        <root>/topic_bucket=<b>/version=<n>/part-*.parquet
-        <root>/_commits/<n>/part-*.txt      buckets written by version n
-        <root>/_staging/<n>/                 a write in progress
-        <root>/meta.txt                      the number of buckets
-
-    A change rewrites only the buckets it touches: rows are written to
-    ``_staging/<n>`` (partitioned by bucket), each touched bucket directory
-    is renamed to ``topic_bucket=<b>/version=<n>``, and the commit record is
-    written last.  A reader's snapshot takes, per bucket, the highest
-    committed version, so a crashed write (no commit record) is invisible and
-    the next write simply replaces its directories.  Older versions stay
-    readable until ``vacuum``.  Single writer per root, enforced by a lock
-    file.
+        <root>/data/version=<n>/topic_bucket=<b>/   rows that change <n> wrote
+        <root>/_commits/<n>                         the snapshot: a line ``b v`` a bucket
+        <root>/meta.txt                             the number of buckets
+
+    A change rewrites only the buckets it touches, straight into a folder of its
+    own version; nothing is renamed or overwritten.  The commit record is written
+    last and names, for every bucket that has rows, the version that holds them,
+    so a reader opens one small file however many commits there were, and a
+    crashed write (no record) is invisible.  Older versions stay readable until
+    ``vacuum``.  Single writer per root, enforced by a lock file.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None,
@@ -233,34 +230,26 @@ class ChunkStore:
         return jvm.org.apache.hadoop.fs.Path("/".join((self.root,) + parts))
 
     def versions(self) -> list[int]:
-        """Committed versions (a commit record with its ``_SUCCESS``)."""
-        fs, jvm = self._fs()
+        """Committed versions."""
+        fs, _ = self._fs()
         commits = self._path("_commits")
         if not fs.exists(commits):
             return []
-        out = []
-        for st in fs.listStatus(commits):
-            name = st.getPath().getName()
-            if name.isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name))
-        return sorted(out)
+        names = [st.getPath().getName() for st in fs.listStatus(commits)]
+        return sorted(int(n) for n in names if n.isdigit())
 
     def current_version(self) -> int | None:
         v = self.versions()
         return v[-1] if v else None
 
     def snapshot(self, version: int | None = None) -> dict[int, int]:
-        """bucket -> the version holding its rows, as of ``version``."""
+        """bucket -> the version holding its rows, as of ``version``; buckets
+        without rows are left out."""
         committed = [v for v in self.versions() if version is None or v <= version]
         if not committed:
             return {}
-        paths = [f"{self.root}/_commits/{v}" for v in committed]
-        rows = (self.spark.read.text(paths)
-                .select(F.col("value").cast("int").alias("b"),
-                        F.regexp_extract(F.input_file_name(), r"_commits/(\d+)/", 1)
-                        .cast("int").alias("v"))
-                .groupBy("b").agg(F.max("v").alias("v")).collect())
-        return {r["b"]: r["v"] for r in rows}
+        lines = self.spark.read.text(f"{self.root}/_commits/{committed[-1]}").collect()
+        return {int(b): int(v) for b, v in (r["value"].split() for r in lines)}
 
     def bucket_of(self, topics: list[str]) -> list[int]:
         if not topics:
@@ -284,8 +273,8 @@ class ChunkStore:
         if not chosen:
             return self.spark.createDataFrame([], CHUNKS).withColumn(
                 "topic_bucket", F.lit(None).cast("int"))
-        paths = [f"{self.root}/topic_bucket={b}/version={v}" for b, v in sorted(chosen.items())]
-        return (self.spark.read.schema(self._schema()).option("basePath", self.root)
+        paths = [f"{self.root}/data/version={v}/topic_bucket={b}" for b, v in sorted(chosen.items())]
+        return (self.spark.read.schema(self._schema()).option("basePath", f"{self.root}/data")
                 .parquet(*paths).drop("version"))
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -325,36 +314,36 @@ class ChunkStore:
 
     def _commit_locked(self, rows: DataFrame, buckets) -> int:
         """Write ``rows`` as the new content of ``buckets`` (other buckets are
-        untouched).  Rows are spread over tasks by (bucket, id hash), so a
-        bucket holding a hot topic is written by many tasks; each task's rows
+        untouched).  Rebalancing sizes the write tasks by data: a bucket holding a
+        hot topic is split over many, small buckets share one; each task's rows
         are sorted by topic so files keep tight topic ranges."""
         fs, jvm = self._fs()
-        Path = jvm.org.apache.hadoop.fs.Path
+        before = self.snapshot()
         version = (self.current_version() or 0) + 1
-        staging = f"{self.root}/_staging/{version}"
-        if fs.exists(Path(staging)):
-            fs.delete(Path(staging), True)
-        tasks = max(self.spark.sparkContext.defaultParallelism, 1)
+        target = self._path("data", f"version={version}")
+        fs.delete(target, True)  # left by a crashed, uncommitted attempt
         staged = (rows.withColumn("topic_bucket", topic_bucket("topic", self.buckets))
-                      .repartition(tasks, "topic_bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+                      .hint("rebalance", "topic_bucket")
                       .sortWithinPartitions("topic_bucket", "topic", "chunk_id"))
         (staged.write.mode("errorifexists").option("maxRecordsPerFile", self.max_records_per_file)
-               .partitionBy("topic_bucket").parquet(staging))
-        for b in sorted(set(buckets)):
-            src = Path(f"{staging}/topic_bucket={b}")
-            dst = Path(f"{self.root}/topic_bucket={b}/version={version}")
-            if fs.exists(dst):  # left by a crashed, uncommitted attempt
-                fs.delete(dst, True)
-            fs.mkdirs(dst.getParent())
-            if fs.exists(src):
-                fs.rename(src, dst)
-            else:
-                fs.mkdirs(dst)  # the bucket is now empty
-        record = self.spark.createDataFrame([(str(b),) for b in sorted(set(buckets))], "value string")
-        record.coalesce(1).write.mode("errorifexists").text(f"{self.root}/_commits/{version}")
-        fs.delete(Path(staging), True)
+               .partitionBy("topic_bucket").parquet(str(target)))
+        written = [st.getPath().getName() for st in fs.listStatus(target)]
+        filled = {int(n.partition("=")[2]) for n in written if n.startswith("topic_bucket=")}
+        after = {b: v for b, v in before.items() if b not in set(buckets)} | dict.fromkeys(filled, version)
+        self._publish(version, "".join(f"{b} {v}\n" for b, v in sorted(after.items())))
         return version
 
+    def _publish(self, version: int, text: str) -> None:
+        """Write the commit record under another name, then give it its own:
+        readers see all of it or nothing."""
+        fs, _ = self._fs()
+        draft, record = self._path("_commits", f"_{version}"), self._path("_commits", str(version))
+        out = fs.create(draft, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if fs.exists(record) or not fs.rename(draft, record):
+            raise RuntimeError(f"version {version} of store {self.root} was committed by another writer")
+
     def write(self, chunks: DataFrame) -> int:
         """Replace the whole table with ``chunks`` (every bucket)."""
         return self._commit(chunks, range(self.buckets))
@@ -402,18 +391,20 @@ class ChunkStore:
         return self._commit(delete_ids(self.read_buckets(touched), ids), touched)
 
     def vacuum(self) -> int:
-        """Delete bucket versions no snapshot at or after the current one
-        reads; returns how many directories were removed."""
-        fs, jvm = self._fs()
-        snap = self.snapshot()
+        """Delete the bucket folders that the current snapshot does not read and
+        the records of older commits; returns how many folders were removed."""
+        fs, _ = self._fs()
+        snap, current = self.snapshot(), self.current_version()
         removed = 0
-        for b, keep in snap.items():
-            bdir = self._path(f"topic_bucket={b}")
-            if not fs.exists(bdir):
-                continue
-            for st in fs.listStatus(bdir):
-                name = st.getPath().getName()
-                if name.startswith("version=") and int(name.split("=")[1]) < keep:
-                    fs.delete(st.getPath(), True)
+        data = self._path("data")
+        for st in fs.listStatus(data) if fs.exists(data) else ():
+            version = int(st.getPath().getName().partition("=")[2])
+            for sub in fs.listStatus(st.getPath()):
+                bucket = sub.getPath().getName().partition("=")[2]
+                if bucket and version <= current and snap.get(int(bucket)) != version:
+                    fs.delete(sub.getPath(), True)
                     removed += 1
+        for v in self.versions():
+            if v < current:
+                fs.delete(self._path("_commits", str(v)), False)
         return removed

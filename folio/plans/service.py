@@ -79,10 +79,18 @@ class Retrieval:
                    .filter(F.col("_made").isNull()).select("topic", reason.alias("reason")))
         return first_sections(rows, self.key), rejects
 
+    def _stored(self, topics: DataFrame, prune_topics: int = 1000) -> DataFrame:
+        """The stored chunks; of the topics' buckets only, if there are few topics."""
+        names = topics.limit(prune_topics + 1).collect()
+        if len(names) > prune_topics:
+            return self.store.read()
+        return self.store.read_topics([r.topic for r in names])
+
     # -- maintenance --------------------------------------------------------
     def ensure_indexed(self, topics: DataFrame) -> DataFrame:
         """Ingest the missing topics; returns the rejects."""
-        missing = st.missing_topics(self._topics(topics), self.store.read())
+        wanted = self._topics(topics)
+        missing = st.missing_topics(wanted, self._stored(wanted))
         if missing.limit(1).count() == 0:
             return self.spark.createDataFrame([], "topic string, reason string")
         rows, rejects = self.build(missing)
@@ -118,9 +126,7 @@ class Retrieval:
         failed = self.ensure_indexed(valid.select("topic"))
         rejects = (bad.select("query_id", "topic", "reason")
                    .unionByName(valid.join(failed, "topic").select("query_id", "topic", "reason")))
-        names = self._topics(valid).limit(prune_topics + 1).collect()
-        chunks = (self.store.read_topics([r.topic for r in names])
-                  if len(names) <= prune_topics else self.store.read())
+        chunks = self._stored(self._topics(valid), prune_topics)
         kw.setdefault("late_payload", True)  # chunks come from the store
         hits = search(chunks, valid, embed_options=self.embed_options,
                       options=self.search_options, **kw)

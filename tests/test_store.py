@@ -68,8 +68,8 @@ def test_chunk_store_versions_and_topic_read(spark, tmp_dir):
     assert _ids(cs.read(1)) == [("T1", "a", "m1"), ("T2", "b", "m1")]
     # only T1's bucket was rewritten by version 2
     b1, b2 = cs.bucket_of(["T1"])[0], cs.bucket_of(["T2"])[0]
-    assert os.path.isdir(f"{root}/topic_bucket={b1}/version=2")
-    assert b1 == b2 or not os.path.exists(f"{root}/topic_bucket={b2}/version=2")
+    assert os.path.isdir(f"{root}/data/version=2/topic_bucket={b1}")
+    assert b1 == b2 or not os.path.exists(f"{root}/data/version=2/topic_bucket={b2}")
     t = cs.read_topic("T2")
     assert _ids(t) == [("T2", "b", "m1")]
     both = cs.read_topics(["T1", "T2", "nope"])
@@ -85,7 +85,7 @@ def test_chunk_store_versions_and_topic_read(spark, tmp_dir):
         cs.upsert(_rows(spark, [("q", "T2")]))
     os.remove(f"{root}/_lock")
     # a crashed write leaves no commit record and stays invisible
-    os.makedirs(f"{root}/topic_bucket={b2}/version=5")
+    os.makedirs(f"{root}/data/version=5/topic_bucket={b2}")
     assert cs.current_version() == 4 and cs.read().count() == 0
     assert cs.upsert(_rows(spark, [("c", "T2")])) == 5
     assert _ids(cs.read()) == [("T2", "c", "m1")]
