@@ -152,8 +152,8 @@ def settle(spark: SparkSession) -> None:
     """Session defaults; Arrow batches are made smaller, never larger."""
     apply_defaults(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    size = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
-    if not 0 < size <= BATCH_BYTES:
+    size = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if size is None or not 0 < int(size[1]) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
