@@ -215,8 +215,8 @@ def _search(index: Index, cosine: float, share: float, answer_share: float):
         ok = inside >= KNOWN * full
         start, end = start[ok], end[ok]
         at, window = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(start), 4096):
-            s, e = start[lo:lo + 4096], end[lo:lo + 4096]
+        for lo in range(0, len(start), 512):
+            s, e = start[lo:lo + 512], end[lo:lo + 512]
             v = index.latent(bag, s, e)
             norm = np.linalg.norm(v, axis=1, keepdims=True)
             alike = v @ index.unit.T >= cosine * np.maximum(norm, 1e-6)

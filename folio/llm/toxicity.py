@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._util import _VALUES, Words, mix, range_hash, text_slices
 
 SAMPLE = 1000  # toxic texts, and as many others for the chains
-CLEAN_SAMPLE = 4000  # other texts for the token labels
+CLEAN_SAMPLE = 3000  # other texts for the token labels
 SAMPLE_BYTES = 64 << 10
 BITS = 18
 PREFIXES = (4, 5, 6)  # bytes of a word's beginning that are features, beside the whole word
