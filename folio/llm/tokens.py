@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Words, range_hash, text_slices
+from ._util import _SPACE, Words, range_hash, text_slices
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -34,6 +34,11 @@ _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202
 _ODD_LEAD = np.zeros(256, bool)
 _ODD_LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 _VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+# Between an ASCII letter and one of these marks a token always ends as well.
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?)"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 LONG_PIECE = 128  # bytes; longer pieces are not kept
 
 
@@ -45,11 +50,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 def safe_pieces(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """(words, start, end, row) of pieces whose tokens do not depend on their neighbours.
 
-    A piece is a run of white space and the visible run after it; white space
-    that ends a text is one too.  No token of the byte-level pattern holds white
-    space after a visible character, and nothing before a piece is looked at when
-    it is split, so the tokens of a text are those of its pieces.  Texts with
-    other white space are one piece.
+    A piece is a run of white space and the visible run after it, cut before a
+    punctuation mark that follows a letter; white space that ends a text is a
+    piece too.  No token of the byte-level pattern holds white space after a
+    visible character or a letter and a mark, and nothing before a piece is looked
+    at when it is split, so the tokens of a text are those of its pieces.  Texts
+    with other white space are one piece.
     """
     words = Words(texts)
     rows = np.arange(len(texts))
@@ -58,9 +64,14 @@ def safe_pieces(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndar
     odd = total[words.offsets[1:]] > total[words.offsets[:-1]]
     for i in np.flatnonzero(odd):
         odd[i] = _ODD_SPACE.search(texts[int(i)].as_py() or "") is not None
-    end = np.concatenate([words.end, words.offsets[1:]])  # each row's last piece ends it
-    row = np.concatenate([words.row, rows])
-    order = np.argsort(row, kind="stable")
+    marks = 1 + np.flatnonzero(_LETTER[words.data[:-1]] & _MARK[words.data[1:]]) \
+        if len(words.data) else np.zeros(0, np.int64)
+    edge = np.zeros(len(words.data) + 1, bool)
+    edge[words.offsets] = True
+    marks = marks[~edge[marks]]
+    end = np.concatenate([words.end, words.offsets[1:], marks])  # each row's last piece ends it
+    row = np.concatenate([words.row, rows, np.searchsorted(words.offsets, marks, "right") - 1])
+    order = np.argsort(end, kind="stable")  # rows follow each other, so this sorts by row
     end, row = end[order], row[order]
     start = np.concatenate([[0], end[:-1]])
     new = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
@@ -110,7 +121,7 @@ class Encoder:
             # only the plain byte-level pattern, without normaliser or options, allows cuts
             self.split = (model.normalizer is None and isinstance(model.pre_tokenizer, ByteLevel)
                           and not model.pre_tokenizer.add_prefix_space
-                          and not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip
+                          and not any(re.search(r"\s|[A-Za-z][.,;:!?)]", t.content) or t.lstrip or t.rstrip
                                       or t.single_word
                                       for t in model.get_added_tokens_decoder().values()))
             model.no_padding()
@@ -128,10 +139,11 @@ class Encoder:
         return (np.concatenate([np.zeros(0, np.uint32), *ids]),
                 np.array([len(i) for i in ids], np.int64))
 
-    def _new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``_whole``; pieces between blank and visible are encoded many at a time."""
-        alone = np.array([p[:1].strip() != b"" or p[-1:].strip() == b"" or len(p) > LONG_PIECE
-                          for p in pieces], bool)
+    def _new(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple:
+        """As ``_whole``; pieces from blank to visible are encoded many at a time."""
+        alone = ~_SPACE[data[start]] | _SPACE[data[end - 1]] | (end - start > LONG_PIECE)
+        text = data.tobytes()
+        pieces = [text[s:e] for s, e in zip(start.tolist(), end.tolist())]
         size = np.zeros(len(pieces), np.int64)
         parts, owner = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         at = np.flatnonzero(alone)
@@ -145,7 +157,7 @@ class Encoder:
             some = joined[lo:lo + 4096]
             batch = [pieces[i] for i in some]
             ids = np.asarray(self._encode([b"".join(batch).decode()])[0], np.uint32)
-            ends = np.cumsum([len(p) for p in batch])
+            ends = np.cumsum(end[some] - start[some])
             cut = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
             n = np.diff(np.concatenate([[0], cut]))
             size[some] = n
@@ -181,10 +193,8 @@ class Encoder:
         hit[hit] = self.key[at[hit]] == key[hit]
         if not hit.all():
             self.used[at[hit]] = self.turn  # keeps them while others are forgotten
-            text = words.data.tobytes()
             new = first[~hit]
-            pieces = [text[s:e] for s, e in zip(start[new].tolist(), end[new].tolist())]
-            self._learn(key[~hit], *self._new(pieces))
+            self._learn(key[~hit], *self._new(words.data, start[new], end[new]))
             at = np.searchsorted(self.key, key)
         self.used[at] = self.turn
         return at[which], row
