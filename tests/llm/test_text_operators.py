@@ -272,7 +272,7 @@ def test_tokens_at_boundaries():
     encode = ids_of(vocabulary_path())
     rng = random.Random(8)
     bits = [" ", "  ", "\n", "\n\n", "\t", "a", "b's", "é", "12", "!?", "\u00a0", "<|endoftext|>",
-            "\x1c", "\x85", "\u200b", "日本", " 'll", "\r\n", "\x0b", "\u0301", "½", "\u2009"]
+            "\x1c", "\x85", "\u200b", "日本", " 'll", "\r\n", "\x0b", "\u0301", "½", "\u2009", "a.", "Z,", "...", ")"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
     enc = Encoder(vocabulary_path(), kept=300)  # forgets often
     for lo in range(0, len(texts), 250):
