@@ -195,6 +195,14 @@ def drop_table(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root and no root hangs on another."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    return (ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+            .where("below + above > 1").isEmpty())
+
+
 def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(node, component) of every node of ``edges`` (columns a, b; both longs).
 
@@ -208,12 +216,12 @@ def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
     e = stage_table(edges.where("a is not null and b is not null and a <> b")
                     .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                     .distinct(), name)
-    while True:
+    while not _only_stars(e):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = (both.where("v > u").join(least, "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
+                 .where("u <> v"))
         large = stage_table(large, name)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m")
@@ -224,11 +232,6 @@ def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
         drop_table(large)
         drop_table(e)
         e = new
-        # done when every node hangs on one root and no root hangs on another
-        loose = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-        chained = e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi")
-        if loose.union(chained).isEmpty():
-            break
     pairs = e.select("u", F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node")).distinct()
     out = (pairs.select(F.col("u").alias("node"), "component")
