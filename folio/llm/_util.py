@@ -19,6 +19,7 @@ from ..session import apply_defaults, shared_path
 SLICE_BYTES = 1 << 20
 # Arrow batches between Spark and Python: small ones bound the memory of both sides.
 BATCH_BYTES = 8 << 20
+BATCH_ROWS = 1000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -155,6 +156,9 @@ def settle(spark: SparkSession) -> None:
     size = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
     if size is None or not 0 < int(size[1]) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

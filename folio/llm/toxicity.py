@@ -292,12 +292,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
     return Field.from_bytes(rows[0].model) if rows else Field()
 
 
-def _scored(field: Field, keep: list[str], with_spans: bool):
+def _scored(field: Field, keep: list[str], text: str, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for part in text_slices(batch, "_text"):
-                tokens = Tokens(part.column(part.schema.get_field_index("_text")))
+            for part in text_slices(batch, text):
+                tokens = Tokens(part.column(part.schema.get_field_index(text)))
                 odds = field.odds(tokens)
                 first = tokens.words.first
                 cols = [part.column(part.schema.get_field_index(c)) for c in keep]
@@ -332,9 +332,12 @@ def score_toxicity(docs: DataFrame, field: Field, keep: list[str] | None = None,
     Columns of ``docs`` named ``score`` or ``spans`` cannot be kept.
     """
     keep = ["doc_id"] if keep is None else keep
-    picked = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    if "text" in keep and dict(docs.dtypes)["text"] == "string":  # the text travels once
+        text, picked = "text", docs.select(*keep)
+    else:
+        text, picked = "_text", docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    schema = ", ".join(f"`{c}` {dict(picked.dtypes)[c]}" for c in keep)
     schema += ", score double"
     if with_spans:
         schema += ", spans array<struct<start: bigint, end: bigint>>"
-    return picked.mapInArrow(_scored(field, keep, with_spans), schema)
+    return picked.mapInArrow(_scored(field, keep, text, with_spans), schema)
