@@ -30,7 +30,7 @@ STRIDE = 4
 RANK = 24
 EXTRA = 8  # more random directions than the rank
 COMMON = 0.05  # words in more of the passages are left out of the latent space
-COSINE = 0.85
+COSINE = 0.75
 OVERLAP = 0.5  # of the telling words of an item's window that a candidate must have
 TELLING = 4  # words not left out that a window needs, unless its item has no such window
 KNOWN = 0.65  # of a passage's squared length that words of the benchmark must hold
