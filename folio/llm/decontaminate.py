@@ -298,8 +298,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sh
                               F.col("text").cast("string").alias("text"))
              .where(F.col("item_id").isNotNull() & F.col("text").rlike(r"[^ \t\n\r\f\x0B]"))
              .groupBy("item_id", "text").count().orderBy("item_id", "text"))
-    counts = {r.bucket: r.n for r in docs.select("text").mapInArrow(_frequencies, "bucket long, n long")
-              .groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most 2**BITS + 1 rows
+    table = (docs.select("text").mapInArrow(_frequencies, "bucket long, n long")
+             .groupBy("bucket").agg(F.sum("n").alias("n")).toArrow())  # at most 2**BITS + 1 rows
+    counts = dict(zip(table["bucket"].to_pylist(), table["n"].to_pylist()))
     idf = inverse_frequency(counts)
     out = None
     block, last = [], False
