@@ -263,3 +263,27 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert {r.doc_id for r in cp.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {None, 1, 3, 4, 5}
     for name, run in cp.STAGES:
         assert run(spark, spark.createDataFrame([], schema), str(tmp_path)).count() == 0
+
+
+def test_pipeline_near_copies(spark):
+    """Kept rows against all pairs, at five words and 0.8."""
+    import corpus_pipeline as cp
+    rng = random.Random(31)
+    rows = []
+    for n, places in ((100, (30, 70)), (200, (20, 70, 120, 170)), (50, (25,)), (50, (10, 40)), (12, (6,)), (3, ())):
+        w = [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+        rows += [" ".join(w), " ".join("x" if k in places else x for k, x in enumerate(w))]
+    sets = []
+    for t in rows:
+        w = t.split(" ")
+        sets.append({tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root = [root[a] if x == root[b] else x for x in root]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in cp.near_duplicates(spark, docs, SMALL).collect()}
+    assert kept == {min(k for k in range(len(rows)) if root[k] == r) for r in root}
+    assert not kept & {1, 3, 5}
