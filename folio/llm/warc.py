@@ -28,6 +28,7 @@ DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = b"WARC/1."
+_FIRST = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
 # An empty gzip member: the text sink puts it between records, readers skip it.
@@ -110,21 +111,24 @@ class Damaged(ValueError):
 
 def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """(headers, block, end) of the record at ``at``; raises Damaged."""
-    stop = data.find(END, at, at + (1 << 16))
-    if stop < 0:
-        raise Damaged("header has no end")
-    first, *rest = data[at:stop].split(b"\r\n")
-    if not re.fullmatch(rb"WARC/1\.[01]", first):
+    if not _FIRST.match(data, at):
         raise Damaged("version line")
     headers = {}
-    for line in rest:
-        name, colon, value = line.partition(b":")
+    lo = data.find(b"\r\n", at) + 2
+    while True:  # line by line: a header may be of any length, a bad line ends the search
+        stop = data.find(b"\r\n", lo)
+        if stop < 0:
+            raise Damaged("header has no end")
+        if stop == lo:
+            break
+        name, colon, value = data[lo:stop].partition(b":")
         if not colon:
             raise Damaged("header line")
         headers[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+        lo = stop + 2
     if not headers.get("content-length", "").isdigit():
         raise Damaged("content length")
-    lo = stop + len(END)
+    lo = stop + 2
     hi = lo + int(headers["content-length"])
     if data[hi:hi + len(END)] != END:
         raise Damaged("record end")

@@ -170,6 +170,16 @@ def test_salvage_from_files(spark, tmp_path):
     assert [(r.offset, r.length) for r in gap] == [(sum(map(len, parts[:3])), 3)]
 
 
+def test_archive_long_headers(spark, tmp_path):
+    rows = [(k, "data:," + "u" * n, f"page {k}") for k, n in enumerate((10, 65_000, 66_000, 100_000, 3_000_000))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id for r in page_archive(pages, str(tmp_path / "w")).collect()} == set(range(5))
+    parsed = read_warc(spark, str(tmp_path / "w")).collect()
+    assert {r.target_uri for r in parsed} == {u for _, u, _ in rows} and len(parsed) == 5
+    plain = b"".join(record_bytes(k, u, b"", "", None, 0) for k, u, _ in rows)
+    assert [r.kind for r in salvage(plain)] == ["record"] * 5
+
+
 def test_messages():
     """Marginals against all paths of short chains."""
     rng = np.random.default_rng(3)
