@@ -29,10 +29,11 @@ WINDOW = 12  # words of a passage
 STRIDE = 4
 RANK = 24
 EXTRA = 8  # more random directions than the rank
-COMMON = 0.05  # words in more of the passages are left out of the latent space
+COMMON = 0.05  # words in more of the passages are left out of the latent space, but see TELLING
 COSINE = 0.75
 OVERLAP = 0.5  # of the telling words of an item's window that a candidate must have
-TELLING = 4  # words not left out that a window needs, unless its item has no such window
+TELLING = 4  # words not left out that a window needs, unless its item has no such window;
+# items with fewer keep all their words
 KNOWN = 0.65  # of a passage's squared length that words of the benchmark must hold
 SHARE = 0.6  # of the item's words in the longest common subsequence
 ANSWER = 6  # last words of an item
@@ -164,17 +165,20 @@ class Index:
         self.ids = ids
         self.bag = Bag(texts)
         self.idf = idf
-        used = np.unique(self.bag.bucket)
-        used = used[idf[used] >= np.log(1 / COMMON)] if (idf[used] >= np.log(1 / COMMON)).any() else used
+        rare = idf[self.bag.bucket] >= np.log(1 / COMMON)
+        poor = np.bincount(self.bag.row[rare], minlength=len(ids)) < TELLING
+        used = np.unique(self.bag.bucket[rare | poor[self.bag.row]])
         self.slot = np.full(1 << BITS, -1, np.int64)
         self.slot[used] = np.arange(len(used))
+        self.known = np.zeros(1 << BITS, bool)  # words of the items, common ones too
+        self.known[self.bag.bucket] = True
         self.start, self.end = windows_of(self.bag, 1)
         self.basis = self.unit = None
 
     def lengths(self, bag: Bag, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Squared lengths of the windows' TF-IDF vectors, and of their part in the vocabulary."""
+        """Squared lengths of the windows' TF-IDF vectors, and of their part in the items' words."""
         weight = self.idf[bag.bucket]
-        known = self.slot[bag.bucket] >= 0
+        known = self.known[bag.bucket]
         square = np.concatenate([[0], np.cumsum(weight * weight)])
         inside = np.concatenate([[0], np.cumsum(weight * weight * known)])
         return square[end] - square[start], inside[end] - inside[start]

@@ -402,3 +402,20 @@ def test_leaks(spark, docs, rows, none):
     assert find_leaks(none, bench).count() == 0
     assert find_leaks(docs, bench.where("false")).count() == 0
     assert find_leaks(docs, bench).count() == 0
+
+
+def test_leaks_in_copies(spark):
+    """A third of the rows are copies of one short text that holds an item."""
+    rng = random.Random(5)
+
+    def text(n):
+        return " ".join("".join(rng.choice("abcdefghiklmnop") for _ in range(rng.randint(3, 7)))
+                        for _ in range(n))
+    items = [(k, text(rng.randint(15, 40))) for k in range(6)]
+    hot = text(6) + " " + items[0][1] + " " + text(9)
+    table = [(k, hot) for k in range(100)] + [(100 + k, text(rng.randint(20, 80))) for k in range(200)]
+    table += [(1000 + k, text(31) + " " + t + " " + text(18)) for k, t in items]
+    got = find_leaks(spark.createDataFrame(table, "doc_id long, text string"),
+                     spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == \
+        {(k, 0) for k in range(100)} | {(1000 + k, k) for k, _ in items}
