@@ -3,7 +3,8 @@
 Passages (overlapping word windows of every document) and the windows of all
 benchmark items are TF-IDF vectors over hashed words.  A randomised singular
 value decomposition of the corpus passages, distributed over its tasks, gives
-the latent space.  In it, passages within a cosine of an item's window are
+the latent space.  Items shorter than a passage are met by passages of their own
+length at every word.  In the latent space, passages within a cosine of an item's window are
 candidates; they are kept if the longest common subsequence of the item and the
 text around the passage covers enough of the item and the item's answer (its
 last words) is there too.
@@ -59,15 +60,14 @@ class Bag:
         self.first, self.row, self.count = words.first, words.row, words.count
 
 
-def windows_of(bag: Bag, stride: int) -> tuple[np.ndarray, np.ndarray]:
+def windows_of(bag: Bag, stride: int, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """First and end words of the windows; the last window of a text ends it."""
-    starts, ends = [], []
     n = bag.count
-    steps = np.where(n > WINDOW, -(-(n - WINDOW) // stride) + 1, (n > 0).astype(np.int64))
+    steps = np.where(n > width, -(-(n - width) // stride) + 1, (n > 0).astype(np.int64))
     row = np.repeat(np.arange(len(n)), steps)
     k = np.arange(len(row)) - np.repeat(np.cumsum(steps) - steps, steps)
-    start = bag.first[:-1][row] + np.minimum(k * stride, np.maximum(n[row] - WINDOW, 0))
-    return start, np.minimum(start + WINDOW, bag.first[1:][row])
+    start = bag.first[:-1][row] + np.minimum(k * stride, np.maximum(n[row] - width, 0))
+    return start, np.minimum(start + width, bag.first[1:][row])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +206,10 @@ class Index:
         self.start, self.end, self.item = self.start[keep], self.end[keep], item[keep]
         self.need = np.ceil(OVERLAP * telling[keep]).astype(np.int64)
         self.unit = (v[keep] / norm[keep, None]).astype(np.float32)
+        # passages at any offset that a window of a short item has: (width, windows)
+        width = self.end - self.start
+        short = self.bag.count[self.item] < WINDOW + STRIDE - 1
+        self.short = [(int(n), np.flatnonzero(short & (width == n))) for n in np.unique(width[short])]
 
 
 def _search(index: Index, cosine: float, share: float, answer_share: float):
@@ -217,16 +221,29 @@ def _search(index: Index, cosine: float, share: float, answer_share: float):
         full, inside = index.lengths(bag, start, end)
         # a passage of words that no item has cannot hold most of an item's words
         ok = inside >= KNOWN * full
-        start, end = start[ok], end[ok]
+        found = [alike(bag, start[ok], end[ok], np.arange(len(index.unit)))]
+        # a passage may hold only a part of a short item, so those have passages of their width
+        telling = np.concatenate([[0], np.cumsum(index.slot[bag.bucket] >= 0)])
+        for width, windows in index.short:
+            start, end = windows_of(bag, 1, width)
+            ok = telling[end] - telling[start] >= index.need[windows].min()
+            found.append(alike(bag, start[ok], end[ok], windows))
+        at, window = zip(*found)
+        return np.concatenate(at), np.concatenate(window)
+
+    def alike(bag: Bag, start: np.ndarray, end: np.ndarray,
+              windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, item window) of the passages that are like one of ``windows``."""
+        unit = index.unit[windows]
         at, window = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo in range(0, len(start), 512):
             s, e = start[lo:lo + 512], end[lo:lo + 512]
             v = index.latent(bag, s, e)
             norm = np.linalg.norm(v, axis=1, keepdims=True)
-            alike = v @ index.unit.T >= cosine * np.maximum(norm, 1e-6)
-            some = np.flatnonzero(alike.any(1))
-            x, y = np.nonzero(alike[some])
-            x = some[x]
+            close = v @ unit.T >= cosine * np.maximum(norm, 1e-30)
+            some = np.flatnonzero(close.any(1))
+            x, y = np.nonzero(close[some])
+            x, y = some[x], windows[y]
             common = np.zeros(len(x), np.int64)
             theirs = np.minimum(index.start[y][:, None] + np.arange(WINDOW), index.end[y][:, None] - 1)
             theirs = index.bag.id[theirs]

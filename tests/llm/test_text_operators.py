@@ -419,3 +419,19 @@ def test_leaks_in_copies(spark):
                      spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == \
         {(k, 0) for k in range(100)} | {(1000 + k, k) for k, _ in items}
+
+
+def test_short_leaks(spark):
+    """Verbatim items of 1 to 14 words at every offset between words that no item has."""
+    rng = random.Random(8)
+
+    def text(n):
+        return " ".join("".join(rng.choice("abcdefghiklmnop") for _ in range(rng.randint(5, 9)))
+                        for _ in range(n))
+    items = [(k, text(k)) for k in range(1, 15)] + [(20, text(40))]
+    table = [(k * 100 + at, f"{text(at)} {t} {text(17 - at)}") for k, t in items for at in range(18)]
+    table += [(9000 + k, t) for k, t in items]
+    got = find_leaks(spark.createDataFrame(table, "doc_id long, text string"),
+                     spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == \
+        {(k * 100 + at, k) for k, _ in items for at in range(18)} | {(9000 + k, k) for k, _ in items}
