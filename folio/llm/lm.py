@@ -1,20 +1,24 @@
 """Language-model scoring by deleted interpolation.
 
-Tokens are words and one end for each text.  Word counts cover the whole
-training text and may be of any number; what a text needs of them is brought to
-it by blocks of documents: each block asks once for each of its distinct words,
-counts are summed by word, and the answers go back by block.  A word has at most
-one row for each block, so no word is hot.
-
-The model is a class n-gram.  Words of at least a share ``frequent`` of the
+Tokens are words and one end for each text.  Counts of words, word bigrams and
+word trigrams cover the whole training text and may be of any number; what a text
+needs of them is brought to it by blocks of documents: each block asks once for
+each of its distinct n-grams, counts are summed by n-gram, and the totals go back
+by block.  An n-gram has at most one entry for each block, so none is hot.  The
+n-grams are sorted hashes, cut into parts by their range and sent as packed
+arrays; a block finds them again from its texts, so totals come without keys.
+
+Below them lies a class n-gram.  Words of at least a share ``frequent`` of the
 tokens are classes of their own, all others share one class; words of a share
-``common`` serve as the farther context.  So there are at most 1/frequent + 1
-classes, and the n-gram tables that all tasks get have a size bound whatever the
-corpus.  The probability of a class mixes trigram, bigram, unigram and uniform
-estimates; a rare word is drawn from its class by its own count, mixed with a
-uniform share for unseen words.  The weights depend on a bucket of the context's
-frequency, and expectation-maximisation learns them on deleted counts: every
-training token is held out in turn (all its counts less one).
+``common`` serve as the farther context.  So its tables have a size bound
+whatever the corpus and all tasks get them.  The probability of a class mixes
+trigram, bigram, unigram and uniform estimates; a rare word is drawn from its
+class by its own count, mixed with a uniform share for unseen words.
+
+A word's probability mixes its trigram, its bigram and the class estimate.  The
+weights depend on a bucket of the context's frequency, and
+expectation-maximisation learns them on deleted counts: every training token is
+held out in turn (all its counts less one).
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Words, drop_table, stage_table, text_slices
+from ._util import _BASE, Words, mix, stage_table, text_slices
 
 BLOCK_BYTES = 8 << 20
 FREQUENT = 5e-4  # at most 2000 classes
@@ -38,6 +42,9 @@ ROUNDS = 20
 END = np.uint64(0xC0FFEE1234567891)  # the end token, outside the words
 RARE = 0  # class of the words below ``frequent``
 START = -1  # context before the first word
+BEGIN = np.uint64(0xB5297A4D68E31DA5)  # the same among tokens
+CHUNK = 1 << 17  # tokens whose probabilities are taken at once
+BUCKETS = 128  # of word contexts: 64 by the trigram's, then 64 by the bigram's
 
 
 def fold(doc_id):
@@ -56,21 +63,147 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, row
 
 
-def _block_counts(table: pa.Table) -> pa.Table:
-    """Distinct tokens of a block with their number in training texts."""
-    block = table["block"][0].as_py()
-    keys, counts = [], []
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, without the planes above the largest."""
+    planes = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T
+    used = max(1, 8 - next((k for k in range(8) if planes[7 - k].any()), 8))
+    return bytes([used]) + planes[:used].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :data[0]] = planes.T
+    return out.view(np.uint64)[:, 0]
+
+
+def block_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(token hashes, row of each token) of the texts of a block."""
+    tokens, rows, done = [], [], 0
     for batch in table.to_batches():
         for part in text_slices(batch):
-            tokens, row = tokens_of(part.column(part.schema.get_field_index("text")))
-            train = ~np.asarray(part.column(part.schema.get_field_index("held_out")))[row]
-            u, inv = np.unique(tokens, return_inverse=True)
-            keys.append(u)
-            counts.append(np.bincount(inv, train, len(u)))
-    u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inv, np.concatenate(counts), len(u)).astype(np.int64)
-    return pa.table({"block": pa.array(np.full(len(u), block, np.int64)),
-                     "token": pa.array(u.view(np.int64)), "n": pa.array(total)})
+            t, r = tokens_of(part.column(part.schema.get_field_index("text")))
+            tokens.append(t)
+            rows.append(r + done)
+            done += part.num_rows
+    return np.concatenate(tokens), np.concatenate(rows)
+
+
+def grams_of(tokens: np.ndarray, row: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the words, bigrams and trigrams that end at each token."""
+    first = np.concatenate([[True], row[1:] != row[:-1]])
+    v = np.concatenate([[BEGIN], tokens[:-1]])
+    v[first] = BEGIN
+    u = np.concatenate([[BEGIN], v[:-1]])
+    u[first] = BEGIN
+    yield tokens
+    yield mix(v * _BASE + tokens)
+    yield mix((u * _BASE + v) * _BASE + tokens)
+
+
+def _ask(parts: int):
+    """Distinct n-grams of a block, by part, with their number in training texts."""
+    def run(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        tokens, row = block_tokens(table)
+        train = ~table["held_out"].to_numpy()[row]
+        out = []
+        for size, keys in enumerate(grams_of(tokens, row), 1):
+            u, inv = np.unique(keys, return_inverse=True)
+            n = np.bincount(inv, train, len(u)).astype(np.uint64)
+            part = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                steps = np.diff(u[lo:hi], prepend=np.uint64(0))
+                out.append((int(part[lo]), block, size, pack(steps), pack(n[lo:hi])))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ASKED.types)],
+                                    schema=_ASKED)
+    return run
+
+
+def _sum_part(table: pa.Table) -> pa.Table:
+    """Totals for each block in the order of its n-grams; the words under block -1."""
+    part = table["part"][0].as_py()
+    sizes = table["size"].to_numpy()
+    out = []
+    for size in (1, 2, 3):
+        at = np.flatnonzero(sizes == size).tolist()
+        if not at:
+            continue
+        keys = [np.cumsum(unpack(table["keys"][i].as_py()), dtype=np.uint64) for i in at]
+        counts = [unpack(table["n"][i].as_py()) for i in at]
+        u, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inv, np.concatenate(counts), len(u)).astype(np.uint64)
+        done = 0
+        for i, k in zip(at, keys):
+            out.append((part, table["block"][i].as_py(), size, None, pack(total[inv[done:done + len(k)]])))
+            done += len(k)
+        if size == 1 and total.any():
+            out.append((part, -1, size, pack(u[total > 0]), pack(total[total > 0])))
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ASKED.types)], schema=_ASKED)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield pa.record_batch([pa.array(unpack(keys).view(np.int64)),
+                                   pa.array(unpack(n).view(np.int64))], ["token", "n"])
+
+
+_ASKED = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("size", pa.int32()),
+                    ("keys", pa.binary()), ("n", pa.binary())])
+_ASKED_SQL = "part long, block long, size int, keys binary, n binary"
+
+
+def gram_totals(docs: DataFrame, parts: int) -> DataFrame:
+    """Packed totals of the n-grams of each block of ``docs`` (block, text, held_out)."""
+    asked = docs.groupBy("block").applyInArrow(_ask(parts), _ASKED_SQL)
+    return stage_table(asked.groupBy("part").applyInArrow(_sum_part, _ASKED_SQL), "counts")
+
+
+def block_counts(tokens: np.ndarray, row: np.ndarray, answers: pa.Table,
+                 texts: int) -> tuple[np.ndarray, ...]:
+    """Of each token: counts of its trigram, bigram and word, and of the contexts of the first two.
+
+    Each word is followed by another or the end, so a context occurs as often as
+    the n-gram that it is; ``texts`` is the number of training texts, the count of a
+    beginning.
+    """
+    rows = sorted(zip(answers["size"].to_pylist(), answers["part"].to_pylist(), answers["n"].to_pylist()))
+    out = []
+    for size, keys in enumerate(grams_of(tokens, row), 1):
+        u, inv = np.unique(keys, return_inverse=True)
+        totals = np.concatenate([unpack(n) for s, _, n in rows if s == size])
+        assert len(totals) == len(u)
+        out.append(totals[inv].astype(float))
+    c1, c2, c3 = out
+    first = np.concatenate([[True], row[1:] != row[:-1]])
+    n2, n3 = (np.where(first, texts, np.concatenate([[0], c[:-1]])) for c in (c1, c2))
+    return c3, n3, c2, n2, c1
+
+
+def mixture(c3, n3, c2, n2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, trigram estimate, bigram estimate)."""
+    log = lambda n: np.minimum(1 + 2 * np.log2(np.maximum(n, 1)), 63).astype(np.int64)
+    bucket = np.where(n3 > 0, log(n3), 64 + np.where(n2 > 0, log(n2), 0))
+    share = lambda c, n: np.where(n > 0, np.maximum(c, 0) / np.maximum(n, 1), 0.0)
+    return bucket, share(c3, n3), share(c2, n2)
+
+
+def fit_mixture(bucket, p, n, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of trigram, bigram and class estimates (columns of ``p``) in each bucket."""
+    allowed = np.ones((BUCKETS, 3))
+    allowed[64:, 0] = 0  # no context, no estimate
+    allowed[64, 1] = 0
+    weights = allowed / allowed.sum(1, keepdims=True)
+    for _ in range(rounds if len(n) else 0):
+        share = weights[bucket] * p
+        share *= (n / share.sum(1))[:, None]
+        for k in range(3):
+            weights[:, k] = np.bincount(bucket, share[:, k], BUCKETS)
+        weights = (weights + 1e-6) * allowed
+        weights /= weights.sum(1, keepdims=True)
+    return weights
 
 
 class Classes:
@@ -191,36 +324,67 @@ def fit_rare(count: np.ndarray, words: np.ndarray, rounds: int = 50) -> tuple[fl
     return weight, total, kinds
 
 
-def _score(model: ClassModel, rare: tuple, total: int, kinds: int):
+def _base(model: ClassModel, rare: tuple, classed: tuple, c1: np.ndarray, deleted: int) -> np.ndarray:
+    """Probabilities by the class model; ``deleted`` is taken off all counts."""
     weight, rare_total, rare_kinds = rare
+    bucket, p = model.estimates(*classed, deleted=deleted)
+    p = (model.weights[bucket] * p).sum(1)
+    own = weight * np.maximum(c1 - deleted, 0) / max(rare_total - deleted, 1) + (1 - weight) / (rare_kinds + 1)
+    return np.where(classed[2] == RARE, p * own, p)
+
+
+def _chunks(docs: pa.Table, answers: pa.Table, model: ClassModel, texts: int) -> tuple:
+    tokens, row = block_tokens(docs)
+    counts = block_counts(tokens, row, answers, texts)
+    classed = contexts(model.classes, tokens, row)
+    return row, counts, classed, [slice(k, k + CHUNK) for k in range(0, len(row), CHUNK)]
+
 
+def _bins(p: np.ndarray) -> np.ndarray:
+    """0 for 0, else one for each halving."""
+    return np.where(p > 0, 1 + np.minimum(-np.log2(np.maximum(p, 1e-300)), 62), 0).astype(np.int64)
+
+
+def _deleted(model: ClassModel, rare: tuple, texts: int):
+    """Estimates of the training tokens on deleted counts, summed by bucket and their bins."""
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        known = answers["token"].to_numpy().view(np.uint64)
-        counts = answers["n"].to_numpy()
-        order = np.argsort(known)
-        known, counts = known[order], counts[order]
-        out = []
-        for batch in docs.to_batches():
-            for part in text_slices(batch):
-                tokens, row = tokens_of(part.column(part.schema.get_field_index("text")))
-                c = _lookup(known, counts, tokens).astype(np.float64)
-                u, v, w = contexts(model.classes, tokens, row)
-                p = model.probability(u, v, w)
-                own = weight * c / rare_total + (1 - weight) / (rare_kinds + 1)
-                p = np.where(w == RARE, p * own, p)
-                base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
-                rows = part.num_rows
-                out.append(pa.record_batch(
-                    [part.column(part.schema.get_field_index("doc_id")),
-                     part.column(part.schema.get_field_index("held_out")),
-                     pa.array(np.bincount(row, minlength=rows).astype(np.int64)),
-                     pa.array(np.bincount(row, c > 0, rows).astype(np.int64)),
-                     pa.array(np.full(rows, total, np.int64)),
-                     pa.array(np.bincount(row, base, rows)),
-                     pa.array(np.bincount(row, np.log10(p), rows))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
-                     "score"]))
-        return pa.Table.from_batches(out, _OUT)
+        row, counts, classed, chunks = _chunks(docs, answers, model, texts)
+        train = ~docs["held_out"].to_numpy()[row]
+        keys, sums = [np.zeros(0, np.int64)], [np.zeros((0, 4))]
+        for at in chunks:
+            on = train[at]
+            c3, n3, c2, n2, c1 = (c[at][on] for c in counts)
+            bucket, p3, p2 = mixture(c3 - 1, n3 - 1, c2 - 1, n2 - 1)
+            p1 = _base(model, rare, tuple(c[at][on] for c in classed), c1, 1)
+            keys.append(((bucket * 64 + _bins(p3)) * 64 + _bins(p2)) * 64 + _bins(p1))
+            sums.append(np.stack([np.ones(len(p1)), p3, p2, p1], 1))
+            k, inv = np.unique(np.concatenate(keys), return_inverse=True)
+            every = np.concatenate(sums)
+            keys, sums = [k], [np.stack([np.bincount(inv, every[:, j], len(k)) for j in range(4)], 1)]
+        return pa.table([pa.array(keys[0]), *[pa.array(np.ascontiguousarray(c)) for c in sums[0].T]],
+                        ["key", "n", "p3", "p2", "p1"])
+    return run
+
+
+def _score(model: ClassModel, rare: tuple, weights: np.ndarray, texts: int, total: int, kinds: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        row, counts, classed, chunks = _chunks(docs, answers, model, texts)
+        p = np.zeros(len(row))
+        for at in chunks:
+            c3, n3, c2, n2, c1 = (c[at] for c in counts)
+            bucket, p3, p2 = mixture(c3, n3, c2, n2)
+            p1 = _base(model, rare, tuple(c[at] for c in classed), c1, 0)
+            p[at] = (weights[bucket] * np.stack([p3, p2, p1], 1)).sum(1)
+        c = counts[4]
+        base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
+        rows = docs.num_rows
+        return pa.Table.from_arrays(
+            [docs["doc_id"], docs["held_out"],
+             pa.array(np.bincount(row, minlength=rows).astype(np.int64)),
+             pa.array(np.bincount(row, c > 0, rows).astype(np.int64)),
+             pa.array(np.full(rows, total, np.int64)),
+             pa.array(np.bincount(row, base, rows)),
+             pa.array(np.bincount(row, np.log10(p), rows))], schema=_OUT)
     return run
 
 
@@ -252,13 +416,12 @@ def lm_scores(docs: DataFrame, frequent: float = FREQUENT, common: float = COMMO
     docs = docs.select("doc_id", "text", held.alias("held_out"),
                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
 
-    asked = docs.groupBy("block").applyInArrow(_block_counts, "block long, token long, n long")
-    by_token = Window.partitionBy("token")
-    answers = stage_table(asked.select(
-        "block", "token", F.sum("n").over(by_token).alias("n"),
-        (F.row_number().over(by_token.orderBy("block")) == 1).alias("first")), "counts")
-    words = answers.where("first and n > 0")
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    totals = gram_totals(docs, blocks)
+    answers = totals.where("block >= 0").select("block", "part", "size", "n")
+    words = totals.where("block = -1").select("keys", "n").mapInArrow(_words, "token long, n long")
+    total, kinds, texts = words.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"),
+        F.coalesce(F.sum(F.when(F.col("token") == int(END.view(np.int64)), F.col("n"))), F.lit(0))).first()
 
     limit = max(1.0, frequent * total)
     top = words.where(F.col("n") >= limit).select("token", "n").collect()  # at most 1/frequent rows
@@ -280,6 +443,12 @@ def lm_scores(docs: DataFrame, frequent: float = FREQUENT, common: float = COMMO
               .agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).collect())
     rare = fit_rare(np.array([r.tokens / r.words for r in spread], float),
                     np.array([r.words for r in spread], float))
-    return (docs.groupBy("block")
-            .cogroup(answers.select("block", "token", "n").groupBy("block"))
-            .applyInArrow(_score(model, rare, total, kinds), _OUT_SQL))
+    pairs = docs.groupBy("block").cogroup(answers.groupBy("block"))
+    # a row for each bucket and halving of the estimates, not for each token
+    seen = (pairs.applyInArrow(_deleted(model, rare, texts),
+                               "key long, n double, p3 double, p2 double, p1 double")
+            .groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "p3", "p2", "p1")]).toArrow())
+    n = seen["n"].to_numpy()
+    p = np.stack([seen[c].to_numpy() / np.maximum(n, 1) for c in ("p3", "p2", "p1")], 1)
+    weights = fit_mixture(seen["key"].to_numpy() >> 18, p, n)
+    return pairs.applyInArrow(_score(model, rare, weights, texts, total, kinds), _OUT_SQL)

@@ -435,3 +435,65 @@ def test_short_leaks(spark):
                      spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == \
         {(k * 100 + at, k) for k, _ in items for at in range(18)} | {(9000 + k, k) for k, _ in items}
+
+
+def test_lm_gram_counts(docs, rows):
+    """Totals of all words, bigrams and trigrams that come to the blocks, against plain counts."""
+    from pyspark.sql import functions as F
+
+    from folio.llm.lm import block_counts, block_tokens, gram_totals
+    texts = [(t or "").translate(LOWER) for _, t, *_ in rows]
+    held = [k % 5 == 1 for k in range(len(texts))]
+    counts = [collections.Counter() for _ in range(4)]
+    for t, h in zip(texts, held):
+        w = [0, 0, *words(t), None]
+        if not h:
+            for size in (1, 2, 3):
+                counts[size].update(tuple(w[k - size + 1:k + 1]) for k in range(2, len(w)))
+    n_texts = len(held) - sum(held)
+    table = pa.table({"block": [k % 3 for k in range(len(texts))], "text": texts, "held_out": held})
+    frame = docs.sparkSession.createDataFrame(table.to_pandas())
+    totals = gram_totals(frame, 4).where("block >= 0")
+    for block in range(3):
+        mine = table.filter(pa.compute.equal(table["block"], block))
+        tokens, row = block_tokens(mine)
+        c3, n3, c2, n2, c1 = block_counts(tokens, row, totals.where(F.col("block") == block).toArrow(), n_texts)
+        at = 0
+        for t in mine["text"].to_pylist():
+            w = [0, 0, *words(t), None]
+            for k in range(2, len(w)):
+                assert (c3[at], c2[at], c1[at]) == tuple(counts[s][tuple(w[k - s + 1:k + 1])] for s in (3, 2, 1))
+                assert n2[at] == (n_texts if k == 2 else counts[1][w[k - 1],])
+                assert n3[at] == (n_texts if k == 2 else counts[2][tuple(w[k - 2:k])])
+                at += 1
+        assert at == len(tokens)
+
+
+def test_lm_uses_grams_of_rare_words(spark):
+    """Pairs of words far below the share of a class are evidence; order and partner count."""
+    rng = random.Random(4)
+    pairs = [(f"left{k}", f"right{k}") for k in range(300)]
+    rows = [(k, " ".join(f"{a} {b} and" for a, b in rng.sample(pairs, 20))) for k in range(400)]
+    free = [k for k in range(1000, 3000) if zlib.crc32(str(k).encode()) % 5 == 1]
+    good, bad = free[:40], free[40:80]
+    for x, y in zip(good, bad):
+        some = rng.sample(pairs, 10)
+        rows.append((x, " ".join(f"{a} {b} and" for a, b in some)))
+        rows.append((y, " ".join(f"{a} {b} and" for (a, _), (_, b) in zip(some, some[1:] + some[:1]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {r.doc_id: r.score for r in lm_scores(docs, frequent=0.01, block_bytes=20_000).collect()}
+    assert all(score[x] > score[y] + 5 for x, y in zip(good, bad))
+
+
+def test_lm_mixture_is_a_distribution():
+    from folio.llm.lm import fit_mixture, mixture, pack, unpack
+    rng = np.random.default_rng(1)
+    bucket = rng.integers(0, 128, 500)
+    w = fit_mixture(bucket, rng.random((500, 3)) + .01, np.ones(500))
+    assert np.allclose(w.sum(1), 1) and not w[64:, 0].any() and w[64, 2] == 1
+    assert np.allclose(fit_mixture(np.zeros(0, int), np.zeros((0, 3)), np.zeros(0)).sum(1), 1)
+    bucket, p3, p2 = mixture(*(np.array(x, float) for x in ([2, 0, 0], [4, 0, 0], [3, 1, 0], [6, 2, 0])))
+    assert bucket.tolist() == [5, 67, 64] and p3.tolist() == [.5, 0, 0] and p2.tolist() == [.5, .5, 0]
+    for top in (1, 255, 256, 1 << 40, (1 << 64) - 1):
+        x = rng.integers(0, top, 50, dtype=np.uint64, endpoint=True)
+        assert (unpack(pack(x)) == x).all()
