@@ -67,6 +67,38 @@ def range_hash(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.nda
     return mix((total[end] - total[first]) * down[first] + size * np.uint64(0xA24BAED4963EE407))
 
 
+class Ranges:
+    """How far two places of a sequence of word hashes agree, by hashes of ranges."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = powers(len(values) + 1)
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.total[1:])
+
+    def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the ranges of ``size`` values at ``a`` and at ``b`` are equal."""
+        return ((self.total[a + size] - self.total[a]) * self.down[a]
+                == (self.total[b + size] - self.total[b]) * self.down[b])
+
+    def agree(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray, back: bool = False) -> np.ndarray:
+        """The largest size up to ``limit`` at which the ranges that start at ``a`` and
+        ``b`` (``back``: that end before them) are equal."""
+        low, high = np.zeros(len(a), np.int64), np.asarray(limit, np.int64).copy()
+        step = np.minimum(high, 8)  # most places part soon: widen, then halve
+        while True:
+            open_ = np.flatnonzero(low < high)
+            if not len(open_):
+                return low
+            size = np.clip(step[open_], low[open_] + 1, high[open_])
+            at, to = a[open_], b[open_]
+            ok = self.same(at - size, to - size, size) if back else self.same(at, to, size)
+            low[open_[ok]] = size[ok]
+            high[open_[~ok]] = size[~ok] - 1
+            grow = np.where(ok & (size == step[open_]), 2 * size, 0)
+            half = (low[open_] + high[open_] + 1) // 2
+            step[open_] = np.where(grow > 0, np.minimum(grow, high[open_]), half)
+
+
 def gram_hash(values: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` consecutive values."""
     n = len(values) - k + 1
