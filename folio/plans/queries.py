@@ -24,7 +24,6 @@ from ..sources.pages import lookup_pages, page_sections, scan_pages
 from ..sources.tables import document_requests, document_sections, read_table, spread
 from .ingest import PLACE, first_sections, sections_to_chunks
 
-NPROBE = 13  # of 16 cells: near neighbours of unrelated vectors are spread
 FLAGSHIP_CHUNKS = ChunkOptions(max_tokens=256, overlap=32)
 EMBED = EmbedOptions()
 
@@ -499,69 +498,6 @@ QUERIES = {
 }
 
 
-# ---------------------------------------------------------------------------
-# Approximate search (no SQL oracle: candidates come from a trained model or
-# random projections; quality is reported as recall against exact search)
-# ---------------------------------------------------------------------------
-def _exact_vectors(spark, base):
-    return q_topk_vectors(spark, base)
-
-
-def q_ann_ivf(spark, base):
-    """Inverted-file top-4 over the stored vectors: what holds for every query
-    whatever the fitted cells are.  Each hit's score is the exact cosine, the
-    hits are in order without gaps, and they are the best of the probed cells."""
-    from ..operators.ann import ivf_top_k
-    chunks, queries = _vectors(spark, base)
-    hits = ivf_top_k(chunks.select("chunk_id", "topic", "embedding"), queries, nlist=16, nprobe=NPROBE)
-    exact = F.round(cosine("embedding", "q_embedding"), 6)
-    rows = (hits.join(queries.select("query_id", "q_embedding"), "query_id")
-            .join(chunks.select("chunk_id", "embedding"), "chunk_id")
-            .select("query_id", "rank", "score", "chunk_id", exact.alias("exact")))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    checked = rows.withColumn("place", F.row_number().over(w))
-    return checked.groupBy("query_id").agg(
-        F.bool_and(F.abs(F.col("score") - F.col("exact")) < 1.5e-6).alias("scores_exact"),
-        F.bool_and(F.col("place") == F.col("rank")).alias("ranks_in_order"),
-        F.bool_or(F.col("query_id").cast("string") == F.col("chunk_id")).alias("finds_itself"))
-
-
-def q_ann_lsh(spark, base):
-    """Sign-bit hash top-4 over a stored index of all vectors."""
-    import uuid
-
-    from ..operators.ann import build_hash_index, search_hash_index
-    from ..session import shared_path
-    chunks, queries = _vectors(spark, base)
-    path = shared_path(spark, f"hash-index-{uuid.uuid4().hex[:12]}")
-    build_hash_index(chunks, path)
-    hits = search_hash_index(spark.read.parquet(path), queries)
-    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "topic", "chunk_id", "score")
-
-
-def q_ann_recall(spark, base):
-    """Whether both approximate searches reach a mean recall@4 of 0.9 against
-    exact search."""
-    from ..operators.ann import ivf_top_k, lsh_top_k, recall_at_k
-    exact = _exact_vectors(spark, base)
-    chunks, queries = _vectors(spark, base)
-    narrow = chunks.select("chunk_id", "topic", "embedding")
-    rows = []
-    for name, hits in (("ivf", ivf_top_k(narrow, queries, nlist=16, nprobe=NPROBE)),
-                       ("lsh", lsh_top_k(narrow, queries))):
-        r = recall_at_k(hits, exact)
-        rows.append(r.agg((F.avg("recall") >= 0.9).alias("enough"), F.count(F.lit(1)).alias("queries"))
-                     .withColumn("method", F.lit(name)))
-    return rows[0].unionByName(rows[1]).select("method", "queries", "enough")
-
-
-QUERIES.update({
-    "ann_ivf": q_ann_ivf,
-    "ann_lsh": q_ann_lsh,
-    "ann_recall": q_ann_recall,
-})
-
-
 # ---------------------------------------------------------------------------
 # Streaming
 # ---------------------------------------------------------------------------
@@ -806,3 +742,8 @@ def q_stream_store(spark, base):
 
 
 QUERIES["stream_store"] = q_stream_store
+
+
+from .vectors import VECTOR_QUERIES  # noqa: E402  (it uses the helpers above)
+
+QUERIES.update(VECTOR_QUERIES)

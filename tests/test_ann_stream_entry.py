@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from folio.operators.ann import ivf_top_k, lsh_top_k, recall_at_k
+from folio.operators.ann import (MAX_CELLS, HashIndex, InvertedFile, build_cells, build_hash_index, cell_counts,
+                                 ivf_top_k, lsh_top_k, recall_at_k, train_cells)
 from folio.operators.knn import block_top_k
 from folio.operators.search import top_k
 
@@ -45,16 +46,115 @@ def test_block_scorer_equals_brute_force(spark):
     assert {k: [c for _, c in sorted(v)] for k, v in got.items()} == _brute(chunks, queries)
 
 
+def _mean_recall(found, exact):
+    return recall_at_k(found, exact).agg(F.avg("recall")).first()[0]
+
+
 def test_ivf_full_probe_is_exact_and_lsh_recall(spark):
     chunks, queries = _vectors(spark)
     exact = _exact(spark, chunks, queries)
-    ivf = ivf_top_k(chunks, queries, nlist=4, nprobe=4)
-    r = recall_at_k(ivf, exact).agg(F.avg("recall")).first()[0]
-    assert r == 1.0
-    part = recall_at_k(ivf_top_k(chunks, queries, nlist=8, nprobe=2), exact).agg(F.avg("recall")).first()[0]
-    assert 0.0 < part <= 1.0
-    lsh = recall_at_k(lsh_top_k(chunks, queries, tables=12, bits=2), exact)
-    assert lsh.agg(F.avg("recall")).first()[0] > 0.5
+    assert _mean_recall(ivf_top_k(chunks, queries, nlist=4, nprobe=4), exact) == 1.0
+    assert 0.0 < _mean_recall(ivf_top_k(chunks, queries, nlist=9, nprobe=2), exact) <= 1.0
+    assert _mean_recall(lsh_top_k(chunks, queries, bits=3, probes=8), exact) == 1.0  # all buckets
+    assert _mean_recall(lsh_top_k(chunks, queries, bits=4, probes=6), exact) > 0.5
+
+
+def test_cells_follow_the_square_root():
+    assert cell_counts(0) == (1, 1) and cell_counts(10_000) == (10, 10)
+    coarse, fine = cell_counts(10 ** 9)
+    assert 31_000 < coarse * fine < 33_000
+    coarse, fine = cell_counts(10 ** 13)
+    assert coarse * fine == MAX_CELLS
+
+
+def _odd_vectors(spark):
+    """Clusters, copies, zero and null vectors, one of another length, null topics."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(12, 6))
+    rows = []
+    for i in range(240):
+        v = centers[i % 12] + 0.1 * rng.normal(size=6)
+        rows.append((f"c{i}", str(i % 2), v.astype(np.float32).tolist()))
+    rows += [(f"d{i}", "0", rows[0][2]) for i in range(7)]  # copies
+    rows += [("z1", "0", [0.0] * 6), ("z2", "1", None), ("z3", "1", [0.0] * 6), ("z4", "0", [1.0]), ("n", None, rows[3][2]),
+             ("few", "2", rows[5][2]), ("few0", "2", [0.0] * 6)]
+    queries = [(i, t, 4, rows[i][2]) for i in range(0, 240, 5) for t in ("0", "1")]
+    queries = [(j, t, k, v) for j, (_, t, k, v) in enumerate(queries)]
+    queries += [(900, "0", 3, [0.0] * 6), (901, "2", 4, rows[5][2]), (902, "none", 4, rows[5][2]), (903, None, 4, rows[5][2]),
+                (904, "1", 130, rows[1][2])]
+    return (spark.createDataFrame(rows, "chunk_id string, topic string, embedding array<float>").repartition(3),
+            spark.createDataFrame(queries, "query_id long, topic string, k int, q_embedding array<float>"))
+
+
+def _full(chunks, queries):
+    """Rows without a direction have no score and come last."""
+    out = {}
+    for q in queries.collect():
+        qv, scored = np.array(q.q_embedding, float), []
+        for c in chunks.where(F.col("topic") == F.lit(q.topic)).collect() if q.topic is not None else ():
+            v = np.array(c.embedding or [0.0] * 6, float)
+            size = np.linalg.norm(v) * np.linalg.norm(qv)
+            ok = len(v) == 6 and size > 0
+            scored.append((-round(float(v @ qv / size), 6) if ok else 9.0, c.chunk_id))
+        out[q.query_id] = [(None if s == 9.0 else -s, c) for s, c in sorted(scored)[:q.k]]
+    return {k: v for k, v in out.items() if v}
+
+
+def _answers(hits):
+    out = {}
+    for r in sorted(hits.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.score, r.chunk_id))
+    return out
+
+
+def _same(got, want):
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [c for _, c in got[q]] == [c for _, c in want[q]], q
+        for (a, _), (b, _) in zip(got[q], want[q]):
+            assert a == b or abs(a - b) < 2e-6
+
+
+def test_bounded_search_is_exact(spark, tmp_dir):
+    chunks, queries = _odd_vectors(spark)
+    build_cells(chunks, f"{tmp_dir}/ivf", coarse=3, fine=4)
+    index = InvertedFile(spark, f"{tmp_dir}/ivf")
+    want = _full(chunks, queries)
+    _same(_answers(index.exact(queries, 1)), want)
+    few = InvertedFile(spark, f"{tmp_dir}/ivf", max_query_rows=5)  # the distributed path: ordinary queries
+    plain = queries.where("query_id < 900")
+    _same(_answers(few.exact(plain, 1)), {q: want[q] for q in want if q < 900})
+    part = index.exact_cost(queries.where("query_id < 900"), 1).first()[0]
+    assert 0 < part < 0.5
+    assert index.exact(queries.where("false")).count() == 0
+    build_cells(chunks.where("false"), f"{tmp_dir}/none")
+    assert InvertedFile(spark, f"{tmp_dir}/none").exact(queries).count() == 0
+
+
+def test_index_rows_are_whole_and_pruned(spark, tmp_dir):
+    chunks, queries = _odd_vectors(spark)
+    build_cells(chunks, f"{tmp_dir}/ivf", coarse=3, fine=4)
+    index = InvertedFile(spark, f"{tmp_dir}/ivf")
+    assert sorted(r.chunk_id for r in index.rows.collect()) == sorted(r.chunk_id for r in chunks.collect())
+    plan = index._only([0, 1])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [part" in plan
+    hits = index.search(queries, 2)
+    cell = {r.chunk_id: r.cell for r in index.rows.collect()}
+    assert all(cell[r.chunk_id] == r.cell for r in hits.collect())
+
+
+def test_hash_index_probes_and_copies(spark, tmp_dir):
+    chunks, queries = _odd_vectors(spark)
+    build_hash_index(chunks, f"{tmp_dir}/h", tables=2, bits=3)
+    index = HashIndex(spark, f"{tmp_dir}/h")
+    assert index.rows.count() <= 2 * chunks.count()
+    plain = queries.where("query_id < 900")
+    found = _answers(index.search(plain, 8))  # all buckets: exact
+    want = {q: v for q, v in _full(chunks, plain).items()}
+    _same(found, want)
+    few = HashIndex(spark, f"{tmp_dir}/h", max_query_rows=5)
+    _same(_answers(few.search(plain, 8)), want)
+    assert 0 < index.search_cost(plain, 2).first()[0] < 2
 
 
 def test_stream_ingest_equals_batch(spark):
@@ -82,13 +182,12 @@ def test_entry_and_registry(spark):
 def test_ann_tiled_path_equals_broadcast_path(spark):
     chunks, queries = _vectors(spark)
     key = lambda rows: sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in rows)
-    from folio.operators.ann import train_cells
-    model = train_cells(chunks, 4, seed=1)
+    model = train_cells(chunks, coarse=2, fine=2)
     small = ivf_top_k(chunks, queries, nprobe=2, model=model).collect()
     tiled = ivf_top_k(chunks, queries, nprobe=2, model=model, max_query_rows=3).collect()
     assert key(small) == key(tiled) and len(small) > 0
-    l1 = lsh_top_k(chunks, queries, tables=12, bits=2).collect()
-    l2 = lsh_top_k(chunks, queries, tables=12, bits=2, max_query_rows=3).collect()
+    l1 = lsh_top_k(chunks, queries, bits=4, probes=4).collect()
+    l2 = lsh_top_k(chunks, queries, bits=4, probes=4, max_query_rows=3).collect()
     assert key(l1) == key(l2)
 
 
