@@ -10,8 +10,10 @@ Count vectors of unrelated texts of one length lie close together, so a tree
 over the points alone cannot spread the work over a cluster.  Its top levels
 are therefore exact sub-points: hash space is cut into more blocks than two
 linked sets can differ in, so linked sets agree entirely in one block.  Each
-block's content is a leaf key, and sets that share leaves form a cluster; inside
-it the points are indexed by R-trees, the bound and the shingles decide.
+block's content is a leaf key.  There are a quarter more blocks than that, so
+linked sets share many leaves, and sets that share fewer (a common passage) are
+left out.  The others that share leaves form a cluster; inside it the points are
+indexed by R-trees, the bound and the shingles decide.
 
 Equal sets are one class from the start.  Each leaf first compares its members
 with its smallest class; members that this connects are not compared again, so a
@@ -51,22 +53,28 @@ def size_classes(limit: int = 1 << 40) -> np.ndarray:
 _CLASSES = size_classes()
 
 
+PLANS = 64  # size classes that a leaf key can name; the last begins beyond 10^11 shingles
+
+
 def block_plan(cls: int, percent: int) -> tuple[int, int]:
     """(blocks, spare) of a size class.
 
     Two linked sets of sizes up to ``top`` differ in at most ``r`` shingles, so
-    of ``r + 1 + spare`` blocks more than ``spare`` agree.  A set with at most
-    ``spare`` empty blocks then agrees with its partners in one that is not
-    empty.
+    of ``r + 1 + spare`` blocks more than ``spare`` agree.
     """
     top = int(_CLASSES[cls + 1]) - 1
     r = 2 * top * (100 - percent) // (100 + percent)
-    spare = 0 if r == 0 else 1 + r // 50
+    spare = 0 if r == 0 else 1 + r // 4
     return r + 1 + spare, spare
 
 
-def leaf_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Leaf keys of a set, given as sorted distinct hashes."""
+def leaf_keys(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(leaf keys, needs) of a set, given as sorted distinct hashes.
+
+    The keys name their plan (size class) in the lowest bits.  ``needs`` has for
+    each plan how many leaves a set shares at least with a partner: more than
+    ``spare`` blocks agree, and no more than its empty blocks are left out.
+    """
     size = len(shingles)
     cls = int(np.searchsorted(_CLASSES, size, "right")) - 1
     plans = [cls]
@@ -74,17 +82,21 @@ def leaf_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
         plans.append(cls + 1)
     content = mix(shingles)
     high = shingles >> np.uint64(32)
-    out = []
+    out, needs = [], []
     for plan in plans:
         blocks, spare = block_plan(plan, percent)
         block = (high * np.uint64(blocks)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         salt = np.uint64((plan + 1) * 0x9FB21C651E98DF25 % (1 << 64))
-        out.append(mix(np.add.reduceat(content, first) + mix(block[first] + salt)))
-        if blocks - len(first) > spare:
-            empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), block[first])
-            out.append(mix(_EMPTY + mix(empty + salt)))
-    return np.concatenate(out)
+        keys = mix(np.add.reduceat(content, first) + mix(block[first] + salt))
+        empty = blocks - len(first)
+        if empty > spare:  # partners may agree in nothing but empty blocks
+            none = np.setdiff1d(np.arange(blocks, dtype=np.uint64), block[first])
+            keys = np.concatenate([keys, mix(_EMPTY + mix(none + salt))])
+            empty = 0
+        out.append((keys & ~np.uint64(PLANS - 1)) | np.uint64(plan % PLANS))
+        needs.append((plan % PLANS, spare + 1 - empty))
+    return np.concatenate(out), needs
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -113,16 +125,19 @@ def _text(part: pa.RecordBatch) -> pa.Array:
     return part.column(part.schema.get_field_index("text"))
 
 
-def _sizes(shingle: int):
+def _sizes(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 sets = list(shingle_sets(_text(part), shingle))
+                needs = [[{"plan": p, "need": k} for p, k in leaf_keys(s, percent)[1]] if len(s) else None
+                         for s in sets]
                 yield pa.record_batch(
                     [part.column(part.schema.get_field_index("doc_id")),
                      pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([set_class(s) if len(s) else None for s in sets], pa.int64())],
-                    ["doc_id", "n", "cls"])
+                     pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()),
+                     pa.array(needs, pa.list_(pa.struct([("plan", pa.int32()), ("need", pa.int64())])))],
+                    ["doc_id", "n", "cls", "needs"])
     return run
 
 
@@ -141,7 +156,7 @@ def _leaves(shingle: int, percent: int, memory: int = 200_000):
                     if len(seen) >= memory:
                         seen.clear()
                     seen.add(cls)
-                    k = leaf_keys(s, percent)
+                    k = leaf_keys(s, percent)[0]
                     keys.append(k)
                     owners.append(np.full(len(k), cls, np.int64))
                 yield pa.record_batch(
@@ -150,23 +165,28 @@ def _leaves(shingle: int, percent: int, memory: int = 200_000):
     return run
 
 
-def _points(shingle: int, groups: int):
+def _points(shingle: int, groups: int, memory: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - (groups - 1).bit_length())
+        seen: set[int] = set()  # a repeated row gives no second point in this task
         for batch in batches:
             for part in text_slices(batch):
+                wanted = part.column(part.schema.get_field_index("wanted")).to_pylist()
                 cls, n, counts, shingles = [], [], [], []
-                for s in shingle_sets(_text(part), shingle):
-                    cls.append(set_class(s) if len(s) else None)
+                for want, s in zip(wanted, shingle_sets(_text(part), shingle)):
+                    if not len(s) or want in seen or set_class(s) != want:
+                        continue
+                    if len(seen) >= memory:
+                        seen.clear()
+                    seen.add(want)
+                    cls.append(want)
                     n.append(len(s))
                     counts.append(np.bincount((mix(s) >> shift).astype(np.int64), minlength=groups)
                                   .astype(np.int32))
                     shingles.append(s.view(np.int64))
                 yield pa.record_batch(
-                    [part.column(part.schema.get_field_index("wanted")), pa.array(cls, pa.int64()),
-                     pa.array(n, pa.int64()), pa.array(counts, pa.list_(pa.int32())),
-                     pa.array(shingles, pa.list_(pa.int64()))],
-                    ["wanted", "cls", "n", "counts", "shingles"])
+                    [pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.list_(pa.int32())),
+                     pa.array(shingles, pa.list_(pa.int64()))], ["cls", "n", "counts", "shingles"])
     return run
 
 
@@ -306,6 +326,28 @@ def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             .select("a", "b").distinct())
 
 
+def _supported(members: DataFrame, needs: DataFrame, rounds: int = 3) -> DataFrame:
+    """``members(leaf, cls, head)`` without the sets that share too few leaves with others.
+
+    Linked sets share at least ``need`` leaves of a plan, so they keep each other at
+    every round, while sets that share a common passage only fall away.
+    """
+    plan = F.col("leaf").bitwiseAND(PLANS - 1).cast("int")
+    for _ in range(rounds):
+        before = members.count()
+        enough = (members.groupBy("cls", plan.alias("plan")).agg(F.count("*").alias("shared"))
+                  .join(needs, ["cls", "plan"]).where("shared >= need").select("cls", "plan"))
+        left = members.select("leaf", "cls", plan.alias("plan")).join(enough, ["cls", "plan"]).select("leaf", "cls")
+        heads = (left.groupBy("leaf").agg(F.min("cls").alias("head"), F.max("cls").alias("last"))
+                 .where("head < last").select("leaf", "head"))
+        new = stage_table(left.join(heads, "leaf"), "members")
+        drop_table(members)
+        members = new
+        if members.count() > 0.9 * before:
+            break
+    return members
+
+
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
                    tile: int = TILE, groups: int = GROUPS) -> DataFrame:
     """Components of documents whose shingle sets have Jaccard >= percent/100.
@@ -325,22 +367,29 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
-    ids = stage_table(docs.mapInArrow(_sizes(shingle), "doc_id long, n long, cls long"), "sets")
+    ids = stage_table(docs.mapInArrow(_sizes(shingle, percent), "doc_id long, n long, cls long, "
+                                      "needs array<struct<plan: int, need: long>>"), "sets")
     classes = (ids.where("doc_id is not null and cls is not null")
                .groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
+    needs = (ids.where("doc_id is not null and cls is not null").groupBy("cls").agg(F.first("needs").alias("needs"))
+             .select("cls", F.inline("needs")))
 
     leaves = known.select("text").mapInArrow(_leaves(shingle, percent), "leaf long, cls long")
     shared = (leaves.groupBy("leaf").agg(F.min("cls").alias("head"), F.max("cls").alias("last"))
               .where("head < last").select("leaf", "head"))
     members = stage_table(leaves.join(shared, "leaf").distinct(), "members")
+    members = _supported(members, needs)
 
     wanted = members.select("cls").distinct().join(classes, "cls")
     points = stage_table(
         known.join(wanted.select("doc_id", F.col("cls").alias("wanted")), "doc_id")
         .select("wanted", "text")
-        .mapInArrow(_points(shingle, groups), "wanted long, cls long, n long, counts array<int>, "
-                                              "shingles array<long>")
-        .where("wanted = cls").drop("wanted"), "points")
+        .mapInArrow(_points(shingle, groups), "cls long, n long, counts array<int>, shingles array<long>"),
+        "points")
+    if not points.groupBy("cls").count().where("count > 1").isEmpty():  # a row that occurs in several tasks
+        several = points
+        points = stage_table(points.dropDuplicates(["cls"]), "points")
+        drop_table(several)
 
     star = (members.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
             .distinct())
