@@ -297,3 +297,23 @@ def test_pipeline_near_copies(spark):
     kept = {r.doc_id for r in cp.near_duplicates(spark, docs, SMALL).collect()}
     assert kept == {min(k for k in range(len(rows)) if root[k] == r) for r in root}
     assert not kept & {1, 3, 5}
+
+
+def test_pipeline_repeated_ids_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as cp
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SMALL}/{t}.parquet").where("false").write.parquet(str(tmp_path / f"{t}.parquet"))
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60)) for _ in range(3))
+    near = c.replace(" ", "  ", 3) + " more"
+    rows = [(1, a), (2, b), (2, c), (2, near), (3, near), (3, near), (None, a), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 0.5, "x", 7, 8) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, "
+                                 "score double, spans string, n_lines int, n_removed int")
+    for name, run in cp.STAGES[:-1]:
+        docs, before = run(spark, docs, str(tmp_path)), docs
+        assert docs.columns == before.columns and dict(docs.dtypes) == dict(before.dtypes)
+    got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    one = [t for i, t in got if i == 2 and t != b]
+    assert len(one) == 1 and one[0] in (c, near)
+    assert got == sorted([(1, a), (2, b), (2, one[0]), (None, a), (4, ""), (4, "")], key=str)
