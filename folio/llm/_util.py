@@ -239,6 +239,29 @@ def _only_stars(edges: DataFrame) -> bool:
             .where("below + above > 1").isEmpty())
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of a partition as stars: every node on the least node it reaches
+    inside the partition."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    u, v = (np.concatenate([p[j] for p in parts] or [np.zeros(0, np.int64)]) for j in range(2))
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[:len(u)], ends[len(u):]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b, label[a], label[b]):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    hangs = np.flatnonzero(label != np.arange(len(nodes)))
+    for at in range(0, len(hangs), 100_000):
+        some = hangs[at:at + 100_000]
+        yield pa.record_batch([pa.array(nodes[some]), pa.array(nodes[label[some]])], ["u", "v"])
+
+
 def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(node, component) of every node of ``edges`` (columns a, b; both longs).
 
@@ -263,7 +286,7 @@ def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
         small = (large.join(low, "u").where("v <> m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v")))
-                 .where("u <> v").distinct())
+                 .where("u <> v").distinct().mapInArrow(_forest, "u long, v long"))
         new = stage_table(small, name)
         drop_table(large)
         drop_table(e)

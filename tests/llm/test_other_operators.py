@@ -317,3 +317,30 @@ def test_pipeline_repeated_ids_and_clashing_columns(spark, tmp_path):
     one = [t for i, t in got if i == 2 and t != b]
     assert len(one) == 1 and one[0] in (c, near)
     assert got == sorted([(1, a), (2, b), (2, one[0]), (None, a), (4, ""), (4, "")], key=str)
+
+
+def test_connected_components(spark):
+    """Chains, stars and loops dealt over several partitions, against union-find."""
+    from folio.llm._util import connected_components
+    rng = random.Random(12)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(300, 360)] + [(500, 501), (501, 500), (9, 9)]
+    edges += [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(150)] + [(None, 3), (4, None)]
+    rng.shuffle(edges)
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in (1, 7):
+            df = spark.createDataFrame(edges, "a long, b long").repartition(parts)
+            got = {(r.node, r.component) for r in connected_components(df).collect()}
+            assert got == {(x, root(x)) for x in up}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
