@@ -135,6 +135,12 @@ def _named() -> dict:
     return dict(html.entities.html5)
 
 
+def _old_names() -> str:
+    """A pattern of the names that need no semicolon, the longest first."""
+    old = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return "^(" + "|".join(old) + ")"
+
+
 def _numbered() -> dict:
     """Numbers that do not stand for their own character (controls, the old
     Windows range), as Python's library reads them."""
@@ -146,7 +152,8 @@ def unescape_entities(col) -> Column:
     """Character references decoded, named and numeric, each once.
 
     The text is cut before every ``&``; a piece starts with at most one
-    reference.  Unknown names stay as they are.
+    reference.  A name that is not known may begin with an old one that needs no
+    semicolon (the longest counts); others stay as they are.
     """
     def piece(p):
         name = F.regexp_extract(p, _REFERENCE, 1)
@@ -161,9 +168,12 @@ def unescape_entities(col) -> Column:
             F.when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
             .otherwise(F.lit("\ufffd")))
         word = F.try_element_at(_pairs(_named()), F.substring(whole, 2, F.length(whole)))
+        old = F.regexp_extract(name, _old_names(), 1)
+        begun = F.concat(F.try_element_at(_pairs(_named()), F.when(old != "", old)),
+                         F.substring(p, F.length(old) + 2, F.length(p)))
         return (F.when(name == "", p)
                  .when(name.startswith("#"), F.concat(number, rest))
-                 .otherwise(F.coalesce(F.concat(word, rest), p)))
+                 .otherwise(F.coalesce(F.concat(word, rest), begun, p)))
 
     t = _c(col)
     return F.when(~F.contains(t, F.lit("&")), t) \

@@ -30,7 +30,7 @@ def chunk_id(url, section, a, b):
 def chunk_sections(sections: DataFrame, options: ChunkOptions = ChunkOptions(), *,
                    text_col: str = "text", title_col: str = "title", url_col: str = "url",
                    keep: tuple = (), tokenizer=None, bucket_dim: int | None = None,
-                   keep_case: bool = False) -> DataFrame:
+                   keep_case: bool = False, observe=None) -> DataFrame:
     """Chunk sections.
 
     Output columns: ``keep`` columns, ``chunk_id, text, tokens, section, url,
@@ -41,6 +41,8 @@ def chunk_sections(sections: DataFrame, options: ChunkOptions = ChunkOptions(),
     ``keep_case``: chunk text keeps the original case (tokens are only
     lower-cased for hashing); by default the text is the lower-cased tokens.
 
+    ``observe``: an ``Observation`` that counts the ``pieces`` cut, short ones too.
+
     ``bucket_dim``: also emit ``buckets``, the hash bucket of every token of
     the window, so the hashing encoder does not re-tokenize chunk text.  (A
     window's text re-tokenizes to exactly its token slice, so the vectors are
@@ -69,6 +71,8 @@ def chunk_sections(sections: DataFrame, options: ChunkOptions = ChunkOptions(),
         F.col(title_col).alias("section"),
         F.coalesce(F.col(url_col), F.lit("")).alias("url"),
         F.inline_outer("_pieces"))
+    if observe is not None:
+        exploded = exploded.observe(observe, F.count_if(F.col("text").isNotNull()).alias("pieces"))
     pieces = exploded.filter(F.length("text") >= options.min_chars)
     return pieces.select(
         *keep,

@@ -1,11 +1,10 @@
 """The chunk store: a parquet table partitioned by ``topic_bucket``.
 
-Layout: ``<root>/v=<version>/topic_bucket=<b>/part-*.parquet``, each file
-sorted by topic (row-group min/max then skip other topics).  Every change is
-written as a new version directory; readers take the highest complete
-version.  Writing in place is not possible (a static overwrite of a path
-being read fails), and a dynamic partition overwrite cannot empty a bucket,
-so purges would silently keep rows.
+``ChunkStore`` keeps it as versions of its buckets: a change writes the buckets it
+touches anew, and a reader takes for each bucket the version that the last commit
+names.  Writing in place is not possible (a static overwrite of a path being read
+fails), and a dynamic partition overwrite cannot empty a bucket, so purges would
+silently keep rows.
 
 All maintenance operators are plain DataFrame -> DataFrame joins:
 
@@ -29,6 +28,10 @@ from ..functions.text import py_strip
 
 DEFAULT_BUCKETS = 64
 BROADCAST_MAX_ROWS = 1_000_000
+MAX_LISTED_IDS = 10_000  # ids named in a filter (1 MB of SHA-1 names)
+# parquet Bloom filters on the ids, as large as each row group needs
+ID_FILTERS = {"parquet.bloom.filter.enabled#chunk_id": "true",
+              "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 def topic_bucket(topic, buckets: int = DEFAULT_BUCKETS):
@@ -325,8 +328,10 @@ class ChunkStore:
         staged = (rows.withColumn("topic_bucket", topic_bucket("topic", self.buckets))
                       .hint("rebalance", "topic_bucket")
                       .sortWithinPartitions("topic_bucket", "topic", "chunk_id"))
-        (staged.write.mode("errorifexists").option("maxRecordsPerFile", self.max_records_per_file)
-               .partitionBy("topic_bucket").parquet(str(target)))
+        writer = staged.write.mode("errorifexists").option("maxRecordsPerFile", self.max_records_per_file)
+        for key, value in ID_FILTERS.items():
+            writer = writer.option(key, value)
+        writer.partitionBy("topic_bucket").parquet(str(target))
         written = [st.getPath().getName() for st in fs.listStatus(target)]
         filled = {int(n.partition("=")[2]) for n in written if n.startswith("topic_bucket=")}
         after = {b: v for b, v in before.items() if b not in set(buckets)} | dict.fromkeys(filled, version)
@@ -348,13 +353,21 @@ class ChunkStore:
         """Replace the whole table with ``chunks`` (every bucket)."""
         return self._commit(chunks, range(self.buckets))
 
+    def rows_of_ids(self, ids: DataFrame) -> DataFrame:
+        """(chunk_id, topic_bucket) of the stored rows with one of ``ids``.
+
+        Few ids are named in the scan's filter: row groups whose Bloom filter knows
+        none of them are skipped.  More are found with a semi join over the id and
+        bucket columns.
+        """
+        scan = self._scan(self.snapshot()).select("chunk_id", "topic_bucket")
+        listed = ids.select("chunk_id").limit(MAX_LISTED_IDS + 1).collect()
+        if len(listed) <= MAX_LISTED_IDS:
+            return scan.where(F.col("chunk_id").isin([r.chunk_id for r in listed if r.chunk_id is not None]))
+        return scan.join(_maybe_broadcast(ids.select("chunk_id")), "chunk_id", "left_semi")
+
     def _buckets_holding(self, ids: DataFrame) -> set[int]:
-        """Buckets that hold any of ``ids`` (a semi join over the id and
-        bucket columns only)."""
-        hit = (self._scan(self.snapshot()).select("chunk_id", "topic_bucket")
-               .join(_maybe_broadcast(ids.select("chunk_id")), "chunk_id", "left_semi")
-               .select("topic_bucket").distinct().collect())
-        return {r[0] for r in hit}
+        return {r[0] for r in self.rows_of_ids(ids).select("topic_bucket").distinct().collect()}
 
     def upsert(self, new: DataFrame, key=("topic", "chunk_id"), *,
                materialized: bool = False) -> int:
@@ -382,8 +395,7 @@ class ChunkStore:
         return self._commit(purge_topics(self.read_buckets(touched), t), touched)
 
     def delete(self, ids: DataFrame) -> int:
-        """Only buckets that hold one of the ids are rewritten (found with a
-        semi join over the id and bucket columns)."""
+        """Only buckets that hold one of the ids are rewritten (``rows_of_ids``)."""
         ids = materialize(ids.select("chunk_id"))
         touched = sorted(self._buckets_holding(ids))
         if not touched:

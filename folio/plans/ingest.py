@@ -6,7 +6,7 @@ fused with the scan.  Writing goes through ``operators.store``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import INGEST_CHUNKS, ChunkOptions, EmbedOptions
@@ -35,25 +35,50 @@ def add_provenance(chunks: DataFrame, embed_options: EmbedOptions, ingested_at=N
         "embedding", *extra)
 
 
+class IngestCounts:
+    """What an ingest read, kept and dropped, counted by the job that writes its rows.
+
+    Give it to ``sections_to_chunks`` (once), run the result, then read ``row()``:
+    no second scan of the sections.
+    """
+
+    def __init__(self):
+        self.read, self.cleaned, self.cut, self.kept = (Observation() for _ in range(4))
+
+    def row(self) -> dict:
+        """Waits for the first action on the observed rows."""
+        sections, kept = self.read.get["sections"], self.cleaned.get["sections"]
+        pieces, chunks = self.cut.get["pieces"], self.kept.get["chunks"]
+        return {"sections": sections, "kept_sections": kept, "dropped_sections": sections - kept,
+                "pieces": pieces, "chunks": chunks, "dropped_pieces": pieces - chunks}
+
+
 def sections_to_chunks(sections: DataFrame, chunk_options: ChunkOptions = INGEST_CHUNKS,
                        embed_options: EmbedOptions = EmbedOptions(), *,
                        ingested_at=None, clean: bool = True, tokenizer=None,
-                       extra: tuple = ()) -> DataFrame:
+                       extra: tuple = (), counts: IngestCounts | None = None) -> DataFrame:
     """Sections (topic, page_title, title, text, url) -> store rows.
 
+    ``counts`` takes the numbers of sections and pieces kept and dropped.
     ``extra`` columns of the sections come along, for example ``page_id`` and
     ``ord``, by which ``first_sections`` settles rows with the same key."""
+    if counts is not None:
+        sections = sections.observe(counts.read, F.count(F.lit(1)).alias("sections"))
     cleaned = clean_sections(sections) if clean else sections
+    if counts is not None:
+        cleaned = cleaned.observe(counts.cleaned, F.count(F.lit(1)).alias("sections"))
+    cut = counts.cut if counts is not None else None
     if tokenizer is None:
         # buckets come with the windows: one tokenize and one hash per token
         chunks = chunk_sections(cleaned, chunk_options, keep=("topic", "page_title", *extra),
-                                bucket_dim=embed_options.dim)
+                                bucket_dim=embed_options.dim, observe=cut)
         embedded = chunks.withColumn("embedding", buckets_embed("buckets", embed_options))
     else:
         chunks = chunk_sections(cleaned, chunk_options, keep=("topic", "page_title", *extra),
-                                tokenizer=tokenizer)
+                                tokenizer=tokenizer, observe=cut)
         embedded = chunks.withColumn("embedding", hash_embed(F.col("text"), embed_options))
-    return add_provenance(embedded, embed_options, ingested_at, extra)
+    rows = add_provenance(embedded, embed_options, ingested_at, extra)
+    return rows if counts is None else rows.observe(counts.kept, F.count(F.lit(1)).alias("chunks"))
 
 
 PLACE = ("page_id", "ord")

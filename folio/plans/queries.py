@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..config import INGEST_CHUNKS, ChunkOptions, EmbedOptions
-from ..functions.text import preview
+from ..functions.text import preview, unescape_entities
 from ..functions.vectors import cosine
 from ..operators import checks, lessons, quiz, store
 from ..operators.chunk import chunk_sections
@@ -22,7 +22,7 @@ from ..operators.search import embed_requests, search, validate_requests
 from ..operators.sections import prune_boilerplate
 from ..sources.pages import lookup_pages, page_sections, scan_pages
 from ..sources.tables import document_requests, document_sections, read_table, spread
-from .ingest import PLACE, first_sections, sections_to_chunks
+from .ingest import PLACE, IngestCounts, first_sections, sections_to_chunks
 
 FLAGSHIP_CHUNKS = ChunkOptions(max_tokens=256, overlap=32)
 EMBED = EmbedOptions()
@@ -186,6 +186,18 @@ def q_html_text(spark, base):
     return scan_pages(_pages(spark, base))
 
 
+def q_old_references(spark, base):
+    """Old character references without a semicolon before letters and digits, as pages
+    hold them: one name after the other, before each page's title."""
+    import html
+    names = sorted(n for n in html.entities.html5 if not n.endswith(";"))
+    pages = scan_pages(read_table(spark, base, "pages")).select("page_id", "title")
+    name = F.element_at(F.array(*map(F.lit, names)), (F.pmod("page_id", F.lit(len(names))) + 1).cast("int"))
+    raw = F.concat(F.lit("x&"), name, F.substring(F.coalesce("title", F.lit("")), 1, 6), F.lit(" a&amp"),
+                   F.col("page_id").cast("string"), F.lit(" &zz &notit;"))
+    return pages.select("page_id", raw.alias("raw"), unescape_entities(raw).alias("text"))
+
+
 def q_page_sections(spark, base):
     return page_sections(_pages(spark, base))
 
@@ -334,8 +346,25 @@ def q_ingest(spark, base):
                        *_vec_summary("embedding"))
 
 
+def q_ingest_counts(spark, base):
+    """Sections and pieces that an ingest of all pages kept and dropped, from the one job
+    that writes the rows."""
+    from ..session import write_shared
+    counts = IngestCounts()
+    rows = sections_to_chunks(page_sections(_pages(spark, base)), ChunkOptions(34, 8), EMBED, ingested_at=F.lit(0),
+                              counts=counts)
+    write_shared(rows, "ingest")
+    return spark.createDataFrame([counts.row()], "sections long, kept_sections long, dropped_sections long, "
+                                 "pieces long, chunks long, dropped_pieces long")
+
+
 def q_health_check(spark, base):
-    return checks.health_check(_requests(spark, base), _results(spark, base))
+    """Health of every request; by a fixed rule some hits lack a field or their text."""
+    first = F.substring(F.sha1("chunk_id"), 1, 1)
+    hits = (_results(spark, base)
+            .withColumn("embedding_model", F.when(first != "0", F.col("embedding_model")))
+            .withColumn("text", F.when(first == "1", "").otherwise(F.col("text"))))
+    return checks.health_check(_requests(spark, base), hits)
 
 
 def q_ingest_report(spark, base):
@@ -473,6 +502,7 @@ QUERIES = {
     "hash_embed": q_hash_embed,
     "preview": q_preview,
     "html_text": q_html_text,
+    "old_references": q_old_references,
     "page_sections": q_page_sections,
     "page_lookup": q_page_lookup,
     "section_prune": q_section_prune,
@@ -486,6 +516,7 @@ QUERIES = {
     "capacity_check": q_capacity_check,
     "store_defaults": q_store_defaults,
     "ingest": q_ingest,
+    "ingest_counts": q_ingest_counts,
     "health_check": q_health_check,
     "ingest_report": q_ingest_report,
     "lesson_context": q_lesson_context,
@@ -744,6 +775,73 @@ def q_stream_store(spark, base):
 QUERIES["stream_store"] = q_stream_store
 
 
+# ---------------------------------------------------------------------------
+# User hooks, and the store's file filters
+# ---------------------------------------------------------------------------
+def q_user_chunker(spark, base):
+    """A chunker of the user's, called from Spark SQL as a table function."""
+    from ..functions.tables import register_chunker
+    register_chunker(spark, "word_chunks")
+    _docs(spark, base).createOrReplaceTempView("chunked_docs")
+    return spark.sql("SELECT d.doc_id, c.piece, c.a, c.b, md5(c.text) AS text_md5 "
+                     "FROM chunked_docs d, LATERAL word_chunks(d.text, 120, 20) c")
+
+
+def letter_model():
+    """A model of the user's: length, spaces, vowels and digits of a text."""
+    import numpy as np
+
+    def encode(texts: list) -> np.ndarray:
+        return np.array([[len(t), t.count(" "), sum(t.count(v) for v in "aeiou"), sum(t.count(d) for d in "0123456789")]
+                         for t in texts], np.float32).reshape(len(texts), 4)
+    return encode
+
+
+def q_model_embed(spark, base):
+    """Vectors of a model of the user's, in Arrow batches, unit length."""
+    from ..operators.embed import embed_with_model
+    docs = _docs(spark, base).select("doc_id", "text")
+    out = embed_with_model(docs, letter_model)
+    return out.select("doc_id", *[F.round(F.get("embedding", F.lit(j)).cast("double"), 3).alias(f"v{j}")
+                                  for j in range(4)])
+
+
+def q_store_delete_written(spark, base):
+    """``store_delete`` over a written store: row groups without the ids are skipped."""
+    import uuid
+
+    from ..session import shared_path
+    cs = store.ChunkStore(spark, shared_path(spark, f"store-{uuid.uuid4().hex[:12]}"), buckets=8)
+    cs.write(_store(spark, base))
+    toxic = read_table(spark, base, "labels").filter(F.col("toxic") == 1).select("doc_id")
+    docs = _docs(spark, base).join(toxic, "doc_id", "left_semi")
+    cs.delete(sections_to_chunks(document_sections(docs), INGEST_CHUNKS, EMBED).select("chunk_id"))
+    return _store_cols(cs.read())
+
+
+def q_exchange_stream(spark, base):
+    """``exchange`` as a join of two streams, in several micro-batches."""
+    import uuid
+
+    from ..session import shared_path
+    from ..streaming.exchange import run_exchange, write_in_order
+    users, answers = _turn_pairs(spark, base)
+    pid = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    at = F.timestamp_seconds(86_400 + F.col("conv_id") * 60 + F.col("turn"))  # watermarks start at 0
+    root = shared_path(spark, f"exchange-{uuid.uuid4().hex[:12]}")
+    write_in_order(users.select(pid.alias("prompt_id"), F.col("conv_id").cast("string").alias("topic"),
+                                F.lit("lesson").alias("kind"), F.col("prompt_text").alias("text"), at.alias("at")),
+                   f"{root}/prompts", "at", 3)
+    write_in_order(answers.select(pid.alias("prompt_id"), F.col("response_text").alias("text"),
+                                  (at + F.expr("INTERVAL 30 SECONDS")).alias("at")), f"{root}/responses", "at", 3)
+    out = run_exchange(spark, f"{root}/prompts", f"{root}/responses", f"{root}/out", f"{root}/state")
+    return out.select("prompt_id", "topic", "kind", F.length("text").alias("prompt_chars"), "response")
+
+
+QUERIES.update({"user_chunker": q_user_chunker, "model_embed": q_model_embed,
+                "store_delete_written": q_store_delete_written, "exchange_stream": q_exchange_stream})
+
+
 from .vectors import VECTOR_QUERIES  # noqa: E402  (it uses the helpers above)
 
 QUERIES.update(VECTOR_QUERIES)

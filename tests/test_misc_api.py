@@ -63,6 +63,26 @@ def test_health_codes_and_precedence(spark):
         f"tokens long, embedding_model string, source {src}")
     codes = {r.query_id: r.code for r in health_check(req, hits).collect()}
     assert codes == {1: 0, 2: 2, 3: 3, 4: 4, 5: 2}
+    # the first bad hit decides
+    two = hits.where("query_id = 1").withColumn("rank", F.when(F.col("chunk_id") == "c1", 1).otherwise(2))
+    text_first = two.withColumn("text", F.when(F.col("rank") == 1, "").otherwise("t")).withColumn(
+        "tokens", F.when(F.col("rank") == 1, 3))
+    field_first = two.withColumn("text", F.when(F.col("rank") == 2, "").otherwise("t")).withColumn(
+        "tokens", F.when(F.col("rank") == 2, 3))
+    one = req.where("query_id = 1")
+    assert health_check(one, text_first).first().code == 4
+    assert health_check(one, field_first).first().code == 3
+
+
+def test_old_references_without_semicolon(spark):
+    import html
+
+    from folio.functions.text import unescape_entities
+    cases = ["&copy2024 &nbspx &notit; a&ampb", "&notin; &notin &sup2x &sup &zzz; &am &amp;amp", "&lt3 &LTx &Eacutes;",
+             "&copy;x &copy=1 &copysr; &ampamp;", "&ordmx&ordfy&not"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = [r[0] for r in df.select(unescape_entities("t")).collect()]
+    assert got == [html.unescape(c) for c in cases]
 
 
 def test_ingest_actions(spark):

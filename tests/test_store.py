@@ -121,3 +121,58 @@ def test_service_ensure_reingest_purge(spark, tmp_dir):
     assert hits[0].source.url.startswith("https://en.wikipedia.org/wiki/Linear_algebra")
     svc.purge(topics)
     assert cs.read().count() == 0
+
+
+def _scanned(df):
+    """Rows that the file scan of a collected plan gave out."""
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+    df.collect()
+
+    def walk(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if node.nodeName().startswith("Scan"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+    walk(plan)
+    return sum(found)
+
+
+def test_ids_are_found_by_bloom_filters(spark, tmp_dir):
+    """Row groups without the ids are not read, for a few ids and for many."""
+    import hashlib
+    ids = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(4000)]
+    cs = store.ChunkStore(spark, tmp_dir + "/chunks", buckets=16)
+    cs.write(_rows(spark, [(x, f"T{i % 40}") for i, x in enumerate(ids)]))
+
+    def asked(names):
+        return cs.rows_of_ids(spark.createDataFrame([(n,) for n in names], "chunk_id string"))
+    none = [hashlib.sha1(f"other{i}".encode()).hexdigest() for i in range(60)]
+    for names in (none[:3], none):
+        assert asked(names).count() == 0
+        assert _scanned(asked(names)) < 1500  # the filters err now and then
+    assert {r.chunk_id for r in asked([ids[5], *none[:3]]).collect()} == {ids[5]}
+    assert 0 < _scanned(asked([ids[5]])) < 1500
+    held = cs.rows_of_ids(spark.createDataFrame([(x,) for x in ids] * 3, "chunk_id string"))  # the semi join
+    assert held.select("chunk_id").distinct().count() == 4000
+    cs.delete(spark.createDataFrame([(x,) for x in ids[:10]] + [(None,)], "chunk_id string"))
+    assert cs.read().count() == 3990
+
+
+def test_ingest_counts_in_one_pass(spark):
+    from folio.operators.chunk import dropped_pieces
+    from folio.operators.clean import clean_sections, dropped_sections
+    from folio.config import ChunkOptions
+    from folio.plans.ingest import IngestCounts, sections_to_chunks
+    rows = [("T", "P", f"s{i}", "word " * (7 * i), f"u{i}") for i in range(20)] + [("T", "P", "n", None, None)]
+    secs = spark.createDataFrame(rows, "topic string, page_title string, title string, text string, url string")
+    options, counts = ChunkOptions(max_tokens=34, overlap=8), IngestCounts()
+    kept = sections_to_chunks(secs, options, counts=counts).collect()
+    clean = clean_sections(secs)
+    lost = dropped_pieces(clean, options).count()
+    assert lost > 0 and counts.row() == {
+        "sections": 21, "kept_sections": clean.count(), "dropped_sections": 21 - clean.count(),
+        "pieces": len(kept) + lost, "chunks": len(kept), "dropped_pieces": lost}
+    assert dropped_sections(secs.where("text is not null")).count() == 20 - clean.count()
