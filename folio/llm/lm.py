@@ -2,11 +2,13 @@
 
 Tokens are words and one end for each text.  Counts of words, word bigrams and
 word trigrams cover the whole training text and may be of any number; what a text
-needs of them is brought to it by blocks of documents: each block asks once for
-each of its distinct n-grams, counts are summed by n-gram, and the totals go back
-by block.  An n-gram has at most one entry for each block, so none is hot.  The
+needs of them is brought to it by blocks of documents, cut from the partitions of
+the table as they are read, so no text is shuffled.  Each block asks once for each
+of its distinct n-grams, counts are summed by n-gram, and the totals go back by
+block.  An n-gram has at most one entry for each block, so none is hot.  The
 n-grams are sorted hashes, cut into parts by their range and sent as packed
-arrays; a block finds them again from its texts, so totals come without keys.
+arrays.  Texts are read once: a block goes with them as its distinct words and
+the rank of each token among them, and finds its n-grams again from these.
 
 Below them lies a class n-gram.  Words of at least a share ``frequent`` of the
 tokens are classes of their own, all others share one class; words of a share
@@ -28,14 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import _BASE, Words, mix, stage_table, text_slices
+from ._util import _BASE, SLICE_BYTES, Words, drop_table, mix, stage_table, text_slices, with_end
 
 BLOCK_BYTES = 8 << 20
-FREQUENT = 5e-4  # at most 2000 classes
-COMMON = 1e-2  # at most 100 farther contexts
+FREQUENT = 4e-3  # at most 250 classes
+COMMON = 2e-2  # at most 50 farther contexts, so at most 3.3 million class trigrams (105 MB)
 FOLDS = 5
 HELD_OUT = 1
 ROUNDS = 20
@@ -45,6 +48,7 @@ START = -1  # context before the first word
 BEGIN = np.uint64(0xB5297A4D68E31DA5)  # the same among tokens
 CHUNK = 1 << 17  # tokens whose probabilities are taken at once
 BUCKETS = 128  # of word contexts: 64 by the trigram's, then 64 by the bigram's
+SPARE_BITS = 20  # a bigram's or trigram's hash has so many bits more than the corpus has bytes
 
 
 def fold(doc_id):
@@ -63,67 +67,103 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, row
 
 
+def hash_bits(size: int) -> int:
+    """Bits of the hashes of bigrams and trigrams in ``size`` bytes of text: at most one
+    in 2**SPARE_BITS of them equals another's, up to 16 TB."""
+    return min(64, max(32, math.ceil(math.log2(size + 1)) + SPARE_BITS))
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Whole numbers as byte planes, without the planes above the largest."""
+    """Whole numbers as compressed byte planes, without the planes above the largest."""
     planes = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T
     used = max(1, 8 - next((k for k in range(8) if planes[7 - k].any()), 8))
-    return bytes([used]) + planes[:used].tobytes()
+    return bytes([used]) + len(values).to_bytes(8, "little") + pa.compress(planes[:used].tobytes(), "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :data[0]] = planes.T
+    used, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], n * used, "zstd", asbytes=True), np.uint8).reshape(used, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :used] = planes.T
     return out.view(np.uint64)[:, 0]
 
 
-def block_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(token hashes, row of each token) of the texts of a block."""
-    tokens, rows, done = [], [], 0
-    for batch in table.to_batches():
-        for part in text_slices(batch):
-            t, r = tokens_of(part.column(part.schema.get_field_index("text")))
-            tokens.append(t)
-            rows.append(r + done)
-            done += part.num_rows
-    return np.concatenate(tokens), np.concatenate(rows)
+def first_of(row: np.ndarray) -> np.ndarray:
+    """Which tokens are the first of their text."""
+    return np.concatenate([[True], row[1:] != row[:-1]])
 
 
-def grams_of(tokens: np.ndarray, row: np.ndarray) -> Iterator[np.ndarray]:
-    """Hashes of the words, bigrams and trigrams that end at each token."""
-    first = np.concatenate([[True], row[1:] != row[:-1]])
+def grams_of(tokens: np.ndarray, row: np.ndarray, bits: int = 64) -> Iterator[np.ndarray]:
+    """Hashes of the words, bigrams and trigrams that end at each token; of ``bits`` bits
+    but for the words, whose counts are exact."""
+    first = first_of(row)
     v = np.concatenate([[BEGIN], tokens[:-1]])
     v[first] = BEGIN
     u = np.concatenate([[BEGIN], v[:-1]])
     u[first] = BEGIN
     yield tokens
-    yield mix(v * _BASE + tokens)
-    yield mix((u * _BASE + v) * _BASE + tokens)
+    yield mix(v * _BASE + tokens) >> np.uint64(64 - bits)
+    yield mix((u * _BASE + v) * _BASE + tokens) >> np.uint64(64 - bits)
 
 
-def _ask(parts: int):
-    """Distinct n-grams of a block, by part, with their number in training texts."""
-    def run(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
-        tokens, row = block_tokens(table)
-        train = ~table["held_out"].to_numpy()[row]
-        out = []
-        for size, keys in enumerate(grams_of(tokens, row), 1):
+_ASKED = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("size", pa.int32()),
+                    ("keys", pa.binary()), ("n", pa.binary()), ("docs", pa.binary())])
+_ASKED_SQL = "part long, block long, size int, keys binary, n binary, docs binary"
+
+
+def _rows(rows: list, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def _store(docs: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema) as out:
+        out.write_table(docs)
+    return sink.getvalue().to_pybytes()
+
+
+def _ask(parts: int, bits: int, block_bytes: int):
+    """Distinct n-grams of each block, by part, with their number in training texts (size 1
+    to 3), and the block itself (size 0) under a part of its own."""
+    def block_rows(block: int, docs: pa.Table, tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
+        row = np.repeat(np.arange(docs.num_rows), docs["n_tokens"].to_numpy())
+        train = ~docs["held_out"].to_numpy()[row]
+        for size, keys in enumerate(grams_of(tokens, row, bits), 1):
             u, inv = np.unique(keys, return_inverse=True)
             n = np.bincount(inv, train, len(u)).astype(np.uint64)
-            part = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            top = u >> np.uint64((64 if size == 1 else bits) - 32)
+            part = (top * np.uint64(parts)) >> np.uint64(32)
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                steps = np.diff(u[lo:hi], prepend=np.uint64(0))
-                out.append((int(part[lo]), block, size, pack(steps), pack(n[lo:hi])))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ASKED.types)],
-                                    schema=_ASKED)
+            out = [(int(part[lo]), block, size, pack(np.diff(u[lo:hi], prepend=np.uint64(0))), pack(n[lo:hi]), None)
+                   for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            if size == 1:
+                out.append((-1 - block, block, 0, pack(np.diff(u, prepend=np.uint64(0))), pack(inv), _store(docs)))
+            yield from _rows(out, _ASKED).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        docs, tokens, held = [], [], 0
+        for batch in with_end(batches):
+            for part in text_slices(batch, limit=min(SLICE_BYTES, block_bytes)) if batch is not None else [None]:
+                if part is not None:
+                    texts = part.column(part.schema.get_field_index("text"))
+                    t, row = tokens_of(texts)
+                    count = pa.array(np.bincount(row, minlength=len(texts)).astype(np.int64))
+                    docs.append(part.select(["doc_id", "held_out"]).append_column("n_tokens", count))
+                    tokens.append(t)
+                    held += pa.compute.sum(pa.compute.binary_length(texts)).as_py() or 0
+                if docs and (part is None or held >= block_bytes):
+                    yield from block_rows(block, pa.Table.from_batches(docs), np.concatenate(tokens))
+                    block, docs, tokens, held = block + 1, [], [], 0
     return run
 
 
 def _sum_part(table: pa.Table) -> pa.Table:
-    """Totals for each block in the order of its n-grams; the words under block -1."""
+    """Totals for each block in the order of its n-grams; the words under block -1.  A block
+    itself passes as it is."""
     part = table["part"][0].as_py()
+    if part < 0:
+        return table.select(_ASKED.names).cast(_ASKED)
     sizes = table["size"].to_numpy()
     out = []
     for size in (1, 2, 3):
@@ -136,50 +176,90 @@ def _sum_part(table: pa.Table) -> pa.Table:
         total = np.bincount(inv, np.concatenate(counts), len(u)).astype(np.uint64)
         done = 0
         for i, k in zip(at, keys):
-            out.append((part, table["block"][i].as_py(), size, None, pack(total[inv[done:done + len(k)]])))
+            out.append((part, table["block"][i].as_py(), size, None, pack(total[inv[done:done + len(k)]]), None))
             done += len(k)
         if size == 1 and total.any():
-            out.append((part, -1, size, pack(u[total > 0]), pack(total[total > 0])))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ASKED.types)], schema=_ASKED)
+            used = u[total > 0]
+            out.append((part, -1, size, pack(np.diff(used, prepend=np.uint64(0))), pack(total[total > 0]), None))
+    return _rows(out, _ASKED)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield pa.record_batch([pa.array(unpack(keys).view(np.int64)),
-                                   pa.array(unpack(n).view(np.int64))], ["token", "n"])
+        for keys, n in zip(batch.column(0), batch.column(1)):
+            u = np.cumsum(unpack(keys.as_py()), dtype=np.uint64)
+            yield pa.record_batch([pa.array(u.view(np.int64)),
+                                   pa.array(unpack(n.as_py()).view(np.int64))], ["token", "n"])
 
 
-_ASKED = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("size", pa.int32()),
-                    ("keys", pa.binary()), ("n", pa.binary())])
-_ASKED_SQL = "part long, block long, size int, keys binary, n binary"
+def gram_totals(docs: DataFrame, parts: int, bits: int = 64, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of ``docs`` (doc_id, text, held_out) and the packed totals of their n-grams."""
+    asked = docs.select("doc_id", "text", "held_out").mapInArrow(_ask(parts, bits, block_bytes), _ASKED_SQL)
+    return stage_table(asked.groupBy("part").applyInArrow(_sum_part, _ASKED_SQL), "counts")
 
 
-def gram_totals(docs: DataFrame, parts: int) -> DataFrame:
-    """Packed totals of the n-grams of each block of ``docs`` (block, text, held_out)."""
-    asked = docs.groupBy("block").applyInArrow(_ask(parts), _ASKED_SQL)
-    return stage_table(asked.groupBy("part").applyInArrow(_sum_part, _ASKED_SQL), "counts")
+class Block:
+    """The documents of a block (doc_id, held_out, n_tokens), its distinct words and their
+    counts, and of each token the rank of its word and the counts of its bigram and trigram."""
 
+    def __init__(self, docs: bytes, words: bytes, ranks: bytes, c1: bytes, c2: bytes, c3: bytes):
+        self.docs = pa.ipc.open_stream(docs).read_all()
+        self.words = np.cumsum(unpack(words), dtype=np.uint64)
+        self.ranks = unpack(ranks).astype(np.int64)
+        self.row = np.repeat(np.arange(self.docs.num_rows), self.docs["n_tokens"].to_numpy())
+        self.packed = c1, c2, c3
 
-def block_counts(tokens: np.ndarray, row: np.ndarray, answers: pa.Table,
-                 texts: int) -> tuple[np.ndarray, ...]:
-    """Of each token: counts of its trigram, bigram and word, and of the contexts of the first two.
+    def train(self) -> np.ndarray:
+        """Which tokens are of training texts."""
+        return ~self.docs["held_out"].to_numpy()[self.row]
+
+    def counts(self, texts: int) -> tuple[np.ndarray, ...]:
+        """Of each token: counts of its trigram, bigram and word, and of the contexts of the
+        first two, as c3, n3, c2, n2, c1.
+
+        Each word is followed by another or the end, so a context occurs as often as
+        the n-gram that it is; ``texts`` is the number of training texts, the count of a
+        beginning.
+        """
+        c1, c2, c3 = (unpack(x).astype(float) for x in self.packed)
+        c1 = c1[self.ranks]
+        first = first_of(self.row)
+        n2, n3 = (np.where(first, texts, np.concatenate([[0], c[:-1]])) for c in (c1, c2))
+        return c3, n3, c2, n2, c1
+
+
+_BLOCK = pa.schema([(c, pa.binary()) for c in ("docs", "words", "ranks", "c1", "c2", "c3")])
+_BLOCK_SQL = ", ".join(f"{c} binary" for c in _BLOCK.names)
+
+
+def _bundle(bits: int):
+    """A block with the counts of its words and of each token's bigram and trigram."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("size", "part", "n", "keys", "docs"))),
+                      key=lambda r: r[:2])
+        _, _, ranks, words, docs = rows[0]
+        block = Block(docs, words, ranks, b"", b"", b"")
+        out = []
+        for size, keys in enumerate(grams_of(block.words[block.ranks], block.row, bits), 1):
+            totals = np.concatenate([unpack(n) for s, _, n, _, _ in rows if s == size])
+            if size > 1:
+                u, inv = np.unique(keys, return_inverse=True)
+                assert len(totals) == len(u)
+                totals = totals[inv]
+            out.append(pack(totals))
+        return _rows([(docs, words, ranks, *out)], _BLOCK)
+    return run
+
+
+def counted_blocks(totals: DataFrame, bits: int = 64) -> DataFrame:
+    """A staged table with one row for each block, as ``Block`` takes it."""
+    return stage_table(totals.where("block >= 0").groupBy("block").applyInArrow(_bundle(bits), _BLOCK_SQL), "blocks")
 
-    Each word is followed by another or the end, so a context occurs as often as
-    the n-gram that it is; ``texts`` is the number of training texts, the count of a
-    beginning.
-    """
-    rows = sorted(zip(answers["size"].to_pylist(), answers["part"].to_pylist(), answers["n"].to_pylist()))
-    out = []
-    for size, keys in enumerate(grams_of(tokens, row), 1):
-        u, inv = np.unique(keys, return_inverse=True)
-        totals = np.concatenate([unpack(n) for s, _, n in rows if s == size])
-        assert len(totals) == len(u)
-        out.append(totals[inv].astype(float))
-    c1, c2, c3 = out
-    first = np.concatenate([[True], row[1:] != row[:-1]])
-    n2, n3 = (np.where(first, texts, np.concatenate([[0], c[:-1]])) for c in (c1, c2))
-    return c3, n3, c2, n2, c1
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Block(*(c[i].as_py() for c in batch.columns))
 
 
 def mixture(c3, n3, c2, n2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,11 +304,11 @@ class Classes:
         return np.where(self.tokens[at] == tokens, at + 1, RARE)
 
 
-def contexts(classes: Classes, tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+def contexts(classes: Classes, block: Block) -> tuple[np.ndarray, ...]:
     """(farther context, context, class) of each token."""
-    w = classes.of(tokens)
+    w = classes.of(block.words)[block.ranks]
+    first = first_of(block.row)
     v = np.concatenate([[START], w[:-1]])
-    first = np.concatenate([[True], row[1:] != row[:-1]])
     v[first] = START
     u = np.concatenate([[START], v[:-1]])
     u[first] = START
@@ -236,16 +316,19 @@ def contexts(classes: Classes, tokens: np.ndarray, row: np.ndarray) -> tuple[np.
     return far, v, w
 
 
+def _distinct(u, v, w) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """(distinct class trigrams, the place of each among them)."""
+    key, inv = np.unique(((u + 1) << 40) | ((v + 1) << 20) | w, return_inverse=True)
+    return ((key >> 40) - 1, ((key >> 20) & 0xFFFFF) - 1, key & 0xFFFFF), inv
+
+
 def _class_grams(classes: Classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch):
-                tokens, row = tokens_of(part.column(part.schema.get_field_index("text")))
-                u, v, w = contexts(classes, tokens, row)
-                key, n = np.unique(((u + 1) << 40) | ((v + 1) << 20) | w, return_counts=True)
-                yield pa.record_batch(
-                    [pa.array((key >> 40) - 1), pa.array(((key >> 20) & 0xFFFFF) - 1),
-                     pa.array(key & 0xFFFFF), pa.array(n.astype(np.int64))], ["u", "v", "w", "n"])
+        for block in _blocks(batches):
+            train = block.train()
+            some, inv = _distinct(*(c[train] for c in contexts(classes, block)))
+            n = np.bincount(inv, minlength=len(some[0])).astype(np.int64)
+            yield pa.record_batch([*map(pa.array, some), pa.array(n)], ["u", "v", "w", "n"])
     return run
 
 
@@ -327,64 +410,69 @@ def fit_rare(count: np.ndarray, words: np.ndarray, rounds: int = 50) -> tuple[fl
 def _base(model: ClassModel, rare: tuple, classed: tuple, c1: np.ndarray, deleted: int) -> np.ndarray:
     """Probabilities by the class model; ``deleted`` is taken off all counts."""
     weight, rare_total, rare_kinds = rare
-    bucket, p = model.estimates(*classed, deleted=deleted)
-    p = (model.weights[bucket] * p).sum(1)
+    some, inv = _distinct(*classed)
+    bucket, p = model.estimates(*some, deleted=deleted)
+    p = (model.weights[bucket] * p).sum(1)[inv]
     own = weight * np.maximum(c1 - deleted, 0) / max(rare_total - deleted, 1) + (1 - weight) / (rare_kinds + 1)
     return np.where(classed[2] == RARE, p * own, p)
 
 
-def _chunks(docs: pa.Table, answers: pa.Table, model: ClassModel, texts: int) -> tuple:
-    tokens, row = block_tokens(docs)
-    counts = block_counts(tokens, row, answers, texts)
-    classed = contexts(model.classes, tokens, row)
-    return row, counts, classed, [slice(k, k + CHUNK) for k in range(0, len(row), CHUNK)]
+def _chunks(block: Block, model: ClassModel, texts: int) -> tuple:
+    return (block.counts(texts), contexts(model.classes, block),
+            [slice(k, k + CHUNK) for k in range(0, len(block.row), CHUNK)])
 
 
-def _bins(p: np.ndarray) -> np.ndarray:
-    """0 for 0, else one for each halving."""
-    return np.where(p > 0, 1 + np.minimum(-np.log2(np.maximum(p, 1e-300)), 62), 0).astype(np.int64)
+def _bins(p: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """0 for 0, else one for each halving of the share of ``base``: 64 in all."""
+    return np.where(p > 0, np.clip(32 + np.log2(np.maximum(p, 1e-300) / base), 1, 63), 0).astype(np.int64)
 
 
 def _deleted(model: ClassModel, rare: tuple, texts: int):
-    """Estimates of the training tokens on deleted counts, summed by bucket and their bins."""
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        row, counts, classed, chunks = _chunks(docs, answers, model, texts)
-        train = ~docs["held_out"].to_numpy()[row]
-        keys, sums = [np.zeros(0, np.int64)], [np.zeros((0, 4))]
-        for at in chunks:
-            on = train[at]
-            c3, n3, c2, n2, c1 = (c[at][on] for c in counts)
-            bucket, p3, p2 = mixture(c3 - 1, n3 - 1, c2 - 1, n2 - 1)
-            p1 = _base(model, rare, tuple(c[at][on] for c in classed), c1, 1)
-            keys.append(((bucket * 64 + _bins(p3)) * 64 + _bins(p2)) * 64 + _bins(p1))
-            sums.append(np.stack([np.ones(len(p1)), p3, p2, p1], 1))
-            k, inv = np.unique(np.concatenate(keys), return_inverse=True)
-            every = np.concatenate(sums)
-            keys, sums = [k], [np.stack([np.bincount(inv, every[:, j], len(k)) for j in range(4)], 1)]
-        return pa.table([pa.array(keys[0]), *[pa.array(np.ascontiguousarray(c)) for c in sums[0].T]],
-                        ["key", "n", "p3", "p2", "p1"])
+    """Estimates of the training tokens on deleted counts, as shares of their sum (a
+    common factor does not change what is learned), summed by bucket and bins of their
+    ratios: at most 128 * 64 * 64 rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            counts, classed, chunks = _chunks(block, model, texts)
+            train = block.train()
+            keys, sums = [np.zeros(0, np.int64)], [np.zeros((0, 4))]
+            for at in chunks:
+                on = train[at]
+                c3, n3, c2, n2, c1 = (c[at][on] for c in counts)
+                bucket, p3, p2 = mixture(c3 - 1, n3 - 1, c2 - 1, n2 - 1)
+                p1 = _base(model, rare, tuple(c[at][on] for c in classed), c1, 1)
+                keys.append((bucket * 64 + _bins(p3, p1)) * 64 + _bins(p2, p1))
+                p = np.stack([np.ones(len(p1)), p3, p2, p1], 1)
+                p[:, 1:] /= p[:, 1:].sum(1, keepdims=True)
+                sums.append(p)
+                k, inv = np.unique(np.concatenate(keys), return_inverse=True)
+                every = np.concatenate(sums)
+                keys, sums = [k], [np.stack([np.bincount(inv, every[:, j], len(k)) for j in range(4)], 1)]
+            yield pa.record_batch([pa.array(keys[0]), *[pa.array(np.ascontiguousarray(c)) for c in sums[0].T]],
+                                  ["key", "n", "p3", "p2", "p1"])
     return run
 
 
 def _score(model: ClassModel, rare: tuple, weights: np.ndarray, texts: int, total: int, kinds: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        row, counts, classed, chunks = _chunks(docs, answers, model, texts)
-        p = np.zeros(len(row))
-        for at in chunks:
-            c3, n3, c2, n2, c1 = (c[at] for c in counts)
-            bucket, p3, p2 = mixture(c3, n3, c2, n2)
-            p1 = _base(model, rare, tuple(c[at] for c in classed), c1, 0)
-            p[at] = (weights[bucket] * np.stack([p3, p2, p1], 1)).sum(1)
-        c = counts[4]
-        base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
-        rows = docs.num_rows
-        return pa.Table.from_arrays(
-            [docs["doc_id"], docs["held_out"],
-             pa.array(np.bincount(row, minlength=rows).astype(np.int64)),
-             pa.array(np.bincount(row, c > 0, rows).astype(np.int64)),
-             pa.array(np.full(rows, total, np.int64)),
-             pa.array(np.bincount(row, base, rows)),
-             pa.array(np.bincount(row, np.log10(p), rows))], schema=_OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            counts, classed, chunks = _chunks(block, model, texts)
+            row, docs = block.row, block.docs
+            p = np.zeros(len(row))
+            for at in chunks:
+                c3, n3, c2, n2, c1 = (c[at] for c in counts)
+                bucket, p3, p2 = mixture(c3, n3, c2, n2)
+                p1 = _base(model, rare, tuple(c[at] for c in classed), c1, 0)
+                p[at] = (weights[bucket] * np.stack([p3, p2, p1], 1)).sum(1)
+            c = counts[4]
+            base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
+            rows = docs.num_rows
+            yield from pa.Table.from_arrays(
+                [docs["doc_id"], docs["held_out"], docs["n_tokens"],
+                 pa.array(np.bincount(row, c > 0, rows).astype(np.int64)),
+                 pa.array(np.full(rows, total, np.int64)),
+                 pa.array(np.bincount(row, base, rows)),
+                 pa.array(np.bincount(row, np.log10(p), rows))], schema=_OUT).combine_chunks().to_batches()
     return run
 
 
@@ -402,7 +490,9 @@ def lm_scores(docs: DataFrame, frequent: float = FREQUENT, common: float = COMMO
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored.  Training
     texts are those whose crc32(doc_id as text) modulo 5 is not 1; rows with a
     null ``doc_id`` are training texts.  Null, empty and blank texts are one end
-    token.  Repeated rows count as often as they occur.  Without any training
+    token.  Repeated rows count as often as they occur.  A partition that is computed
+    again must give its rows in the same order (as a scan does), or the job fails in
+    an assertion and can be run again.  Without any training
     text all counts are zero and the scores are those of the uniform model; an
     empty table gives an empty result.
 
@@ -413,12 +503,11 @@ def lm_scores(docs: DataFrame, frequent: float = FREQUENT, common: float = COMMO
     held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    docs = docs.select("doc_id", "text", held.alias("held_out"),
-                       F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+    docs = docs.select("doc_id", "text", held.alias("held_out"))
 
-    totals = gram_totals(docs, blocks)
-    answers = totals.where("block >= 0").select("block", "part", "size", "n")
-    words = totals.where("block = -1").select("keys", "n").mapInArrow(_words, "token long, n long")
+    bits = hash_bits(size)
+    asked = gram_totals(docs, max(1, math.ceil(size / block_bytes)), bits, block_bytes)
+    words = asked.where("block = -1").select("keys", "n").mapInArrow(_words, "token long, n long")
     total, kinds, texts = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count("*"),
         F.coalesce(F.sum(F.when(F.col("token") == int(END.view(np.int64)), F.col("n"))), F.lit(0))).first()
@@ -427,15 +516,6 @@ def lm_scores(docs: DataFrame, frequent: float = FREQUENT, common: float = COMMO
     top = words.where(F.col("n") >= limit).select("token", "n").collect()  # at most 1/frequent rows
     classes = Classes(np.array([r.token for r in top], np.int64).view(np.uint64),
                       np.array([r.n for r in top], np.int64), total, common)
-    grams = (docs.where("not held_out").select("text")
-             .mapInArrow(_class_grams(classes), "u long, v long, w long, n long")
-             .groupBy("u", "v", "w").agg(F.sum("n").alias("n")))
-    # bounded by the numbers of classes, not by the corpus
-    table = grams.toArrow()
-    u, v, w, n = (table[c].to_numpy() for c in ("u", "v", "w", "n"))
-    model = ClassModel(u, v, w, n, classes)
-    if len(n):
-        model.fit(u, v, w, n)
     # counts of counts: exact up to 1000, then 32 bins for each doubling
     fine = F.when(F.col("n") <= 1000, F.col("n").cast("double")) \
         .otherwise(F.pow(F.lit(2.0), F.round(F.log2("n") * 32) / 32))
@@ -443,12 +523,20 @@ def lm_scores(docs: DataFrame, frequent: float = FREQUENT, common: float = COMMO
               .agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).collect())
     rare = fit_rare(np.array([r.tokens / r.words for r in spread], float),
                     np.array([r.words for r in spread], float))
-    pairs = docs.groupBy("block").cogroup(answers.groupBy("block"))
-    # a row for each bucket and halving of the estimates, not for each token
-    seen = (pairs.applyInArrow(_deleted(model, rare, texts),
-                               "key long, n double, p3 double, p2 double, p1 double")
+    blocks = counted_blocks(asked, bits)
+    drop_table(asked)
+
+    # bounded by the numbers of classes, not by the corpus
+    table = (blocks.mapInArrow(_class_grams(classes), "u long, v long, w long, n long")
+             .groupBy("u", "v", "w").agg(F.sum("n").alias("n"))).toArrow()
+    u, v, w, n = (table[c].to_numpy() for c in ("u", "v", "w", "n"))
+    model = ClassModel(u, v, w, n, classes)
+    if len(n):
+        model.fit(u, v, w, n)
+    # a row for each bucket and halving of the ratios, not for each token
+    seen = (blocks.mapInArrow(_deleted(model, rare, texts), "key long, n double, p3 double, p2 double, p1 double")
             .groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "p3", "p2", "p1")]).toArrow())
     n = seen["n"].to_numpy()
     p = np.stack([seen[c].to_numpy() / np.maximum(n, 1) for c in ("p3", "p2", "p1")], 1)
-    weights = fit_mixture(seen["key"].to_numpy() >> 18, p, n)
-    return pairs.applyInArrow(_score(model, rare, weights, texts, total, kinds), _OUT_SQL)
+    weights = fit_mixture(seen["key"].to_numpy() >> 12, p, n)
+    return blocks.mapInArrow(_score(model, rare, weights, texts, total, kinds), _OUT_SQL)

@@ -452,9 +452,7 @@ def test_short_leaks(spark):
 
 def test_lm_gram_counts(docs, rows):
     """Totals of all words, bigrams and trigrams that come to the blocks, against plain counts."""
-    from pyspark.sql import functions as F
-
-    from folio.llm.lm import block_counts, block_tokens, gram_totals
+    from folio.llm.lm import Block, counted_blocks, gram_totals
     texts = [(t or "").translate(LOWER) for _, t, *_ in rows]
     held = [k % 5 == 1 for k in range(len(texts))]
     counts = [collections.Counter() for _ in range(4)]
@@ -464,22 +462,23 @@ def test_lm_gram_counts(docs, rows):
             for size in (1, 2, 3):
                 counts[size].update(tuple(w[k - size + 1:k + 1]) for k in range(2, len(w)))
     n_texts = len(held) - sum(held)
-    table = pa.table({"block": [k % 3 for k in range(len(texts))], "text": texts, "held_out": held})
-    frame = docs.sparkSession.createDataFrame(table.to_pandas())
-    totals = gram_totals(frame, 4).where("block >= 0")
-    for block in range(3):
-        mine = table.filter(pa.compute.equal(table["block"], block))
-        tokens, row = block_tokens(mine)
-        c3, n3, c2, n2, c1 = block_counts(tokens, row, totals.where(F.col("block") == block).toArrow(), n_texts)
-        at = 0
-        for t in mine["text"].to_pylist():
-            w = [0, 0, *words(t), None]
-            for k in range(2, len(w)):
-                assert (c3[at], c2[at], c1[at]) == tuple(counts[s][tuple(w[k - s + 1:k + 1])] for s in (3, 2, 1))
-                assert n2[at] == (n_texts if k == 2 else counts[1][w[k - 1],])
-                assert n3[at] == (n_texts if k == 2 else counts[2][tuple(w[k - 2:k])])
-                at += 1
-        assert at == len(tokens)
+    table = pa.table({"doc_id": range(len(texts)), "text": texts, "held_out": held})
+    frame = docs.sparkSession.createDataFrame(table.to_pandas()).repartition(2)
+    for bits in (64, 48):
+        blocks = [Block(*r) for r in counted_blocks(gram_totals(frame, 4, bits, 50_000), bits).collect()]
+        assert len(blocks) >= 3
+        assert sorted(i for b in blocks for i in b.docs["doc_id"].to_pylist()) == list(range(len(texts)))
+        for block in blocks:
+            c3, n3, c2, n2, c1 = block.counts(n_texts)
+            at = 0
+            for i in block.docs["doc_id"].to_pylist():
+                w = [0, 0, *words(texts[i]), None]
+                for k in range(2, len(w)):
+                    assert (c3[at], c2[at], c1[at]) == tuple(counts[s][tuple(w[k - s + 1:k + 1])] for s in (3, 2, 1))
+                    assert n2[at] == (n_texts if k == 2 else counts[1][w[k - 1],])
+                    assert n3[at] == (n_texts if k == 2 else counts[2][tuple(w[k - 2:k])])
+                    at += 1
+            assert at == len(block.row)
 
 
 def test_lm_uses_grams_of_rare_words(spark):
