@@ -48,7 +48,7 @@ START = -1  # context before the first word
 BEGIN = np.uint64(0xB5297A4D68E31DA5)  # the same among tokens
 CHUNK = 1 << 17  # tokens whose probabilities are taken at once
 BUCKETS = 128  # of word contexts: 64 by the trigram's, then 64 by the bigram's
-SPARE_BITS = 20  # a bigram's or trigram's hash has so many bits more than the corpus has bytes
+SPARE_BITS = 16  # a bigram's or trigram's hash has so many bits more than the corpus has bytes
 
 
 def fold(doc_id):
@@ -69,7 +69,7 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def hash_bits(size: int) -> int:
     """Bits of the hashes of bigrams and trigrams in ``size`` bytes of text: at most one
-    in 2**SPARE_BITS of them equals another's, up to 16 TB."""
+    in 2**SPARE_BITS of them equals another's, up to 256 TB."""
     return min(64, max(32, math.ceil(math.log2(size + 1)) + SPARE_BITS))
 
 
