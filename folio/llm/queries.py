@@ -145,13 +145,16 @@ select doc_id, coalesce(len(lines), 0)::bigint as n_lines,
 from w left join gone using (doc_id)
 """,
     "op3_warc": """
-with p as (select page_id, sha256(coalesce(html, '')) as d, octet_length(encode(coalesce(html, ''))) as n
-           from pages),
-h as (select d, min(page_id) as head from p where n >= 100 group by d)
+with p as (select page_id, sha256(coalesce(html, '')) as d, octet_length(encode(coalesce(html, ''))) as n,
+               url from pages),
+h as (select page_id, d, n, n >= 100 and page_id is not null
+             and row_number() over (partition by d order by page_id nulls last, url nulls first) > 1 as again,
+             min(page_id) over (partition by d) as head
+      from p)
 select page_id, n::bigint as payload_bytes, d as payload_digest,
-    case when page_id <> head then 'revisit' else 'response' end as record_type,
-    case when page_id <> head then head end as refers_to
-from p left join h using (d)
+    case when again then 'revisit' else 'response' end as record_type,
+    case when again then head end as refers_to
+from h
 """,
     "op8_substring_dedup": """
 with w as (

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import shared_path
+from ._util import drop_table, shared_path, stage_table
 
 MIN_SHARED = 100  # bytes of payload from which equal payloads are written once
 RECORDS_PER_FILE = 4000  # bounds what a task holds when it reads an archive
@@ -29,8 +29,10 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = b"WARC/1."
 _FIRST = re.compile(rb"WARC/1\.[01]\r\n")
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 GZIP = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
+FEED = 16 << 10  # bytes given to the decompressor at once: what a member leaves over is copied
 # An empty gzip member: the text sink puts it between records, readers skip it.
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 
@@ -69,8 +71,10 @@ def write_warc(pages: DataFrame, path: str, min_shared: int = MIN_SHARED, level:
     ``pages`` has ``page_id``, ``url`` and ``html``; other columns are ignored.
     The payload is the html in UTF-8 (null: empty).  Of equal payloads of at
     least ``min_shared`` bytes the one with the smallest page_id is a response
-    and the others revisit it.  Rows with a null ``page_id`` are responses.  The
-    sink's commit keeps files whole when an executor is lost.
+    and the others revisit it; if rows repeat that page_id, one of those with the
+    smallest url (null first) is the response and the rest revisit it.  Rows with a
+    null ``page_id`` are responses.  The sink's commit keeps files whole when an
+    executor is lost.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
@@ -78,20 +82,47 @@ def write_warc(pages: DataFrame, path: str, min_shared: int = MIN_SHARED, level:
     body = F.coalesce("html", F.lit(""))
     rows = rows.withColumn("digest", F.sha2(body, 256)).withColumn("size", F.octet_length(body))
     shared = F.col("size") >= min_shared
-    heads = (rows.where(shared & F.col("page_id").isNotNull())
-             .groupBy(F.col("digest").alias("same")).agg(F.min("page_id").alias("head"),
-                                                          F.max("page_id").alias("last"))
-             .where("head < last").select("same", "head"))
+    least = F.min(F.struct("page_id", "n"))
+    heads = stage_table(
+        rows.where(shared & F.col("page_id").isNotNull())
+        .groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+        .groupBy(F.col("digest").alias("same")).agg(least.alias("least"), F.sum("n").alias("all"))
+        .where("all > 1").select("same", F.col("least.page_id").alias("head"), F.col("least.n").alias("times")),
+        "heads")
     # small payloads look for nothing, each under a key of its own
     key = F.when(shared, F.col("digest")).otherwise(F.concat(F.lit("page "), F.col("page_id")))
-    (rows.withColumn("same", key).join(heads, "same", "left")
-     .select("page_id", "url", "html", "digest", "size",
-             F.when(F.col("head") != F.col("page_id"), F.col("head")).alias("refers_to"))
+    found = (rows.withColumn("same", key).join(heads, "same", "left")
+             .withColumn("refers_to", F.when(F.col("head") != F.col("page_id"), F.col("head"))))
+    several = heads.where("times > 1")
+    if not several.isEmpty():
+        again = F.coalesce((F.col("head") == F.col("page_id")) & (F.col("times") > 1), F.lit(False))
+        found = found.where(~again).select(*rows.columns, "refers_to").unionByName(
+            _repeated_heads(rows.where(shared), several))
+    (found.select("page_id", "url", "html", "digest", "size", "refers_to")
      .mapInArrow(_members(level), "member binary")
      .select(F.col("member").cast("string").alias("value"))
      .write.mode("errorifexists").option("encoding", "ISO-8859-1")
      .option("lineSep", EMPTY_MEMBER.decode("latin-1"))
      .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+    drop_table(heads)
+
+
+def _repeated_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows of a response's page_id that repeat it: one response, the others revisit it.
+
+    Equal rows are counted before they are dealt, so a page that fills the table is one row.
+    """
+    at = (F.col("digest") == F.col("same")) & (F.col("page_id") == F.col("head"))
+    kinds = (rows.join(heads, at).groupBy("digest", "page_id", "url")
+             .agg(F.min("html").alias("html"), F.min("size").alias("size"), F.count("*").alias("n")))
+    least = kinds.groupBy("digest", "page_id").agg(F.min(F.struct("url")).alias("least"))
+    kinds = (kinds.join(least, ["digest", "page_id"])
+             .withColumn("lead", F.col("url").eqNullSafe(F.col("least.url"))))
+    one = kinds.where("lead").select(*rows.columns, F.lit(None).cast("long").alias("refers_to"))
+    rest = (kinds.withColumn("more", F.col("n") - F.col("lead").cast("long")).where("more > 0")
+            .withColumn("k", F.explode(F.sequence(F.lit(1), F.col("more")))))
+    return one.unionByName(rest.select("page_id", "url", F.lit(None).cast("string").alias("html"), "digest", "size",
+                                       F.col("page_id").alias("refers_to")))
 
 
 class Record(NamedTuple):
@@ -152,8 +183,23 @@ def _payload(headers: dict, block: bytes) -> bytes:
 
 def _next_start(data: bytes, at: int) -> int:
     """The next place at or after ``at`` where a member or a version line may begin."""
-    found = [p for p in (data.find(GZIP, at), data.find(VERSION, at)) if p >= 0]
-    return min(found, default=len(data))
+    found = _START.search(data, at)
+    return found.start() if found else len(data)
+
+
+def read_member(data: bytes, at: int) -> tuple[bytes, int]:
+    """(content, end) of the gzip member at ``at``; raises Damaged."""
+    view, engine, out = memoryview(data), zlib.decompressobj(31), []
+    while not engine.eof:
+        piece = view[at:at + FEED]
+        if not piece:
+            raise Damaged("member: cut off")
+        try:
+            out.append(engine.decompress(piece))
+        except zlib.error as e:
+            raise Damaged(f"member: {e}") from None
+        at += len(piece)
+    return b"".join(out), at - len(engine.unused_data)
 
 
 def salvage(data: bytes, inner: bool = False) -> Iterator[Record]:
@@ -168,14 +214,7 @@ def salvage(data: bytes, inner: bool = False) -> Iterator[Record]:
                 headers, block, end = parse_record(data, at)
                 found = [Record("record", at, end - at, headers, _payload(headers, block), "")]
             elif not inner and data.startswith(GZIP, at):
-                engine = zlib.decompressobj(31)
-                try:
-                    body = engine.decompress(memoryview(data)[at:])
-                except zlib.error as e:
-                    raise Damaged(f"member: {e}") from None
-                if not engine.eof:
-                    raise Damaged("member: cut off")
-                end = len(data) - len(engine.unused_data)
+                body, end = read_member(data, at)
                 found = [r._replace(offset=at, length=end - at) if r.kind == "record" else
                          r._replace(offset=at, length=end - at, note=f"in member: {r.note}")
                          for r in salvage(body, True)]
