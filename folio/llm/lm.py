@@ -46,7 +46,8 @@ END = np.uint64(0xC0FFEE1234567891)  # the end token, outside the words
 RARE = 0  # class of the words below ``frequent``
 START = -1  # context before the first word
 BEGIN = np.uint64(0xB5297A4D68E31DA5)  # the same among tokens
-CHUNK = 1 << 17  # tokens whose probabilities are taken at once
+CHUNK = 1 << 15  # tokens whose probabilities are taken at once
+STRETCHES = 8  # of a part's range, summed one after another
 BUCKETS = 128  # of word contexts: 64 by the trigram's, then 64 by the bigram's
 SPARE_BITS = 16  # a bigram's or trigram's hash has so many bits more than the corpus has bytes
 
@@ -83,9 +84,10 @@ def pack(values: np.ndarray) -> bytes:
 def unpack(data: bytes) -> np.ndarray:
     used, n = data[0], int.from_bytes(data[1:9], "little")
     planes = np.frombuffer(pa.decompress(data[9:], n * used, "zstd", asbytes=True), np.uint8).reshape(used, n)
-    out = np.zeros((n, 8), np.uint8)
+    width = next(w for w in (1, 2, 4, 8) if w >= used)  # of the smallest type that holds them
+    out = np.zeros((n, width), np.uint8)
     out[:, :used] = planes.T
-    return out.view(np.uint64)[:, 0]
+    return out.view(f"u{width}")[:, 0]
 
 
 def first_of(row: np.ndarray) -> np.ndarray:
@@ -126,7 +128,7 @@ def _ask(parts: int, bits: int, block_bytes: int):
     """Distinct n-grams of each block, by part, with their number in training texts (size 1
     to 3), and the block itself (size 0) under a part of its own."""
     def block_rows(block: int, docs: pa.Table, tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
-        row = np.repeat(np.arange(docs.num_rows), docs["n_tokens"].to_numpy())
+        row = np.repeat(np.arange(docs.num_rows, dtype=np.int32), docs["n_tokens"].to_numpy())
         train = ~docs["held_out"].to_numpy()[row]
         for size, keys in enumerate(grams_of(tokens, row, bits), 1):
             u, inv = np.unique(keys, return_inverse=True)
@@ -138,6 +140,7 @@ def _ask(parts: int, bits: int, block_bytes: int):
                    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
             if size == 1:
                 out.append((-1 - block, block, 0, pack(np.diff(u, prepend=np.uint64(0))), pack(inv), _store(docs)))
+            del u, inv, n, top, part
             yield from _rows(out, _ASKED).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +158,7 @@ def _ask(parts: int, bits: int, block_bytes: int):
                 if docs and (part is None or held >= block_bytes):
                     yield from block_rows(block, pa.Table.from_batches(docs), np.concatenate(tokens))
                     block, docs, tokens, held = block + 1, [], [], 0
+                    pa.default_memory_pool().release_unused()
     return run
 
 
@@ -172,15 +176,29 @@ def _sum_part(table: pa.Table) -> pa.Table:
             continue
         keys = [np.cumsum(unpack(table["keys"][i].as_py()), dtype=np.uint64) for i in at]
         counts = [unpack(table["n"][i].as_py()) for i in at]
-        u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inv, np.concatenate(counts), len(u)).astype(np.uint64)
-        done = 0
-        for i, k in zip(at, keys):
-            out.append((part, table["block"][i].as_py(), size, None, pack(total[inv[done:done + len(k)]]), None))
-            done += len(k)
-        if size == 1 and total.any():
-            used = u[total > 0]
-            out.append((part, -1, size, pack(np.diff(used, prepend=np.uint64(0))), pack(total[total > 0]), None))
+        low, high = int(min(k[0] for k in keys)), int(max(k[-1] for k in keys))
+        # hashes are even over the range, so are its stretches
+        edges = np.array([low + (high - low) * j // STRETCHES for j in range(1, STRETCHES)], np.uint64)
+        cuts = [[0, *np.searchsorted(k, edges).tolist(), len(k)] for k in keys]
+        totals, used, used_n = [[] for _ in keys], [], []
+        for j in range(STRETCHES):
+            some = [k[c[j]:c[j + 1]] for k, c in zip(keys, cuts)]
+            u, inv = np.unique(np.concatenate(some), return_inverse=True)
+            total = np.bincount(inv, np.concatenate([n[c[j]:c[j + 1]] for n, c in zip(counts, cuts)]),
+                                len(u)).astype(np.uint64)
+            done = 0
+            for mine, k in zip(totals, some):
+                mine.append(total[inv[done:done + len(k)]])
+                done += len(k)
+            if size == 1:
+                used.append(u[total > 0])
+                used_n.append(total[total > 0])
+        out += [(part, table["block"][i].as_py(), size, None, pack(np.concatenate(mine)), None)
+                for i, mine in zip(at, totals)]
+        if size == 1 and sum(map(len, used)):
+            out.append((part, -1, size, pack(np.diff(np.concatenate(used), prepend=np.uint64(0))),
+                        pack(np.concatenate(used_n)), None))
+    pa.default_memory_pool().release_unused()
     return _rows(out, _ASKED)
 
 
@@ -189,7 +207,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, n in zip(batch.column(0), batch.column(1)):
             u = np.cumsum(unpack(keys.as_py()), dtype=np.uint64)
             yield pa.record_batch([pa.array(u.view(np.int64)),
-                                   pa.array(unpack(n.as_py()).view(np.int64))], ["token", "n"])
+                                   pa.array(unpack(n.as_py()).astype(np.int64))], ["token", "n"])
 
 
 def gram_totals(docs: DataFrame, parts: int, bits: int = 64, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -205,8 +223,8 @@ class Block:
     def __init__(self, docs: bytes, words: bytes, ranks: bytes, c1: bytes, c2: bytes, c3: bytes):
         self.docs = pa.ipc.open_stream(docs).read_all()
         self.words = np.cumsum(unpack(words), dtype=np.uint64)
-        self.ranks = unpack(ranks).astype(np.int64)
-        self.row = np.repeat(np.arange(self.docs.num_rows), self.docs["n_tokens"].to_numpy())
+        self.ranks = unpack(ranks)
+        self.row = np.repeat(np.arange(self.docs.num_rows, dtype=np.int32), self.docs["n_tokens"].to_numpy())
         self.packed = c1, c2, c3
 
     def train(self) -> np.ndarray:
@@ -221,10 +239,12 @@ class Block:
         the n-gram that it is; ``texts`` is the number of training texts, the count of a
         beginning.
         """
-        c1, c2, c3 = (unpack(x).astype(float) for x in self.packed)
+        c1, c2, c3 = map(unpack, self.packed)
         c1 = c1[self.ranks]
         first = first_of(self.row)
-        n2, n3 = (np.where(first, texts, np.concatenate([[0], c[:-1]])) for c in (c1, c2))
+        # of the counts' own small types; a beginning's count may need a larger one
+        n2, n3 = (np.where(first, np.min_scalar_type(texts).type(texts),
+                           np.concatenate([np.zeros(1, c.dtype), c[:-1]])) for c in (c1, c2))
         return c3, n3, c2, n2, c1
 
 
@@ -260,6 +280,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield Block(*(c[i].as_py() for c in batch.columns))
+            pa.default_memory_pool().release_unused()
 
 
 def mixture(c3, n3, c2, n2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -306,28 +327,34 @@ class Classes:
 
 def contexts(classes: Classes, block: Block) -> tuple[np.ndarray, ...]:
     """(farther context, context, class) of each token."""
-    w = classes.of(block.words)[block.ranks]
+    w = classes.of(block.words).astype(np.int32)[block.ranks]
     first = first_of(block.row)
-    v = np.concatenate([[START], w[:-1]])
+    v = np.concatenate([w[:1], w[:-1]])
     v[first] = START
-    u = np.concatenate([[START], v[:-1]])
+    u = np.concatenate([v[:1], v[:-1]])
     u[first] = START
-    far = np.where(u >= 0, classes.far[np.maximum(u, 0)], START)
+    far = np.where(u >= 0, classes.far[np.maximum(u, 0)], START).astype(np.int32)
     return far, v, w
 
 
 def _distinct(u, v, w) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
     """(distinct class trigrams, the place of each among them)."""
-    key, inv = np.unique(((u + 1) << 40) | ((v + 1) << 20) | w, return_inverse=True)
+    key, inv = np.unique(((u.astype(np.int64) + 1) << 40) | ((v.astype(np.int64) + 1) << 20) | w, return_inverse=True)
     return ((key >> 40) - 1, ((key >> 20) & 0xFFFFF) - 1, key & 0xFFFFF), inv
 
 
 def _class_grams(classes: Classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            train = block.train()
-            some, inv = _distinct(*(c[train] for c in contexts(classes, block)))
-            n = np.bincount(inv, minlength=len(some[0])).astype(np.int64)
+            train, classed = block.train(), contexts(classes, block)
+            some, n = [np.zeros(0, np.int64)] * 3, np.zeros(0)
+            for k in range(0, len(train), 8 * CHUNK):
+                at = slice(k, k + 8 * CHUNK)
+                more = [np.concatenate([x, c[at][train[at]]]) for x, c in zip(some, classed)]
+                weight = np.concatenate([n, np.ones(len(more[0]) - len(n))])
+                some, inv = _distinct(*more)
+                n = np.bincount(inv, weight, len(some[0]))
+            n = n.astype(np.int64)
             yield pa.record_batch([*map(pa.array, some), pa.array(n)], ["u", "v", "w", "n"])
     return run
 
@@ -438,7 +465,7 @@ def _deleted(model: ClassModel, rare: tuple, texts: int):
             keys, sums = [np.zeros(0, np.int64)], [np.zeros((0, 4))]
             for at in chunks:
                 on = train[at]
-                c3, n3, c2, n2, c1 = (c[at][on] for c in counts)
+                c3, n3, c2, n2, c1 = (c[at][on].astype(float) for c in counts)
                 bucket, p3, p2 = mixture(c3 - 1, n3 - 1, c2 - 1, n2 - 1)
                 p1 = _base(model, rare, tuple(c[at][on] for c in classed), c1, 1)
                 keys.append((bucket * 64 + _bins(p3, p1)) * 64 + _bins(p2, p1))
@@ -460,12 +487,12 @@ def _score(model: ClassModel, rare: tuple, weights: np.ndarray, texts: int, tota
             row, docs = block.row, block.docs
             p = np.zeros(len(row))
             for at in chunks:
-                c3, n3, c2, n2, c1 = (c[at] for c in counts)
+                c3, n3, c2, n2, c1 = (c[at].astype(float) for c in counts)
                 bucket, p3, p2 = mixture(c3, n3, c2, n2)
                 p1 = _base(model, rare, tuple(c[at] for c in classed), c1, 0)
                 p[at] = (weights[bucket] * np.stack([p3, p2, p1], 1)).sum(1)
             c = counts[4]
-            base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
+            base = np.log10((c.astype(float) + 0.5) / (total + 0.5 * (kinds + 1)))
             rows = docs.num_rows
             yield from pa.Table.from_arrays(
                 [docs["doc_id"], docs["held_out"], docs["n_tokens"],
