@@ -7,8 +7,8 @@ the table as they are read, so no text is shuffled.  Each block asks once for ea
 of its distinct n-grams, counts are summed by n-gram, and the totals go back by
 block.  An n-gram has at most one entry for each block, so none is hot.  The
 n-grams are sorted hashes, cut into parts by their range and sent as packed
-arrays.  Texts are read once: a block goes with them as its distinct words and
-the rank of each token among them, and finds its n-grams again from these.
+arrays.  A second reading sends the block to its totals as its distinct words and
+the rank of each token among them, where it finds its n-grams again.
 
 Below them lies a class n-gram.  Words of at least a share ``frequent`` of the
 tokens are classes of their own, all others share one class; words of a share
@@ -26,6 +26,7 @@ held out in turn (all its counts less one).
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._util import _BASE, SLICE_BYTES, Words, drop_table, mix, stage_table, text_slices, with_end
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 FREQUENT = 4e-3  # at most 250 classes
 COMMON = 2e-2  # at most 50 farther contexts, so at most 3.3 million class trigrams (105 MB)
 FOLDS = 5
@@ -124,12 +125,22 @@ def _store(docs: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _ask(parts: int, bits: int, block_bytes: int):
+def _check(tokens: np.ndarray) -> bytes:
+    return zlib.crc32(tokens.tobytes()).to_bytes(4, "little")
+
+
+def _ask(parts: int, bits: int, block_bytes: int, whole: bool = False):
     """Distinct n-grams of each block, by part, with their number in training texts (size 1
-    to 3), and the block itself (size 0) under a part of its own."""
+    to 3), and its checksum (size 0) under a part of its own; ``whole``: the block itself."""
     def block_rows(block: int, docs: pa.Table, tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if whole:
+            u, inv = np.unique(tokens, return_inverse=True)
+            rows = [(-1 - block, block, 0, pack(np.diff(u, prepend=np.uint64(0))), pack(inv), _store(docs))]
+            yield from _rows(rows, _ASKED).to_batches()
+            return
         row = np.repeat(np.arange(docs.num_rows, dtype=np.int32), docs["n_tokens"].to_numpy())
         train = ~docs["held_out"].to_numpy()[row]
+        yield from _rows([(-1 - block, block, 0, None, _check(tokens), None)], _ASKED).to_batches()
         for size, keys in enumerate(grams_of(tokens, row, bits), 1):
             u, inv = np.unique(keys, return_inverse=True)
             n = np.bincount(inv, train, len(u)).astype(np.uint64)
@@ -138,8 +149,6 @@ def _ask(parts: int, bits: int, block_bytes: int):
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
             out = [(int(part[lo]), block, size, pack(np.diff(u[lo:hi], prepend=np.uint64(0))), pack(n[lo:hi]), None)
                    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
-            if size == 1:
-                out.append((-1 - block, block, 0, pack(np.diff(u, prepend=np.uint64(0))), pack(inv), _store(docs)))
             del u, inv, n, top, part
             yield from _rows(out, _ASKED).to_batches()
 
@@ -163,8 +172,8 @@ def _ask(parts: int, bits: int, block_bytes: int):
 
 
 def _sum_part(table: pa.Table) -> pa.Table:
-    """Totals for each block in the order of its n-grams; the words under block -1.  A block
-    itself passes as it is."""
+    """Totals for each block in the order of its n-grams; the words under block -1.  A
+    checksum passes as it is."""
     part = table["part"][0].as_py()
     if part < 0:
         return table.select(_ASKED.names).cast(_ASKED)
@@ -211,7 +220,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def gram_totals(docs: DataFrame, parts: int, bits: int = 64, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of ``docs`` (doc_id, text, held_out) and the packed totals of their n-grams."""
+    """Packed totals of the n-grams of the blocks of ``docs`` (doc_id, text, held_out)."""
     asked = docs.select("doc_id", "text", "held_out").mapInArrow(_ask(parts, bits, block_bytes), _ASKED_SQL)
     return stage_table(asked.groupBy("part").applyInArrow(_sum_part, _ASKED_SQL), "counts")
 
@@ -254,14 +263,15 @@ _BLOCK_SQL = ", ".join(f"{c} binary" for c in _BLOCK.names)
 
 def _bundle(bits: int):
     """A block with the counts of its words and of each token's bigram and trigram."""
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table[c].to_pylist() for c in ("size", "part", "n", "keys", "docs"))),
-                      key=lambda r: r[:2])
-        _, _, ranks, words, docs = rows[0]
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        docs, words, ranks = (block[c][0].as_py() for c in ("docs", "keys", "n"))
+        rows = sorted(zip(*(answers[c].to_pylist() for c in ("size", "part", "n"))))
         block = Block(docs, words, ranks, b"", b"", b"")
+        tokens = block.words[block.ranks]
+        assert rows[0][2] == _check(tokens), "the table came in another order when it was read again"
         out = []
-        for size, keys in enumerate(grams_of(block.words[block.ranks], block.row, bits), 1):
-            totals = np.concatenate([unpack(n) for s, _, n, _, _ in rows if s == size])
+        for size, keys in enumerate(grams_of(tokens, block.row, bits), 1):
+            totals = np.concatenate([unpack(n) for s, _, n in rows if s == size])
             if size > 1:
                 u, inv = np.unique(keys, return_inverse=True)
                 assert len(totals) == len(u)
@@ -271,9 +281,12 @@ def _bundle(bits: int):
     return run
 
 
-def counted_blocks(totals: DataFrame, bits: int = 64) -> DataFrame:
+def counted_blocks(docs: DataFrame, totals: DataFrame, bits: int = 64, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A staged table with one row for each block, as ``Block`` takes it."""
-    return stage_table(totals.where("block >= 0").groupBy("block").applyInArrow(_bundle(bits), _BLOCK_SQL), "blocks")
+    whole = docs.select("doc_id", "text", "held_out").mapInArrow(_ask(1, bits, block_bytes, whole=True), _ASKED_SQL)
+    answers = totals.where("block >= 0").select("block", "part", "size", "n")
+    return stage_table(whole.groupBy("block").cogroup(answers.groupBy("block"))
+                       .applyInArrow(_bundle(bits), _BLOCK_SQL), "blocks")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -517,9 +530,9 @@ def lm_scores(docs: DataFrame, frequent: float = FREQUENT, common: float = COMMO
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored.  Training
     texts are those whose crc32(doc_id as text) modulo 5 is not 1; rows with a
     null ``doc_id`` are training texts.  Null, empty and blank texts are one end
-    token.  Repeated rows count as often as they occur.  A partition that is computed
-    again must give its rows in the same order (as a scan does), or the job fails in
-    an assertion and can be run again.  Without any training
+    token.  Repeated rows count as often as they occur.  A partition that is read
+    again must give its rows in the same order (as a scan does; write other tables
+    first), or the job fails by a checksum.  Without any training
     text all counts are zero and the scores are those of the uniform model; an
     empty table gives an empty result.
 
@@ -550,7 +563,7 @@ def lm_scores(docs: DataFrame, frequent: float = FREQUENT, common: float = COMMO
               .agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).collect())
     rare = fit_rare(np.array([r.tokens / r.words for r in spread], float),
                     np.array([r.words for r in spread], float))
-    blocks = counted_blocks(asked, bits)
+    blocks = counted_blocks(docs, asked, bits, block_bytes)
     drop_table(asked)
 
     # bounded by the numbers of classes, not by the corpus

@@ -465,7 +465,8 @@ def test_lm_gram_counts(docs, rows):
     table = pa.table({"doc_id": range(len(texts)), "text": texts, "held_out": held})
     frame = docs.sparkSession.createDataFrame(table.to_pandas()).repartition(2)
     for bits in (64, 48):
-        blocks = [Block(*r) for r in counted_blocks(gram_totals(frame, 4, bits, 50_000), bits).collect()]
+        blocks = [Block(*r) for r in counted_blocks(
+            frame, gram_totals(frame, 4, bits, 50_000), bits, 50_000).collect()]
         assert len(blocks) >= 3
         assert sorted(i for b in blocks for i in b.docs["doc_id"].to_pylist()) == list(range(len(texts)))
         for block in blocks:
