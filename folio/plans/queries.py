@@ -22,6 +22,7 @@ from ..operators.search import embed_requests, search, validate_requests
 from ..operators.sections import prune_boilerplate
 from ..sources.pages import lookup_pages, page_sections, scan_pages
 from ..sources.tables import document_requests, document_sections, read_table, spread
+from ..streaming import topics
 from .ingest import PLACE, IngestCounts, first_sections, sections_to_chunks
 
 FLAGSHIP_CHUNKS = ChunkOptions(max_tokens=256, overlap=32)
@@ -845,3 +846,25 @@ QUERIES.update({"user_chunker": q_user_chunker, "model_embed": q_model_embed,
 from .vectors import VECTOR_QUERIES  # noqa: E402  (it uses the helpers above)
 
 QUERIES.update(VECTOR_QUERIES)
+
+
+def _counted_stream(spark, base) -> str:
+    """The store's chunks as several files, counted in as many micro-batches."""
+    import uuid
+
+    from ..session import shared_path
+    root = shared_path(spark, f"topic-stream-{uuid.uuid4().hex[:12]}")
+    _store(spark, base).select("topic", "chunk_id").repartition(4, "chunk_id").write.parquet(f"{root}/in")
+    topics.run_counts(spark, f"{root}/in", f"{root}/counts", f"{root}/_checkpoint", max_files=1)
+    return f"{root}/counts"
+
+
+def q_stream_topic_counts(spark, base):
+    return topics.running_counts(spark, _counted_stream(spark, base))
+
+
+def q_stream_missing_topics(spark, base):
+    return topics.still_missing(_wanted_topics(spark, base), _counted_stream(spark, base))
+
+
+QUERIES.update({"stream_topic_counts": q_stream_topic_counts, "stream_missing_topics": q_stream_missing_topics})

@@ -59,3 +59,21 @@ def test_letter_model(spark):
     got = {r.id: r.embedding for r in embed_with_model(df, letter_model).collect()}
     raw = np.array([3, 1, 1, 1]) / np.sqrt(12)
     assert np.allclose(got[1], raw, atol=1e-6) and got[2] == got[3] == [0, 0, 0, 0]
+
+
+def test_running_topic_counts_go_on_after_a_stop(spark, tmp_path):
+    """Files that come between two runs are counted once; null topics too."""
+    from folio.operators.store import topic_counts
+    from folio.streaming.topics import run_counts, running_counts, still_missing
+    chunks = spark.range(300).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("t"), F.col("id") % 7)).alias("topic"),
+                                     F.col("id").cast("string").alias("chunk_id"))
+    where = [str(tmp_path / x) for x in ("in", "counts", "state")]
+    for low, high in ((0, 100), (100, 103), (103, 103), (103, 300)):
+        part = chunks.where(F.col("chunk_id").cast("long").between(low, high - 1))
+        part.repartition(2).write.mode("append").parquet(where[0])
+        run_counts(spark, *where, max_files=1)
+        seen = chunks.where(F.col("chunk_id").cast("long") < high)
+        got = sorted(map(tuple, running_counts(spark, where[1], window=20).collect()), key=str)
+        assert got == sorted(map(tuple, topic_counts(seen, 20).collect()), key=str)
+    wanted = spark.createDataFrame([(" t1 ",), ("t9",), ("t9",)], "topic string")
+    assert [r.topic for r in still_missing(wanted, where[1]).collect()] == ["t9"]
