@@ -223,3 +223,19 @@ def test_entry_without_the_corpus_operators(tmp_path):
     code = ("import __spark_entry__ as e; assert len(e.queries()) > 30 and 'retrieve' in e.oracle_sql(); "
             "assert not any(n.startswith('op') or n == 'pipeline' for n in e.queries())")
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_costs_of_a_query_set_beyond_the_bound(spark, tmp_dir):
+    from folio.operators.ann import build_cells, build_hash_index
+    chunks, queries = _vectors(spark)
+    build_cells(chunks, f"{tmp_dir}/ivf", coarse=2, fine=2)
+    build_hash_index(chunks, f"{tmp_dir}/h", bits=4)
+    part = lambda df: round(df.first().scored_fraction, 9)
+    for few, many in ((InvertedFile(spark, f"{tmp_dir}/ivf", max_query_rows=3), InvertedFile(spark, f"{tmp_dir}/ivf")),
+                      (HashIndex(spark, f"{tmp_dir}/h", max_query_rows=3), HashIndex(spark, f"{tmp_dir}/h"))):
+        args = (queries, 2) if isinstance(few, InvertedFile) else (queries,)
+        assert part(few.search_cost(*args)) == part(many.search_cost(*args))
+    few, many = InvertedFile(spark, f"{tmp_dir}/ivf", max_query_rows=3), InvertedFile(spark, f"{tmp_dir}/ivf")
+    assert part(few.exact_cost(queries)) == part(many.exact_cost(queries))
+    plan = few.exact(queries)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan  # a query is not copied for each cell
