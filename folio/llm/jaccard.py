@@ -284,12 +284,16 @@ def _search_tiles(percent: int):
     return run
 
 
-def _tiles(open_rows: DataFrame, tile: int) -> DataFrame:
+def _tiles(open_rows: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
     """(cluster, left, right, tile, cls, component): the tile pairs that need a search.
 
     A component larger than a tile has tiles of its own, the others share tiles.
     Two tiles of one component need no search, so a large group that is already
     connected is compared with what is left of its cluster only.
+
+    ``open_rows`` must be a staged table; the rows with their tiles are staged too and
+    given first, for ``drop_table``.  In one plan of all steps each table would stand
+    many times, and the driver's memory would go into plans and broadcasts.
     """
     large = (open_rows.groupBy("cluster", "component").agg(F.count("*").alias("size"))
              .where(F.col("size") > tile).select("cluster", "component", F.lit(True).alias("large")))
@@ -301,13 +305,14 @@ def _tiles(open_rows: DataFrame, tile: int) -> DataFrame:
                       (F.col("cluster") == F.col("c2")) & F.col("pure").eqNullSafe(F.col("p2")))
             .withColumn("tile", F.xxhash64("pure", F.pmod(F.xxhash64("cls"), F.col("parts"))))
             .select("cluster", "pure", "tile", "cls", "component"))
+    rows = stage_table(rows, "tiled")
     tiles = rows.select("cluster", "pure", "tile").distinct()
     other = tiles.select("cluster", F.col("pure").alias("pure2"), F.col("tile").alias("tile2"))
     pairs = (tiles.join(other, "cluster")
              .where("tile <= tile2 and not (pure is not null and pure <=> pure2)")
              .select("cluster", F.col("tile").alias("left"), F.col("tile2").alias("right")))
     sides = pairs.select("*", F.explode(F.array_distinct(F.array("left", "right"))).alias("tile"))
-    return rows.drop("pure").join(sides, ["cluster", "tile"])
+    return rows, rows.drop("pure").join(sides, ["cluster", "tile"])
 
 
 def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -400,19 +405,20 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     clusters = connected_components(star, "clusters")
     part = parts.withColumnRenamed("node", "cls")
     cluster = clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
-    rows = (cluster.join(part, "cls", "left")
-            .select("cluster", "cls", F.coalesce("component", "cls").alias("component")))
+    rows = stage_table(cluster.join(part, "cls", "left")
+                       .select("cluster", "cls", F.coalesce("component", "cls").alias("component")), "rows")
     spread = (rows.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                           F.count("*").alias("size"))
               .where("lo < hi and size > 2").select("cluster"))  # a pair has been compared
+    open_rows = stage_table(rows.join(spread, "cluster"), "open")
     keys = ["cluster", "left", "right"]
-    tiles = (_tiles(rows.join(spread, "cluster"), tile).join(points, "cls")
-             .select(*keys, "tile", "cls", "component", "n", "counts", "shingles"))
+    tiled, sides = _tiles(open_rows, tile)
+    tiles = sides.join(points, "cls").select(*keys, "tile", "cls", "component", "n", "counts", "shingles")
     more = stage_table(tiles.repartition(*keys).sortWithinPartitions(*keys)
                        .mapInArrow(_search_tiles(percent), "a long, b long"), "more")
 
     found = connected_components(links.unionByName(more), "linked")
-    for done in (members, points, links, parts, clusters, more):
+    for done in (members, points, links, parts, clusters, rows, open_rows, tiled, more):
         drop_table(done)
     least = (found.join(classes.withColumnRenamed("cls", "node"), "node")
              .groupBy("component").agg(F.min("doc_id").alias("component_id")))
