@@ -20,6 +20,9 @@ splits a skewed topic partition).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +82,26 @@ def dedup_new(new: DataFrame, key=("topic", "chunk_id"), order=("url", "section"
     return new.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def _same_key(left: DataFrame, right: DataFrame, key):
+    """Null parts of a key are equal, as in a grouping."""
+    return reduce(and_, (left[k].eqNullSafe(right[k]) for k in key))
+
+
+def dedup_written(new: DataFrame, key=("topic", "chunk_id"), order=("url", "section", "text")) -> DataFrame:
+    """``dedup_new`` of a batch that ``materialize`` wrote.
+
+    Only the key columns are shuffled, to find the keys that repeat; only their rows
+    are sorted and written once more.  The others, texts and vectors with them, stay
+    where they are."""
+    again = materialize(new.groupBy(*key).count().where("count > 1").select(*key))
+    if again.isEmpty():
+        return new
+    again = _maybe_broadcast(again)
+    same = _same_key(new, again, key)
+    once = materialize(dedup_new(new.join(again, same, "left_semi"), key, order))
+    return new.join(again, same, "left_anti").unionByName(once)
+
+
 def dropped_rows(new: DataFrame, key=("topic", "chunk_id")) -> DataFrame:
     """``(topic, dropped)``: how many rows of each topic ``dedup_new`` drops."""
     per_key = new.groupBy(*dict.fromkeys(("topic", *key))).agg((F.count(F.lit(1)) - 1).alias("extra"))
@@ -100,8 +123,13 @@ def merge(existing: DataFrame, new: DataFrame, key=("topic", "chunk_id"), *,
     key = list(key)
     if materialize_new:
         new = materialize(new)
-    keys = _maybe_broadcast(new.select(*key), max_broadcast_rows)
-    kept = existing.join(keys, on=key, how="left_anti")
+    keys = new.select(*key)
+    if _small(keys, max_broadcast_rows):
+        kept = existing.join(F.broadcast(keys), on=key, how="left_anti")
+    else:  # the keys settle which rows stay; texts and vectors move only if many do
+        stay = materialize(existing.select(*key).join(keys, on=key, how="left_anti").distinct())
+        stay = _maybe_broadcast(stay, max_broadcast_rows)
+        kept = existing.join(stay, _same_key(existing, stay, key), "left_semi")
     return kept.unionByName(new.select(*existing.columns))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import INGEST_CHUNKS, ChunkOptions, EmbedOptions
-from ..operators.store import ChunkStore, dedup_new, materialize
+from ..operators.store import ChunkStore, dedup_written, materialize
 from ..plans.ingest import sections_to_chunks
 from ..session import shared_path
 from ..sources.tables import document_sections
@@ -46,7 +46,7 @@ def stream_chunks(docs: DataFrame, chunk_options: ChunkOptions = INGEST_CHUNKS,
 
 
 def _upsert(store: ChunkStore, rows: DataFrame) -> None:
-    rows = materialize(dedup_new(rows))
+    rows = dedup_written(materialize(rows))
     if not rows.isEmpty():
         store.upsert(rows, materialized=True)
 
