@@ -1,231 +1,139 @@
-"""Embedding near-dedup by a subspace pigeonhole join.
-
-Unit vectors with cosine at least ``c`` lie within a squared distance of
-``2 - 2c``.  After a fixed random rotation the coordinates are cut into blocks;
-a pair within the budget is within a proportional share of it in one block at
-least.  Each block is joined on its own: a grid over a few of its coordinates
-deals the points out, with copies for neighbouring cells in reach, and inside a
-cell pairs within the block's share are candidates.  A candidate is verified by
-its exact cosine, and counted only in the first block whose share it meets, so
-the union over the blocks needs no list of pairs.
-
-Equal vectors of one label are one point from the start.  Cells with many points
-are cut into tiles, and tasks return counts and a spanning forest of links, so
-neither a group of near copies nor a frequent vector makes all its pairs.
+"""Embedding near-dedup by a product of blocks.
+
+Unit vectors of one label and length with cosine at least ``c`` are linked.  The
+points are written once in blocks of some megabytes, and every block meets every
+block of its label in place (``operators.blocks``): tasks read the blocks again, so
+what is written grows with the points, not with their pairs, and a large label is
+spread over all tasks.  A product in single precision, with a bound on its error,
+decides all pairs but those at the limit, which are decided by their exact cosine.
+
+Equal vectors of one label are one point from the start.  Tasks return counts and a
+spanning forest of links, so neither a group of near copies nor a frequent vector
+makes a row for each of its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import connected_components, drop_table, stage_table, with_end
+from ..operators.blocks import meet, pack
+from ._util import connected_components, drop_table, stage_table
 
 COSINE = 0.98
-BLOCK = 8  # coordinates of a block
-GRIDS = (2, 6)  # least and most of them that the grid divides
-CELL = 2.0  # width of a cell in units of the block's radius
-TILE = 256
-# Distances are computed in double precision; this keeps pairs at the limit as candidates.
-SLACK = 1e-9
-
-
-def rotation(dim: int) -> np.ndarray:
-    """A fixed random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
-
-
-def blocks_of(dim: int, block: int = BLOCK) -> list[np.ndarray]:
-    """The coordinates of each block; sizes differ by one at most."""
-    return np.array_split(np.arange(dim), max(1, dim // block))
-
-
-class Subspaces:
-    """Rotation, blocks and grid of one dimension."""
-
-    def __init__(self, dim: int, cosine: float, grid: int):
-        self.grid = grid
-        self.rotation = rotation(dim)
-        self.blocks = blocks_of(dim)
-        # proportional to the coordinates in the block
-        self.share = [(2 - 2 * cosine) * len(b) / dim + SLACK for b in self.blocks]
-
-    def rotate(self, unit: np.ndarray) -> np.ndarray:
-        return unit @ self.rotation
-
-    def spans(self, rotated: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(home cell, least and largest reachable cell) in the grid of block ``k``."""
-        coords = rotated[:, self.blocks[k][:self.grid]]
-        radius = np.sqrt(self.share[k]) * (1 + 1e-6)
-        width = CELL * radius
-        return (np.floor(coords / width).astype(np.int64),
-                np.floor((coords - radius) / width).astype(np.int64),
-                np.floor((coords + radius) / width).astype(np.int64))
-
-
-_spaces: dict[tuple, Subspaces] = {}
-
-
-def subspaces(dim: int, cosine: float, grid: int = GRIDS[0]) -> Subspaces:
-    if (dim, cosine, grid) not in _spaces:
-        _spaces[dim, cosine, grid] = Subspaces(dim, cosine, grid)
-    return _spaces[dim, cosine, grid]
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+TILE = 256  # points of a block compared at once with another block
+BLOCK = 16_384  # points of a block at most
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # keeps the squares from overflowing
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _cells(cosine: float, grid: int, payload: tuple):
-    """A row for each block and reachable cell of a point; home says which is its own.
-
-    A pair that meets across a cell border meets in both cells; it is taken in
-    the lower home cell, so copies go to lower cells only.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column(batch.schema.get_field_index("dim")).to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                space = subspaces(int(dim), cosine, grid)
-                rotated = space.rotate(unit_rows(_matrix(
-                    part.column(part.schema.get_field_index("embedding")))))
-                for k in range(len(space.blocks)):
-                    home, lo, hi = space.spans(rotated, k)
-                    d = home.shape[1]
-                    rows, cells = [np.arange(len(home))], [home]
-                    for step in np.ndindex(*(3,) * d):
-                        delta = np.array(step) - 1
-                        first = delta[np.flatnonzero(delta)[:1]]
-                        if not len(first) or first[0] > 0:
-                            continue
-                        near = home + delta
-                        ok = ((near >= lo) & (near <= hi)).all(1)
-                        rows.append(np.flatnonzero(ok))
-                        cells.append(near[ok])
-                    sizes = [len(r) for r in rows]
-                    rows, cells = np.concatenate(rows), np.concatenate(cells)
-                    own = np.arange(len(rows)) < sizes[0]
-                    cell = pa.array(list(map(bytes, np.ascontiguousarray(cells, np.int64))),
-                                    pa.binary())
-                    picked = part.take(pa.array(rows))
-                    yield pa.record_batch(
-                        [picked.column(picked.schema.get_field_index(n))
-                         for n in ("label", "dim", *payload)]
-                        + [pa.array(np.full(len(rows), k, np.int32)), cell, pa.array(own)],
-                        ["label", "dim", *payload, "block", "cell", "home"])
-    return run
-
-
-class _Forest:
-    """Union-find over the points of one task's group."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-
-def _links(cosine: float):
-    """Per group: (point, other, n): counts of verified links, and links of a forest."""
-    keys = ["label", "dim", "block", "cell", "i", "j"]
-
-    def group(rows: pa.Table) -> tuple[np.ndarray, ...]:
-        dim, k = rows["dim"][0].as_py(), rows["block"][0].as_py()
-        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        space = subspaces(dim, cosine)
-        unit = unit_rows(_matrix(rows["embedding"].combine_chunks()))
-        rotated = space.rotate(unit)
-        point, tile = rows["point"].to_numpy(), rows["tile"].to_numpy()
-        home = rows["home"].to_numpy(zero_copy_only=False)
-        size = rows["size"].to_numpy()
-        n = np.zeros(len(point), np.int64)
-        forest, edges = _Forest(len(point)), []
-        left = np.flatnonzero(tile == i)
-        right = np.flatnonzero(tile == j)
-        if not len(left) or not len(right):
-            return point, n, edges
-        b = space.blocks[k]
-        sub = rotated[:, b]
-        norm = (sub * sub).sum(1)
-        for at in range(0, len(left), 256):
-            rows_l = left[at:at + 256]
-            near = (norm[rows_l, None] + norm[right] - 2 * sub[rows_l] @ sub[right].T
-                    <= space.share[k])
-            near &= home[rows_l, None] | home[right]  # copies meet in their own cell
-            if i == j:
-                near &= rows_l[:, None] < right
-            x, y = np.nonzero(near)
-            x, y = rows_l[x], right[y]
-            for lo in range(0, len(x), 1 << 15):
-                a, c = x[lo:lo + (1 << 15)], y[lo:lo + (1 << 15)]
-                diff = rotated[a] - rotated[c]
-                diff *= diff
-                earlier = np.zeros(len(a), bool)
-                for p in range(k):  # counted in the first block whose share it meets
-                    earlier |= diff[:, space.blocks[p]].sum(1) <= space.share[p]
-                ok = (diff[:, b].sum(1) <= space.share[k]) & ~earlier
-                a, c = a[ok], c[ok]
-                ok = (unit[a] * unit[c]).sum(1) >= cosine
-                a, c = a[ok], c[ok]
-                np.add.at(n, a, size[c])
-                np.add.at(n, c, size[a])
-                for p, q in zip(a.tolist(), c.tolist()):
-                    p0, q0 = forest.root(p), forest.root(q)
-                    if p0 != q0:
-                        forest.up[max(p0, q0)] = min(p0, q0)
-                        edges.append((point[p], point[q]))
-        return point, n, edges
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in with_end(batches):
-            if batch is not None:
-                table = pa.Table.from_batches([batch])
-                rest = table if rest is None else pa.concat_tables([rest, table])
-            if rest is None or not rest.num_rows:
+class _Part:
+    """The points of one (label, dim) in an opened block."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        column = lambda c: rows.column(rows.schema.get_field_index(c))
+        self.row, self.point, self.size = (column(c).to_numpy(zero_copy_only=False) for c in ("row", "point", "size"))
+        self.raw = column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        self.rough = unit_rows(self.raw).astype(np.float32)
+
+    def unit(self, at: np.ndarray) -> np.ndarray:
+        return unit_rows(self.raw[at])
+
+
+def _parts(block: pa.RecordBatch) -> dict[str, _Part]:
+    """The points of an opened block by key."""
+    keys = np.array(block.column(block.schema.get_field_index("key")).to_pylist(), object)
+    return {k: _Part(block.take(pa.array(np.flatnonzero(keys == k)))) for k in dict.fromkeys(keys.tolist())}
+
+
+def _join(label: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Merges rows that a column of ``mask`` links, in ``label`` (the least row of each row's
+    part, changed in place), and gives the part of each column."""
+    far = len(label)
+    while True:
+        column = np.where(mask, label[:, None], far).min(0)
+        least = np.where(mask, column[None, :], far).min(1)
+        if not (least < label).any():
+            return column
+        np.minimum.at(label, label.copy(), least)  # whole parts move, not rows
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+class _Links:
+    """A block of points and what is linked to them in the blocks that come by: counts, and
+    the links of a forest."""
+
+    def __init__(self, block: pa.RecordBatch, cosine: float, tile: int):
+        self.parts, self.cosine, self.tile = _parts(block), cosine, tile
+        self.counts = {k: np.zeros(len(p.row), np.int64) for k, p in self.parts.items()}
+        self.a, self.b = [], []
+
+    def add(self, other: dict[str, _Part]) -> None:
+        for key, part in self.parts.items():
+            if key in other:
+                self._add(other[key], part, self.counts[key])
+
+    def _add(self, rows: _Part, asks: _Part, counts: np.ndarray) -> None:
+        error = np.finfo(np.float32).eps * (rows.raw.shape[1] + 8)
+        own = rows.row[0] == asks.row[0]  # a block meets itself
+        forest = rows.row[0] <= asks.row[0]  # of two orders of a pair of blocks one gives links
+        label = np.arange(len(rows.row))
+        for at in range(0, len(asks.row), self.tile):
+            cols = np.arange(at, min(at + self.tile, len(asks.row)))
+            rough = rows.rough @ asks.rough[cols].T
+            near = rough >= self.cosine - error
+            if own:
+                near[cols, np.arange(len(cols))] = False
+            some = np.flatnonzero(near.any(1))
+            if not len(some):
                 continue
-            changed = np.zeros(rest.num_rows - 1, bool)
-            for c in keys:
-                v = rest[c].combine_chunks()
-                changed |= pa.compute.not_equal(v.slice(1), v.slice(0, len(v) - 1)).to_numpy(
-                    zero_copy_only=False)
-            cut = [0, *(np.flatnonzero(changed) + 1), rest.num_rows]
-            ends = cut if batch is None else cut[:-1]
-            a, b, n = [], [], []
-            for lo, hi in zip(ends[:-1], ends[1:]):
-                if hi - lo < 2:
-                    continue
-                point, count, edges = group(rest.slice(lo, hi - lo))
-                hit = np.flatnonzero(count)
-                a += point[hit].tolist()
-                b += [None] * len(hit)
-                n += count[hit].tolist()
-                a += [e[0] for e in edges]
-                b += [e[1] for e in edges]
-                n += [None] * len(edges)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                                   pa.array(n, pa.int64())], ["point", "other", "n"])
-            rest = rest.slice(ends[-1])
-    return run
-
-
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE) -> DataFrame:
+            near = near[some]
+            r, c = np.nonzero(near & (rough[some] < self.cosine + error))  # at the limit
+            for lo in range(0, len(r), 1 << 14):
+                x, y = r[lo:lo + (1 << 14)], c[lo:lo + (1 << 14)]
+                near[x, y] = (rows.unit(some[x]) * asks.unit(cols[y])).sum(1) >= self.cosine
+            linked = np.flatnonzero(near.any(0))
+            near, cols = near[:, linked], cols[linked]
+            if not len(cols):
+                continue
+            counts[cols] += (rows.size[some][:, None] * near).sum(0)
+            if forest:
+                order = np.argsort(label[some], kind="stable")
+                names, first = np.unique(label[some[order]], return_index=True)
+                merged = np.arange(len(names))
+                column = names[_join(merged, np.logical_or.reduceat(near[order], first, axis=0))]
+                to = np.arange(len(label))
+                to[names] = names[merged]
+                label = to[label]
+                self.a.append(asks.point[cols])
+                self.b.append(rows.point[column])
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        if len(moved):
+            self.a.append(rows.point[moved])
+            self.b.append(rows.point[label[moved]])
+
+    def result(self) -> pa.RecordBatch | None:
+        points = np.concatenate([p.point for p in self.parts.values()])
+        n = np.concatenate(list(self.counts.values()))
+        hit = np.flatnonzero(n)
+        if not len(hit) and not self.a:
+            return None
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (self.a, self.b))
+        return pa.record_batch(
+            [pa.array(np.concatenate([points[hit], a])),
+             pa.array(np.concatenate([np.zeros(len(hit), np.int64), b]), mask=np.arange(len(hit) + len(a)) < len(hit)),
+             pa.array(np.concatenate([n[hit], np.zeros(len(a), np.int64)]),
+                      mask=np.arange(len(hit) + len(a)) >= len(hit))], ["point", "other", "n"])
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """Link vectors of one label with cosine >= ``cosine`` and group them.
 
     ``vectors`` has ``vec_id``, ``label`` and ``embedding`` (an array of
@@ -248,29 +156,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE) -
     good = v.where(usable).withColumn("label", F.xxhash64(F.col("label").cast("string")))
     points = (good.groupBy("label", "embedding")
               .agg(F.min("vec_id").alias("point"), F.count("*").alias("size")))
-    points = stage_table(points.withColumn("dim", F.size("embedding")), "points")
-    # more points, more coordinates: about three cells of weight for each
-    most = points.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    grid = int(np.clip(np.log(most / (tile / 2)) / np.log(3), *GRIDS))
-    at = ["label", "dim", "block", "cell"]
-    plain = points.select("label", "dim", "embedding").mapInArrow(
-        _cells(cosine, grid, ()), "label long, dim int, block int, cell binary, home boolean")
-    dealt = (plain.groupBy(*at).agg(F.count("*").alias("points"), F.max("home").alias("used"))
-             .where("points > 1 and used")
-             .select(*at, F.ceil(F.col("points") / tile).cast("int").alias("tiles")))
-    cells = points.mapInArrow(
-        _cells(cosine, grid, ("point", "size", "embedding")),
-        f"label long, dim int, point long, size long, embedding array<{kind}>, block int, "
-        "cell binary, home boolean")
-    tiled = (cells.join(dealt, at)
-             .withColumn("tile", F.pmod(F.xxhash64("point"), F.col("tiles")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")))
-    keys = ["label", "dim", "block", "cell", "i", "j"]
-    found = stage_table(
-        tiled.repartition(*keys).sortWithinPartitions(*keys)
-        .select(*keys, "tile", "home", "point", "size", "embedding")
-        .mapInArrow(_links(cosine), "point long, other long, n long"), "found")
+    points = stage_table(points.withColumn("row", F.monotonically_increasing_id()), "points")
+    key = F.concat_ws(" ", "label", F.size("embedding")).alias("key")
+    blocks = pack(points.select(key, "row", "point", "size", "embedding").sortWithinPartitions("key"),
+                  "key", "embedding", "point-blocks", block)
+    found = stage_table(meet(blocks, blocks, _parts, lambda rows: _Links(rows, cosine, tile),
+                             "point long, other long, n long"), "found")
     counts = stage_table(found.where("n is not null").groupBy("point").agg(F.sum("n").alias("n")),
                          "counts")
     groups = connected_components(found.where("other is not null")

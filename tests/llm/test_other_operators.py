@@ -70,6 +70,29 @@ def test_vectors(spark, dim):
     assert near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_meet_in_place(spark, monkeypatch):
+    """Small blocks, a chain and a group of near copies over several of them, pairs at the limit:
+    as all pairs, and nothing is dealt out by a shuffle."""
+    from folio.llm import vectors
+    rng = np.random.default_rng(5)
+    turn = np.arange(40) * np.arccos(0.985)
+    group = rng.standard_normal(8) + rng.standard_normal((60, 8)) * 0.01
+    rows = [(i, 1, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(rng.permutation(turn))]
+    rows += [(100 + i, 2, v.tolist()) for i, v in enumerate(group)]
+    rows += [(200, 3, [1.0, 0.0]), (201, 3, [0.98, float(np.sqrt(1 - 0.98 ** 2))]), (202, 3, [0.97999, 0.199])]
+    plans = []
+
+    def staged(df, name, real=vectors.stage_table):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(vectors, "stage_table", staged)
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, near_vectors(df, tile=4, block=7).collect()), key=str) == vector_truth(rows)
+    found = dict(plans)["found"]
+    assert "CartesianProduct" in found and "Exchange" not in found
+
+
 def test_repeated_vectors(spark):
     rows = [(5, 1, [1.0, 2.0]), (5, 1, [1.0, 2.0]), (6, 1, [1.0, 2.0])]
     got = near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>"))
