@@ -331,6 +331,18 @@ def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             .select("a", "b").distinct())
 
 
+def _shared(leaves: DataFrame) -> DataFrame:
+    """``members(leaf, cls, head)`` of the leaves that several sets have; ``head`` is the least.
+
+    Leaves are most of what a search writes, so they are dealt out by leaf once: the
+    aggregate, the join and the distinct rows all keep to that one shuffle.
+    """
+    leaves = leaves.repartition("leaf")
+    heads = (leaves.groupBy("leaf").agg(F.min("cls").alias("head"), F.max("cls").alias("last"))
+             .where("head < last").select("leaf", "head"))
+    return leaves.join(heads.hint("merge"), "leaf").distinct()
+
+
 def _supported(members: DataFrame, needs: DataFrame, rounds: int = 3) -> DataFrame:
     """``members(leaf, cls, head)`` without the sets that share too few leaves with others.
 
@@ -379,10 +391,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     needs = (ids.where("doc_id is not null and cls is not null").groupBy("cls").agg(F.first("needs").alias("needs"))
              .select("cls", F.inline("needs")))
 
-    leaves = known.select("text").mapInArrow(_leaves(shingle, percent), "leaf long, cls long")
-    shared = (leaves.groupBy("leaf").agg(F.min("cls").alias("head"), F.max("cls").alias("last"))
-              .where("head < last").select("leaf", "head"))
-    members = stage_table(leaves.join(shared, "leaf").distinct(), "members")
+    members = stage_table(_shared(known.select("text").mapInArrow(_leaves(shingle, percent), "leaf long, cls long")),
+                          "members")
     members = _supported(members, needs)
 
     wanted = members.select("cls").distinct().join(classes, "cls")
