@@ -22,14 +22,15 @@ from ..schemas import LESSONS
 Answer = Callable[[DataFrame], DataFrame]
 
 
-def retrieved_chunks(hits: DataFrame, key: str = "query_id") -> DataFrame:
-    """Per request: its hits in rank order, as the lessons table stores them."""
+def retrieved_chunks(hits: DataFrame, key: str = "query_id", keep: tuple = ()) -> DataFrame:
+    """Per request: its hits in rank order, as the lessons table stores them.  ``keep``:
+    columns that the hits of a request have in common."""
     kind = LESSONS["retrieved_chunks"].dataType
     names = [f.name for f in kind.elementType.fields]
     rows = F.array_sort(F.collect_list(F.struct(
         F.col("rank").alias("_rank"), F.struct(*[F.col(n).alias(n) for n in names]).alias("hit"))))
     return hits.groupBy(key).agg(F.transform(rows, lambda h: h["hit"]).cast(kind)
-                                 .alias("retrieved_chunks"))
+                                 .alias("retrieved_chunks"), *[F.first(c).alias(c) for c in keep])
 
 
 def build_lessons(hits: DataFrame, answer: Answer, key: str = "query_id") -> DataFrame:
@@ -45,8 +46,9 @@ def build_lessons(hits: DataFrame, answer: Answer, key: str = "query_id") -> Dat
         F.expr("substring(prompt_id, 6)").alias("prompt_id"),  # without 'quiz-'
         F.when(F.col("response").isNotNull(), F.struct(parse_quiz(F.col("response")).alias("quiz")))
         .alias("quiz"))
-    chunks = retrieved_chunks(hits, key).withColumn(
-        "prompt_id", F.concat(F.lit("lesson-"), F.col(key).cast("string")))
+    # grouped by the key of the join: the hits' texts are moved once
+    chunks = retrieved_chunks(hits.withColumn("prompt_id", F.concat(F.lit("lesson-"), F.col(key).cast("string"))),
+                              "prompt_id", (key,))
     return (lessons.join(quizzes, "prompt_id", "left").join(chunks, "prompt_id")
             .select(key, "topic", "lesson", "quiz", "retrieved_chunks"))
 

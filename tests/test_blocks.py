@@ -87,3 +87,46 @@ def test_ingest_report_chunks_documents_once(spark):
     got = q_ingest_report(spark, SF_SMALL)
     assert "ArrowEvalPython" not in _plan(got)  # the embedding of chunks
     assert got.where("n_chunks > 0 and rank is null").count() == 0 and got.count() > 0
+
+
+def test_product_runs_once_whatever_reads_the_hits(spark):
+    """Lessons read the hits several times; the product's hits are written, its blocks are gone."""
+    chunks, asked = _chunks(spark), _requests(spark)
+    got = search(chunks, asked, embed_options=OPTS, method="tiles", options=SearchOptions(tile_chunks=7, tile_queries=3))
+    assert "CartesianProduct" not in _plan(got) and "MapInArrow" not in _plan(got)
+    key = lambda df: sorted((r.query_id, r.rank, r.chunk_id, r.score, r.text) for r in df.collect())
+    assert key(got) == key(got) == key(search(chunks, asked, embed_options=OPTS, method="pairs"))
+
+
+def test_many_requests_are_counted_not_embedded(spark, monkeypatch):
+    opts = SearchOptions(broadcast_max_rows=5, tile_chunks=7)
+    asked = _requests(spark).where("topic <> 'zz'")
+    real = []
+
+    def bounded(df, n):
+        real.append(_plan(df))
+        return None
+
+    monkeypatch.setattr(knn, "collect_bounded", bounded)
+    search(_chunks(spark), asked, embed_options=OPTS, options=opts)
+    assert len(real) == 1 and "ArrowEvalPython" not in real[0]  # the written requests only
+
+
+def test_tokens_hashed_in_batches_are_those_of_sql(spark):
+    from folio.operators.embed import buckets_embed, hash_embed, token_buckets
+    rows = [(i, t) for i, t in enumerate(["Alpha beta, ALPHA", "", None, "\u00c9t\u00e9 \u4e2d\u6587 x", "a " * 500])]
+    df = spark.createDataFrame(rows, "i int, text string").coalesce(1)
+    for opts in (OPTS, EmbedOptions(dim=7, max_seq_length=3), EmbedOptions(dim=5, normalize=False)):
+        got = df.select(hash_embed("text", opts).alias("a"),
+                        buckets_embed(token_buckets("text", opts.dim), opts).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got]
+
+
+def test_lessons_sort_moves_what_is_asked_for(spark, tmp_dir):
+    from folio.operators.lessons import read_lessons
+    rows = spark.createDataFrame([(f"t{i}", "x" * 50, i) for i in range(9)], "topic string, lesson string, n int")
+    rows.select("topic", "lesson", F.timestamp_seconds("n").alias("created_at")).write.parquet(f"{tmp_dir}/lessons")
+    got = read_lessons(spark, f"{tmp_dir}/lessons", "topic", F.md5("lesson").alias("h"))
+    plan = _plan(got)
+    assert "md5" in plan[plan.index("Exchange"):]  # below the sort
+    assert [r.topic for r in got.collect()] == [r.topic for r in read_lessons(spark, f"{tmp_dir}/lessons").collect()]
