@@ -239,3 +239,39 @@ def test_costs_of_a_query_set_beyond_the_bound(spark, tmp_dir):
     assert part(few.exact_cost(queries)) == part(many.exact_cost(queries))
     plan = few.exact(queries)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Generate" not in plan  # a query is not copied for each cell
+
+
+def test_leaves_in_reach_share_one_product(monkeypatch):
+    """Many small leaves of a cell are scored together, and the best rows are those of all pairs."""
+    import pandas as pd
+    import pyarrow as pa
+    from folio.operators import ann
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    heads = unit(rng.normal(size=(30, 4)))
+    rows = unit(np.repeat(heads, 3, axis=0) + rng.normal(size=(90, 4)) * 0.05)
+    rows[::3] = heads
+    asks = unit(rng.normal(size=(5, 4))).astype(np.float32)
+    asked = ann._Queries(pd.DataFrame({"query_id": range(5), "topic": ["t"] * 5, "k": [3] * 5, "q_embedding": list(asks)}), 4)
+    scores = np.round(unit(rows.astype(np.float32).astype(float)) @ unit(asks.astype(float)).T, 6)
+    asked.kth = np.sort(scores, axis=0)[-3]
+    visits = ann._Bounds(asked, np.array([0]), np.eye(4)[:1], np.array([np.pi]), 0.6)
+    batch = pa.record_batch([pa.array([f"{i:02}" for i in range(90)]), pa.array(["t"] * 90), pa.array([0] * 90),
+                             pa.array(rows.astype(np.float32).tolist(), pa.list_(pa.float32())),
+                             pa.array(np.repeat(range(30), 3)), pa.array([i % 3 == 0 for i in range(90)])],
+                            ["chunk_id", "topic", "cell", "embedding", "leaf", "leads"])
+    calls, real = [], ann._Scan._score
+    monkeypatch.setattr(ann._Scan, "_score", lambda self, *a: calls.append(1) or real(self, *a))
+    scan = ann._Scan(asked, visits, "cell")
+    scan.add(ann._Rows(batch, 4))
+    assert len(calls) <= 2
+    got = {}
+    for r in scan.result().to_pylist():
+        got.setdefault(r["query_id"], set()).add((r["chunk_id"], round(r["score"], 6)))
+    for q in range(5):
+        best = sorted(range(90), key=lambda i: (-scores[i, q], i))[:3]
+        assert {c for c, _ in got[q]} == {f"{i:02}" for i in best}
+    cost = ann._Scan(asked, visits, "cell", count=True)
+    cost.add(ann._Rows(batch, 4))
+    near = ann._Bounds.reach(scores[::3].T, 0.6, asked.kth[:, None])
+    assert abs(cost.scored - int((5 - near.sum(0)).sum() + 3 * near.sum())) <= 3  # rounded scores at the bound
