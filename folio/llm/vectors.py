@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.blocks import meet, pack
+from ..session import drop_shared
 from ._util import connected_components, drop_table, stage_table
 
 COSINE = 0.98
@@ -162,6 +163,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE, b
                   "key", "embedding", "point-blocks", block)
     found = stage_table(meet(blocks, blocks, _parts, lambda rows: _Links(rows, cosine, tile),
                              "point long, other long, n long"), "found")
+    drop_shared(blocks)
     counts = stage_table(found.where("n is not null").groupBy("point").agg(F.sum("n").alias("n")),
                          "counts")
     groups = connected_components(found.where("other is not null")
